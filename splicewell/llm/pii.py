@@ -55,7 +55,7 @@ CONTEXT_CHARS = 24
 ROUNDS = 24
 RATE = 0.4
 #: Share of candidates above a threshold that pass the strict check, in the calibration half; and how many there must be.
-PRECISION = 0.9
+PRECISION = 0.98
 SUPPORT = 20
 BLOCK = 256
 

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from .langid import op7_language
+from .pii import op1_pii
+from .simhash import op4_simhash
 from .toxicity import op2_toxicity
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
+    "op4_simhash": op4_simhash,
     "op7_language": op7_language,
 }
 ORACLES: dict[str, str] = {}
