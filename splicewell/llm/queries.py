@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from .langid import op7_language
+from .packing import op3_packing
 from .pii import op1_pii
 from .simhash import op4_simhash
+from .tokens import op10_tokens
 from .toxicity import op2_toxicity
 
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
+    "op3_packing": op3_packing,
     "op4_simhash": op4_simhash,
     "op7_language": op7_language,
+    "op10_tokens": op10_tokens,
 }
 ORACLES: dict[str, str] = {}
