@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .imatch import op6_imatch
 from .langid import op7_language
 from .packing import op3_packing
 from .pii import op1_pii
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op4_simhash": op4_simhash,
+    "op6_imatch": op6_imatch,
     "op7_language": op7_language,
     "op10_tokens": op10_tokens,
 }
