@@ -24,12 +24,15 @@ class Memory(dict):
     def __init__(self, made, size: int):
         self.made, self.size, self.older = made, size, {}
 
-    def __missing__(self, key):
+    def keep(self, key, found) -> None:
         if len(self) >= self.size:
             self.older = dict(self)
             self.clear()
+        self[key] = found
+
+    def __missing__(self, key):
         found = self.older.get(key)
         if found is None:
             found = self.made(key)
-        self[key] = found
+        self.keep(key, found)
         return found

@@ -48,6 +48,19 @@ STRETCH = re.compile(r" *[^ ]+| +").findall
 MARK = "▁"
 
 
+#: Parts of up to this length are searched together, what is new in so many characters at a time.
+TOGETHER, TOGETHER_CHARS = 24, 1_500_000
+PRIME = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _key(piece: str) -> int:
+    """A 64-bit key of a string, as vectors() makes it character by character."""
+    key = 0
+    for c in piece:
+        key = (key * int(PRIME) + ord(c) + 1) % (1 << 64)
+    return key
+
+
 class Pieces:
     def __init__(self, path: str, n: int = N):
         import sentencepiece
@@ -64,10 +77,16 @@ class Pieces:
         self.byte_score = -math.log(size + 1) - total - 10
         self.texts = [bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else model.id_to_piece(i).replace(MARK, " ").encode() for i in range(size)]
         self.n = n
+        self.characters = frozenset(p for p in self.arcs if len(p) == 1)
         #: Pairs of characters that stand together in a piece.
         self.joined = {p[i : i + 2] for p in self.arcs for i in range(len(p) - 1)}
+        keyed = sorted((_key(p), i[0], s) for p, (i, s) in self.arcs.items())
+        self.keys, self.key_ids, self.key_scores = (np.array(x, dtype=t) for x, t in zip(zip(*keyed, strict=True), (np.uint64, np.int64, np.float64), strict=True))
+        if (self.keys[1:] == self.keys[:-1]).any():
+            raise ValueError("two pieces have the same key")
         self.known = Memory(self.first, REMEMBERED)
         self.parts = Memory(self.viterbi, REMEMBERED)
+        self.searched = Memory(self.search, REMEMBERED // 4)
 
     def lattice(self, part: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
         """For each end: (start, ids, score) of the arcs into it."""
@@ -90,12 +109,77 @@ class Pieces:
 
     def first(self, stretch: str) -> tuple[float, bytes, float]:
         """Score and ids of the best segmentation, and by how much the second best is worse."""
+        return self.joint(self.parted(stretch))
+
+    def joint(self, parts: list[str]) -> tuple[float, bytes, float]:
         score, ids, gap = 0.0, b"", math.inf
-        for part in self.parted(stretch):
+        for part in parts:
             s, i, g = self.parts[part] if len(part) <= SHORT else self.viterbi(part)
-            score, ids, gap = score + s, ids + i, min(gap, g)
+            score, ids, gap = score + s, ids + i, g if g < gap else gap
         return score, ids, gap
 
+    def learn(self, stretches: set[str]) -> None:
+        """Remembers new stretches; their parts of one length are searched together."""
+        new: dict[int, set[str]] = {}
+        unknown = [s for s in stretches if s not in self.known and s not in self.known.older and len(s) <= SHORT]
+        parted = list(map(self.parted, unknown))
+        for parts in parted:
+            for part in parts:
+                if part not in self.parts and part not in self.parts.older and len(part) <= TOGETHER:
+                    new.setdefault(len(part), set()).add(part)
+        for same in new.values():
+            plain = [p for p in same if self.plain(p)]
+            for a in range(0, len(plain), 20_000):
+                for part, found in zip(plain[a : a + 20_000], self.vectors(plain[a : a + 20_000]), strict=True):
+                    self.parts.keep(part, found)
+        for s, parts in zip(unknown, parted, strict=True):
+            self.known.keep(s, self.joint(parts))
+
+    def plain(self, part: str) -> bool:
+        """Whether each character is a piece."""
+        return self.characters.issuperset(part)
+
+    def vectors(self, parts: list[str]) -> list[tuple[float, bytes, float]]:
+        """viterbi() of parts of one length, whose characters are all pieces, as numpy columns."""
+        n, size = len(parts), len(parts[0])
+        codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(n, size).astype(np.uint64) + np.uint64(1)
+        score, number = {}, {}
+        for a in range(size):
+            key = np.zeros(n, dtype=np.uint64)
+            for b in range(a + 1, min(size, a + self.longest) + 1):
+                key = key * PRIME + codes[:, b - 1]
+                k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                hit = self.keys[k] == key
+                if hit.any():
+                    score[a, b] = np.where(hit, self.key_scores[k], -np.inf)
+                    number[a, b] = self.key_ids[k]
+        forward, onward = np.full((size + 1, n), -np.inf), np.full((size + 1, n), -np.inf)
+        came, taken = np.full((size + 1, n), -1), np.zeros((size + 1, n), dtype=np.int64)
+        forward[0] = onward[size] = 0
+        for b in range(1, size + 1):
+            for a in range(b):
+                if (a, b) in score:
+                    s = forward[a] + score[a, b]
+                    better = (s > forward[b]) | ((s == forward[b]) & (number[a, b] < taken[b]))
+                    forward[b] = np.where(better, s, forward[b])
+                    came[b] = np.where(better, a, came[b])
+                    taken[b] = np.where(better, number[a, b], taken[b])
+        on = np.zeros((size + 1, n), dtype=bool)
+        on[size] = True
+        second = np.full(n, -np.inf)
+        for b in range(size, 0, -1):
+            for a in range(b):
+                if (a, b) in score:
+                    s = onward[b] + score[a, b]
+                    np.maximum(onward[a], s, out=onward[a])
+                    best = on[b] & (came[b] == a)
+                    on[a] |= best
+                    np.maximum(second, np.where(best, -np.inf, forward[a] + s), out=second)
+        ids = taken[1:].T[on[1:].T].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(on[1:].sum(axis=0))).tolist()
+        gaps = np.maximum(0.0, forward[size] - second).tolist()
+        return [(s, ids[x:y], g) for s, x, y, g in zip(forward[size].tolist(), [0, *ends], ends, gaps, strict=False)]
+
     def viterbi(self, part: str) -> tuple[float, bytes, float]:
         """first() of one part: the best path forward, and the best path through any other arc."""
         into = self.lattice(part)
@@ -119,7 +203,7 @@ class Pieces:
                 s += rest
                 if s > onward[a]:
                     onward[a] = s
-                if best.get(b) is not arc and forward[a] + s > second:
+                if best.get(b) != arc and forward[a] + s > second:
                     second = forward[a] + s
         ids = [i for b in sorted(best) for i in best[b][1]]
         return forward[-1], np.array(ids, dtype="<u4").tobytes(), max(0.0, forward[-1] - second)
@@ -150,11 +234,27 @@ class Pieces:
             del agenda[self.n - len(found) :]
         return found
 
+    def encode_all(self, texts: list[str | None]) -> list:
+        """encode() of each text; what is new in about TOGETHER_CHARS characters is searched together."""
+        out, block, chars = [], [], 0
+        for i, text in enumerate(texts):
+            block.append(text)
+            chars += len(text or "")
+            if chars >= TOGETHER_CHARS or i + 1 == len(texts):
+                cut = [STRETCH(" " + t) if t else [] for t in block]
+                self.learn(set().union(*cut))
+                out += map(self.choose, cut)
+                block, chars = [], 0
+        return out
+
     def encode(self, text: str | None) -> tuple[bytes, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]:
         """Ids of the best (little-endian words), and for each of the n best (score, edits): an edit is (place in the best ids, ids that go, ids that come)."""
-        if not text:
+        return self.choose(STRETCH(" " + text) if text else [])
+
+    def choose(self, stretches: list[str]) -> tuple[bytes, list]:
+        """encode() of a text's stretches."""
+        if not stretches:
             return b"", [(0.0, [])]
-        stretches = STRETCH(" " + text)
         firsts = [self.known[s] if len(s) <= SHORT else self.first(s) for s in stretches]
         ids = b"".join([f[1] for f in firsts])
         total = math.fsum([f[0] for f in firsts])
@@ -173,7 +273,7 @@ class Pieces:
             passed = i
             at.append(place)
             own = np.frombuffer(firsts[i][1], dtype="<u4")
-            others = [c for c in self.search(stretches[i]) if c[1] != tuple(own.tolist())]
+            others = [c for c in self.searched[stretches[i]] if c[1] != tuple(own.tolist())]
             choices.append([(0.0, len(own), ()), *[(max(0.0, firsts[i][0] - s), len(own), x) for s, x in others]])
         ways = []
         for picks in product(*[range(len(c)) for c in choices]):
@@ -208,10 +308,8 @@ def encode_nbest(df: DataFrame, model: str, text: str = "text", n: int = N, into
 
     @F.arrow_udf("struct<ids:binary,best:array<struct<score:double,edits:array<struct<at:int,drop:int,ids:array<int>>>>>>")
     def run(texts: pa.Array) -> pa.Array:
-        encode = pieces(model, n).encode
         ids, best = [], []
-        for t in texts.to_pylist():
-            found, ways = encode(t)
+        for found, ways in pieces(model, n).encode_all(texts.to_pylist()):
             ids.append(found)
             best.append([{"score": s, "edits": [{"at": a, "drop": d, "ids": list(x)} for a, d, x in e]} for s, e in ways])
         return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(best, BEST)], ["ids", "best"])

@@ -105,11 +105,11 @@ def op8_urls(spark, sf_dir: str) -> DataFrame:
 
 _VALUES = ",\n    ".join(str(x) for x in HISTORY)
 OP8_SQL = f"""
-WITH history(list, pattern, action, at) AS (VALUES
+WITH history(list, pattern, action, listed) AS (VALUES
     {_VALUES}),
 held AS (
-    SELECT list, pattern, CAST(at AS DATE) AS since, action,
-           lead(CAST(at AS DATE)) OVER (PARTITION BY list, pattern ORDER BY CAST(at AS DATE)) AS until
+    SELECT list, pattern, CAST(listed AS DATE) AS since, action,
+           lead(CAST(listed AS DATE)) OVER (PARTITION BY list, pattern ORDER BY CAST(listed AS DATE)) AS until
     FROM history),
 captures AS (
     SELECT row_number() OVER () AS n, page_id, url,
