@@ -29,9 +29,15 @@ def average_quality(quals: Column) -> Column:
     return F.when(F.size(quals) > 0, F.floor(total / F.size(quals))).otherwise(0).cast("int")
 
 
+#: Symbols of a tile. Finding a place in a string takes time in proportion to it, so long sequences are cut into tiles first.
+TILE = 200
+
+
 def kmers(seq: Column, k: int) -> Column:
     """All k-mers in order; position i is at index i (from 0)."""
-    return F.when(F.length(seq) >= k, F.transform(F.sequence(F.lit(1), F.length(seq) - (k - 1)), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    tiles = F.transform(F.sequence(F.lit(0), F.floor((F.length(seq) - k) / TILE).cast("int")), lambda t: F.substring(seq, t * TILE + 1, F.lit(TILE + k - 1)))
+    found = F.transform(tiles, lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - (k - 1)), lambda i: F.substring(t, i, F.lit(k))))
+    return F.when(F.length(seq) >= k, F.flatten(found)).otherwise(F.array().cast("array<string>"))
 
 
 def spaced_seed(kmer: Column, j: int) -> Column:
