@@ -1,0 +1,443 @@
+"""Operators against brute force, round trips and held-out rows, on small fixtures with odd rows."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+from datetime import date
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from splicewell.llm import bytelevel, components, hnsw, imatch, langid, nbest, packing, pii, simhash, tokens, toxicity, urls
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __key string, fp long"
+LONG = "lorem ipsum dolor " * 4000
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and very long texts, ties, repeated rows, and extra columns with clashing names."""
+    rows = [
+        (1, "Hello World again and again", "en", "a", 5, "x", 1),
+        (1, "Hello World again and again", "en", "a", 5, "x", 1),
+        (2, "hello world again and again", "en", "a", 5, None, 1),
+        (3, None, None, None, None, None, None),
+        (4, "", "en", None, 0, "x", 2),
+        (5, LONG, "en", "b", 9, "x", 3),
+        (6, "12 345 !!", "de", "b", 9, "x", 3),
+        (None, "a row without an id", "en", "b", 9, "x", 3),
+        (None, "a row without an id", "en", "b", 9, "x", 3),
+        (7, "mail a.b@c.example.org, call +1 (743) 555-3824 or 10.0.0.1", "fr", "b", 9, "x", 3),
+    ]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+# language
+
+
+def longest_matches(text, corpus):
+    """Phrases of a greedy parse, by search in the corpus."""
+    count, at = 0, 0
+    while at < len(text):
+        n = 1
+        while at + n < len(text) and text[at : at + n + 1] in corpus:
+            n += 1
+        at, count = at + n, count + 1
+    return count
+
+
+def test_automaton_parses_like_substring_search():
+    rng = random.Random(3)
+    for _ in range(30):
+        corpus = "".join(rng.choice("abc") for _ in range(60))
+        text = "".join(rng.choice("abcd") for _ in range(90))
+        codes = lambda s: [" abcd".index(c) for c in s]
+        table = langid.suffix_automaton(codes(corpus), 5)
+        model = langid.Model(["x"], "abcd", 5, [table])
+        found = langid._phrases(model, [np.array(codes(text), dtype=np.uint8)])
+        assert found[0, 0] == longest_matches(text, corpus)
+
+
+def test_language_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = langid.op7_language(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
+    right, n = found.agg(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
+    assert right >= 0.97 * n > 100
+
+
+def test_language_of_odd_rows(spark, odd, empty):
+    model = langid.fit(langid.train_rows(odd), "text", "lang", "doc_id")
+    rows = langid.identify(odd, model).collect()
+    assert len(rows) == 10 and all(0 <= r.language.score <= 1 for r in rows)
+    assert {r.language.lang for r in rows if r.doc_id in (3, 4, 6)} == {"und"}
+    assert langid.identify(empty, langid.fit(empty, "text", "lang", "doc_id")).count() == 0
+    none = langid.identify(odd, langid.fit(empty, "text", "lang", "doc_id"))
+    assert {r.language.lang for r in none.collect()} == {"und"}
+
+
+# toxicity
+
+
+def test_folding():
+    assert toxicity.folded("Іd1оt!! w0rth-le55 ​x") == " idiot worth less x "
+    assert toxicity.folded("price 100$ and 7") == " price and "
+    assert toxicity.folded(None) == " " and toxicity.folded("") == " "
+
+
+def test_toxicity_held_out(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = toxicity.op2_toxicity(spark, "/root/testdata/sf0.1").join(labels, "doc_id").where("held_out").select("score", "predicted", "toxic").collect()
+    good, bad = [r.score for r in rows if not r.toxic], [r.score for r in rows if r.toxic]
+    above = np.mean([(np.array(good) < b).mean() + 0.5 * (np.array(good) == b).mean() for b in bad])
+    assert above > 0.93
+    assert sum(r.predicted for r in rows if not r.toxic) <= 0.02 * len(good)
+
+
+def test_exception_phrases_cancel():
+    model = toxicity.Model({" trash ": 2.0}, [" trash can "], 1.0, 0.0)
+    auto = model.automaton()
+    assert toxicity.intensity(" trash can ", auto) == 0
+    assert toxicity.intensity(" you trash ", auto) > 0
+
+
+def test_toxicity_of_odd_rows(spark, odd, empty):
+    labels = spark.createDataFrame([(1, 1), (1, None), (2, 0), (5, 0), (None, 1)], "doc_id long, toxic int")
+    for docs in (odd, empty):
+        model = toxicity.fit(docs, labels)
+        rows = toxicity.score(docs, model).collect()
+        assert len(rows) == docs.count() and all(0 <= r.toxicity <= 1 for r in rows)
+
+
+# packing
+
+
+def check_pieces(rows, texts, size=4096):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    by_doc, by_seq = {}, {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_seq.setdefault(r.sequence_id, []).append(r)
+    assert set(by_doc) == set(texts)
+    for key, pieces in by_doc.items():
+        raw = np.array([*t.encode(texts[key] or "", add_special_tokens=False).ids, 2], dtype="<u4").tobytes()
+        at = 0
+        for p in sorted(pieces, key=lambda p: p.start):
+            assert p.start == at and p.doc_tokens == len(raw) // 4
+            assert p.ids_crc32 == zlib.crc32(raw[4 * at : 4 * (at + p.length)])
+            at += p.length
+        assert at == len(raw) // 4
+    for pieces in by_seq.values():
+        at = 0
+        for p in sorted(pieces, key=lambda p: p.offset):
+            assert p.offset == at and p.length > 0
+            at += p.length
+        assert at <= size
+    used = [sum(p.length for p in s) for s in by_seq.values()]
+    return sum(0 if n & (n - 1) == 0 else size - n for n in used) / sum(used)
+
+
+def test_packing_is_whole_and_dense(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = packing.op3_packing(spark, "/root/testdata/sf0.01").collect()
+    assert check_pieces(rows, {r.doc_id: r.text for r in docs.collect()}) < 0.02
+
+
+def test_packing_of_odd_rows(spark, odd, empty):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = {r.doc_id: r.text for r in odd.where("doc_id > 1").collect()}
+    check_pieces(packing.pack(odd.where("doc_id > 1"), path).collect(), texts)
+    assert packing.pack(odd, path).where("doc_id is null").count() == 2
+    assert packing.pack(empty, path).count() == 0
+
+
+def test_chunks_encode_like_whole_texts():
+    e = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["", "a  b", "x<|endoftext|> Y<|startoftext|>", "日本語 ½ ²", "İstanbul ΣΑΣ", "x\x1cy\x85z", "it's 'start' ..'s x_y ×a÷", "é e ́x", " a　b"]
+    for t in texts:
+        assert np.frombuffer(e.ids(t.encode()), "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+# near-duplicates
+
+
+def components_by_force(fps):
+    parent = {k: k for k in fps}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(fps, 2):
+        if (fps[a] ^ fps[b]).bit_count() <= 2:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    return {k: root(k) for k in fps}
+
+
+@pytest.mark.parametrize("hot", [2, 48])
+def test_links_by_force(spark, monkeypatch, hot):
+    """Clusters of near fingerprints, ordinary and hot keys."""
+    monkeypatch.setattr(simhash, "HOT_KEY", hot)
+    rng = random.Random(hot)
+    fps = {}
+    for c in range(12):
+        x = rng.getrandbits(64)
+        for i in range(25):
+            for _ in range(rng.randint(0, 2)):
+                x ^= 1 << rng.randrange(64)
+            fps[100 * c + i] = x
+    marked = spark.createDataFrame([(k, simhash._signed(v)) for k, v in fps.items()], "doc_id long, fp long")
+    found = {r.doc_id: r.component_id for r in marked.join(simhash.groups(marked), "fp").collect()}
+    assert found == components_by_force(fps)
+
+
+def test_fingerprint_bit_by_bit():
+    for text in ["", "One two", "a b c", "A b  c\td a b c", "ÄÖ ß é x y z " * 40]:
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text)) if w]
+        shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+        import xxhash
+
+        h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+        assert simhash.simhash(text) == sum(1 << b for b in range(64) if h and 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_keep_one_of_odd_rows(spark, odd, empty):
+    kept = simhash.keep_one(odd)
+    assert kept.columns == odd.columns
+    ids = sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x))
+    assert ids == [1, 3, 5, 6, 7, None]
+    assert simhash.keep_one(empty).count() == 0 and simhash.near_duplicates(empty).count() == 0
+
+
+def test_components_of_chains(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 101), (None, 5)]
+    found = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    assert found == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+    assert components.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+# personal data
+
+
+def luhn(d):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def base_by_force(t):
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [("card", m.start(), m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and luhn(d)]
+    out += [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return out
+
+
+TRICKY = [
+    "a@b.c_d@e.f x@y x@y.z. a.@b.c@d.e",
+    "1.2.3.4.5.6.7.8 256.1.1.1 001.02.3.0004 1.2.3 999999999999.1.1.1",
+    "4111 1111 1111 1111, 4111-1111-1111-1112 5 4111111111111111 0 0 4111 1111 1111 1111",
+    "+1 (743) 555-3824 ++49 30 1234567) +12 +1234567890123456",
+    "é😀 x@y.example.com 日本 10.0.0.1 é",
+    "a" * 20000 + "@b.co " + "1 " * 3000 + "1.1.1.1." * 500,
+]
+
+
+def test_base_spans_by_force(spark):
+    rows = [(i, t) for i, t in enumerate(TRICKY)]
+    rng = random.Random(1)
+    rows += [(100 + i, "".join(rng.choice("a1.@+ -()4é") for _ in range(120))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    models = {k: pii.Boosted() for k in pii.KINDS}
+    for r in pii.find(docs, models).collect():
+        assert [(s.kind, s.start, s.end) for s in r.pii_base] == base_by_force(r.text)
+
+
+def test_boosting_separates():
+    rows = []
+    for fold, d in itertools.product((0, 1), range(21)):
+        rows.append({f: 0 for f in pii.FEATURES} | {"digits": d, "fold": fold, "n": 50, "pos": 50 if d >= 16 else 1})
+    model = pii.boost(rows)
+    assert model.threshold <= 1
+    p = lambda r: 1 / (1 + np.exp(-model.value(r)))
+    assert all((p(r) >= model.threshold) == (r["digits"] >= 16) for r in rows)
+
+
+def test_expression_equals_trees(spark):
+    rows = []
+    rng = random.Random(2)
+    for fold, d, s in itertools.product((0, 1), range(8), (0, 1)):
+        rows.append({f: 0 for f in pii.FEATURES} | {"digits": d, "spaces": s, "fold": fold, "n": 20, "pos": rng.randint(0, 20)})
+    model = pii.boost(rows)
+    df = spark.createDataFrame([tuple(r[f] for f in pii.FEATURES) for r in rows], ", ".join(f"{f} int" for f in pii.FEATURES))
+    got = df.select(model.expression(F.struct(*pii.FEATURES)).alias("p")).collect()
+    assert np.allclose([g.p for g in got], [1 / (1 + np.exp(-model.value(r))) for r in rows])
+
+
+def test_redaction_and_odd_rows(spark, odd, empty):
+    found = pii.find(odd, pii.fit(odd))
+    assert found.where("doc_id = 3").first().pii_spans == []
+    text = pii.redact(found).where("doc_id = 7").first().text
+    assert text == "mail [EMAIL], call [PHONE] or [IP]"
+    assert pii.redact(found).where("doc_id = 5").first().text == LONG
+    assert pii.find(empty, pii.fit(empty)).count() == 0
+
+
+# token counts
+
+
+def test_counts_equal_the_library(spark, odd, empty):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    c = tokens.Counter(path, public_tokenizers.PATTERN)
+    texts = ["", " ", "a   b", "\n \n b", "x<|endoftext|> y", "don't  we'll", "日本語 ½ 12345", "a  　b", "\x00 a\x00 b", LONG]
+    texts += [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    for t in texts:
+        assert c.count(t) == len(c.tokenizer.encode(t, add_special_tokens=False).ids), t[:50]
+    rows = tokens.count_tokens(odd, path, public_tokenizers.PATTERN).collect()
+    assert [r.n_tokens for r in rows if r.doc_id in (3, 4)] == [0, 0]
+    assert tokens.count_tokens(empty, path, public_tokenizers.PATTERN).count() == 0
+
+
+def test_spelling_covers_all_bytes():
+    assert len({bytelevel.spelled(bytes([b]).decode("latin-1")) for b in range(128)}) == 128
+
+
+# I-Match
+
+
+def test_edits_by_force(spark, odd, empty, monkeypatch):
+    monkeypatch.setattr(imatch, "RANGE_ROWS", 40)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    known = imatch.lexicon(docs, "text")
+    rows = sorted(imatch.with_edits(docs, known).collect(), key=lambda r: r.doc_id)
+    texts = [r.text for r in docs.orderBy("doc_id").collect()]
+    assert len(rows) == len(texts)
+    prints = imatch.Prints(known)
+    for i, r in enumerate(rows):
+        text, other = texts[i], texts[(i + 1) % len(texts)]
+        edited = text[: len(text) - len(text) // 2] + other[: len(text) // 2]
+        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and r.n_chars == len(text)
+        assert r.fingerprint == imatch.written(prints.of(text)) and r.edited_fingerprint == imatch.written(prints.of(edited))
+        assert r.near_next == imatch.likeness(prints.of(text), prints.of(other))
+    assert np.mean([r.near_edited > r.near_next for r in rows]) > 0.9
+    assert imatch.with_edits(odd, known).count() == 10
+    assert imatch.with_edits(empty, imatch.lexicon(empty, "text")).count() == 0
+    alone = imatch.with_edits(odd.where("doc_id = 5"), known).collect()
+    assert len(alone) == 1 and alone[0].near_next == 1
+
+
+# nearest neighbours
+
+
+def test_recall_and_odd_vectors(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 16)).round(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7000 + i, x[0].tolist()) for i in range(900)]
+    rows += [(8000, None), (8100, [0.0] * 16), (8200, [float("nan")] * 16), (8300, [None] * 16), (None, x[1].tolist()), (8400, []), (100, x[100].tolist()), (8500, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    use = hnsw.usable(df, "embedding", "vec_id")
+    got = {}
+    for r in hnsw.nearest(use, use.where("vec_id % 100 = 0")).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    full = {i: np.asarray(v, dtype=np.float32).astype(float) for i, v in rows if i is not None and v and len(v) == 16 and None not in v and np.isfinite(v).all() and np.any(v)}
+    ids = np.array(sorted(full))
+    m = np.stack([full[i] for i in ids])
+    assert set(got) == {i for i in full if i % 100 == 0}
+    hits = 0
+    for q, found in got.items():
+        found.sort()
+        assert [f[0] for f in found] == list(range(1, 11)) and q not in [f[1] for f in found]
+        d = np.sqrt(((m - full[q]) ** 2).sum(axis=1))
+        best = [i for i in ids[np.lexsort((ids, d))] if i != q][:10]
+        hits += len(set(best) & {f[1] for f in found})
+        assert np.allclose([f[2] for f in found], [d[np.searchsorted(ids, f[1])] for f in found])
+    assert hits >= 0.9 * 10 * len(got)
+    assert [f[1] for f in got[0]] == list(range(7000, 7010))
+    none = use.where("vec_id < 0")
+    assert hnsw.nearest(none, none).count() == 0
+
+
+# n best
+
+
+def all_segmentations(p, text):
+    out = []
+
+    def go(i, ids, score):
+        if i == len(text):
+            out.append((score, ids))
+            return
+        for b in range(i + 1, min(len(text), i + p.longest) + 1):
+            if arc := p.arcs.get(text[i:b]):
+                go(b, ids + arc[0], score + arc[1])
+        if text[i] not in p.arcs:
+            own = tuple(p.byte[x] for x in text[i].encode())
+            go(i + 1, ids + own, score + len(own) * p.byte_score)
+
+    go(0, (), 0.0)
+    return sorted(out, key=lambda x: -x[0])
+
+
+def test_nbest_by_force():
+    p = nbest.pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    for text in ["abc", "to be or", "  a b", "日本ａ", "x\n y", "don't go", "the cat  ", "banana nana. A", "no, réeux"]:
+        for ids, best in (p.encode(text), p.encode_all([text])[0]):
+            ids = np.frombuffer(ids, "<u4").tolist()
+            expected = all_segmentations(p, " " + text)[: nbest.N]
+            assert np.allclose([s for s, _ in best], [s for s, _ in expected])
+            made = [tuple(nbest.edited(ids, e)) for _, e in best]
+            assert len(set(made)) == len(made)
+            known = dict((i, s) for s, i in all_segmentations(p, " " + text))
+            assert all(abs(known[m] - s) < 1e-9 for m, (s, _) in zip(made, best, strict=True))
+
+
+def test_round_trip(spark, odd, empty):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame([(50, " lead\t\n  ﬀ 😀 <s> trail "), (51, "x" * 5000)], "doc_id long, text string"))
+    found = nbest.decode(nbest.encode_nbest(docs, path).withColumn("ids", F.col("segmented.ids")), path, "ids")
+    assert found.where("coalesce(text, '') <> decoded").count() == 0 and found.count() == 12
+    assert nbest.encode_nbest(empty, path).count() == 0
+
+
+# URL lists
+
+
+@pytest.mark.parametrize("bound", [0, 100_000])
+def test_lists_by_force(spark, monkeypatch, bound):
+    monkeypatch.setattr(urls, "BROADCAST_ROWS", bound)
+    history = urls.HISTORY + [("x", "Bad.Example.com", "add", "2024-01-01"), ("x", "bad.example.com", "remove", "2024-01-01"), (None, "a.b", "add", "2024-01-01")]
+    entries = spark.createDataFrame(history, "list string, pattern string, action string, at string")
+    pages = ["https://www.casino-win.example.org/de/5", "http://u@ADULT-x.example.net:80/fr?q", "https://m.adult-x.example.net/fr/9", "no url", "", None, "https://bad.example.com/", "https://example.org.", "https://notexample.org/"]
+    rows = [(i, u, date(2024, m, 1)) for i, u in enumerate(pages) for m in range(1, 13)] + [(0, pages[0], date(2024, 2, 1)), (1, pages[1], None)]
+    captures = spark.createDataFrame(rows, "page_id long, url string, fetched date")
+    found = urls.evaluate(captures, entries).collect()
+    assert len(found) == len(rows)
+
+    def active(list_, pattern, day):
+        now = None
+        for name, p, action, at in sorted(urls.HISTORY, key=lambda h: h[3]):
+            if (name, p) == (list_, pattern) and at <= str(day):
+                now = action
+        return now == "add"
+
+    for r in found:
+        m = re.match(r"[a-z]+://(?:[^@/]*@)?([^/:?]+)[^/]*(?:/([^/?#]+))?", (r.url or "").lower())
+        host, folder = (m[1].rstrip("."), m[2]) if m else ("", None)
+        hits = {(n, p) for n, p, _, _ in urls.HISTORY if host and r.fetched and (host == p or host.endswith("." + p) or f"{host}/{folder}" == p) and active(n, p, r.fetched.date())}
+        assert r.n_entries == len(hits) and r.lists == ",".join(sorted({n for n, _ in hits})) and r.blocked == bool(hits)
+
+
+def test_no_captures(spark):
+    entries = spark.createDataFrame(urls.HISTORY, "list string, pattern string, action string, at string")
+    none = spark.createDataFrame([], "page_id long, url string, fetched date")
+    assert urls.evaluate(none, entries).count() == 0
+    assert not urls.evaluate(spark.createDataFrame([(1, "https://example.org/", date(2024, 6, 2))], none.schema), entries.where("list is null")).first().blocked
