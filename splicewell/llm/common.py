@@ -39,6 +39,29 @@ class Written:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name like this one that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what Python workers hold at a time, where the session leaves Arrow's batch size at its default."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "500"), ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")):
+        if not spark.conf.isModifiable(key) or spark.conf.get(key) not in DEFAULTS[key]:
+            continue
+        spark.conf.set(key, value)
+
+
+#: Defaults of Spark, as they may be shown.
+DEFAULTS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": {"10000"},
+    "spark.sql.execution.arrow.maxBytesPerBatch": {"67108864b", "67108864", "64MB", "64m", "2147483647b", "2147483647", "-1"},
+}
+
+
 def fold_of(id_column: str) -> Column:
     """crc32 of the id as text, modulo 5; fold 0 is held out. A null id counts as fold 0, so nothing is learned from it."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % FOLDS, F.lit(0))

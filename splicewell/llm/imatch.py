@@ -37,7 +37,7 @@ from . import common
 LEAST, MOST = 1 / 5000, 1 / 4
 LEXICON = 100_000
 FEW = 8
-SCALES, REPEATS = 12, 16
+SCALES, REPEATS = 10, 14
 OPEN = 0.75
 #: Documents in a range of ids that is dealt out as one, and ranges at most.
 RANGE_ROWS, RANGES = 1500, 50_000
@@ -56,6 +56,8 @@ def terms(text: str) -> list[int]:
 def lexicon(df: DataFrame, text: str) -> tuple[int, ...]:
     """Term hashes within the band, counted over all documents; at most LEXICON come to the driver."""
 
+    common.small_batches(df.sparkSession)
+
     @F.arrow_udf("array<long>")
     def run(texts: pa.Array) -> pa.Array:
         found = [np.array(terms(t or ""), dtype=np.uint64).view(np.int64) for t in texts.to_pylist()]
@@ -150,16 +152,20 @@ def fingerprint(df: DataFrame, known: tuple[int, ...], text: str = "text", into:
     """Adds the fingerprint of each row's whole text, for a lexicon made by lexicon()."""
     shared = df.sparkSession.sparkContext.broadcast(known)  # at most LEXICON longs
 
+    common.small_batches(df.sparkSession)
+
     @F.arrow_udf("string")
-    def run(texts: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         prints = Prints(shared.value)
-        return pa.array([written(prints.of(t or "")) for t in texts.to_pylist()], pa.string())
+        for texts in batches:
+            yield pa.array([written(prints.of(t or "")) for t in texts.to_pylist()], pa.string())
 
     return df.withColumn(into, run(F.col(text)))
 
 
 def with_edits(df: DataFrame, known: tuple[int, ...], text: str = "text", key: str = "doc_id") -> DataFrame:
     """Fingerprints of every document and of its edited text: its last half gives way to the front of the next document."""
+    common.small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(known)
     names = [x.split()[0] for x in RESULT.split(", ")]
 

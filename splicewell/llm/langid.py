@@ -53,7 +53,8 @@ def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
     """Complete table of the suffix automaton of a code sequence.
 
     Entry [state * width + class] is the next state's offset times two, plus FAIL where the match ends
-    and a new phrase begins with that class.
+    and a new phrase begins with that class. The last state stands before a phrase: parses start there, and
+    classes that the sequence doesn't hold lead there.
     """
     link, length, nxt = [-1], [0], [{}]
     last = 0
@@ -80,7 +81,7 @@ def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    full = np.zeros((len(nxt), width), dtype=np.int32)
+    full = np.full((len(nxt) + 1, width), len(nxt), dtype=np.int32)
     for c, s in nxt[0].items():
         full[:, c] = s
     full *= 2 * width
@@ -130,8 +131,8 @@ def _phrases(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((len(texts), len(model.languages)))
     owner = np.asarray(owner, dtype=np.int64)[order]
     for lang, moves in enumerate(model.tables):
-        state = np.zeros(len(parts), dtype=np.int32)
-        count = np.ones(len(parts), dtype=np.int32)
+        state = np.full(len(parts), len(moves) - model.width, dtype=np.int32)
+        count = np.zeros(len(parts), dtype=np.int32)
         for step in range(int(sizes.max(initial=0))):
             n = active[step]
             s = state[:n]
@@ -220,6 +221,7 @@ def fit(train: DataFrame, text: str, lang: str, key: str) -> Model:
 
 def identify(df: DataFrame, model: Model, text: str = "text", into: str = "language") -> DataFrame:
     """Adds a struct (lang, score) for each row's whole text."""
+    common.small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by CHARS_IN_ALL x two states x MAX_CLASSES
 
     @F.arrow_udf("struct<lang:string,score:double>")

@@ -161,6 +161,7 @@ def pack(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id",
 
     Sequences of the first pass have ids from the partition's number up; those of the final merge are negative.
     """
+    common.small_batches(df.sparkSession)
     tail = np.array([end], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

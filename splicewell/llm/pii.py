@@ -305,7 +305,10 @@ def fit(df: DataFrame, text: str = "text") -> dict[str, Boosted]:
 
 def find(df: DataFrame, models: dict[str, Boosted], text: str = "text") -> DataFrame:
     """Adds pii_base and pii_spans: arrays of structs (kind, start, end) in order of kind, then start."""
-    df = df.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
+    names, spans = df.columns, ["pii_base", "pii_spans"]
+    inner = {c: f"in_{i}" for i, c in enumerate(names)}  # no clash with the columns made here
+    df = df.select([F.col(f"`{c}`").alias(n) for c, n in inner.items()])
+    df = df.withColumn("__text", F.coalesce(F.col(inner[text]), F.lit("")))
     df = candidate_spans(base_spans(df, "__text"), "__text")
     df = df.withColumn("__base", F.concat(*[_ranked(f"__base_{k}", i) for i, k in enumerate(KINDS)]))
     added = [_selected(k, i, models[k]) for i, k in enumerate(KINDS) if models[k].threshold <= 1]
@@ -314,10 +317,10 @@ def find(df: DataFrame, models: dict[str, Boosted], text: str = "text") -> DataF
     plain = plain.withColumn("__new", free)
     beaten = lambda c: F.exists("__new", lambda d: (d["start"] < c["end"]) & (c["start"] < d["end"]) & ((d["p"] > c["p"]) | ((d["p"] == c["p"]) & ((d["rank"] < c["rank"]) | ((d["rank"] == c["rank"]) & (d["start"] < c["start"]))))))
     kept = F.transform(F.filter("__new", lambda c: ~beaten(c)), lambda c: F.struct(c["rank"].alias("rank"), c["start"].alias("start"), c["end"].alias("end")))
-    names = F.array(*[F.lit(k) for k in KINDS])
-    named = lambda a: F.transform(a, lambda s: F.struct(F.element_at(names, s["rank"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    kinds = F.array(*[F.lit(k) for k in KINDS])
+    named = lambda a: F.transform(a, lambda s: F.struct(F.element_at(kinds, s["rank"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     out = plain.withColumn("pii_base", named(F.col("__base"))).withColumn("pii_spans", named(F.array_sort(F.concat("__base", kept))))
-    return out.drop("__text", "__base", "__new", *[f"__{a}_{k}" for a in ("base", "cand") for k in KINDS])
+    return out.select(*[F.col(n).alias(c) for c, n in inner.items() if c not in spans], *spans)
 
 
 def redact(df: DataFrame, text: str = "text", spans: str = "pii_spans") -> DataFrame:
@@ -332,11 +335,12 @@ def redact(df: DataFrame, text: str = "text", spans: str = "pii_spans") -> DataF
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], s["end"]).alias("end"), last(acc)["kind"].alias("kind"))))
         ),
     )
-    df = df.withColumn("__merged", F.when(F.size(spans) > 0, merged).otherwise(none))
-    from_end = lambda i: F.when(i == 0, 0).otherwise(F.get("__merged", i - 1)["end"])
-    pieces = F.transform("__merged", lambda s, i: F.concat(F.substring(F.col(text), from_end(i) + 1, s["start"] - from_end(i)), F.lit("["), s["kind"], F.lit("]")))
-    rest = F.substring(F.col(text), F.element_at("__merged", -1)["end"] + 1, F.length(text))
-    return df.withColumn(text, F.when(F.size("__merged") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col(text))).drop("__merged")
+    at = common.free(df, "__merged")
+    df = df.withColumn(at, F.when(F.size(spans) > 0, merged).otherwise(none))
+    from_end = lambda i: F.when(i == 0, 0).otherwise(F.get(at, i - 1)["end"])
+    pieces = F.transform(at, lambda s, i: F.concat(F.substring(F.col(text), from_end(i) + 1, s["start"] - from_end(i)), F.lit("["), s["kind"], F.lit("]")))
+    rest = F.substring(F.col(text), F.element_at(at, -1)["end"] + 1, F.length(text))
+    return df.withColumn(text, F.when(F.size(at) > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col(text))).drop(at)
 
 
 def op1_pii(spark, sf_dir: str) -> DataFrame:

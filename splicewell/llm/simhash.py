@@ -83,6 +83,8 @@ def simhash(text: str | None) -> int:
 def fingerprints(df: DataFrame, text: str = "text", into: str = "fp") -> DataFrame:
     """Adds the fingerprint as a (signed) long."""
 
+    common.small_batches(df.sparkSession)
+
     @F.arrow_udf(T.LongType())
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([_signed(simhash(t)) for t in texts.to_pylist()], pa.int64())
@@ -164,14 +166,16 @@ def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     """One row of each group: a row with the group's smallest key; where all keys of a group are null, any one of its rows."""
     marked = common.Written(fingerprints(df.select(key, text), text).select(key, "fp")).df
     found = common.Written(groups(marked, key)).df
-    stay = found.where(F.col("component_id").isNotNull()).select(F.col("component_id").alias("__key")).distinct()
-    first = F.row_number().over(W.Window.partitionBy("__key").orderBy(F.xxhash64(text)))
-    known = df.join(stay, df[key] == stay["__key"]).withColumn("__n", first).where("__n = 1").drop("__key", "__n")
-    lone = found.where(F.col("component_id").isNull()).select(F.col("fp").alias("__of"), F.col("label").alias("__group"))
-    nameless = fingerprints(df.where(df[key].isNull()), text, "__fp").join(lone, F.col("__fp") == F.col("__of"))
-    first = F.row_number().over(W.Window.partitionBy("__group").orderBy("__fp", F.xxhash64(text)))
-    nameless = nameless.withColumn("__n", first).where("__n = 1").drop("__fp", "__of", "__group", "__n")
-    return known.unionByName(nameless)
+    own, of, group, n = (common.free(df, x) for x in ("__key", "__of", "__group", "__n"))
+    stay = found.where(F.col("component_id").isNotNull()).select(F.col("component_id").alias(own)).distinct()
+    first = F.row_number().over(W.Window.partitionBy(own).orderBy(F.xxhash64(text)))
+    known = df.join(stay, df[key] == stay[own]).withColumn(n, first).where(F.col(n) == 1)
+    lone = found.where(F.col("component_id").isNull()).select(F.col("fp").alias(of), F.col("label").alias(group))
+    print_ = common.free(df, "__fp")
+    nameless = fingerprints(df.where(df[key].isNull()), text, print_).join(lone, F.col(print_) == F.col(of))
+    first = F.row_number().over(W.Window.partitionBy(group).orderBy(print_, F.xxhash64(text)))
+    nameless = nameless.withColumn(n, first).where(F.col(n) == 1)
+    return known.select(df.columns).unionByName(nameless.select(df.columns))
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

@@ -85,6 +85,8 @@ def counter(path: str, pattern: str) -> Counter:
 def count_tokens(df: DataFrame, tokenizer: str, pattern: str, text: str = "text", into: str = "n_tokens") -> DataFrame:
     """Adds the number of tokens of each row's whole text."""
 
+    common.small_batches(df.sparkSession)
+
     @F.arrow_udf("long")
     def run(texts: pa.Array) -> pa.Array:
         count = counter(tokenizer, pattern).count

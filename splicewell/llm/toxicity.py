@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -159,6 +160,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN) -> Model:
     """Lexicon, exceptions and curve. Counts are made on the executors; what comes to the driver is bounded by the lexicon and the sample."""
+    common.small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, bound).persist()
     try:
         n = {(r["part"], r["toxic"]): r["n"] for r in sample.groupBy("part", F.col("toxic").cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
@@ -194,25 +196,28 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN) -> Model:
         sample.unpersist()
 
 
+def _around(text: str, automaton: ahocorasick.Automaton) -> list[str]:
+    """The phrases of two words that hold a hit."""
+    got = set()
+    for start in hits(text, automaton):
+        end = text.index(" ", start + 1)
+        before, after = text.rfind(" ", 0, start), text.find(" ", end + 1)
+        if start > 0 and before >= 0:
+            got.add(text[before : end + 1])
+        if after > 0:
+            got.add(text[start : after + 1])
+    return sorted(got)
+
+
 def _exceptions(sample: DataFrame, model: Model, n0: int, n1: int) -> list[str]:
     """Two-word phrases with an entry that are in documents of either kind alike."""
     shared = sample.sparkSession.sparkContext.broadcast(model.weights)
 
     @F.arrow_udf("array<string>")
-    def phrases(texts: pa.Array) -> pa.Array:
-        automaton, out = Model(shared.value).automaton(), []
-        for t in texts.to_pylist():
-            t = folded(t)
-            got = set()
-            for start in hits(t, automaton):
-                end = t.index(" ", start + 1)
-                before, after = t.rfind(" ", 0, start), t.find(" ", end + 1)
-                if start > 0 and before >= 0:
-                    got.add(t[before : end + 1])
-                if after > 0:
-                    got.add(t[start : after + 1])
-            out.append(sorted(got))
-        return pa.array(out, pa.list_(pa.string()))
+    def phrases(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        automaton = Model(shared.value).automaton()
+        for texts in batches:
+            yield pa.array([_around(folded(t), automaton) for t in texts.to_pylist()], pa.list_(pa.string()))
 
     rows = (
         sample.where("part = 0")
@@ -227,12 +232,14 @@ def _exceptions(sample: DataFrame, model: Model, n0: int, n1: int) -> list[str]:
 
 
 def _intensity_udf(df: DataFrame, model: Model):
+    common.small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # at most MAX_ENTRIES entries
 
     @F.arrow_udf("double")
-    def run(texts: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = shared.value.automaton()
-        return pa.array([intensity(folded(t), automaton) for t in texts.to_pylist()], pa.float64())
+        for texts in batches:
+            yield pa.array([intensity(folded(t), automaton) for t in texts.to_pylist()], pa.float64())
 
     return run
 
