@@ -96,7 +96,7 @@ def anchor_merge(a: Column, b: Column) -> Column:
 
 def anchor_distance(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     """Negative percentage of the shorter anchor where they overlap, else the gap between the nearest ends."""
-    overlap = F.least(a_end, b_end) - F.greatest(a_start, b_start) + 1
+    overlap = F.least(a_end, b_end) - F.greatest(a_start, b_start)
     shorter = F.least(a_end - a_start + 1, b_end - b_start + 1)
     gaps = F.least(F.abs(a_start - b_end), F.abs(b_start - a_end), F.abs(a_start - b_start), F.abs(a_end - b_end))
     return F.when(overlap > 0, -F.floor(100 * overlap / shorter)).otherwise(gaps).cast("long")

@@ -14,6 +14,9 @@ from .sizes import small
 #: Rounds of the largest gap that anchors are merged over, before the last one (the insert size).
 ROUNDS = [*range(10), *range(10, 100, 10)]
 
+#: Islands that one call of the clustering takes.
+ISLANDS = 256
+
 
 def islands(df: DataFrame, by: list[str], start: str, end: str, reach: int = 0, tie: list[str] = ()) -> DataFrame:
     """(by, island start, end, n): runs of intervals of which each starts before the furthest end so far plus reach."""
@@ -66,7 +69,7 @@ def agglomerate(anchors: list[tuple[int, int]], longest: int) -> list[tuple[int,
     number = len(alive)
 
     def distance(a, b):
-        shared = min(a[1], b[1]) - max(a[0], b[0]) + 1
+        shared = min(a[1], b[1]) - max(a[0], b[0])
         if shared > 0:
             return -(100 * shared // min(a[1] - a[0] + 1, b[1] - b[0] + 1))
         return max(a[0], b[0]) - min(a[1], b[1])
@@ -109,11 +112,14 @@ def clusters(anchors: DataFrame, longest: int, lengths: DataFrame | None = None)
     island = F.sum(F.when(F.col("start") > before + longest, 1).otherwise(0)).over(w.rowsBetween(W.Window.unboundedPreceding, 0))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        merged = agglomerate(list(zip(pdf["start"].tolist(), pdf["end"].tolist(), strict=True)), longest)
-        return pd.DataFrame([(pdf["contig"].iloc[0], a, b) for a, b in merged], columns=["contig", "start", "end"])
+        out = []
+        for _, part in pdf.groupby("island"):
+            out += agglomerate(list(zip(part["start"].tolist(), part["end"].tolist(), strict=True)), longest)
+        return pd.DataFrame(out, columns=["start", "end"]).assign(contig=pdf["contig"].iloc[0])[["contig", "start", "end"]]
 
     kind = anchors.schema["contig"].dataType.simpleString()
-    found = anchors.withColumn("island", island).groupBy("contig", "strand", "island").applyInPandas(one, f"contig {kind}, start long, end long")
+    dealt = anchors.withColumn("island", island).withColumn("some", F.floor(F.col("island") / ISLANDS))
+    found = dealt.groupBy("contig", "strand", "some").applyInPandas(one, f"contig {kind}, start long, end long")
     flat = islands(found, ["contig"], "start", "end", 9)
     room = F.lit(longest) - (F.col("end") - F.col("start") + 1)
     flat = flat.withColumn("room", F.greatest(room, F.lit(0)))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.alignment import local_alignment
 from ..operators import associate as A
 from ..operators import calls as K
+from ..operators import consensus as N
 from ..operators import intervals as I
+from ..operators.assign import assign
 from . import fixtures as X
 
 
@@ -42,5 +44,36 @@ def redundant_calls(spark, sf):
     return K.redundant(c)
 
 
-QUERIES = {f.__name__: f for f in (interval_clusters, read_region_association, local_alignment_scores, call_pairing, redundant_calls)}
+def greedy_assignment(spark, sf):
+    """Read names to junctions: hits of host regions met with those of virus regions."""
+    h = X.hits(spark, sf)
+    host = h.where("contig < 3 and score > 25").groupBy(F.col("region_id").cast("long").alias("region_id"), "rev", F.col("qname").cast("string").alias("qname")).agg(F.max("score").alias("h_score"))
+    virus = h.where("contig >= 3 and score > 25").groupBy(F.col("region_id").cast("long").alias("virus_region"), F.col("rev").alias("virus_rev"), F.col("qname").cast("string").alias("qname")).agg(F.max("score").alias("v_score"))
+    return assign(host.join(virus, "qname").select("region_id", "rev", "virus_region", "virus_rev", "qname", "h_score", "v_score"))
+
+
+def call_consensus(spark, sf):
+    """Each benchmark text rebuilt from its own passages."""
+    t = X.targets(spark, sf)
+    support = _passages(spark, sf).select(F.floor(F.col("read_id") / 100_000).cast("long").alias("call_id"), F.lit("host").alias("side"), (F.col("read_id") % 100_000 * 100).alias("pos"), "seq", F.concat(F.length("seq").cast("string"), F.lit("M")).alias("cigar"))
+    windows = t.select(F.col("region_id").alias("call_id"), F.lit("host").alias("side"), F.lit(0).alias("start"), F.length("seq").alias("end"), F.col("seq").alias("reference"))
+    return N.call_consensus(support, windows)
+
+
+def low_complexity_masks(spark, sf):
+    return N.low_complexity_masks(X.reads(spark, sf), "read_id", "seq", threshold=6.0)
+
+
+def joint_rescore(spark, sf):
+    """Passages re-aligned to the joined halves of their texts."""
+    t = X.targets(spark, sf).withColumn("cut", F.floor(F.length("seq") / 2).cast("int"))
+    half = lambda side, part: t.select(F.col("region_id").alias("call_id"), F.lit(side).alias("side"), part.alias("seq"))
+    consensus = half("host", F.substring(F.col("seq"), F.lit(1), F.col("cut"))).union(half("virus", F.substring(F.col("seq"), F.col("cut") + 1, F.length("seq"))))
+    calls = t.select(F.col("region_id").alias("id"), F.lit(False).alias("host_rev"), F.lit(True).alias("virus_rev"))
+    reads = _passages(spark, sf).withColumn("call_id", F.floor(F.col("read_id") / 100_000).cast("long"))
+    reads = reads.select("call_id", F.concat(F.lit("q"), F.floor(F.col("read_id") / 2).cast("string")).alias("qname"), F.when(F.col("read_id") % 2 == 0, "host").otherwise("virus").alias("side"), "seq")
+    return N.rescore(reads, consensus, calls, 700)
+
+
+QUERIES = {f.__name__: f for f in (interval_clusters, read_region_association, local_alignment_scores, call_pairing, redundant_calls, greedy_assignment, call_consensus, low_complexity_masks, joint_rescore)}
 ORACLES: dict = {}

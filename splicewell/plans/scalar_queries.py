@@ -43,10 +43,10 @@ def poly_base_flag(spark, sf):
 
 
 def low_complexity_flag(spark, sf):
-    two = X.reads(spark, sf).select("read_id", F.length("seq").alias("n"), F.explode(S.kmers(F.col("seq"), 2)).alias("pair"))
-    counts = two.groupBy("read_id", "n", "pair").agg(F.count("*").alias("c"))
+    two = X.reads(spark, sf).select("read_id", F.explode(S.kmers(F.col("seq"), 2)).alias("pair"))
+    counts = two.groupBy("read_id", "pair").agg(F.count("*").alias("c"))
     n = F.row_number().over(W.Window.partitionBy("read_id").orderBy(F.desc("c"), "pair"))
-    top = counts.withColumn("r", n).where("r <= 2").groupBy("read_id", "n").agg(F.sum("c").alias("top2"))
+    top = counts.withColumn("r", n).groupBy("read_id").agg(F.sum(F.when(F.col("r") <= 2, F.col("c"))).alias("top2"), (F.sum("c") + 1).alias("n"))
     return top.select("read_id", "top2", (F.col("top2") >= 0.75 * F.col("n")).alias("low_complexity"))
 
 
@@ -143,9 +143,9 @@ ORACLES = {
     "clip_extract": f"""WITH {X.READS}, c AS (SELECT read_id, seq, read_id % 50 AS l, read_id * 7 % 60 AS r FROM reads WHERE length(seq) > 130)
         SELECT read_id, CASE WHEN l >= 20 THEN 'L' ELSE 'R' END AS side, CASE WHEN l >= 20 THEN substr(seq, 1, l) ELSE substr(seq, length(seq) - r, r) END AS clip_seq FROM c WHERE l >= 20 OR r >= 20""",
     "anchor_distance": f"""WITH {X.ANCHORS}, n AS (SELECT id, start AS s1, "end" AS e1, lead(start) OVER w AS s2, lead("end") OVER w AS e2 FROM anchors WINDOW w AS (PARTITION BY contig, strand ORDER BY start, "end", id)),
-        o AS (SELECT *, least(e1, e2) - greatest(s1, s2) + 1 AS o FROM n WHERE s2 IS NOT NULL)
+        o AS (SELECT *, least(e1, e2) - greatest(s1, s2) AS o FROM n WHERE s2 IS NOT NULL)
         SELECT id, CASE WHEN o > 0 THEN -(100 * o // least(e1 - s1 + 1, e2 - s2 + 1)) ELSE least(abs(s1 - e2), abs(s2 - e1), abs(s1 - s2), abs(e1 - e2)) END AS distance,
-        least(s1, s2) AS start, greatest(e1, e2) AS "end", greatest(0, o) AS overlap FROM o""",
+        least(s1, s2) AS start, greatest(e1, e2) AS "end", greatest(0, o + 1) AS overlap FROM o""",
     "region_snap": f"""WITH {X.ANCHORS} SELECT id, start // 500 * 500 AS low, least("end" // 500 * 500 + 500, "end" + 111) AS high FROM anchors""",
     "breakpoint_round_trip": f"""WITH {X.CALLS} SELECT id, host_chr || ':' || CASE WHEN host_rev THEN '-' ELSE '+' END || ':' || host_pos || ':' || (host_pos + 40) AS text,
         host_chr || ':' || CASE WHEN host_rev THEN '-' || host_pos ELSE '+' || (host_pos + 40) END AS human, 2 * host_pos + 40 AS ends, host_rev AS rev FROM calls""",

@@ -1,0 +1,234 @@
+"""Operators of the junction engine: goldens, brute force and planted truth."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+from splicewell.operators import assign, associate, calls, consensus, evidence, intervals, pairs, screen
+from splicewell.plans import pipeline, registry
+from splicewell.sources import files
+from splicewell.streaming import screen as stream
+
+
+def rc(s):
+    return s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+
+def rand(rng, n):
+    return "".join(rng.choice("ACGT") for _ in range(n))
+
+
+def test_insert_size(spark):
+    df = spark.createDataFrame([(x,) for x in (300, 310, 320, 400, 450)], "size int")
+    row = pairs.insert_size(df, "size").first()
+    assert (row.n, row["mean"], row.upper_sd, row.max_is) == (5, 356, 73, 721)
+
+
+def test_coverage(spark):
+    rows = [("a", 10, 19), ("a", 15, 29), ("a", 40, 49), ("b", 0, 9), ("b", 5, 19)]
+    df = spark.createDataFrame(rows, "k string, s int, e int")
+    got = {r.k: r.covered for r in intervals.covered(df, ["k"], "s", "e").collect()}
+    exact = {r.k: r.covered for r in intervals.covered(df, ["k"], "s", "e", compat=False).collect()}
+    assert got == {"a": 31, "b": 20} and exact == {"a": 30, "b": 20}
+
+
+def test_overlap_join_by_force(spark):
+    rng = random.Random(2)
+    make = lambda n: [(i, rng.randint(0, 3), a, a + rng.randint(0, 300)) for i in range(n) for a in [rng.randint(0, 3000)]]
+    a, b = make(150), make(170)
+    schema = "id int, contig int, start int, end int"
+    got = {(r.a_id, r.b_id) for r in intervals.overlap_join(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), ["contig"], 64).collect()}
+    assert got == {(x[0], y[0]) for x in a for y in b if x[1] == y[1] and x[2] <= y[3] and y[2] <= x[3]}
+
+
+def test_clusters_stay_short():
+    rng = random.Random(3)
+    spans = [(a, a + rng.randint(20, 90)) for a in (rng.randint(0, 4000) for _ in range(200))]
+    merged = intervals.agglomerate(spans, 300)
+    assert all(b - a + 1 <= 300 for a, b in merged)
+    assert all(any(m[0] <= s[0] and s[1] <= m[1] for m in merged) for s in spans)
+    assert intervals.agglomerate([(0, 50), (20, 70), (500, 560)], 300) == [(0, 70), (500, 560)]
+
+
+def test_dense_ids(spark):
+    rng = random.Random(4)
+    rows = [(rng.randint(0, 5), rng.randint(0, 10**6)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "contig int, start int").distinct()
+    got = sorted((r.region_id, r.contig, r.start) for r in evidence.dense_ids(df, "contig", ["start"]).collect())
+    assert got == [(i, *x) for i, x in enumerate(sorted(set(rows)))]
+
+
+def test_screen_finds_planted_reads(spark):
+    rng = random.Random(5)
+    target = rand(rng, 500)
+    noisy = target[100:160][:30] + "A" + target[131:160]
+    reads = [(0, rand(rng, 100)), (1, target[50:150]), (2, rc(target[200:290])), (3, noisy), (4, "A" * 100), (5, "ACG"), (6, None)]
+    df, t = spark.createDataFrame(reads, "read_id long, seq string"), spark.createDataFrame([(1, target), (2, "A" * 50)], "region_id long, seq string")
+    assert {r.read_id for r in screen.screen(df, t).collect()} == {1, 2, 3}
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    rng = random.Random(6)
+    target = rand(rng, 400)
+    df = spark.createDataFrame([(i, target[10 * i : 10 * i + 60] if i % 3 else rand(rng, 60)) for i in range(30)], "read_id long, seq string")
+    t = spark.createDataFrame([(1, target)], "region_id long, seq string")
+    df.repartition(3).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream.screen_stream(source, t, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    got = {r.read_id for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {r.read_id for r in screen.screen(df, t).collect()} and len(got) >= 19
+
+
+def test_reconciliation(spark):
+    rows = [("m", False, True, 1), ("m", True, True, 2), ("h", False, False, 1), ("h", False, True, 2), ("v", True, True, 1), ("v", True, False, 2), ("x", True, True, 1)]
+    got = pairs.reconcile(spark.createDataFrame(rows, "qname string, is_virus boolean, towards boolean, pos int"), "qname", ["pos"]).collect()
+    of = lambda q: sorted((r.gains, r.anchor, r.at_clip, r.secondary, r.flipped) for r in got if r.qname == q)
+    assert of("m") == [("host", 1, False, False, False), ("host", 2, False, True, True), ("virus", 2, False, False, False)]
+    assert of("h") == [("host", 1, False, True, True), ("host", 2, False, False, False), ("virus", 1, True, False, False)]
+    assert of("v") == [("host", 1, False, True, True), ("host", 2, True, False, False), ("virus", 1, False, False, False)]
+    assert of("x") == []
+
+
+def test_right_clip_quirk(spark):
+    df = spark.createDataFrame([("A" * 50 + "C" * 25, 0, 25)], "seq string, l int, r int")
+    assert pairs.clips(df, "seq", "l", "r").first().clip_seq == "A" + "C" * 24
+    from splicewell.params import Params
+
+    assert pairs.clips(df, "seq", "l", "r", Params(compat=False)).first().clip_seq == "C" * 25
+
+
+def test_consensus():
+    assert consensus.consensus("ACGTACGTAC", [], 0, 10) == "A"
+    assert consensus.consensus("ACGTACGT", [(2, "GTAC"), (2, "GTAC")], 0, 8) == "ACGTACGT"
+    assert consensus.consensus("ACGTACGT", [(0, "ACCTACGT")] * 2 + [(0, "ACGTACGT")], 0, 8) == "ACCTACGT"
+    assert consensus.consensus("ACGTACGT", [(0, "ACDTACGT")] * 2, 0, 8) == "ACTACGT"
+    assert consensus.consensus("ACGTACGT", [(0, "ACGaTACGT")] * 2 + [(0, "ACGTACGT")], 0, 8) == "ACGaTACGT"
+    assert consensus.consensus("ACGTACGT", [(0, "TTTTTTTT")], 2, 6) == "GTAC"
+    assert consensus.rebase("AACCGG", "1S2M1I1D2M") == "ACcDGG"
+
+
+def test_masks(spark):
+    rng = random.Random(7)
+    df = spark.createDataFrame([(1, rand(rng, 300)), (2, rand(rng, 150) + "AC" * 60 + rand(rng, 150)), (3, "ACG"), (4, None)], "id int, seq string")
+    got = consensus.low_complexity_masks(df, "id", "seq", threshold=4.0).collect()
+    assert {r.id for r in got} == {2}
+    assert min(r.start for r in got) >= 90 and max(r.end for r in got) <= 330
+
+
+def greedy_by_force(rows, least):
+    used, out = set(), []
+    while True:
+        best = None
+        for key in {r[:2] for r in rows}:
+            sums = {}
+            for r in rows:
+                if r[:2] == key and r[4] not in used:
+                    s = sums.setdefault(r[2:4], [0, 0])
+                    s[0] += r[5]
+                    s[1] += r[6]
+            for o, (h, v) in sums.items():
+                entry = (h, key[0], not key[1] * -1, v)
+                rank = ((h, key[0], key[1]), (h, v, -o[0], not o[1]), key, o)
+                del entry
+                best = max(best, rank) if best else rank
+        if not best or best[0][0] <= least:
+            return out
+        names = {r[4] for r in rows if r[:2] == best[2] and r[2:4] == best[3] and r[4] not in used}
+        out.append((best[0][0], best[2], frozenset(names)))
+        used |= names
+
+
+def test_greedy_by_force():
+    import pandas as pd
+
+    rng = random.Random(8)
+    for _ in range(15):
+        rows = list({(rng.randint(0, 3), False, rng.randint(0, 2), bool(rng.randint(0, 1)), f"q{rng.randint(0, 12)}"): (rng.randint(20, 60), rng.randint(20, 60)) for _ in range(50)}.items())
+        flat = [(*k, *v) for k, v in rows]
+        df = pd.DataFrame(flat, columns=["region_id", "rev", "virus_region", "virus_rev", "qname", "h_score", "v_score"])
+        got = assign.greedy(df, 100)
+        made = [(s, k, frozenset(g["qname"])) for (s, *k), g in got.groupby(["call_score", "region_id", "rev"])]
+        expected = [(s, list(k), n) for s, k, n in greedy_by_force(flat, 100)]
+        assert sorted((s, n) for s, _, n in made) == sorted((s, n) for s, _, n in expected)
+
+
+def test_components_equal_one_group(spark):
+    import pandas as pd
+
+    rng = random.Random(9)
+    rows = [(5 * c + rng.randint(0, 4), False, rng.randint(0, 2), False, f"q{c}_{rng.randint(0, 15)}", 40 + rng.randint(0, 9), 50) for c in range(6) for _ in range(40)]
+    rows = [(*k, *v) for k, v in {r[:5]: r[5:] for r in rows}.items()]
+    df = spark.createDataFrame(rows, "region_id long, rev boolean, virus_region long, virus_rev boolean, qname string, h_score long, v_score long")
+    apart = {(r.region_id, r.virus_region, r.qname, r.call_score) for r in assign.assign(df).collect()}
+    whole = assign.greedy(pd.DataFrame(rows, columns=df.columns), 100)
+    assert apart == set(whole[["region_id", "virus_region", "qname", "call_score"]].itertuples(index=False, name=None))
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_planted_junctions(spark, parts):
+    rng = random.Random(4)
+    host, virus = {"chr1": rand(rng, 12000), "chr2": rand(rng, 9000)}, {"v1": rand(rng, 3000), "v2": rand(rng, 2500)}
+    truth = [("chr1", 4000, "v1", 700), ("chr1", 9000, "v2", 1200), ("chr2", 5000, "v1", 2100)]
+    rows = []
+    for t, (c, hp, v, vp) in enumerate(truth):
+        for i in range(30):
+            at = hp - 100 - rng.randint(0, 150)
+            rows.append((f"q{t}_{i}", c, "F", at, host[c][at : at + 100], rc(virus[v][vp + rng.randint(0, 120) :][:100])))
+    rows += [(f"d{i}", "chr2", "F", at, host["chr2"][at : at + 100], rand(rng, 100)) for i in range(8) for at in [rng.randint(0, 8000)]]
+    rng.shuffle(rows)
+    table = lambda d: spark.createDataFrame(list(d.items()), "name string, seq string")
+    df = spark.createDataFrame(rows, "qname string, host_contig string, host_strand string, host_pos int, host_seq string, virus_seq string").repartition(parts)
+    got = pipeline.junctions(df, table(host), table(virus), 400).orderBy("call_id").collect()
+    assert [(r.host_chr, r.virus_chr) for r in got] == [(c, v) for c, _, v, _ in truth]
+    assert all(abs(r.host_pos - hp) <= 40 and abs(r.virus_pos - vp) <= 10 and r.pairs >= 28 for r, (_, hp, _, vp) in zip(got, truth, strict=True))
+
+
+def test_redundant_calls(spark):
+    rng = random.Random(10)
+    h, v = rand(rng, 200), rand(rng, 200)
+    rows = [(1, h, v, False, False), (2, h[10:190], v[:180], False, False), (3, rc(h), v, True, False), (4, h, rand(rng, 200), False, False), (5, rand(rng, 200), rand(rng, 200), False, False)]
+    df = spark.createDataFrame(rows, "id long, host_seq string, virus_seq string, host_rev boolean, virus_rev boolean")
+    assert {r.id for r in calls.redundant(df).collect()} == {2, 3}
+
+
+def test_pairing_uses_each_call_once(spark):
+    rows = [(1, 1, False, 100, False), (2, 1, True, 300, True), (3, 1, True, 150, True), (4, 1, False, 120, False), (5, 2, True, 110, True)]
+    df = spark.createDataFrame(rows, "id long, host_chr int, host_rev boolean, host_pos int, virus_rev boolean")
+    got = {r.id: r.paired_with for r in calls.pair_up(df).collect()}
+    assert all(got[got[i]] == i for i in got) and 5 not in got and len(got) == 4
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">one first\nACGT\nAC\n>two\nGG\n")
+    assert {(r.name, r.seq) for r in files.fasta(spark, str(tmp_path / "a.fa")).collect()} == {("one", "ACGTAC"), ("two", "GG")}
+    for m in (1, 2):
+        (tmp_path / f"r{m}.fq").write_text("".join(f"@q{i}/{m}\n{'ACGT'[i % 4] * 5}\n+\n@IIII\n" for i in range(40)))
+    got = files.fastq_pairs(spark, str(tmp_path / "r1.fq"), str(tmp_path / "r2.fq")).orderBy("ordinal").collect()
+    assert [(r.qname, r.seq1, r.qual2) for r in got] == [(f"q{i}", "ACGT"[i % 4] * 5, "@IIII") for i in range(40)]
+    (tmp_path / "x.sam").write_text("@HD\tVN:1\nq\t16\tc\t11\t9\t3S4M\t=\t21\t30\tACGTACG\tIIIIIII\tXA:Z:d,-5,7M,0;\tNM:i:1\n")
+    r = files.sam(spark, str(tmp_path / "x.sam")).first()
+    assert (r.pos, r.mate_contig, r.mate_pos, r.qual[0], r.tags["XA"], [tuple(c) for c in r.cigar]) == (10, "c", 20, 40, "d,-5,7M,0;", [(3, "S"), (4, "M")])
+    import struct
+
+    (tmp_path / "p.bin").write_bytes(struct.pack("<IIIHH", 7, 9, (1 << 31) + 4, 300, 77) + struct.pack("<IIIHH", 1, 2, 3, 4, 5))
+    assert sorted(map(tuple, files.packed_alignments(spark, str(tmp_path / "p.bin")).collect())) == [(1, 2, False, 3, 4, 5), (7, 9, True, 4, 300, 77)]
+    (tmp_path / "c.txt").write_text("threads 4\nmax_is  700\n")
+    assert files.settings(spark, str(tmp_path / "c.txt")) == {"threads": "4", "max_is": "700"}
+    files.write_fastq(files.fastq(spark, str(tmp_path / "r1.fq")), str(tmp_path / "out"))
+    assert files.fastq(spark, str(tmp_path / "out")).count() == 40
+    regions = spark.createDataFrame([("a", 0, 10), ("a", 100, 190), ("b", 5, 6)], "contig string, start int, end int")
+    places = files.sampled_places(spark, regions, 500, 3).collect()
+    assert len(places) == 500 and all(any(r.contig == c and s <= r.pos < e for c, s, e in [("a", 0, 10), ("a", 100, 190), ("b", 5, 6)]) for r in places)
+
+
+def test_realign_keeps_near_best(spark):
+    rng = random.Random(11)
+    region = rand(rng, 300)
+    reads = spark.createDataFrame([(1, region[20:120]), (2, rc(region[100:200])), (3, rand(rng, 100)), (4, "A" * 60)], "read_id long, seq string")
+    got = associate.realign(reads, spark.createDataFrame([(9, region)], "region_id long, seq string")).collect()
+    assert {(r.read_id, r.rc, r.score, r.ref_begin) for r in got} == {(1, False, 100, 20), (2, True, 100, 100)}
+
+
+def test_oracles_cover_plain_queries():
+    assert set(registry.ORACLES) <= set(registry.QUERIES)
+    assert len(registry.QUERIES) - len(registry.ORACLES) <= 10
