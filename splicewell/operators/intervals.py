@@ -27,6 +27,11 @@ def islands(df: DataFrame, by: list[str], start: str, end: str, reach: int = 0,
     return numbered.groupBy(*by, "island").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("n")).drop("island")
 
 
+def sampling_regions(pairs: DataFrame, contig: str, start: str, end: str, least: int = 10) -> DataFrame:
+    """(contig, start, end, n): islands of forward proper pairs that hold enough of them to sample insert sizes from."""
+    return islands(pairs, [contig], start, end).where(F.col("n") >= least)
+
+
 def overlap_join(a: DataFrame, b: DataFrame, by: list[str], width: int) -> DataFrame:
     """Pairs of (a_id, b_id) whose closed intervals meet. Both sides are cut into bins; a pair is kept in the bin where the later one starts."""
 

@@ -39,6 +39,10 @@ def interval_islands(spark, sf):
     return I.islands(X.anchors(spark, sf), ["contig"], "start", "end", 10, ["id"])
 
 
+def sampling_regions(spark, sf):
+    return I.sampling_regions(X.anchors(spark, sf).where("strand = 'F'"), "contig", "start", "end", 2)
+
+
 def coverage_union_length(spark, sf):
     return I.covered(X.hits(spark, sf), ["region_id", "rev"], "offset_start", "offset_end")
 
@@ -153,7 +157,7 @@ def alternative_loci(spark, sf):
     return K.alternative_loci(r)
 
 
-QUERIES = {f.__name__: f for f in (insert_size_stats, sampled_positions, primary_count_two, duplicates_by_position, duplicates_by_sequence, interval_islands, coverage_union_length, adjacent_collapse, region_scores, best_region, top_regions, dense_region_ids, near_best_filter, qname_distances, distance_dedup, too_long_flag, clip_mode_window, sliding_score_window, window_conformance, breakpoint_extent, call_support, split_read_count, pileup_consensus, strand_list_routing, masked_length, call_accept_rules, call_text, alternative_loci)}
+QUERIES = {f.__name__: f for f in (insert_size_stats, sampled_positions, primary_count_two, duplicates_by_position, duplicates_by_sequence, interval_islands, sampling_regions, coverage_union_length, adjacent_collapse, region_scores, best_region, top_regions, dense_region_ids, near_best_filter, qname_distances, distance_dedup, too_long_flag, clip_mode_window, sliding_score_window, window_conformance, breakpoint_extent, call_support, split_read_count, pileup_consensus, strand_list_routing, masked_length, call_accept_rules, call_text, alternative_loci)}
 
 _ISLANDS = """edges AS (SELECT contig, start, "end" AS e, id, max("end") OVER (PARTITION BY contig ORDER BY start, "end", id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM anchors),
     runs AS (SELECT *, sum(CASE WHEN b IS NULL OR start > b + 10 THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY start, e, id ROWS UNBOUNDED PRECEDING) AS run FROM edges),
@@ -176,6 +180,9 @@ ORACLES = {
     "duplicates_by_sequence": """WITH d AS (SELECT doc_id, substr(text, 1, 12) AS a, right(text, 5) AS b FROM documents)
         SELECT doc_id, row_number() OVER (PARTITION BY least(a, b) || '-' || greatest(a, b) ORDER BY doc_id) > 1 AS dup_seq FROM d""",
     "interval_islands": f'WITH {X.ANCHORS}, {_ISLANDS} SELECT contig, start, e AS "end", n FROM islands',
+    "sampling_regions": f"""WITH {X.ANCHORS}, f AS (SELECT contig, start, "end" AS e, max("end") OVER (PARTITION BY contig ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM anchors WHERE strand = 'F'),
+        r AS (SELECT *, sum(CASE WHEN b IS NULL OR start > b THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY start, e ROWS UNBOUNDED PRECEDING) AS run FROM f)
+        SELECT contig, min(start) AS start, max(e) AS "end", count(*) AS n FROM r GROUP BY contig, run HAVING count(*) >= 2""",
     "coverage_union_length": f"""WITH {X.HITS}, edges AS (SELECT region_id, rev, offset_start AS s, offset_end AS e, max(offset_end) OVER (PARTITION BY region_id, rev ORDER BY offset_start, offset_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM hits),
         runs AS (SELECT *, sum(CASE WHEN b IS NULL OR s > b THEN 1 ELSE 0 END) OVER (PARTITION BY region_id, rev ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run FROM edges),
         isl AS (SELECT region_id, rev, min(s) AS s, max(e) AS e FROM runs GROUP BY region_id, rev, run)

@@ -10,6 +10,7 @@ from ..operators import calls as K
 from ..operators import consensus as N
 from ..operators import intervals as I
 from ..operators.assign import assign
+from ..operators.mismatch import mismatching
 from . import fixtures as X
 
 
@@ -75,5 +76,13 @@ def joint_rescore(spark, sf):
     return N.rescore(reads, consensus, calls, 700)
 
 
-QUERIES = {f.__name__: f for f in (interval_clusters, read_region_association, local_alignment_scores, call_pairing, redundant_calls, greedy_assignment, call_consensus, low_complexity_masks, joint_rescore)}
+def mismatch_filter(spark, sf):
+    """Passages laid on their texts, every seventh of them turned round: those disagree with the others."""
+    p = _passages(spark, sf)
+    odd = F.when(F.col("read_id") % 7 == 6, F.reverse("seq")).otherwise(F.col("seq"))
+    hits = p.select(F.floor(F.col("read_id") / 100_000).cast("long").alias("region_id"), F.lit(False).alias("rev"), F.col("read_id").cast("string").alias("qname"), (F.col("read_id") % 100_000 * 100).alias("offset_start"), (F.col("read_id") % 100_000 * 100 + F.length("seq")).alias("offset_end"), odd.alias("seq"), F.concat(F.length("seq").cast("string"), F.lit("M")).alias("cigar"))
+    return mismatching(hits.unionByName(hits.withColumn("qname", F.concat("qname", F.lit("b"))).where("cast(qname as string) not like '%6b'")))
+
+
+QUERIES = {f.__name__: f for f in (mismatch_filter, interval_clusters, read_region_association, local_alignment_scores, call_pairing, redundant_calls, greedy_assignment, call_consensus, low_complexity_masks, joint_rescore)}
 ORACLES: dict = {}
