@@ -19,12 +19,14 @@ def spelled(text: str) -> str:
 
 
 class Memory(dict):
-    """What a function gave for its arguments; holds two generations of at most ``size`` entries each."""
+    """What a function gave for its arguments; holds two generations of at most ``size`` entries each, none with a key over ``longest``."""
 
-    def __init__(self, made, size: int):
-        self.made, self.size, self.older = made, size, {}
+    def __init__(self, made, size: int, longest: int = 1000):
+        self.made, self.size, self.longest, self.older = made, size, longest, {}
 
     def keep(self, key, found) -> None:
+        if len(key) > self.longest:
+            return
         if len(self) >= self.size:
             self.older = dict(self)
             self.clear()

@@ -19,7 +19,8 @@ of Zipf's law at its rank. A byte costs as much as a rank beyond the last, and
 ten more.
 
 Defined results: a null or empty text has one segmentation, without pieces,
-of score 0; ties go to the smaller ids; repeated rows get the same result;
+of score 0; of equally good segmentations the best has the smaller id where they
+last differ, and others come in the order they are met; repeated rows get the same result;
 extra columns stay. decode() gives back every text that is valid UTF-8.
 """
 
@@ -41,15 +42,15 @@ from .bytelevel import Memory
 
 N = 4
 #: Stretches whose results a worker remembers (twice), and their longest.
-REMEMBERED, SHORT = 120_000, 48
+REMEMBERED, SHORT = 220_000, 48
 #: Scores of at most this are marks, not ranks; of pieces that have them, only single characters are used.
 UNUSED = -1e8
-STRETCH = re.compile(r" *[^ ]+| +").findall
 MARK = "▁"
 
 
 #: Parts of up to this length are searched together, what is new in so many characters at a time.
 TOGETHER, TOGETHER_CHARS = 24, 1_500_000
+UNITS = 1_000_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,6 +62,11 @@ def _key(piece: str) -> int:
     return key
 
 
+def _fixed(score: float) -> float:
+    """A score in whole millionths, so that sums are exact and ties are ties in any order of adding."""
+    return float(round(score * UNITS))
+
+
 class Pieces:
     def __init__(self, path: str, n: int = N):
         import sentencepiece
@@ -71,10 +77,10 @@ class Pieces:
         ranks = {i: -model.get_score(i) for i in plain if model.get_score(i) > UNUSED}
         ranks |= {i: float(size) for i in plain if i not in ranks and len(model.id_to_piece(i)) == 1}
         total = math.log(sum(1 / (r + 1) for r in ranks.values()))
-        self.arcs = {model.id_to_piece(i).replace(MARK, " "): ((i,), -math.log(r + 1) - total) for i, r in ranks.items()}
+        self.arcs = {model.id_to_piece(i).replace(MARK, " "): ((i,), _fixed(-math.log(r + 1) - total)) for i, r in ranks.items()}
         self.longest = max(map(len, self.arcs))
         self.byte = {int(model.id_to_piece(i)[3:5], 16): i for i in range(size) if model.is_byte(i)}
-        self.byte_score = -math.log(size + 1) - total - 10
+        self.byte_score = _fixed(-math.log(size + 1) - total - 10)
         self.texts = [bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else model.id_to_piece(i).replace(MARK, " ").encode() for i in range(size)]
         self.n = n
         self.characters = frozenset(p for p in self.arcs if len(p) == 1)
@@ -84,9 +90,29 @@ class Pieces:
         self.keys, self.key_ids, self.key_scores = (np.array(x, dtype=t) for x, t in zip(zip(*keyed, strict=True), (np.uint64, np.int64, np.float64), strict=True))
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces have the same key")
-        self.known = Memory(self.first, REMEMBERED)
-        self.parts = Memory(self.viterbi, REMEMBERED)
-        self.searched = Memory(self.search, REMEMBERED // 4)
+        self.stretches = self._cutter()
+        self.known = Memory(self.first, REMEMBERED, SHORT)
+        self.parts = Memory(self.viterbi, REMEMBERED // 8, SHORT)
+        self.searched = Memory(self.search, REMEMBERED // 8, SHORT)
+
+    def _cutter(self):
+        """A function that cuts texts where no piece joins: in front of spaces, round control characters, and in front of
+        the ASCII signs that pieces hold behind none but such signs.
+
+        Few characters outside ASCII stand before such signs in pieces; texts with one of them are cut at spaces only.
+        """
+        before: dict[str, set[str]] = {}
+        for x, y in self.joined:
+            before.setdefault(y, set()).add(x)
+        signs = {c for p in self.arcs for c in p if c.isascii() and not c.isalnum() and c != " "}
+        while worse := {c for c in signs if any(x.isascii() for x in before.get(c, set()) - signs - {" "})}:
+            signs -= worse
+        odd = sorted({x for c in signs for x in before.get(c, ()) if not x.isascii()})
+        s = "".join(map(re.escape, sorted(signs)))
+        c = "".join(re.escape(chr(i)) for i in range(32) if chr(i) not in self.characters and not any(chr(i) in j for j in self.joined))
+        plain = re.compile(" *[^ ]+| +").findall
+        fine = re.compile(f" *[^ {s}{c}]+|[{c}]| *[{s}]+[^ {s}{c}]*| +").findall if s and c else plain
+        return lambda text: plain(text) if any(x in text for x in odd) else fine(text)
 
     def lattice(self, part: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
         """For each end: (start, ids, score) of the arcs into it."""
@@ -114,26 +140,25 @@ class Pieces:
     def joint(self, parts: list[str]) -> tuple[float, bytes, float]:
         score, ids, gap = 0.0, b"", math.inf
         for part in parts:
-            s, i, g = self.parts[part] if len(part) <= SHORT else self.viterbi(part)
+            s, i, g = self.parts[part]
             score, ids, gap = score + s, ids + i, g if g < gap else gap
         return score, ids, gap
 
     def learn(self, stretches: set[str]) -> None:
-        """Remembers new stretches; their parts of one length are searched together."""
-        new: dict[int, set[str]] = {}
-        unknown = [s for s in stretches if s not in self.known and s not in self.known.older and len(s) <= SHORT]
-        parted = list(map(self.parted, unknown))
-        for parts in parted:
-            for part in parts:
-                if part not in self.parts and part not in self.parts.older and len(part) <= TOGETHER:
-                    new.setdefault(len(part), set()).add(part)
+        """Remembers new stretches; those without a cut, and of one length, are searched together."""
+        new: dict[int, list[str]] = {}
+        known, older = self.known, self.known.older
+        for s in stretches:
+            if s not in known and len(s) <= TOGETHER and self.plain(s):
+                if s in older:
+                    known.keep(s, older[s])
+                else:
+                    new.setdefault(len(s), []).append(s)
         for same in new.values():
-            plain = [p for p in same if self.plain(p)]
-            for a in range(0, len(plain), 20_000):
-                for part, found in zip(plain[a : a + 20_000], self.vectors(plain[a : a + 20_000]), strict=True):
-                    self.parts.keep(part, found)
-        for s, parts in zip(unknown, parted, strict=True):
-            self.known.keep(s, self.joint(parts))
+            for a in range(0, len(same), 20_000):
+                some = same[a : a + 20_000]
+                for s, found in zip(some, self.vectors(some), strict=True):
+                    known.keep(s, found)
 
     def plain(self, part: str) -> bool:
         """Whether each character is a piece."""
@@ -223,13 +248,16 @@ class Pieces:
         for arcs in into[1:]:
             forward.append(max(forward[a] + s for a, _, s in arcs))
         found: list = []
-        agenda: list[tuple] = [(-forward[-1], (), len(part), 0.0)]
+        agenda: list[tuple] = [(-forward[-1], 0, (), len(part), 0.0)]
+        made = 0
         while agenda and len(found) < self.n:
-            _, suffix, b, score = agenda.pop(0)
+            _, _, suffix, b, score = agenda.pop(0)
             if b == 0:
                 found.append((score, _unlinked(suffix)))
                 continue
-            agenda += [(-(forward[a] + s + score), (ids, suffix), a, s + score) for a, ids, s in into[b]]
+            for a, ids, s in into[b]:
+                made += 1
+                agenda.append((-(forward[a] + s + score), made, (ids, suffix), a, s + score))
             agenda.sort()
             del agenda[self.n - len(found) :]
         return found
@@ -241,24 +269,23 @@ class Pieces:
             block.append(text)
             chars += len(text or "")
             if chars >= TOGETHER_CHARS or i + 1 == len(texts):
-                cut = [STRETCH(" " + t) if t else [] for t in block]
+                cut = [self.stretches(" " + t) if t else [] for t in block]
                 self.learn(set().union(*cut))
                 out += map(self.choose, cut)
                 block, chars = [], 0
         return out
 
     def encode(self, text: str | None) -> tuple[bytes, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]:
-        """Ids of the best (little-endian words), and for each of the n best (score, edits): an edit is (place in the best ids, ids that go, ids that come)."""
-        return self.choose(STRETCH(" " + text) if text else [])
+        """Ids of the best (little-endian words), and for each of the n best (score in millionths, edits): an edit is (place in the best ids, ids that go, ids that come)."""
+        return self.choose(self.stretches(" " + text) if text else [])
 
     def choose(self, stretches: list[str]) -> tuple[bytes, list]:
         """encode() of a text's stretches."""
         if not stretches:
             return b"", [(0.0, [])]
-        firsts = [self.known[s] if len(s) <= SHORT else self.first(s) for s in stretches]
-        ids = b"".join([f[1] for f in firsts])
-        total = math.fsum([f[0] for f in firsts])
-        gaps = [f[2] for f in firsts]
+        firsts = list(map(self.known.__getitem__, stretches))
+        scores, own_ids, gaps = map(list, zip(*firsts, strict=True))
+        ids, total = b"".join(own_ids), sum(scores)
         free = []
         for _ in range(self.n - 1):
             least = min(gaps)
@@ -269,7 +296,7 @@ class Pieces:
         free.sort()
         choices, at, place, passed = [], [], 0, 0
         for i in free:
-            place += sum([len(f[1]) for f in firsts[passed:i]]) // 4
+            place += sum(map(len, own_ids[passed:i])) // 4
             passed = i
             at.append(place)
             own = np.frombuffer(firsts[i][1], dtype="<u4")
@@ -306,12 +333,14 @@ BEST = pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(EDIT))]))
 def encode_nbest(df: DataFrame, model: str, text: str = "text", n: int = N, into: str = "segmented") -> DataFrame:
     """Adds a struct: ids, the best segmentation as little-endian 32-bit words, and best, the n best as scores and edits of it."""
 
+    common.small_batches(df.sparkSession)
+
     @F.arrow_udf("struct<ids:binary,best:array<struct<score:double,edits:array<struct<at:int,drop:int,ids:array<int>>>>>>")
     def run(texts: pa.Array) -> pa.Array:
         ids, best = [], []
         for found, ways in pieces(model, n).encode_all(texts.to_pylist()):
             ids.append(found)
-            best.append([{"score": s, "edits": [{"at": a, "drop": d, "ids": list(x)} for a, d, x in e]} for s, e in ways])
+            best.append([{"score": s / UNITS, "edits": [{"at": a, "drop": d, "ids": list(x)} for a, d, x in e]} for s, e in ways])
         return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(best, BEST)], ["ids", "best"])
 
     return df.withColumn(into, run(F.col(text)))
@@ -329,6 +358,8 @@ def edited(ids: list[int], edits) -> list[int]:
 def decode(df: DataFrame, model: str, ids: str, into: str = "decoded") -> DataFrame:
     """Adds the text of little-endian 32-bit ids."""
 
+    common.small_batches(df.sparkSession)
+
     @F.arrow_udf("string")
     def run(values: pa.Array) -> pa.Array:
         back = pieces(model).decode
