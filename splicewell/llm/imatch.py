@@ -43,8 +43,9 @@ OPEN = 0.75
 RANGE_ROWS, RANGES = 1500, 50_000
 WORD = re.compile(r"[^\W_]+").findall
 
-_SALTS = np.array([xxhash.xxh64_intdigest(f"lexicon {k}", 7) | 1 for k in range(SCALES * REPEATS)], dtype=np.uint64)
-_MASKS = np.array([(1 << (1 + k // REPEATS)) - 1 for k in range(SCALES * REPEATS)], dtype=np.uint64)
+#: A term is in a subset if its hash times the subset's odd salt, in 32 bits, is under the subset's limit.
+_SALTS = np.array([xxhash.xxh32_intdigest(f"lexicon {k}", 7) | 1 for k in range(SCALES * REPEATS)], dtype=np.uint32)[:, None]
+_LIMITS = np.array([1 << (31 - k // REPEATS) for k in range(SCALES * REPEATS)], dtype=np.uint32)[:, None]
 
 
 def terms(text: str) -> list[int]:
@@ -87,11 +88,15 @@ class Prints:
         if not kept:
             return out
         ordered = np.sort(np.array(kept, dtype=np.uint64))
-        mixed = ordered[None, :] * _SALTS[:, None]
-        mixed ^= mixed >> np.uint64(29)
-        inside = (mixed >> np.uint64(17)) & _MASKS[:, None] == 0
-        for k in np.flatnonzero(inside.any(axis=1)).tolist():
-            out[k] = 1 + xxhash.xxh64_intdigest(ordered[inside[k]].tobytes(), k) % 65535
+        inside = ordered.astype(np.uint32)[None, :] * _SALTS < _LIMITS
+        rows, columns = np.nonzero(inside)
+        blob, h = ordered[columns].tobytes(), xxhash.xxh64_intdigest
+        ends = (8 * np.cumsum(np.bincount(rows, minlength=len(out)))).tolist()
+        start = 0
+        for k, end in enumerate(ends):
+            if end > start:
+                out[k] = 1 + h(blob[start:end], k) % 65535
+            start = end
         return out
 
 
