@@ -9,7 +9,7 @@ from pyspark.sql import window as W
 from ..functions import sequence as S
 from ..functions.alignment import accepted, local_alignment
 from ..params import DEFAULT, Params
-from .sizes import small
+from .sizes import small, spread
 
 
 def shared_kmers(reads: DataFrame, regions: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -17,7 +17,7 @@ def shared_kmers(reads: DataFrame, regions: DataFrame, p: Params = DEFAULT) -> D
 
     Both orientations of the reads are looked up; region k-mers of nearly one base don't count.
     """
-    both = reads.select("read_id", F.explode(F.array(F.struct(F.lit(False).alias("rc"), F.col("seq").alias("s")), F.struct(F.lit(True).alias("rc"), S.reverse_complement(F.col("seq")).alias("s")))).alias("o"))
+    both = spread(reads, "read_id").select("read_id", F.explode(F.array(F.struct(F.lit(False).alias("rc"), F.col("seq").alias("s")), F.struct(F.lit(True).alias("rc"), S.reverse_complement(F.col("seq")).alias("s")))).alias("o"))
     at = both.select("read_id", "o.rc", F.posexplode(S.kmers(F.col("o.s"), p.assoc_k)).alias("pos", "kmer"))
     index = regions.select("region_id", F.explode(S.kmers(F.col("seq"), p.assoc_k)).alias("kmer")).distinct().where(S.valid_kmer(F.col("kmer")))
     met = at.join(small(index), "kmer").groupBy("read_id", "region_id", "rc").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..params import DEFAULT, Params
-from .sizes import small
+from .sizes import is_small, spread
 
 
 def seed_index(targets: DataFrame, seq: str, p: Params = DEFAULT) -> DataFrame:
@@ -21,12 +21,15 @@ def seed_index(targets: DataFrame, seq: str, p: Params = DEFAULT) -> DataFrame:
 def matched_positions(reads: DataFrame, seeds: DataFrame, key: str, seq: str, p: Params = DEFAULT) -> DataFrame:
     """(key, pos) of the k-mers with at least one masked seed in the index.
 
-    Each k-mer is looked up once, however often it occurs: distinct k-mers meet the seeds, and what
-    matches goes back to the positions.
+    Few seeds are broadcast, and k-mers pass by them without a shuffle. Otherwise each k-mer is looked up once,
+    however often it occurs: distinct k-mers meet the seeds, and what matches goes back to the positions.
     """
-    at = reads.select(key, F.posexplode(S.kmers(F.col(seq), p.seed_k)).alias("pos", "kmer"))
+    at = spread(reads, key).select(key, F.posexplode(S.kmers(F.col(seq), p.seed_k)).alias("pos", "kmer"))
+    if is_small(seeds):
+        each = at.select(key, "pos", F.inline(S.spaced_seeds(F.col("kmer"), p.seed_segments)))
+        return each.join(F.broadcast(seeds), ["j", "seed"], "left_semi").select(key, "pos").distinct()
     found = at.select("kmer").distinct().select("kmer", F.inline(S.spaced_seeds(F.col("kmer"), p.seed_segments)))
-    hit = found.join(small(seeds), ["j", "seed"], "left_semi").select("kmer").distinct()
+    hit = found.join(seeds, ["j", "seed"], "left_semi").select("kmer").distinct()
     return at.join(hit, "kmer", "left_semi").select(key, "pos")
 
 

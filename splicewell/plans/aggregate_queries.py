@@ -9,6 +9,7 @@ from ..operators import calls as K
 from ..operators import evidence as E
 from ..operators import intervals as I
 from ..operators import pairs as P
+from ..operators.sizes import spread
 from . import fixtures as X
 
 
@@ -117,7 +118,7 @@ def split_read_count(spark, sf):
 
 
 def pileup_consensus(spark, sf):
-    r = X.reads(spark, sf).select((F.col("read_id") % 20).alias("region_id"), F.posexplode(F.split("seq", "")).alias("place", "base"))
+    r = spread(X.reads(spark, sf), "read_id").select((F.col("read_id") % 20).alias("region_id"), F.posexplode(F.split("seq", "")).alias("place", "base"))
     return E.pileup(r.where("base <> ''").withColumn("place", F.col("place").cast("long")), ["region_id"], "place", "base")
 
 

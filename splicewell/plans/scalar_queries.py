@@ -8,6 +8,7 @@ from pyspark.sql import window as W
 from ..functions import cigar as C
 from ..functions import sequence as S
 from ..operators import pairs as P
+from ..operators.sizes import spread
 from . import fixtures as X
 
 
@@ -18,12 +19,12 @@ def rc_projection(spark, sf):
 
 
 def kmer_counts(spark, sf):
-    k = X.reads(spark, sf).select("read_id", F.explode(S.kmers(F.col("seq"), 13)).alias("kmer"))
+    k = spread(X.reads(spark, sf), "read_id").select("read_id", F.explode(S.kmers(F.col("seq"), 13)).alias("kmer"))
     return k.groupBy("read_id").agg(F.count("*").alias("n"), F.count_distinct("kmer").alias("n_distinct"))
 
 
 def valid_kmer_filter(spark, sf):
-    k = X.reads(spark, sf).select("read_id", F.explode(S.kmers(F.col("seq"), 13)).alias("kmer"))
+    k = spread(X.reads(spark, sf), "read_id").select("read_id", F.explode(S.kmers(F.col("seq"), 13)).alias("kmer"))
     return k.groupBy("read_id").agg(F.count_if(S.valid_kmer(F.col("kmer"))).alias("n_valid"), F.max(S.most_frequent_base(F.col("kmer"))).cast("long").alias("most"))
 
 
@@ -43,7 +44,7 @@ def poly_base_flag(spark, sf):
 
 
 def low_complexity_flag(spark, sf):
-    two = X.reads(spark, sf).select("read_id", F.explode(S.kmers(F.col("seq"), 2)).alias("pair"))
+    two = spread(X.reads(spark, sf), "read_id").select("read_id", F.explode(S.kmers(F.col("seq"), 2)).alias("pair"))
     counts = two.groupBy("read_id", "pair").agg(F.count("*").alias("c"))
     n = F.row_number().over(W.Window.partitionBy("read_id").orderBy(F.desc("c"), "pair"))
     top = counts.withColumn("r", n).groupBy("read_id").agg(F.sum(F.when(F.col("r") <= 2, F.col("c"))).alias("top2"), (F.sum("c") + 1).alias("n"))
