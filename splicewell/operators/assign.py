@@ -1,4 +1,4 @@
-"""Greedy assignment of read pairs to junctions, component by component."""
+"""Greedy assignment of read pairs to junctions, in rounds."""
 
 from __future__ import annotations
 
@@ -9,32 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..params import DEFAULT, Params
+from . import tables
 
 RESULT = "region_id long, rev boolean, virus_region long, virus_rev boolean, qname string, h_score long, v_score long, call_score long"
-
-
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, label) of an undirected table of edges between strings: the smallest label spreads, and jumps along labels."""
-    spark = edges.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    both = both.union(both.select("v", "u")).distinct().checkpoint()
-    labels = both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")).checkpoint()
-    while True:
-        near = both.join(labels, F.col("v") == F.col("node")).select(F.col("u").alias("node"), "label")
-        best = labels.union(near).groupBy("node").agg(F.min("label").alias("label"))
-        roots = best.select(F.col("node").alias("root"), F.col("label").alias("further"))
-        step = best.join(roots, F.col("label") == F.col("root"), "left").select("node", F.least("label", "further").alias("label")).checkpoint()
-        if not step.join(labels, ["node", "label"], "left_anti").limit(1).count():
-            return step
-        labels = step
+PAIR = ["region_id", "rev", "virus_region", "virus_rev"]
+#: Rows that one task may assign; while more are left, they are assigned in rounds.
+LAST = 50_000
 
 
 def greedy(rows: pd.DataFrame, least: int) -> pd.DataFrame:
-    """Junctions of one component, best first.
+    """Junctions of these rows, best first.
 
     Each host region and strand is worth the host scores of its best virus region over its unused names. Sums are kept
     current as names are used; they only fall, so a value on the heap is looked up anew when it comes up, and stands if
@@ -85,13 +69,30 @@ def greedy(rows: pd.DataFrame, least: int) -> pd.DataFrame:
 def assign(pairs: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Rows of the pairs (region_id, rev, virus_region, virus_rev, qname, h_score, v_score) that support a junction, with its score.
 
-    Regions compete only for names they share, so each connected component of regions and names is assigned
-    in one task; components are dealt out evenly.
+    Best first means by host sum, host region, host strand, virus sum, virus region, virus strand. Sums only fall, so a
+    junction that leads all others on each of its unused names is reached with these names still unused. Each round
+    commits all such junctions, and their names go; junctions in one round share no names. What is left goes to one
+    task once it is at most LAST rows.
     """
-    region = F.concat_ws(":", F.lit("r"), F.col("region_id").cast("string"), F.col("rev").cast("string"))
-    edges = pairs.select(region.alias("a"), F.concat(F.lit("q:"), F.col("qname")).alias("b")).distinct()
-    label = components(edges, "a", "b").select(F.col("node").alias("a"), F.col("label").alias("component"))
-    least = p.min_call_score
+    least, spark = p.min_call_score, pairs.sparkSession
     names = [x.split()[0] for x in RESULT.split(", ")]
-    rows = pairs.withColumn("a", region).join(label, "a").drop("a")
-    return rows.groupBy("component").applyInPandas(lambda g: greedy(g, least)[names], RESULT)
+    pairs = tables.written(pairs.select(names[:-1]))
+    rest = tables.written(pairs.groupBy(*PAIR, "qname").agg(F.sum("h_score").alias("h_score"), F.sum("v_score").alias("v_score")))
+    n, done, path = rest.count(), None, tables.place(spark)
+    while n > LAST:
+        sums = rest.groupBy(*PAIR).agg(F.sum("h_score").alias("h"), F.sum("v_score").alias("v"), F.count("*").alias("n")).where(F.col("h") > least)
+        order = F.struct("h", "region_id", "rev", "v", (-F.col("virus_region")).alias("far"), (~F.col("virus_rev")).alias("plus"), "virus_region", "virus_rev", "n")
+        ranked = rest.join(sums.select(*PAIR, order.alias("order")), PAIR)
+        lead = tables.written(ranked.groupBy("qname").agg(F.max("order").alias("lead")))
+        first = lead.groupBy("lead").agg(F.count("*").alias("led")).where(F.col("led") == F.col("lead.n")).select("lead")
+        taken = lead.join(first, "lead").select(*[F.col(f"lead.{c}").alias(c) for c in PAIR], "qname", F.col("lead.h").alias("call_score"))
+        done = tables.written(taken, path)
+        used = taken.select(F.col("qname").alias("used"))
+        left = tables.written(ranked.join(used, F.col("qname").eqNullSafe(F.col("used")), "left_anti").select(rest.columns))
+        tables.drop(lead)
+        tables.drop(rest)
+        rest, n = left, left.count()
+    last = rest.groupBy().applyInPandas(lambda g: greedy(g, least)[names], RESULT).select(*PAIR, "qname", "call_score")
+    chosen = last if done is None else done.unionByName(last)
+    match = [pairs[c].eqNullSafe(chosen[c]) for c in [*PAIR, "qname"]]
+    return pairs.join(chosen, match).select(*[pairs[c] for c in names[:-1]], chosen["call_score"])

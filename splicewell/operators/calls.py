@@ -9,6 +9,10 @@ from pyspark.sql import window as W
 from ..functions import sequence as S
 from ..functions.alignment import local_alignment
 from ..params import DEFAULT, Params
+from . import tables
+
+#: Candidate pairs that one task may decide; while more are left, they are decided in rounds.
+LAST = 50_000
 
 
 def verdict(read_len: int, p: Params = DEFAULT, accept_all_clipped: bool = False) -> Column:
@@ -60,31 +64,36 @@ def nearest_mate(calls: DataFrame, p: Params = DEFAULT) -> DataFrame:
 def pair_up(calls: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """(id, paired_with): calls in order of id take the nearest free later one, each call once.
 
-    Only calls that may pair at all meet; they form small chains on the genome, and each chain (islands of
-    candidates) is paired in one task.
+    That takes candidate pairs in order of (i, distance, j) while both ends are free. A pair that comes first at both
+    of its ends is taken whatever happens to the others, so each round takes all such pairs and drops the candidates
+    they touch. What is left goes to one task once it is at most LAST candidates.
     """
-    edges = mate_candidates(calls, p)
-    at = calls.select("id", "host_chr", "host_pos")
-    ends = edges.select(F.col("i").alias("id")).union(edges.select(F.col("j").alias("id"))).distinct().join(at, "id")
-    w = W.Window.partitionBy("host_chr").orderBy("host_pos", "id")
-    island = F.sum(F.when(F.col("host_pos") - F.lag("host_pos").over(w) > p.mate_to, 1).otherwise(0)).over(w.rowsBetween(W.Window.unboundedPreceding, 0))
-    chains = ends.withColumn("chain", island).select(F.col("id").alias("i"), "host_chr", "chain")
+    rest = tables.written(mate_candidates(calls, p).select("i", F.abs("distance").alias("far"), "j"))
+    n, done, path = rest.count(), None, tables.place(calls.sparkSession)
+    while n > LAST:
+        order = F.struct("i", "far", "j")
+        lead = tables.written(rest.select(F.explode(F.array("i", "j")).alias("id"), order.alias("lead")).groupBy("id").agg(F.min("lead").alias("lead")))
+        both = lead.groupBy("lead").agg(F.count("*").alias("n")).where("n = 2").select("lead.i", "lead.j")
+        taken = both.select(F.inline(F.array(F.struct(F.col("i").alias("id"), F.col("j").alias("paired_with")), F.struct(F.col("j").alias("id"), F.col("i").alias("paired_with")))))
+        done = tables.written(taken, path)
+        used = taken.select("id")
+        left = tables.written(rest.join(used, F.col("i") == F.col("id"), "left_anti").join(used, F.col("j") == F.col("id"), "left_anti"))
+        tables.drop(lead)
+        tables.drop(rest)
+        rest, n = left, left.count()
 
     def greedy(pdf):
         import pandas as pd
 
-        taken, out = {}, []
-        for i, rows in sorted(pdf.groupby("i"), key=lambda x: x[0]):
-            if i in taken:
-                continue
-            free = [(abs(d), j) for j, d in zip(rows["j"], rows["distance"], strict=True) if j not in taken]
-            if free:
-                j = min(free)[1]
-                taken[i], taken[j] = j, i
+        taken, out = set(), []
+        for i, _, j in sorted(zip(pdf["i"], pdf["far"], pdf["j"], strict=True)):
+            if i not in taken and j not in taken:
+                taken |= {i, j}
                 out += [(i, j), (j, i)]
         return pd.DataFrame(out, columns=["id", "paired_with"])
 
-    return edges.join(chains, "i").groupBy("host_chr", "chain").applyInPandas(greedy, "id long, paired_with long")
+    last = rest.groupBy().applyInPandas(greedy, "id long, paired_with long")
+    return last if done is None else done.unionByName(last)
 
 
 def redundant(consensus: DataFrame, p: Params = DEFAULT) -> DataFrame:
