@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from . import common
+from . import common, nearcopies
 from .components import components
 
 SEED = 42
@@ -54,16 +54,16 @@ def pivots(n: int, salt: int) -> list[int]:
     return [xxhash.xxh64_intdigest(f"{salt}:{i}", SEED) for i in range(n)]
 
 
-def shingle_hashes(text: str | None) -> list[int]:
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> list[int]:
     """XXH64 of every shingle of a text, repeats included; ASCII capitals lowered, words split at ASCII white space."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return []
     h, joined = xxhash.xxh64_intdigest, b" ".join(words)
-    if len(words) <= SHINGLE:
+    if len(words) <= shingle:
         return [h(joined, SEED)]
     starts = np.cumsum([0, *map(len, words)]) + np.arange(len(words) + 1)
-    ends = (starts[SHINGLE:] - 1).tolist()
+    ends = (starts[shingle:] - 1).tolist()
     return [h(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends, strict=False)]
 
 
@@ -147,32 +147,38 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def groups(marked: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(fp, component_id) for every fingerprint of a written table with columns fp and the document's key."""
+def groups(marked: DataFrame, key: str = "doc_id", linked: DataFrame | None = None) -> DataFrame:
+    """(fp, component_id) for every fingerprint of a written table with columns fp and the document's key.
+
+    Links (a, b) are those within MAX_BITS unless given.
+    """
     classes = common.Written(marked.groupBy("fp").agg(F.min(key).alias("least")))
-    linked = components(links(classes.df.select("fp")), "a", "b")
+    linked = components(links(classes.df.select("fp")) if linked is None else linked, "a", "b")
     labelled = classes.df.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     best = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     return labelled.select("fp", "label").join(best, "label").select("fp", "label", "component_id")
 
 
-def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, fp, component_id) for each row."""
-    marked = common.Written(fingerprints(df.select(key, text), text).select(key, "fp")).df
-    return marked.join(groups(marked, key).drop("label"), "fp")
+def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", bits: bool = False) -> DataFrame:
+    """(key, fp, component_id) for each row, by five-word shingles and similarity 0.8, or by the bits of SimHash."""
+    if bits:
+        marked = common.Written(fingerprints(df.select(key, text), text).select(key, "fp")).df
+        return marked.join(groups(marked, key).drop("label"), "fp")
+    marked = common.Written(nearcopies.marked(df, text, key)).df
+    return marked.select(key, "fp").join(groups(marked, key, nearcopies.links(df, text, marked)).drop("label"), "fp")
 
 
 def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row of each group: a row with the group's smallest key; where all keys of a group are null, any one of its rows."""
-    marked = common.Written(fingerprints(df.select(key, text), text).select(key, "fp")).df
-    found = common.Written(groups(marked, key)).df
+    """One row of each group by five-word shingles: a row with the group's smallest key; where all keys of a group are null, any one of its rows."""
+    marked = common.Written(nearcopies.marked(df, text, key)).df
+    found = common.Written(groups(marked, key, nearcopies.links(df, text, marked))).df
     own, of, group, n = (common.free(df, x) for x in ("__key", "__of", "__group", "__n"))
     stay = found.where(F.col("component_id").isNotNull()).select(F.col("component_id").alias(own)).distinct()
     first = F.row_number().over(W.Window.partitionBy(own).orderBy(F.xxhash64(text)))
     known = df.join(stay, df[key] == stay[own]).withColumn(n, first).where(F.col(n) == 1)
     lone = found.where(F.col("component_id").isNull()).select(F.col("fp").alias(of), F.col("label").alias(group))
     print_ = common.free(df, "__fp")
-    nameless = fingerprints(df.where(df[key].isNull()), text, print_).join(lone, F.col(print_) == F.col(of))
+    nameless = df.where(df[key].isNull()).withColumn(print_, nearcopies.class_column(F.col(text))).join(lone, F.col(print_) == F.col(of))
     first = F.row_number().over(W.Window.partitionBy(group).orderBy(print_, F.xxhash64(text)))
     nameless = nameless.withColumn(n, first).where(F.col(n) == 1)
     return known.select(df.columns).unionByName(nameless.select(df.columns))
@@ -180,5 +186,5 @@ def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
-    found = near_duplicates(common.table(spark, sf_dir, "documents"))
+    found = near_duplicates(common.table(spark, sf_dir, "documents"), bits=True)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
