@@ -65,8 +65,11 @@ def exactly_two(reads: DataFrame, key: str, primary: Column) -> DataFrame:
 
 
 def duplicates_by_sequence(pairs: DataFrame, order: list[Column]) -> DataFrame:
-    """Adds dup_seq: not the first, in order, of the pairs with the same two sequences in either order."""
-    key = F.concat_ws("-", F.least("seq1", "seq2"), F.greatest("seq1", "seq2"))
+    """Adds dup_seq: not the first, in order, of the pairs with the same two sequences in either order.
+
+    Pairs are dealt by a digest of both sequences in full, so sequences that the caller doesn't select don't travel.
+    """
+    key = F.sha2(F.concat_ws("-", F.least("seq1", "seq2"), F.greatest("seq1", "seq2")), 256)
     n = F.row_number().over(W.Window.partitionBy("joint").orderBy(*order))
     return pairs.withColumn("joint", key).withColumn("dup_seq", n > 1).drop("joint")
 

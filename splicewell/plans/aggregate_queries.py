@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import sequence as S
 from ..operators import associate as A
 from ..operators import calls as K
 from ..operators import evidence as E
@@ -36,6 +37,12 @@ def duplicates_by_sequence(spark, sf):
     return P.duplicates_by_sequence(d, [F.col("doc_id")]).select("doc_id", "dup_seq")
 
 
+def duplicates_by_whole_sequence(spark, sf):
+    """Whole sequences and their reverse complements: equal texts, and texts that are each other's complement."""
+    d = X.reads(spark, sf).select("read_id", F.col("seq").alias("seq1"), S.reverse_complement(F.col("seq")).alias("seq2"))
+    return P.duplicates_by_sequence(d, [F.col("read_id")]).select("read_id", "dup_seq")
+
+
 def interval_islands(spark, sf):
     return I.islands(X.anchors(spark, sf), ["contig"], "start", "end", 10, ["id"])
 
@@ -158,7 +165,7 @@ def alternative_loci(spark, sf):
     return K.alternative_loci(r)
 
 
-QUERIES = {f.__name__: f for f in (insert_size_stats, sampled_positions, primary_count_two, duplicates_by_position, duplicates_by_sequence, interval_islands, sampling_regions, coverage_union_length, adjacent_collapse, region_scores, best_region, top_regions, dense_region_ids, near_best_filter, qname_distances, distance_dedup, too_long_flag, clip_mode_window, sliding_score_window, window_conformance, breakpoint_extent, call_support, split_read_count, pileup_consensus, strand_list_routing, masked_length, call_accept_rules, call_text, alternative_loci)}
+QUERIES = {f.__name__: f for f in (insert_size_stats, sampled_positions, primary_count_two, duplicates_by_position, duplicates_by_sequence, duplicates_by_whole_sequence, interval_islands, sampling_regions, coverage_union_length, adjacent_collapse, region_scores, best_region, top_regions, dense_region_ids, near_best_filter, qname_distances, distance_dedup, too_long_flag, clip_mode_window, sliding_score_window, window_conformance, breakpoint_extent, call_support, split_read_count, pileup_consensus, strand_list_routing, masked_length, call_accept_rules, call_text, alternative_loci)}
 
 _ISLANDS = """edges AS (SELECT contig, start, "end" AS e, id, max("end") OVER (PARTITION BY contig ORDER BY start, "end", id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM anchors),
     runs AS (SELECT *, sum(CASE WHEN b IS NULL OR start > b + 10 THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY start, e, id ROWS UNBOUNDED PRECEDING) AS run FROM edges),
@@ -180,6 +187,8 @@ ORACLES = {
     "duplicates_by_position": f"""WITH {X.HITS} SELECT region_id, rev, contig, quality, qname, read_id, row_number() OVER (PARTITION BY region_id, rev, contig ORDER BY quality, qname, read_id, offset_start, score) > 1 AS dup_pos FROM hits""",
     "duplicates_by_sequence": """WITH d AS (SELECT doc_id, substr(text, 1, 12) AS a, right(text, 5) AS b FROM documents)
         SELECT doc_id, row_number() OVER (PARTITION BY least(a, b) || '-' || greatest(a, b) ORDER BY doc_id) > 1 AS dup_seq FROM d""",
+    "duplicates_by_whole_sequence": f"""WITH {X.READS}, d AS (SELECT read_id, seq AS a, reverse(translate(seq, 'ACGT', 'TGCA')) AS b FROM reads)
+        SELECT read_id, row_number() OVER (PARTITION BY least(a, b) || '-' || greatest(a, b) ORDER BY read_id) > 1 AS dup_seq FROM d""",
     "interval_islands": f'WITH {X.ANCHORS}, {_ISLANDS} SELECT contig, start, e AS "end", n FROM islands',
     "sampling_regions": f"""WITH {X.ANCHORS}, f AS (SELECT contig, start, "end" AS e, max("end") OVER (PARTITION BY contig ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM anchors WHERE strand = 'F'),
         r AS (SELECT *, sum(CASE WHEN b IS NULL OR start > b THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY start, e ROWS UNBOUNDED PRECEDING) AS run FROM f)
