@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -39,8 +40,8 @@ OPEN = 64
 LEAST_CUT = 16
 #: Tokens that one task merges finally, at most about.
 GROUP_TOKENS = 2_000_000
-#: Chunks and words whose ids a worker remembers, twice.
-REMEMBERED = 120_000
+#: Chunks and words whose ids a worker remembers, twice (about 250 MB in all).
+REMEMBERED = 400_000
 END = 2
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, closed boolean"
@@ -51,8 +52,8 @@ class Encoder:
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of its
     chunks between ASCII white space, which are remembered. Chunks of Latin letters and ASCII
-    signs are split into pre-tokens here, which are remembered too; all others, and those that may
-    hold a special token, go to the library as they are.
+    signs are split into pre-tokens here, which are remembered too (a chunk of ASCII letters is one);
+    all others, and those that may hold a special token, go to the library as they are.
     """
 
     #: Capital I with a dot grows when lowered, and is left to the library.
@@ -68,10 +69,13 @@ class Encoder:
         self.chunks = Memory(self._chunk, REMEMBERED)
 
     def _word(self, word: str) -> bytes:
-        return np.array([t.id for t in self.tokenizer.model.tokenize(spelled(word))], dtype="<u4").tobytes()
+        found = self.tokenizer.model.tokenize(word if word.isascii() else spelled(word))
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
 
     def _chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode()
+        if text.isascii() and text.isalpha():
+            return self.words[text.lower()]
         if "<|" in text or not self.latin(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         return b"".join(map(self.words.__getitem__, self.split(text.lower())))
