@@ -25,8 +25,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +45,7 @@ REMEMBERED = 400_000
 END = 2
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, closed boolean"
+FINAL = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
 class Encoder:
@@ -143,13 +144,14 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 
-def _fill(pieces: pd.DataFrame, size: int) -> pd.DataFrame:
-    """Best fit, longest first, of one group's pieces."""
-    pieces = pieces.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+def _fill(pieces: pa.Table, size: int) -> pa.Table:
+    """Best fit, longest first, of one group's pieces; equal ones in order of their documents, null ids last."""
+    order = pc.sort_indices(pieces, sort_keys=[("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+    pieces = pieces.take(order)
     rooms: list[tuple[int, int]] = []
     windows, offsets = [], []
-    first, made = int(pieces["group"].iloc[0]), 0
-    for n in pieces["length"].tolist():
+    first, made = pieces["group"][0].as_py(), 0
+    for n in pieces["length"].to_pylist():
         k = bisect_left(rooms, (n, -1))
         room, window = rooms.pop(k) if k < len(rooms) else (size, made)
         made += window == made
@@ -157,7 +159,8 @@ def _fill(pieces: pd.DataFrame, size: int) -> pd.DataFrame:
         offsets.append(size - room)
         if room > n:
             insort(rooms, (room - n, window))
-    return pieces.assign(sequence_id=windows, offset=offsets)[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
+    made_here = {"sequence_id": pa.array(windows, pa.int64()), "offset": pa.array(offsets, pa.int64())}
+    return pa.table({c: made_here.get(c, pieces[c]) for c in FINAL})
 
 
 def pack(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", end: int = END, size: int = SIZE) -> DataFrame:
@@ -180,13 +183,12 @@ def pack(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id",
 
     made = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, PIECE)
     pieces = common.Written(made).df
-    final = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     left = pieces.where(~F.col("closed"))
     tokens = left.agg(F.sum("length")).first()[0] or 0
     n = max(1, -(-tokens // GROUP_TOKENS))
     dealt = left.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "sequence_id"), F.lit(n)))
-    merged = dealt.groupBy("group").applyInPandas(lambda g: _fill(g, size), ", ".join(x for x in PIECE.split(", ") if not x.startswith("closed")))
-    return pieces.where("closed").select(final).unionByName(merged.select(final))
+    merged = dealt.groupBy("group").applyInArrow(lambda g: _fill(g, size), ", ".join(x for x in PIECE.split(", ") if not x.startswith("closed")))
+    return pieces.where("closed").select(FINAL).unionByName(merged.select(FINAL))
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:

@@ -158,6 +158,8 @@ def test_packing_of_odd_rows(spark, odd, empty):
     check_pieces(packing.pack(odd.where("doc_id > 1"), path).collect(), texts)
     assert packing.pack(odd, path).where("doc_id is null").count() == 2
     assert packing.pack(empty, path).count() == 0
+    large = spark.createDataFrame([(None, "a b"), (2**53 + 1, "c d"), (-(2**63), "e f")], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in packing.pack(large, path).collect()} == {None, 2**53 + 1, -(2**63)}
 
 
 def test_chunks_encode_like_whole_texts():
