@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,27 +20,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset and all runs in this process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
 class Written:
-    """A table written in the shared folder; cuts lineage and survives lost executors."""
+    """A table written in the shared folder; cuts lineage and survives lost executors.
+
+    Tables lie in one folder for each application. Those that no later plan reads are dropped at once, the rest,
+    which results may still read, when Python ends.
+    """
 
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark).rstrip('/')}/splicewell-{uuid.uuid4().hex}"
+        top = f"{shared_dir(self.spark).rstrip('/')}/splicewell-{self.spark.sparkContext.applicationId}"
+        if top not in _FOLDERS:
+            _FOLDERS.add(top)
+            atexit.register(_remove, self.spark, top)
+        self.path = f"{top}/{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         """For tables that no later plan reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(self.spark, self.path)
+
+
+_FOLDERS: set[str] = set()
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # at the end of Python the JVM may be gone
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free(df: DataFrame, name: str) -> str:
@@ -47,19 +70,21 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds what Python workers hold at a time, where the session leaves Arrow's batch size at its default."""
-    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "500"), ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")):
-        if not spark.conf.isModifiable(key) or spark.conf.get(key) not in DEFAULTS[key]:
-            continue
-        spark.conf.set(key, value)
+#: What a Python worker turns into objects at a time, of an Arrow batch of whatever size.
+ROWS, BYTES = 500, 8 << 20
+
+
+def slices(batch: pa.Array | pa.RecordBatch, rows: int = ROWS, size: int = BYTES) -> Iterator[pa.Array | pa.RecordBatch]:
+    """Parts of an Arrow batch, in order: of so many rows at most, fewer where rows are long on average."""
+    step = max(1, min(rows, size * len(batch) // max(1, batch.nbytes))) if len(batch) else 1
+    for at in range(0, len(batch), step):
+        yield batch.slice(at, step)
 
 
-#: Defaults of Spark, as they may be shown.
-DEFAULTS = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": {"10000"},
-    "spark.sql.execution.arrow.maxBytesPerBatch": {"67108864b", "67108864", "64MB", "64m", "2147483647b", "2147483647", "-1"},
-}
+def values(batch: pa.Array) -> Iterator:
+    """An Arrow array's values, without making objects of all of them at once."""
+    for part in slices(batch):
+        yield from part.to_pylist()
 
 
 def fold_of(id_column: str) -> Column:

@@ -331,19 +331,21 @@ BEST = pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(EDIT))]))
 
 
 def encode_nbest(df: DataFrame, model: str, text: str = "text", n: int = N, into: str = "segmented") -> DataFrame:
-    """Adds a struct: ids, the best segmentation as little-endian 32-bit words, and best, the n best as scores and edits of it."""
+    """Adds a struct: ids, the best segmentation as little-endian 32-bit words, and best, the n best as scores and edits of it.
 
-    common.small_batches(df.sparkSession)
+    It gets the name common.free() gives, as the input's columns stay.
+    """
 
     @F.arrow_udf("struct<ids:binary,best:array<struct<score:double,edits:array<struct<at:int,drop:int,ids:array<int>>>>>>")
     def run(texts: pa.Array) -> pa.Array:
         ids, best = [], []
-        for found, ways in pieces(model, n).encode_all(texts.to_pylist()):
-            ids.append(found)
-            best.append([{"score": s / UNITS, "edits": [{"at": a, "drop": d, "ids": list(x)} for a, d, x in e]} for s, e in ways])
+        for part in common.slices(texts):
+            for found, ways in pieces(model, n).encode_all(part.to_pylist()):
+                ids.append(found)
+                best.append([{"score": s / UNITS, "edits": [{"at": a, "drop": d, "ids": list(x)} for a, d, x in e]} for s, e in ways])
         return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(best, BEST)], ["ids", "best"])
 
-    return df.withColumn(into, run(F.col(text)))
+    return df.withColumn(common.free(df, into), run(F.col(text)))
 
 
 def edited(ids: list[int], edits) -> list[int]:
@@ -358,14 +360,12 @@ def edited(ids: list[int], edits) -> list[int]:
 def decode(df: DataFrame, model: str, ids: str, into: str = "decoded") -> DataFrame:
     """Adds the text of little-endian 32-bit ids."""
 
-    common.small_batches(df.sparkSession)
-
     @F.arrow_udf("string")
     def run(values: pa.Array) -> pa.Array:
         back = pieces(model).decode
-        return pa.array([None if v is None else back(np.frombuffer(v, dtype="<u4").tolist()) for v in values.to_pylist()], pa.string())
+        return pa.array([None if v is None else back(np.frombuffer(v, dtype="<u4").tolist()) for v in common.values(values)], pa.string())
 
-    return df.withColumn(into, run(F.col(ids)))
+    return df.withColumn(common.free(df, into), run(F.col(ids)))
 
 
 def op9_nbest(spark, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ def class_of(found: np.ndarray) -> str:
 def class_column(text: Column) -> Column:
     @F.arrow_udf(T.StringType())
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([class_of(shingle_set(t)) for t in texts.to_pylist()], pa.string())
+        return pa.array([class_of(shingle_set(t)) for t in common.values(texts)], pa.string())
 
     return run(text)
 
@@ -51,8 +51,8 @@ def counters(df: DataFrame, text: str) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, dtype=np.int64)
         for b in batches:
-            if b.num_rows:
-                found = np.concatenate([shingle_set(t) for t in b.column(0).to_pylist()])
+            for part in common.slices(b):
+                found = np.concatenate([shingle_set(t) for t in part.column(0).to_pylist()])
                 total += np.bincount(found & (COUNTERS - 1), minlength=COUNTERS)
         yield pa.RecordBatch.from_pydict({"block": pa.array(range(COUNTERS // BLOCK), pa.int32()), "n": pa.array(list(total.reshape(-1, BLOCK)), pa.list_(pa.int64()))})
 
@@ -68,13 +68,12 @@ def counters(df: DataFrame, text: str) -> np.ndarray:
 
 def marked(df: DataFrame, text: str, key: str) -> DataFrame:
     """(key, fp, size, prefix): class of each row, number of its shingles and the first of them."""
-    common.small_batches(df.sparkSession)
     order = df.sparkSession.sparkContext.broadcast(counters(df, text))
 
     @F.arrow_udf(T.StructType([T.StructField("fp", T.StringType()), T.StructField("size", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))]))
     def run(texts: pa.Array) -> pa.Array:
         out = []
-        for t in texts.to_pylist():
+        for t in common.values(texts):
             s = shingle_set(t)
             n = len(s)
             first = s[np.lexsort((s, order.value[s & (COUNTERS - 1)]))][: n - (4 * n + 4) // 5 + 1]
@@ -89,7 +88,7 @@ def sets(df: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
 
     @F.arrow_udf(T.StructType([T.StructField("fp", T.StringType()), T.StructField("shingles", T.ArrayType(T.LongType()))]))
     def run(texts: pa.Array) -> pa.Array:
-        found = [shingle_set(t) for t in texts.to_pylist()]
+        found = [shingle_set(t) for t in common.values(texts)]
         return pa.array([{"fp": class_of(s), "shingles": s.tolist()} for s in found], pa.struct([("fp", pa.string()), ("shingles", pa.list_(pa.int64()))]))
 
     found = df.select(run(F.col(text)).alias("m")).select("m.*").join(wanted, "fp", "left_semi")

@@ -168,7 +168,6 @@ def pack(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id",
 
     Sequences of the first pass have ids from the partition's number up; those of the final merge are negative.
     """
-    common.small_batches(df.sparkSession)
     tail = np.array([end], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,8 +175,9 @@ def pack(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id",
         windows = Windows(TaskContext.get().partitionId() << 33, size)
         for batch in batches:
             rows: list[tuple] = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows.extend(windows.add(k, encode.ids(t or b"") + tail))
+            for part in common.slices(batch):
+                for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    rows.extend(windows.add(k, encode.ids(t or b"") + tail))
             yield _batch(rows)
         yield _batch(list(windows.leftovers()))
 

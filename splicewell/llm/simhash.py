@@ -81,15 +81,13 @@ def simhash(text: str | None) -> int:
 
 
 def fingerprints(df: DataFrame, text: str = "text", into: str = "fp") -> DataFrame:
-    """Adds the fingerprint as a (signed) long."""
-
-    common.small_batches(df.sparkSession)
+    """Adds the fingerprint as a (signed) long, under the name common.free() gives."""
 
     @F.arrow_udf(T.LongType())
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([_signed(simhash(t)) for t in texts.to_pylist()], pa.int64())
+        return pa.array([_signed(simhash(t)) for t in common.values(texts)], pa.int64())
 
-    return df.withColumn(into, run(F.col(text)))
+    return df.withColumn(common.free(df, into), run(F.col(text)))
 
 
 def _distance(a: Column, pivot: int, mask: int) -> Column:

@@ -11,7 +11,8 @@ Texts where a space stands between two other white-space characters are counted
 by the library as a whole, as pre-tokens of white space may span segments there.
 
 Defined results: a null text counts as empty, with no tokens; repeated rows and
-rows without id get their result each; extra columns stay.
+rows without id get their result each; extra columns stay, and where one has the
+name asked for, the result gets that name after underscores.
 """
 
 from __future__ import annotations
@@ -83,16 +84,14 @@ def counter(path: str, pattern: str) -> Counter:
 
 
 def count_tokens(df: DataFrame, tokenizer: str, pattern: str, text: str = "text", into: str = "n_tokens") -> DataFrame:
-    """Adds the number of tokens of each row's whole text."""
-
-    common.small_batches(df.sparkSession)
+    """Adds the number of tokens of each row's whole text, under the name common.free() gives."""
 
     @F.arrow_udf("long")
     def run(texts: pa.Array) -> pa.Array:
         count = counter(tokenizer, pattern).count
-        return pa.array([count(t or "") for t in texts.to_pylist()], pa.int64())
+        return pa.array([count(t or "") for t in common.values(texts)], pa.int64())
 
-    return df.withColumn(into, run(F.col(text)))
+    return df.withColumn(common.free(df, into), run(F.col(text)))
 
 
 def op10_tokens(spark, sf_dir: str) -> DataFrame:
