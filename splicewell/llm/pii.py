@@ -1,21 +1,31 @@
 """Personal data by candidate gradient boosting, in DataFrame functions only.
 
 Base patterns with their checks give spans that always stay. Besides, one
-high-recall generator for each kind proposes looser, overlapping candidates.
-Each candidate has a few coded features of its format and its context. Whether a
-candidate also passes the strict check of its kind is the weak label: boosted
-trees estimate how likely that is from format and context alone, and candidates
-that fail the strict check in a detail are added where the estimate reaches a
-threshold calibrated on the other half of the candidates.
+high-recall generator for each kind proposes looser, overlapping candidates; a
+fifth kind, secret (passwords, access tokens), has generators only. Each
+candidate has a few coded features of its format and of the signs beside it.
+
+Boosted trees are taught with weak labels that the features don't show: of
+email, ip, card and phone, whether the candidate's canonical form ("(at)" as @,
+00 as +, other separators dropped) passes the kind's full check, checksum
+included; of secrets, whether a second generator agrees, which looks at the word
+that the value is assigned to or at published prefixes of access keys.
+Candidates that aren't base matches are added where the estimate reaches a
+threshold calibrated on the other half of them, over such loose candidates alone.
 
 Training needs only counts for each combination of features (a bounded number,
 whatever the size of the corpus); they are aggregated over all documents. Trees
-become nested CASE expressions, so scoring stays in the JVM.
+become nested CASE expressions, so scoring stays in the JVM. Work is linear in
+the length of a text: positions are running sums, signs beside a candidate come
+from the pieces between candidates, and texts are cut through blocks.
 
 All lists of spans live in arrays beside the text: no shuffle, and rows without
 an id or repeated rows need no care. Defined results: a null text counts as
-empty and has no spans; extra columns stay; columns of the result that clash
-with existing ones replace them.
+empty and has no spans; extra columns stay, and the result's columns get names
+that are free; candidates that overlap a base span are not added, and of added
+ones that overlap, the likelier stays, then that of the kind listed first, then
+the one that starts first; without SUPPORT loose candidates in the calibration
+half, or where too few of them are labelled, a kind adds nothing.
 """
 
 from __future__ import annotations
@@ -29,6 +39,8 @@ from pyspark.sql import functions as F
 from . import common
 
 KINDS = ["email", "ip", "card", "phone"]
+SECRET = "secret"
+ALL_KINDS = [*KINDS, SECRET]
 
 # Base patterns. Beside what they match, they are written so that matching is linear: a match starts at the
 # front of its run of characters or where the last match ended, and loops give nothing back.
@@ -38,26 +50,37 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+# Words that secrets are assigned to, and published prefixes of access keys: what the second generator of secrets looks at.
+_ASSIGNED = r"(?i:password|passwd|pwd|token|secret|api[_-]?key)[\x20\x22']{0,2}[=:][\x20\x22']{0,2}"
+_PREFIXES = r"AKIA|ASIA|ghp_|gho_|xox[abp]-|sk_live_|glpat-"
 # Generators of candidates; repetitions are bounded.
 GENERATORS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]{1,63}+){0,8}",
     "ip": r"(?<![0-9.])[0-9]{1,4}(?:\x20?[.,:]\x20?[0-9]{1,4}){3}(?![0-9.])",
     "card": r"(?<![0-9])[0-9](?:[\x20./_-]{0,2}+[0-9]){12,18}(?![0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+|00)?\(?[0-9](?:[\x20()./-]{0,2}+[0-9]){6,14}(?![0-9A-Za-z])",
+    # a long run of letters and digits, or what stands behind a colon or an equals sign
+    SECRET: r"(?<![A-Za-z0-9_-])(?:[A-Za-z0-9_-]{12,128}+(?![A-Za-z0-9_-])|(?<=[=:][\x20\x22']{0,2})[^\s\x22'=:]{4,128}+)",
 }
 #: A cheap test that a text has to pass before the patterns of a kind are tried.
-GUARDS = {"email": r"@|\(at\)|\[at\]", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]"}
+GUARDS = {"email": r"@|\(at\)|\[at\]", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]", SECRET: "[=:]|[A-Za-z0-9_-]{12}"}
 
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Words that speak for a kind when they stand shortly before a candidate.
-CONTEXT = {"email": "mail|contact|write", "ip": "ip|host|server|address", "card": "card|visa|credit|account|payment", "phone": "tel|phone|call|mobile|fax"}
+CONTEXT = {"email": "mail|contact|write", "ip": "ip|host|server|address", "card": "card|visa|credit|account|payment", "phone": "tel|phone|call|mobile|fax", SECRET: "key|login|auth"}
 CONTEXT_CHARS = 24
 ROUNDS = 24
 RATE = 0.4
-#: Share of candidates above a threshold that pass the strict check, in the calibration half; and how many there must be.
+#: Most that one tree adds to a candidate's log-odds.
+STEP = 2.0
+#: Share of loose candidates above a threshold that are labelled, in the calibration half; and how many there must be.
 PRECISION = 0.98
 SUPPORT = 20
 BLOCK = 256
+#: Code points in the blocks that a text is cut through.
+TEXT_BLOCK = 8192
+#: Candidates on either side that one may overlap: they are bounded in length, and those of one kind don't overlap.
+REACH = 400
 
 
 def _digits(token: Column) -> Column:
@@ -89,35 +112,64 @@ def strict(kind: str, token: Column) -> Column:
     return token.rlike(f"^(?:{BASE[kind]})$") & passes(kind, token)
 
 
-def _running(lengths: Column) -> Column:
-    """Sums before each element of an array of ints, in blocks so that long arrays stay cheap."""
+def canonical(kind: str, token: Column) -> Column:
+    """A candidate as the base pattern would have it."""
+    if kind == "email":
+        plain = F.regexp_replace(F.regexp_replace(token, r"\x20", ""), r"\(at\)|\[at\]", "@")
+        return F.regexp_replace(plain, r"\(dot\)|\[dot\]", ".")
+    if kind == "ip":
+        return F.regexp_replace(F.regexp_replace(token, r"\x20", ""), "[,:]", ".")
+    if kind == "card":
+        return _digits(token)
+    return F.regexp_replace(F.regexp_replace(token, "^00", "+"), "/", "-")
+
+
+def labelled(kind: str, token: Column, before: Column) -> Column:
+    """The weak label of a candidate."""
+    if kind == SECRET:
+        return before.rlike(f"{_ASSIGNED}$") | token.rlike(rf"^(?:{_PREFIXES})")
+    return strict(kind, canonical(kind, token))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value worked out once however often body uses it (also inside lambdas)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, zero: Column, step) -> Column:
+    """What step(acc, x) gives up to and with each element of an array, after zero; in blocks so that long arrays stay cheap."""
+
+    def runs(part: Column, first: Column) -> Column:
+        return F.aggregate(part, F.array(first), lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x))))
 
-    def sums(values: Column, first: Column) -> Column:
-        return F.aggregate(values, F.array(first), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    def joined(parts: Column) -> Column:
+        bases = runs(F.transform(parts, lambda b: F.aggregate(b, zero, step)), zero)  # one more than there are blocks
+        return F.flatten(F.transform(F.arrays_zip(parts.alias("b"), F.slice(bases, 1, F.size(parts)).alias("first")), lambda x: F.slice(runs(x["b"], x["first"]), 2, F.size(x["b"]))))
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: F.slice(lengths, b * BLOCK + 1, BLOCK))
-    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, x: acc + x))
-    bases = sums(totals, F.lit(0))
-    return F.flatten(F.transform(blocks, lambda b, i: F.slice(sums(b, F.element_at(bases, i + 1)), 1, F.size(b))))
+    blocks = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: F.slice(v, b * BLOCK + 1, BLOCK))
+    return _let(values, lambda v: _let(blocks(v), joined))
 
 
-def _matches(df: DataFrame, text: str, pattern: str, guard: str, into: str) -> DataFrame:
-    """Adds an array of structs (token, start, end) of the pattern's matches; code points, end exclusive."""
+def _matches(df: DataFrame, text: str, pattern: str, guard: str, into: str, sides: bool = False) -> DataFrame:
+    """Adds an array of structs (token, start, end) of the pattern's matches; code points, end exclusive.
+
+    sides: also before and after, the text beside, back to the match before and on to the next one.
+    """
     none = F.array().cast("array<string>")
     may = F.col(text).rlike(guard)
-    df = df.withColumn("__m", F.when(may, F.regexp_extract_all(text, F.lit(pattern), 0)).otherwise(none))
-    df = df.withColumn("__g", F.when(F.size("__m") > 0, F.split(text, pattern, -1)).otherwise(none))
-    df = df.withColumn("__p", F.when(F.size("__m") > 0, _running(F.transform(F.arrays_zip("__g", "__m"), lambda x: F.length(x["__g"]) + F.coalesce(F.length(x["__m"]), F.lit(0))))))
-    spans = F.transform(
-        "__m",
-        lambda m, i: F.struct(
-            m.alias("token"),
-            (F.get("__p", i) + F.length(F.get("__g", i))).alias("start"),
-            (F.get("__p", i) + F.length(F.get("__g", i)) + F.length(m)).alias("end"),
-        ),
-    )
-    empty = F.array().cast("array<struct<token:string,start:int,end:int>>")
-    return df.withColumn(into, F.when(F.size("__m") > 0, spans).otherwise(empty)).drop("__m", "__g", "__p")
+    kind = f"array<struct<token:string,start:int,end:int{',before:string,after:string' if sides else ''}>>"
+    found, pieces = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
+
+    def spans(x: Column) -> Column:
+        m, g = x["m"], x["g"]
+        # a match's end: lengths of all pieces and matches up to it
+        ends = _running(F.zip_with(m, F.slice(g, 1, F.size(m)), lambda a, b: F.length(a) + F.length(b)), F.lit(0), lambda a, x: a + x)
+        rows = F.arrays_zip(m.alias("m"), ends.alias("e"), F.slice(g, 1, F.size(m)).alias("left"), F.slice(g, 2, F.size(m)).alias("right"))
+        beside = lambda r: [F.right(r["left"], F.lit(CONTEXT_CHARS)).alias("before"), F.substring(r["right"], 1, 1).alias("after")] if sides else []
+        return F.transform(rows, lambda r: F.struct(r["m"].alias("token"), (r["e"] - F.length(r["m"])).alias("start"), r["e"].alias("end"), *beside(r)))
+
+    some = _let(found, lambda m: F.when(F.size(m) > 0, _let(F.struct(m.alias("m"), pieces.alias("g")), spans)))
+    return df.withColumn(into, F.coalesce(F.when(F.col(text).rlike(guard), some), F.array().cast(kind)))
 
 
 def _checked(spans: str, kind: str) -> Column:
@@ -132,11 +184,10 @@ def base_spans(df: DataFrame, text: str) -> DataFrame:
     return df
 
 
-def _features(text: str, kind: str, span: Column) -> dict[str, Column]:
+def _features(kind: str, span: Column) -> dict[str, Column]:
     """Small ints that code format and context."""
-    token, digits = span["token"], F.length(_digits(span["token"]))
-    before = F.substring(F.col(text), F.greatest(span["start"] - CONTEXT_CHARS + 1, F.lit(1)), F.least(span["start"], F.lit(CONTEXT_CHARS)))
-    after = F.substring(F.col(text), span["end"] + 1, F.lit(1))
+    token, before, after = span["token"], span["before"], span["after"]
+    digits, zero = F.length(_digits(token)), F.lit(0)
 
     def has(pattern: str) -> Column:
         return F.when(token.rlike(pattern), 1).otherwise(0)
@@ -144,37 +195,40 @@ def _features(text: str, kind: str, span: Column) -> dict[str, Column]:
     def side(char: Column) -> Column:
         return F.when(char == "", 0).when(char.rlike(r"\s"), 1).when(char.rlike("[\"'=:#(<]"), 2).otherwise(3)
 
-    return {
-        "digits": F.least(digits, F.lit(20)),
-        "first": F.coalesce(F.substring(_digits(token), 1, 1).try_cast("int"), F.lit(10)),
-        "spaces": has(r"\x20"),
-        "hyphens": has("-"),
-        "dots": has(r"\."),
-        "others": has(r"[/_,:\[\]]"),
-        "brackets": has(r"[()]"),
-        "left": side(F.right(before, F.lit(1))),
-        "right": side(after),
-        "context": F.when(F.lower(before).rlike(CONTEXT[kind]), 1).otherwise(0),
-    }
-
-
-def _coded(spans: str, text: str, kind: str) -> Column:
+    shared = {"left": side(F.right(before, F.lit(1))), "right": side(after), "context": F.when(F.lower(before).rlike(CONTEXT[kind]), 1).otherwise(0), "hyphens": has("-")}
+    if kind == SECRET:
+        own = {
+            "digits": F.floor(digits * 8 / F.length(token)).cast("int"),
+            "length": F.least(F.floor(F.length(token) / 4).cast("int"), F.lit(16)),
+            "upper": has("[A-Z]"), "lower": has("[a-z]"), "hex": has("^[0-9a-f]+$"), "others": has("[^A-Za-z0-9-]"),
+        }
+    else:
+        own = {
+            "digits": F.least(digits, F.lit(20)),
+            "first": F.coalesce(F.substring(_digits(token), 1, 1).try_cast("int"), F.lit(10)),
+            "spaces": has(r"\x20"), "dots": has(r"\."), "others": has(r"[/_,:\[\]]"), "brackets": has(r"[()]"),
+        }
+    return {f: (shared | own).get(f, zero) for f in FEATURES}
+
+
+def _coded(spans: str, kind: str) -> Column:
     def one(s: Column) -> Column:
-        features = [c.alias(n) for n, c in _features(text, kind, s).items()]
-        return F.struct(s["token"].alias("token"), s["start"].alias("start"), s["end"].alias("end"), strict(kind, s["token"]).alias("strict"), *features)
+        features = [c.alias(n) for n, c in _features(kind, s).items()]
+        is_strict = F.lit(False) if kind == SECRET else strict(kind, s["token"])
+        return F.struct(s["token"].alias("token"), s["start"].alias("start"), s["end"].alias("end"), is_strict.alias("strict"), labelled(kind, s["token"], s["before"]).alias("label"), *features)
 
     return F.transform(spans, one)
 
 
-def candidate_spans(df: DataFrame, text: str) -> DataFrame:
-    """Adds __cand_<kind>: structs of token, start, end, strict and the features."""
-    for kind in KINDS:
-        df = _matches(df, text, GENERATORS[kind], GUARDS[kind], f"__cand_{kind}")
-        df = df.withColumn(f"__cand_{kind}", _coded(f"__cand_{kind}", text, kind))
+def candidate_spans(df: DataFrame, text: str, kinds: list[str] = ALL_KINDS) -> DataFrame:
+    """Adds __cand_<kind>: structs of token, start, end, strict, label and the features."""
+    for kind in kinds:
+        df = _matches(df, text, GENERATORS[kind], GUARDS[kind], f"__cand_{kind}", sides=True)
+        df = df.withColumn(f"__cand_{kind}", _coded(f"__cand_{kind}", kind))
     return df
 
 
-FEATURES = ["digits", "first", "spaces", "hyphens", "dots", "others", "brackets", "left", "right", "context"]
+FEATURES = ["digits", "first", "spaces", "hyphens", "dots", "others", "brackets", "left", "right", "context", "length", "upper", "lower", "hex"]
 
 
 @dataclass
@@ -228,14 +282,17 @@ def _best_split(rows: list[dict], grad: list[float], hess: list[float], idx: lis
 
 
 def boost(rows: list[dict]) -> Boosted:
-    """Fits the trees of one kind to counted feature rows (n, pos); even and odd folds train and calibrate."""
-    train = [r for r in rows if r["fold"] == 0]
+    """Fits the trees of one kind to counted feature rows (n, pos, loose, loose_pos); even and odd folds train and calibrate."""
+    train, rest = [r for r in rows if r["fold"] == 0], [r for r in rows if r["fold"] == 1]
     n, pos = sum(r["n"] for r in train), sum(r["pos"] for r in train)
     if not pos or pos == n:
-        return Boosted() if not pos else Boosted(offset=3.0)
+        model = Boosted() if not pos else Boosted(offset=3.0)
+        model.threshold = _calibrated(model, rest)
+        return model
     model = Boosted(offset=math.log(pos / (n - pos)))
     score = [model.offset] * len(train)
-    leaf = lambda idx, g, h: -RATE * sum(g[i] for i in idx) / (sum(h[i] for i in idx) + 1)
+    step = lambda idx, g, h: RATE * sum(g[i] for i in idx) / (sum(h[i] for i in idx) + 1)
+    leaf = lambda idx, g, h: -max(-STEP, min(STEP, step(idx, g, h)))
     for _ in range(ROUNDS):
         p = [1 / (1 + math.exp(-s)) for s in score]
         g = [r["n"] * q - r["pos"] for r, q in zip(train, p, strict=True)]
@@ -256,13 +313,13 @@ def boost(rows: list[dict]) -> Boosted:
         model.trees.append(tree)
         one = Boosted(0.0, [tree])
         score = [s + one.value(r) for s, r in zip(score, train, strict=True)]
-    model.threshold = _calibrated(model, [r for r in rows if r["fold"] == 1])
+    model.threshold = _calibrated(model, rest)
     return model
 
 
 def _calibrated(model: Boosted, rows: list[dict]) -> float:
-    """The smallest probability above which PRECISION of SUPPORT candidates or more pass the strict check."""
-    scored = sorted(((1 / (1 + math.exp(-model.value(r))), r["n"], r["pos"]) for r in rows), reverse=True)
+    """The smallest probability above which PRECISION of SUPPORT loose candidates or more are labelled."""
+    scored = sorted(((1 / (1 + math.exp(-model.value(r))), r["loose"], r["loose_pos"]) for r in rows if r["loose"]), reverse=True)
     n = pos = 0
     found = 2.0
     for k, (p, a, b) in enumerate(scored):
@@ -275,7 +332,8 @@ def _calibrated(model: Boosted, rows: list[dict]) -> float:
 def _counted(kind: str) -> Column:
     """What the trees learn from: fold, label and features of each candidate of a kind."""
     fold = lambda s: F.pmod(F.xxhash64(s["token"]), F.lit(2)).cast("int")
-    return F.transform(f"__cand_{kind}", lambda s: F.struct(F.lit(kind).alias("kind"), fold(s).alias("fold"), s["strict"].cast("int").alias("strict"), *[s[f].alias(f) for f in FEATURES]))
+    flags = lambda s: [s["strict"].cast("int").alias("strict"), (s["strict"] | s["label"]).cast("int").alias("label")]
+    return F.transform(f"__cand_{kind}", lambda s: F.struct(F.lit(kind).alias("kind"), fold(s).alias("fold"), *flags(s), *[s[f].alias(f) for f in FEATURES]))
 
 
 def _ranked(spans: str, rank: int) -> Column:
@@ -283,71 +341,123 @@ def _ranked(spans: str, rank: int) -> Column:
 
 
 def _selected(kind: str, rank: int, model: Boosted) -> Column:
-    """Candidates that fail the strict check and reach the threshold."""
-    loose = F.filter(f"__cand_{kind}", lambda s: ~s["strict"])
-    scored = F.transform(loose, lambda s: F.struct(model.expression(s).alias("p"), F.lit(rank).alias("rank"), s["start"].alias("start"), s["end"].alias("end")))
+    """Candidates that reach the threshold; those that are base spans go later, as they overlap them."""
+    scored = F.transform(f"__cand_{kind}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), model.expression(s).alias("p"), F.lit(rank).alias("rank")))
     return F.filter(scored, lambda s: s["p"] >= model.threshold)
 
 
+LEAST = -(2**31) + 1
+
+
+def _apart(base: Column, new: Column) -> Column:
+    """Of new spans those that overlap none of the base, in order of start.
+
+    A span's neighbours tell: the furthest end of the base spans that start before it, and the next start of one.
+    """
+    mixed = lambda a, is_new: F.transform(a, lambda s: F.struct(s["start"].alias("start"), F.lit(is_new).alias("new"), s["end"].alias("end"), (s["p"] if is_new else F.lit(0.0)).alias("p"), s["rank"].alias("rank")))
+    most = lambda a, x: F.greatest(a, x)
+
+    def free(both: Column) -> Column:
+        ends = _running(F.transform(both, lambda s: F.when(s["new"] == 0, s["end"]).otherwise(-1)), F.lit(-1), most)
+        starts = F.reverse(_running(F.transform(F.reverse(both), lambda s: F.when(s["new"] == 0, -s["start"]).otherwise(LEAST)), F.lit(LEAST), most))
+        rows = F.arrays_zip(both.alias("s"), ends.alias("end"), starts.alias("next"))
+        return F.transform(F.filter(rows, lambda r: (r["s"]["new"] == 1) & (r["end"] <= r["s"]["start"]) & (-r["next"] >= r["s"]["end"])), lambda r: r["s"])
+
+    return _let(F.array_sort(F.concat(mixed(base, 0), mixed(new, 1))), free)
+
+
+def _unbeaten(new: Column) -> Column:
+    """Of candidates in order of start, those that no overlapping one beats."""
+
+    def beats(d: Column, c: Column) -> Column:
+        first = (d["rank"] < c["rank"]) | ((d["rank"] == c["rank"]) & (d["start"] < c["start"]))
+        return (d["start"] < c["end"]) & (c["start"] < d["end"]) & ((d["p"] > c["p"]) | ((d["p"] == c["p"]) & first))
+
+    def kept(all_: Column) -> Column:
+        around = lambda i: F.slice(all_, F.greatest(i - REACH + 1, F.lit(1)), F.lit(2 * REACH + 1))
+        return F.filter(all_, lambda c, i: ~F.exists(around(i), lambda d: beats(d, c)))
+
+    return F.transform(_let(new, kept), lambda c: F.struct(c["rank"].alias("rank"), c["start"].alias("start"), c["end"].alias("end")))
+
+
 def fit(df: DataFrame, text: str = "text") -> dict[str, Boosted]:
-    """Boosted trees for each kind; counts over all documents, one row for each combination of features comes to the driver."""
+    """Boosted trees for each kind; counts over all documents, one row for each combination of features comes to the driver.
+
+    There are at most about 250,000 combinations of the numeric kinds and 10,000 of secrets, some hundreds in practice.
+    """
     seen = candidate_spans(df.select(F.coalesce(F.col(text), F.lit("")).alias("text")), "text")
     rows = (
-        seen.select(F.explode(F.concat(*[_counted(k) for k in KINDS])).alias("c"))
+        seen.select(F.explode(F.concat(*[_counted(k) for k in ALL_KINDS])).alias("c"))
         .select("c.*")
         .groupBy("kind", "fold", *FEATURES)
-        .agg(F.count("*").alias("n"), F.sum("strict").alias("pos"))
+        .agg(F.count("*").alias("n"), F.sum("label").alias("pos"), F.sum(1 - F.col("strict")).alias("loose"), F.sum((1 - F.col("strict")) * F.col("label")).alias("loose_pos"))
         .collect()
     )
     rows = sorted((r.asDict() for r in rows), key=lambda r: tuple(r[c] for c in ("kind", "fold", *FEATURES)))
-    return {k: boost([r for r in rows if r["kind"] == k]) for k in KINDS}
+    return {k: boost([r for r in rows if r["kind"] == k]) for k in ALL_KINDS}
+
+
+def columns(df: DataFrame) -> tuple[str, str]:
+    """The names that find() gives its columns beside those of a table: pii_base and pii_spans, unless they are taken."""
+    return common.free(df, "pii_base"), common.free(df, "pii_spans")
 
 
 def find(df: DataFrame, models: dict[str, Boosted], text: str = "text") -> DataFrame:
-    """Adds pii_base and pii_spans: arrays of structs (kind, start, end) in order of kind, then start."""
-    names, spans = df.columns, ["pii_base", "pii_spans"]
+    """Adds pii_base and pii_spans (or as columns() says): arrays of structs (kind, start, end) in order of kind, then start."""
+    names, spans = df.columns, columns(df)
     inner = {c: f"in_{i}" for i, c in enumerate(names)}  # no clash with the columns made here
     df = df.select([F.col(f"`{c}`").alias(n) for c, n in inner.items()])
     df = df.withColumn("__text", F.coalesce(F.col(inner[text]), F.lit("")))
-    df = candidate_spans(base_spans(df, "__text"), "__text")
+    active = [k for k in ALL_KINDS if k in models and models[k].threshold <= 1]
+    df = candidate_spans(base_spans(df, "__text"), "__text", active)
     df = df.withColumn("__base", F.concat(*[_ranked(f"__base_{k}", i) for i, k in enumerate(KINDS)]))
-    added = [_selected(k, i, models[k]) for i, k in enumerate(KINDS) if models[k].threshold <= 1]
-    plain = df.withColumn("__new", F.concat(*added) if added else F.array().cast("array<struct<p:double,rank:int,start:int,end:int>>"))
-    free = F.filter("__new", lambda c: ~F.exists("__base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    plain = plain.withColumn("__new", free)
-    beaten = lambda c: F.exists("__new", lambda d: (d["start"] < c["end"]) & (c["start"] < d["end"]) & ((d["p"] > c["p"]) | ((d["p"] == c["p"]) & ((d["rank"] < c["rank"]) | ((d["rank"] == c["rank"]) & (d["start"] < c["start"]))))))
-    kept = F.transform(F.filter("__new", lambda c: ~beaten(c)), lambda c: F.struct(c["rank"].alias("rank"), c["start"].alias("start"), c["end"].alias("end")))
-    kinds = F.array(*[F.lit(k) for k in KINDS])
+    none = F.array().cast("array<struct<rank:int,start:int,end:int>>")
+    kept = none
+    if active:
+        new = F.concat(*[_selected(k, ALL_KINDS.index(k), models[k]) for k in active])
+        kept = _let(new, lambda n: F.when(F.size(n) > 0, _unbeaten(_apart(F.col("__base"), n))).otherwise(none))
+    kinds = F.array(*[F.lit(k) for k in ALL_KINDS])
     named = lambda a: F.transform(a, lambda s: F.struct(F.element_at(kinds, s["rank"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    out = plain.withColumn("pii_base", named(F.col("__base"))).withColumn("pii_spans", named(F.array_sort(F.concat("__base", kept))))
-    return out.select(*[F.col(n).alias(c) for c, n in inner.items() if c not in spans], *spans)
+    out = df.withColumn(spans[0], named(F.col("__base"))).withColumn(spans[1], named(F.array_sort(F.concat("__base", kept))))
+    return out.select(*[F.col(n).alias(c) for c, n in inner.items()], *spans)
 
 
 def redact(df: DataFrame, text: str = "text", spans: str = "pii_spans") -> DataFrame:
-    """Replaces every span by its kind in brackets; overlapping spans become one, with the kind of the first."""
+    """Replaces every span by its kind in brackets; overlapping spans become one, with the kind of the first.
+
+    The text is cut into blocks first, so that no piece is looked for from the front of a long text.
+    """
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.upper(s["kind"]).alias("kind"))))
-    none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    last = lambda acc: F.element_at(acc, -1)
-    merged = F.aggregate(
-        ordered,
-        none,
-        lambda acc, s: F.when((F.size(acc) == 0) | (s["start"] >= F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0))), F.concat(acc, F.array(s))).otherwise(
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], s["end"]).alias("end"), last(acc)["kind"].alias("kind"))))
-        ),
-    )
-    at = common.free(df, "__merged")
-    df = df.withColumn(at, F.when(F.size(spans) > 0, merged).otherwise(none))
-    from_end = lambda i: F.when(i == 0, 0).otherwise(F.get(at, i - 1)["end"])
-    pieces = F.transform(at, lambda s, i: F.concat(F.substring(F.col(text), from_end(i) + 1, s["start"] - from_end(i)), F.lit("["), s["kind"], F.lit("]")))
-    rest = F.substring(F.col(text), F.element_at(at, -1)["end"] + 1, F.length(text))
-    return df.withColumn(text, F.when(F.size(at) > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col(text))).drop(at)
+
+    def merged(s: Column) -> Column:
+        """(start, kind, end, before) of runs of overlapping spans; before is the end of the run before."""
+        ends = _running(F.transform(s, lambda x: x["end"]), F.lit(0), lambda a, x: F.greatest(a, x))
+        rows = _let(ends, lambda e: F.arrays_zip(s.alias("s"), e.alias("end"), F.concat(F.array(F.lit(0)), F.slice(e, 1, F.size(e) - 1)).alias("before")))
+        heads = lambda r: F.filter(r, lambda x: x["s"]["start"] >= x["before"])
+        # a run ends where the next one's "before" says, the last one at the end of all
+        return _let(rows, lambda r: _let(heads(r), lambda h: F.zip_with(h, F.concat(F.slice(F.transform(h, lambda x: x["before"]), 2, F.size(h)), F.array(F.element_at(r, -1)["end"])), lambda x, end: F.struct(x["s"]["start"].alias("start"), x["s"]["kind"].alias("kind"), end.alias("end"), x["before"].alias("before")))))
+
+    def piece(parts: Column, low: Column, high: Column) -> Column:
+        """Code points low to high of a text in blocks."""
+        first = F.floor(low / TEXT_BLOCK).cast("int")
+        last = F.floor(F.greatest(high - 1, low) / TEXT_BLOCK).cast("int")
+        return F.substring(F.array_join(F.slice(parts, first + 1, last - first + 1), ""), low - first * TEXT_BLOCK + 1, high - low)
+
+    def cut(x: Column) -> Column:
+        parts, runs = x["parts"], x["runs"]
+        front = F.transform(runs, lambda r: F.concat(piece(parts, r["before"], r["start"]), F.lit("["), r["kind"], F.lit("]")))
+        return F.concat(F.array_join(front, ""), piece(parts, F.element_at(runs, -1)["end"], F.length(text)))
+
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{TEXT_BLOCK}}}"), 0)
+    changed = _let(F.struct(parts.alias("parts"), _let(ordered, merged).alias("runs")), cut)
+    return df.withColumn(text, F.when(F.size(spans) > 0, changed).otherwise(F.col(text)))
 
 
 def op1_pii(spark, sf_dir: str) -> DataFrame:
-    """Spans of personal data of every document."""
+    """Spans of personal data of every document; those of secrets stand behind the other kinds."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find(docs, fit(docs))
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.array_remove(F.col("pii_base.kind"), "")).cast("long") - F.size(F.array_remove(F.col("pii_base.kind"), k)) for k in KINDS]
-    counts = [c.cast("long").alias(f"n_{k}") for c, k in zip(counts, KINDS, strict=True)]
-    return found.select("doc_id", *counts, F.sha2(joined("pii_base"), 256).alias("base_sha256"), joined("pii_spans").alias("spans"))
+    counts = [F.size(F.filter("pii_base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    added = (F.size("pii_spans") - F.size("pii_base")).cast("long").alias("n_added")
+    return found.select("doc_id", *counts, F.sha2(joined("pii_base"), 256).alias("base_sha256"), joined("pii_spans").alias("spans"), added)
