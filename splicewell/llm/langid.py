@@ -3,7 +3,8 @@
 A suffix automaton is built from a bounded sample of labelled text for each
 language. A document is parsed greedily against each automaton: a phrase is the
 longest match, and the next phrase starts where it ended. The language that
-needs the fewest phrases for each character wins.
+needs the fewest phrases for each character wins. Where even that one needs
+nearly as many as for random letters, the text isn't known as that language.
 
 Automata are complete transition tables (state x letter class), so that many
 text segments step through all languages at once as numpy vectors.
@@ -11,7 +12,8 @@ text segments step through all languages at once as numpy vectors.
 Defined results: null text, or text without a letter, gives ``und`` with score
 0; equal phrase counts go to the language that sorts first; repeated rows get
 the same result each; extra columns stay as they are; with no labelled row at
-all every document is ``und``.
+all every document is ``und``. A language is never held against a text where
+the sample has no passages left to tell what it may look like.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ RARE = 8
 #: Characters that step together.
 BLOCK_CHARS = 1_500_000
 FAIL = 1
+#: Phrases that any text may have beyond its language's limit; so short texts are hardly ever foreign.
+SLACK = 12
 
 
 @dataclass
@@ -47,6 +51,8 @@ class Model:
     letters: str
     width: int
     tables: list[np.ndarray]
+    #: Phrases for each code beyond which a text isn't taken for that language.
+    limits: list[float]
 
 
 def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
@@ -116,7 +122,12 @@ def _codes(text: str, classes: np.ndarray) -> np.ndarray:
 
 
 def _phrases(model: Model, texts: list[np.ndarray]) -> np.ndarray:
-    """Phrases of each text and language; segments step together, longest first."""
+    """Phrases of each text and language.
+
+    Texts are cut into segments that step together. Each is parsed as if a phrase began at its cut, and again
+    from the state that the segment before it ended in, until both parses are in one state; where a segment's
+    last state changes by that, the one behind it is parsed again. So counts are those of the whole text's parse.
+    """
     owner, parts = [], []
     for i, t in enumerate(texts):
         for a in range(0, len(t), SEGMENT):
@@ -124,30 +135,60 @@ def _phrases(model: Model, texts: list[np.ndarray]) -> np.ndarray:
             parts.append(t[a : a + SEGMENT])
     sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
     order = np.argsort(-sizes, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
     grid = np.zeros((SEGMENT, len(parts)), dtype=np.uint8)
     for k, i in enumerate(order):
         grid[: sizes[i], k] = parts[i]
     active = len(parts) - np.searchsorted(np.sort(sizes), np.arange(SEGMENT), side="right")
     out = np.zeros((len(texts), len(model.languages)))
-    owner = np.asarray(owner, dtype=np.int64)[order]
+    owner = np.asarray(owner, dtype=np.int64)
+    inner = np.flatnonzero(owner[1:] == owner[:-1]) + 1  # segments with one before them
+    before = np.full(len(parts), -1, dtype=np.int64)
+    before[place[inner]] = place[inner - 1]
+    behind = np.full(len(parts), -1, dtype=np.int64)
+    behind[place[inner - 1]] = place[inner]
+    owner, sizes = owner[order], sizes[order]
+    last = np.maximum(sizes - 1, 0)
+    steps = int(sizes.max(initial=0))
+    found = np.zeros((SEGMENT, len(parts)), dtype=np.int32) if len(inner) else None  # the entry taken at each step
     for lang, moves in enumerate(model.tables):
         state = np.full(len(parts), len(moves) - model.width, dtype=np.int32)
-        count = np.zeros(len(parts), dtype=np.int32)
-        for step in range(int(sizes.max(initial=0))):
+        count = np.zeros(len(parts), dtype=np.int64)
+        for step in range(steps):
             n = active[step]
             s = state[:n]
             s += grid[step, :n]
             got = moves.take(s)
             count[:n] += got & 1
+            if found is not None:
+                found[step, :n] = got
             np.right_shift(got, 1, out=s)
+        again = place[inner]
+        while len(again):
+            old = found[last[again], again].copy()
+            who, s = again, found[last[before[again]], before[again]] >> 1
+            for step in range(steps):
+                going = step < sizes[who]
+                who, s = who[going], s[going]
+                if not len(who):
+                    break
+                got, was = moves.take(s + grid[step, who]), found[step, who]
+                count[who] += (got & 1) - (was & 1)
+                found[step, who] = got
+                apart = (got >> 1) != (was >> 1)
+                who, s = who[apart], (got >> 1)[apart]
+            changed = again[(found[last[again], again] >> 1) != (old >> 1)]
+            again = behind[changed]
+            again = again[again >= 0]
         out[:, lang] = np.bincount(owner, weights=count, minlength=len(texts))
     return out
 
 
-def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    """Language and score of each text."""
+def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+    """Language and score of each text, and whether it parses as that language at all."""
     classes = _classes(model.letters)
-    languages, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+    languages, scores, known = [UNDETERMINED] * len(texts), [0.0] * len(texts), [False] * len(texts)
     block: list[tuple[int, np.ndarray]] = []
     chars = 0
 
@@ -157,6 +198,7 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
             best = int(row.argmin())
             languages[i] = model.languages[best]
             scores[i] = float(1 / np.exp(np.clip(row[best] - row, -50, 0)).sum())
+            known[i] = bool(row[best] <= model.limits[best] * len(t) + SLACK)
 
     for i, text in enumerate(texts):
         if not text or not model.languages:
@@ -171,7 +213,7 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
             block, chars = [], 0
     if block:
         flush()
-    return languages, scores
+    return languages, scores, known
 
 
 def fit(train: DataFrame, text: str, lang: str, key: str) -> Model:
@@ -184,7 +226,7 @@ def fit(train: DataFrame, text: str, lang: str, key: str) -> Model:
     )
     counts = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return Model([], "", 2, [])
+        return Model([], "", 2, [], [])
     size = min(CHARS_PER_LANGUAGE, CHARS_IN_ALL // len(counts))
     wanted = 2 * size / PASSAGE + 20
     rates = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, wanted / n))])
@@ -209,27 +251,50 @@ def fit(train: DataFrame, text: str, lang: str, key: str) -> Model:
     classes = _classes(letters)
     languages = sorted(passages)
     tables = []
+    rest: dict[str, list[np.ndarray]] = {}
     for k in languages:
         codes: list[int] = []
+        rest_of = []
         for t in passages[k]:
-            codes += [0, *_codes(t, classes).tolist()]
             if len(codes) >= size:
-                break
+                rest_of.append(_codes(t, classes))
+            else:
+                codes += [0, *_codes(t, classes).tolist()]
         tables.append(suffix_automaton(codes[:size], width))
-    return Model(languages, letters, width, tables)
+        rest[k] = rest_of
+    model = Model(languages, letters, width, tables, [float("inf")] * len(languages))
+    model.limits = _limits(model, [rest[k] for k in languages])
+    return model
+
+
+def _limits(model: Model, passages: list[list[np.ndarray]]) -> list[float]:
+    """Half-way, as a ratio, from the phrases of passages that the automata don't hold to those of the same letters in random order."""
+    rng, out = np.random.default_rng(11), []
+    for lang, found in enumerate(passages):
+        size = sum(map(len, found))
+        if size < PASSAGE:
+            out.append(float("inf"))
+            continue
+        mixed = [rng.permutation(t) for t in found]
+        own, noise = (_phrases(model, x)[:, lang].sum() / size for x in (found, mixed))
+        out.append(float(np.sqrt(own * max(own, noise))))
+    return out
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", into: str = "language") -> DataFrame:
-    """Adds a struct (lang, score) for each row's whole text."""
-    common.small_batches(df.sparkSession)
+    """Adds a struct (lang, score, known) for each row's whole text, under the name common.free() gives.
+
+    known: whether the text has no more phrases than text of that language may have; lang is the best in any case.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by CHARS_IN_ALL x two states x MAX_CLASSES
 
-    @F.arrow_udf("struct<lang:string,score:double>")
+    @F.arrow_udf("struct<lang:string,score:double,known:boolean>")
     def run(texts: pa.Array) -> pa.Array:
-        languages, scores = predict(shared.value, texts.to_pylist())
-        return pa.StructArray.from_arrays([pa.array(languages, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
+        found = [predict(shared.value, part.to_pylist()) for part in common.slices(texts)] or [([], [], [])]
+        columns = [[x for f in found for x in f[i]] for i in range(3)]
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.bool_()), strict=True)], ["lang", "score", "known"])
 
-    return df.withColumn(into, run(F.col(text)))
+    return df.withColumn(common.free(df, into), run(F.col(text)))
 
 
 def train_rows(docs: DataFrame) -> DataFrame:
