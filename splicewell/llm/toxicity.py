@@ -11,7 +11,8 @@ other part of the sample turns it into a score.
 
 Defined results: null and empty texts score like texts without any hit;
 repeated rows get the same result each; labels that are null are not used, and
-of several labels for one document the larger counts; extra columns stay; with
+of several labels for one document the larger counts; extra columns stay, and where
+one has the name asked for, the score gets that name after underscores; with
 no labelled rows, or none of one kind, every document scores 0.
 """
 
@@ -107,9 +108,15 @@ def hits(text: str, automaton: ahocorasick.Automaton) -> dict[int, tuple[int, fl
             free.append((start, end))
         elif start not in found or found[start][0] < size:
             found[start] = (size, w)
-    for a, b in free:
-        for start in [s for s in found if a <= s < b]:
-            del found[start]
+    if free:
+        covered, free = 0, sorted(free)
+        reach = -1  # the furthest end of the exceptions that start so far
+        for start in sorted(found):
+            while covered < len(free) and free[covered][0] <= start:
+                reach = max(reach, free[covered][1])
+                covered += 1
+            if start < reach:
+                del found[start]
     return found
 
 
@@ -160,7 +167,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN) -> Model:
     """Lexicon, exceptions and curve. Counts are made on the executors; what comes to the driver is bounded by the lexicon and the sample."""
-    common.small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, bound).persist()
     try:
         n = {(r["part"], r["toxic"]): r["n"] for r in sample.groupBy("part", F.col("toxic").cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
@@ -170,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN) -> Model:
 
         @F.arrow_udf("array<string>")
         def words(texts: pa.Array) -> pa.Array:
-            return pa.array([sorted({e for w in set(folded(t).split()) for e in entries_of(w)}) for t in texts.to_pylist()], pa.list_(pa.string()))
+            return pa.array([sorted({e for w in set(folded(t).split()) for e in entries_of(w)}) for t in common.values(texts)], pa.list_(pa.string()))
 
         smooth = 0.5
         weight = F.log((F.col("n1") + smooth) / (n1 + 2 * smooth)) - F.log((F.col("n0") + smooth) / (n0 + 2 * smooth))
@@ -217,7 +223,7 @@ def _exceptions(sample: DataFrame, model: Model, n0: int, n1: int) -> list[str]:
     def phrases(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = Model(shared.value).automaton()
         for texts in batches:
-            yield pa.array([_around(folded(t), automaton) for t in texts.to_pylist()], pa.list_(pa.string()))
+            yield pa.array([_around(folded(t), automaton) for t in common.values(texts)], pa.list_(pa.string()))
 
     rows = (
         sample.where("part = 0")
@@ -232,14 +238,13 @@ def _exceptions(sample: DataFrame, model: Model, n0: int, n1: int) -> list[str]:
 
 
 def _intensity_udf(df: DataFrame, model: Model):
-    common.small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # at most MAX_ENTRIES entries
 
     @F.arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = shared.value.automaton()
         for texts in batches:
-            yield pa.array([intensity(folded(t), automaton) for t in texts.to_pylist()], pa.float64())
+            yield pa.array([intensity(folded(t), automaton) for t in common.values(texts)], pa.float64())
 
     return run
 
@@ -253,7 +258,8 @@ def _curve(sample: DataFrame, model: Model) -> tuple[float, float]:
 
 
 def score(df: DataFrame, model: Model, text: str = "text", into: str = "toxicity") -> DataFrame:
-    """Adds the score of each row's whole text, 0 to 1; higher is likelier toxic."""
+    """Adds the score of each row's whole text, 0 to 1; higher is likelier toxic. It gets the name common.free() gives."""
+    into = common.free(df, into)
     if not model.weights:
         return df.withColumn(into, F.lit(0.0))
     x = _intensity_udf(df, model)(F.col(text))
