@@ -1,12 +1,13 @@
 """I-Match document fingerprints with randomised lexicons.
 
 The lexicon holds the terms within a band of inverse document frequency: in
-at most MOST of the documents, in at least LEAST of them, and of these the
-LEXICON most frequent (so its size is bounded whatever the corpus). A document's
-distinct lexicon terms are sorted; several random subsets of the lexicon, of
+at most MOST of the documents, and in at least LEAST of them. As a document
+counts once for each of its distinct terms, there are at most (distinct terms in
+a document, on average) / LEAST terms in the band, whatever the size of the
+corpus. A document's distinct lexicon terms, and the FEW terms of all its own
+with the smallest hashes, are sorted; several random subsets of the lexicon, of
 sampling rates 1/2, 1/4, ... each keep some of them, and each subset's sorted
-terms are hashed. A document with fewer than FEW lexicon terms uses all its
-terms instead.
+terms are hashed.
 
 The fingerprint is the list of these hashes, four hex digits each, ``0000``
 where a subset keeps nothing of the document. Likeness of two fingerprints is
@@ -23,7 +24,9 @@ it is the only one.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,12 +37,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-LEAST, MOST = 1 / 5000, 1 / 4
-LEXICON = 100_000
+LEAST, MOST = 1 / 1000, 1 / 4
 FEW = 8
 SCALES, REPEATS = 10, 14
 OPEN = 0.75
-#: Documents in a range of ids that is dealt out as one, and ranges at most.
+#: Documents in a range of ids that is dealt out as one; beyond so many ranges, ranges get larger.
 RANGE_ROWS, RANGES = 1500, 50_000
 WORD = re.compile(r"[^\W_]+").findall
 
@@ -55,21 +57,18 @@ def terms(text: str) -> list[int]:
 
 
 def lexicon(df: DataFrame, text: str) -> tuple[int, ...]:
-    """Term hashes within the band, counted over all documents; at most LEXICON come to the driver."""
-
-    common.small_batches(df.sparkSession)
+    """Term hashes within the band, counted over all documents; the driver gets the band, whose size doesn't grow with the corpus."""
 
     @F.arrow_udf("array<long>")
     def run(texts: pa.Array) -> pa.Array:
-        found = [np.array(terms(t or ""), dtype=np.uint64).view(np.int64) for t in texts.to_pylist()]
+        found = [np.array(terms(t or ""), dtype=np.uint64).view(np.int64) for t in common.values(texts)]
         sizes = np.cumsum([0, *map(len, found)])
         return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
 
     n = df.count()
     counted = df.select(F.explode(run(F.col(text))).alias("term")).groupBy("term").count()
     band = counted.where(F.col("count").between(max(2, n * LEAST), max(2, n * MOST)))
-    rows = band.orderBy(F.desc("count"), "term").limit(LEXICON).collect()
-    return tuple(sorted(r["term"] for r in rows))
+    return tuple(sorted(r["term"] for r in band.select("term").collect()))
 
 
 class Prints:
@@ -81,13 +80,11 @@ class Prints:
     def of(self, text: str) -> np.ndarray:
         """The 16-bit hashes of a text's subsets."""
         all_terms = terms(text)
-        kept = [t for t in all_terms if t in self.lexicon]
-        if len(kept) < FEW:
-            kept = all_terms
+        kept = self.lexicon.intersection(all_terms).union(heapq.nsmallest(FEW, all_terms))
         out = np.zeros(len(_SALTS), dtype=np.uint16)
         if not kept:
             return out
-        ordered = np.sort(np.array(kept, dtype=np.uint64))
+        ordered = np.sort(np.fromiter(kept, dtype=np.uint64, count=len(kept)))
         inside = ordered.astype(np.uint32)[None, :] * _SALTS < _LIMITS
         rows, columns = np.nonzero(inside)
         blob, h = ordered[columns].tobytes(), xxhash.xxh64_intdigest
@@ -115,62 +112,78 @@ def written(a: np.ndarray) -> str:
     return a.astype(">u2").tobytes().hex()
 
 
-def _position(key: Column, bounds: list[int]) -> Column:
-    """How many of the ascending bounds are at most key; looks at every k-th first."""
-    if not bounds:
-        return F.lit(0)
-    step = max(1, int(len(bounds) ** 0.5))
-    every = F.array(*[F.lit(b) for b in bounds[::step]])
-    coarse = F.size(F.filter(every, lambda b: b <= key))
-    start = F.greatest(coarse - 1, F.lit(0)) * step
-    part = F.slice(F.array(*[F.lit(b) for b in bounds]), start + 1, F.lit(step))
-    return start + F.size(F.filter(part, lambda b: b <= key))
+def _bounds(keys: DataFrame, n: int) -> list[tuple[int, int]]:
+    """Where n ranges of about equal size begin, in order of (key, hash): about n pairs.
 
+    Places between different keys come from the keys' quantiles; a key with more rows than a range is cut by hash.
+    """
+    if n < 2:
+        return []
+    found = keys.agg(F.percentile_approx("__key", [i / n for i in range(1, n)], max(10_000, 5 * n)).alias("b")).first()["b"]
+    hits: dict[int, int] = {}
+    for b in found:
+        hits[b] = hits.get(b, 0) + 1
+    out = []
+    for b, times in hits.items():
+        out.append((b, -(2**63)))
+        if times > 1:  # about so many ranges lie within one key
+            out += [(b, -(2**63) + k * (2**64 // times)) for k in range(1, times)]
+            out.append((b + 1, -(2**63)))
+    return sorted(set(out))
+
+
+def in_order(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Deals rows out by ranges of (key, hash of the text), in order within, each range with a copy of the next range's first row.
+
+    Adds __range, __key, __hash and __copy (whether the row is such a copy). The last range gets a copy of the first row of
+    all. What comes to the driver and is sent to the tasks are the ranges' bounds and first rows, two longs each. Rows
+    that are equal in key and text stay in one range.
+    """
+    session = df.sparkSession
+    df = df.withColumn("__key", F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))).withColumn("__hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    keys = df.select("__key", "__hash")
+    n = max(1, min(RANGES, keys.count() // RANGE_ROWS))
+    bounds = session.sparkContext.broadcast(_bounds(keys, n))
 
-def in_order(df: DataFrame, key: str) -> DataFrame:
-    """Deals rows out by ranges of the key, in order within, each range with a copy of the next range's first rows.
+    @F.arrow_udf("int")
+    def position(key: pa.Array, hash_: pa.Array) -> pa.Array:
+        return pa.array([bisect_right(bounds.value, x) for x in zip(key.to_pylist(), hash_.to_pylist(), strict=True)], pa.int32())
 
-    Adds __range, __key and __copy (whether the row is such a copy). The last range gets a copy of the first rows of all.
-    Ranges start at keys that occur; the ranges' starts are the only thing that comes to the driver.
-    """
-    df = df.withColumn("__key", F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))))
-    head = df.agg(F.count("*").alias("n"), F.min("__key").alias("least")).first()
-    n = max(1, min(RANGES, head["n"] // RANGE_ROWS))
-    bounds: list[int] = []
-    if n > 1:
-        found = df.agg(F.percentile_approx("__key", [i / n for i in range(1, n)], 20 * n).alias("b")).first()["b"]
-        bounds = sorted(set(found) - {head["least"]})
-    last = len(bounds)
-    starts = {b: i for i, b in enumerate(bounds)} | ({} if head["least"] is None else {head["least"]: last})
-    before = F.element_at(F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]), F.col("__key")) if starts else F.lit(None).cast("int")
-    own = F.struct(_position(F.col("__key"), bounds).cast("int").alias("range"), F.lit(False).alias("copy"))
-    copy = F.struct(before.alias("range"), F.lit(True).alias("copy"))
-    to = F.explode(F.when(before.isNull(), F.array(own)).otherwise(F.array(own, copy)))
-    dealt = df.withColumn("__to", to).withColumn("__range", F.col("__to.range")).withColumn("__copy", F.col("__to.copy")).drop("__to")
-    return dealt.repartition(max(1, last + 1), "__range")
+    first = keys.groupBy(position("__key", "__hash").alias("range")).agg(F.min(F.struct("__key", "__hash")).alias("first")).collect()
+    first = sorted((r["range"], tuple(r["first"])) for r in first)
+    # the first row of a range goes to the range before it, that of the first one to the last
+    copies = session.sparkContext.broadcast({x: first[i - 1][0] for i, (_, x) in enumerate(first)})
+
+    @F.arrow_udf("array<int>")
+    def places(key: pa.Array, hash_: pa.Array) -> pa.Array:
+        out = []
+        for x in zip(key.to_pylist(), hash_.to_pylist(), strict=True):
+            to = copies.value.get(x)
+            out.append([bisect_right(bounds.value, x)] + ([] if to is None else [to]))
+        return pa.array(out, pa.list_(pa.int32()))
+
+    dealt = df.select("*", F.posexplode(places("__key", "__hash")).alias("__copy", "__range")).withColumn("__copy", F.col("__copy") > 0)
+    return dealt.repartition(max(1, len(first)), "__range")
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def fingerprint(df: DataFrame, known: tuple[int, ...], text: str = "text", into: str = "fingerprint") -> DataFrame:
-    """Adds the fingerprint of each row's whole text, for a lexicon made by lexicon()."""
-    shared = df.sparkSession.sparkContext.broadcast(known)  # at most LEXICON longs
-
-    common.small_batches(df.sparkSession)
+    """Adds the fingerprint of each row's whole text, for a lexicon made by lexicon(), under the name common.free() gives."""
+    shared = df.sparkSession.sparkContext.broadcast(known)
 
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         prints = Prints(shared.value)
         for texts in batches:
-            yield pa.array([written(prints.of(t or "")) for t in texts.to_pylist()], pa.string())
+            yield pa.array([written(prints.of(t or "")) for t in common.values(texts)], pa.string())
 
-    return df.withColumn(into, run(F.col(text)))
+    return df.withColumn(common.free(df, into), run(F.col(text)))
 
 
 def with_edits(df: DataFrame, known: tuple[int, ...], text: str = "text", key: str = "doc_id") -> DataFrame:
     """Fingerprints of every document and of its edited text: its last half gives way to the front of the next document."""
-    common.small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(known)
     names = [x.split()[0] for x in RESULT.split(", ")]
 
@@ -179,7 +192,7 @@ def with_edits(df: DataFrame, known: tuple[int, ...], text: str = "text", key: s
         last = None  # (range, id, text, fingerprint) of the row that waits for its next one
         for batch in batches:
             rows = []
-            for at, copy, key_, text_ in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for at, copy, key_, text_ in (row for part in common.slices(batch) for row in zip(*[c.to_pylist() for c in part.columns], strict=True)):
                 text_ = text_ or ""
                 mine = prints.of(text_)
                 if last and last[0] == at:
@@ -193,9 +206,9 @@ def with_edits(df: DataFrame, known: tuple[int, ...], text: str = "text", key: s
             kinds = {"doc_id": pa.int64(), "n_chars": pa.int64(), "near_edited": pa.float64(), "near_next": pa.float64()}
             yield pa.RecordBatch.from_arrays([pa.array(c, kinds.get(k, pa.string())) for k, c in zip(names, columns, strict=True)], names=names)
 
-    dealt = in_order(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id")
+    dealt = in_order(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
     # copies sort behind all rows of their range; in the last range their keys are smaller
-    dealt = dealt.sortWithinPartitions("__range", "__copy", "__key", F.xxhash64("text"))
+    dealt = dealt.sortWithinPartitions("__range", "__copy", "__key", "__hash")
     return dealt.select("__range", "__copy", "doc_id", "text").mapInArrow(run, RESULT)
 
 
