@@ -12,8 +12,9 @@ Distances are Euclidean, in double precision on the original vectors.
 
 Defined results: rows with a null id, and vectors that are null, empty, zero or
 hold a null or non-finite component, take no part; a query's candidates are the
-vectors of its own length; repeated rows count once; ties go to the smaller id;
-extra columns are ignored.
+vectors of its own length; repeated rows count once; of several vectors with one
+id that sorting first stands for it; ties go to the smaller id; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -134,10 +135,11 @@ def search(x: np.ndarray, graph: list[tuple[np.ndarray, np.ndarray]], query: np.
 
 
 def usable(df: DataFrame, vector: str, key: str) -> DataFrame:
-    """(vec_id, v) of the rows that take part."""
+    """(vec_id, v) of the rows that take part, one for each id."""
     v = F.col(vector).cast("array<double>")
     finite = F.forall(v, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)))
-    return df.select(F.col(key).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda c: c != 0))
+    rows = df.select(F.col(key).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda c: c != 0))
+    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 INDEX = "dim int, shard int, vectors binary, members array<array<long>>, starts array<binary>, links array<binary>"
