@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from datetime import date
 
@@ -61,11 +62,24 @@ def test_automaton_parses_like_substring_search():
         text = "".join(rng.choice("abcd") for _ in range(90))
         codes = lambda s: [" abcd".index(c) for c in s]
         table = langid.suffix_automaton(codes(corpus), 5)
-        model = langid.Model(["x"], "abcd", 5, [table])
+        model = langid.Model(["x"], "abcd", 5, [table], [1.0])
         found = langid._phrases(model, [np.array(codes(text), dtype=np.uint8)])
         assert found[0, 0] == longest_matches(text, corpus)
 
 
+@pytest.mark.parametrize("segment", [1, 3, 7, 384])
+def test_parses_go_on_over_cuts(monkeypatch, segment):
+    """Texts of many segments have the phrases of the whole text's parse, also where parses meet late."""
+    monkeypatch.setattr(langid, "SEGMENT", segment)
+    rng = random.Random(segment)
+    corpus = "ab" * 40 + "".join(rng.choice("abc") for _ in range(200)) + "abc" * 30
+    codes = lambda s: np.array([" abcd".index(c) for c in s], dtype=np.uint8)
+    model = langid.Model(["x"], "abcd", 5, [langid.suffix_automaton(codes(corpus).tolist(), 5)], [1.0])
+    texts = ["ab" * 300, "".join(rng.choice("abcd") for _ in range(4000)), "abc" * 100 + "abd", "a", "cab" * 37, "".join(rng.choice("ab") for _ in range(900))]
+    found = langid._phrases(model, [codes(t) for t in texts])
+    assert found[:, 0].tolist() == [longest_matches(t, corpus) for t in texts]
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = langid.op7_language(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
@@ -108,6 +122,36 @@ def test_exception_phrases_cancel():
     assert toxicity.intensity(" you trash ", auto) > 0
 
 
+def hits_by_force(text, model):
+    """Longest entry at each place where a word begins, unless an exception covers the place."""
+    out = {}
+    for at in range(len(text)):
+        found = [e for e in model.weights if text.startswith(e, at)]
+        if found and not any(text[a : a + len(x)] == x and a <= at < a + len(x) - 1 for x in model.exceptions for a in range(len(text))):
+            out[at] = max(found, key=len)
+    return out
+
+
+def test_scores_by_force(spark):
+    rng = random.Random(12)
+    model = toxicity.Model({" ab ": 1.5, " abc": 2.0, " abcd ": 3.0, " c ": 1.25, " dd": 0.5}, [" ab c ", " dd abcd ", " c c "], 1.5, -2.0)
+    texts = [" ".join(rng.choice(["ab", "abc", "abcd", "abcde", "c", "d", "dd", "A8", "ddd", "а"]) for _ in range(rng.randint(0, 25))) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in toxicity.score(df, model).collect():
+        t = toxicity.folded(r.text)
+        found = list(hits_by_force(t, model).values())
+        total = sum(model.weights[e] * (1 + np.log(found.count(e))) for e in set(found))
+        x = total / np.sqrt(t.count(" ") + toxicity.LENGTH_OFFSET)
+        assert abs(r.toxicity - 1 / (1 + np.exp(-(1.5 * x - 2)))) < 1e-12
+
+
+def test_many_exceptions_take_linear_time():
+    model = toxicity.Model({" ab ": 1.0}, [" ab c "], 1.0, 0.0)
+    began = time.time()
+    assert toxicity.hits(" " + "ab c " * 100_000, model.automaton()) == {}
+    assert time.time() - began < 5
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (1, None), (2, 0), (5, 0), (None, 1)], "doc_id long, toxic int")
     for docs in (odd, empty):
@@ -231,7 +275,6 @@ def test_components_of_chains(spark):
 
 # personal data
 
-
 def luhn(d):
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
@@ -267,7 +310,7 @@ def test_base_spans_by_force(spark):
 def test_boosting_separates():
     rows = []
     for fold, d in itertools.product((0, 1), range(21)):
-        rows.append({f: 0 for f in pii.FEATURES} | {"digits": d, "fold": fold, "n": 50, "pos": 50 if d >= 16 else 1})
+        rows.append({f: 0 for f in pii.FEATURES} | {"digits": d, "fold": fold, "n": 50, "pos": 50 if d >= 16 else 1, "loose": 40, "loose_pos": 40 if d >= 16 else 1})
     model = pii.boost(rows)
     assert model.threshold <= 1
     p = lambda r: 1 / (1 + np.exp(-model.value(r)))
@@ -278,13 +321,105 @@ def test_expression_equals_trees(spark):
     rows = []
     rng = random.Random(2)
     for fold, d, s in itertools.product((0, 1), range(8), (0, 1)):
-        rows.append({f: 0 for f in pii.FEATURES} | {"digits": d, "spaces": s, "fold": fold, "n": 20, "pos": rng.randint(0, 20)})
+        rows.append({f: 0 for f in pii.FEATURES} | {"digits": d, "spaces": s, "fold": fold, "n": 20, "pos": rng.randint(0, 20), "loose": 0, "loose_pos": 0})
     model = pii.boost(rows)
     df = spark.createDataFrame([tuple(r[f] for f in pii.FEATURES) for r in rows], ", ".join(f"{f} int" for f in pii.FEATURES))
     got = df.select(model.expression(F.struct(*pii.FEATURES)).alias("p")).collect()
     assert np.allclose([g.p for g in got], [1 / (1 + np.exp(-model.value(r))) for r in rows])
 
 
+def candidates_by_force(t, kind):
+    import regex
+
+    return [(kind, m.start(), m.end()) for m in regex.finditer(pii.GENERATORS[kind], t)]
+
+
+def test_added_spans_by_force(spark, monkeypatch):
+    """With every loose candidate at the threshold: overlap with base spans, overlap of candidates, order; in small blocks too."""
+    rng = random.Random(8)
+    bits = ["jo (at) host (dot) org", "a@b", "0049 30 1234567", "x@y.example.org", "10.0.0.1", "10, 0, 0, 1", "password=abc123", "token: 'x9x9x9x9x9x9x9'", "4111 1111 1111 1111", "4111/1111/1111/1112", "1234567890123456789012", "é日本", "\n", "555-123-4567", "aaaaaaaaaaaaaaaa", "1.2.3.4:80"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randint(1, 40))) for _ in range(150)]
+    models = {k: pii.Boosted(offset=float(i % 2), threshold=0.5) for i, k in enumerate(pii.ALL_KINDS)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (256, 3):
+        monkeypatch.setattr(pii, "BLOCK", block)
+        monkeypatch.setattr(pii, "TEXT_BLOCK", 8192 if block > 3 else 5)
+        found = pii.find(docs, models)
+        for r in pii.redact(found.withColumn("old", F.col("text"))).collect():
+            base, t = base_by_force(r.old), r.old
+            meet = lambda x, y: x[1] < y[2] and y[1] < x[2]
+            new = [c for k in pii.ALL_KINDS for c in candidates_by_force(t, k) if not any(meet(c, b) for b in base)]
+            worth = lambda c: (-models[c[0]].offset, pii.ALL_KINDS.index(c[0]), c[1])
+            kept = [c for c in new if not any(meet(c, d) and worth(d) < worth(c) for d in new)]
+            wanted = sorted(base + kept, key=lambda c: (pii.ALL_KINDS.index(c[0]), c[1], c[2]))
+            assert [(s.kind, s.start, s.end) for s in r.pii_spans] == wanted
+            runs = []
+            for k, a, b in sorted(wanted, key=lambda c: (c[1], c[2], c[0].upper())):
+                if runs and a < runs[-1][2]:
+                    runs[-1][2] = max(b, runs[-1][2])
+                else:
+                    runs.append([k, a, b])
+            out, at = "", 0
+            for k, a, b in runs:
+                out, at = out + t[at:a] + f"[{k.upper()}]", b
+            assert r.text == out + t[at:]
+
+
+def test_trees_learn_loose_forms_and_secrets(spark):
+    """Obfuscated addresses pass their check in canonical form, so they are added; numbers that fail Luhn and long words are not."""
+    rng = random.Random(4)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    texts = []
+    for i in range(160):
+        word = "".join(rng.choice("abcdefghij") for _ in range(14))
+        texts.append(f"{word} write jo{i} (at) host{i} (dot) org, token = \"{hexes(40)}\" {rng.randint(10**15, 10**16)} password={hexes(18)} or a{i}@b.example.org")
+    texts.append(f'cookie is "{hexes(40)}" and new (at) some (dot) org')  # no word tells of it, but the format does
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    models = pii.fit(docs)
+    assert models["email"].threshold <= 1 and models["secret"].threshold <= 1 and models["card"].threshold > 1
+    for r in pii.find(docs, models).collect():
+        added = [(s.kind, r.text[s.start : s.end]) for s in r.pii_spans if s not in r.pii_base]
+        assert {k for k, _ in added} == {"email", "secret"}
+        assert all(len(t) in (18, 40) for k, t in added if k == "secret")
+        assert sum(k == "secret" for k, _ in added) == (2 if r.doc_id < 160 else 1)
+
+
+def test_secrets_held_against_their_formats(spark):
+    """Precision and recall of what is added on the given tables, against the formats that secrets have there."""
+    found = pii.op1_pii(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), "doc_id")
+    right = added = wanted = 0
+    for r in found.select("spans", "text").collect():
+        truth = {(m.start(1), m.end(1)) for m in re.finditer(r"""(?i:token = "|password=)([0-9a-fA-F]+)|\b(?=AKIA)()""", r.text) if m[1]}
+        got = {tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("secret")}
+        right, added, wanted = right + len(truth & got), added + len(got), wanted + len(truth)
+    assert added > 100 and right >= 0.98 * added and right >= 0.95 * wanted
+
+
+def test_long_texts_take_linear_time(spark):
+    text = "x " + " ".join(f"+1 (743) 555-{i:04d} x 5551234{i % 1000:03d}" for i in range(6000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    models = {k: pii.Boosted(offset=1.0, threshold=0.5) for k in pii.ALL_KINDS}
+    began = time.time()
+    out = pii.redact(pii.find(docs, models)).first().text
+    assert out == "x " + " ".join(["[PHONE] x [PHONE]"] * 6000)
+    assert time.time() - began < 40
+
+
+def test_columns_with_clashing_names_stay(spark):
+    docs = spark.createDataFrame([(1, "ab cd x@y.example.org", "mine", 7, "z", "k", 0.5, "s")], "doc_id long, text string, pii_spans string, n_tokens int, language string, fp string, toxicity double, segmented string")
+    found = pii.find(docs, pii.fit(docs))
+    assert pii.columns(docs) == ("pii_base", "_pii_spans")
+    assert found.columns == [*docs.columns, "pii_base", "_pii_spans"] and found.first().pii_spans == "mine"
+    assert pii.redact(found, spans="_pii_spans").first().text == "ab cd [EMAIL]"
+    tok = tokens.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    assert tok.columns[-1] == "_n_tokens" and tok.first().n_tokens == 7
+    lang = langid.identify(docs, langid.fit(docs, "text", "language", "doc_id"))
+    assert lang.columns[-1] == "_language" and lang.first().language == "z"
+    assert simhash.fingerprints(docs).columns[-1] == "_fp"
+    assert toxicity.score(docs, toxicity.Model()).first().toxicity == 0.5
+    assert nbest.encode_nbest(docs, public_tokenizers.path("piece_bpe_32k.model")).first().segmented == "s"
+
+
 def test_redaction_and_odd_rows(spark, odd, empty):
     found = pii.find(odd, pii.fit(odd))
     assert found.where("doc_id = 3").first().pii_spans == []
@@ -316,6 +451,72 @@ def test_spelling_covers_all_bytes():
 # I-Match
 
 
+def print_by_force(text, known, n_docs=None):
+    """A fingerprint from its definition, term by term."""
+    import xxhash
+
+    own = {xxhash.xxh64_intdigest(w.encode(), 42) for w in re.findall(r"[^\W_]+", text.lower())}
+    kept = {t for t in own if t - (t >> 63 << 64) in known} | set(sorted(own)[: imatch.FEW])
+    out = []
+    for k in range(imatch.SCALES * imatch.REPEATS):
+        salt = xxhash.xxh32_intdigest(f"lexicon {k}", 7) | 1
+        subset = [t for t in sorted(kept) if (t & 0xFFFFFFFF) * salt & 0xFFFFFFFF < 1 << (31 - k // imatch.REPEATS)]
+        out.append(1 + xxhash.xxh64_intdigest(b"".join(t.to_bytes(8, "little") for t in subset), k) % 65535 if subset else 0)
+    return out
+
+
+def likeness_by_force(a, b):
+    if a == b:
+        return 1.0
+    rates = [range(i, i + imatch.REPEATS) for i in range(0, len(a), imatch.REPEATS)]
+    used = [r for r in rates if sum(bool(a[k] or b[k]) for k in r) <= imatch.OPEN * imatch.REPEATS]
+    if not any(a[k] or b[k] for r in used for k in r):
+        used = rates
+    places = [k for r in used for k in r if a[k] or b[k]]
+    return sum(a[k] == b[k] for k in places) / len(places)
+
+
+def test_prints_by_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").where("doc_id < 60")
+    known = imatch.lexicon(docs, "text")
+    words = [set(re.findall(r"[^\W_]+", r.text.lower())) for r in docs.collect()]
+    df = {}
+    for w in set().union(*words):
+        df[w] = sum(w in x for x in words)
+    import xxhash
+
+    n = len(words)
+    band = {xxhash.xxh64_intdigest(w.encode(), 42) for w, c in df.items() if max(2, n * imatch.LEAST) <= c <= max(2, n * imatch.MOST)}
+    assert {t % (1 << 64) for t in known} == band
+    prints, rows = imatch.Prints(known), docs.orderBy("doc_id").collect()
+    found = {r.doc_id: r.fingerprint for r in imatch.fingerprint(docs, known).collect()}
+    forced = [print_by_force(r.text, set(known)) for r in rows]
+    for r, f in zip(rows, forced, strict=True):
+        assert found[r.doc_id] == "".join(f"{x:04x}" for x in f)
+    for (r, a), (q, b) in itertools.pairwise(zip(rows, forced, strict=True)):
+        assert abs(imatch.likeness(prints.of(r.text), prints.of(q.text)) - likeness_by_force(a, b)) < 1e-12
+
+
+@pytest.mark.parametrize("hot", [None, 3])
+def test_hot_ids_are_dealt_out(spark, monkeypatch, hot):
+    """Many rows of one id, or without id, go to many ranges; each row still meets the next one."""
+    monkeypatch.setattr(imatch, "RANGE_ROWS", 30)
+    rows = [(i if i % 3 else hot, f"text {i} of words{i % 7} " * (i % 4 + 1)) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [r.asDict() for r in imatch.with_edits(docs, ()).collect()]
+    import xxhash
+
+    signed = lambda t: (lambda h: h - (h >> 63 << 64))(xxhash.xxh64_intdigest(t.encode(), 42))
+    ordered = sorted(rows, key=lambda r: (-(2**63) if r[0] is None else r[0], signed(r[1])))
+    wanted = []
+    for (k, t), (_, o) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
+        wanted.append((k, hashlib.sha256((t[: len(t) - len(t) // 2] + o[: len(t) // 2]).encode()).hexdigest()))
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert sorted([(r["doc_id"], r["edited_sha256"]) for r in found], key=key) == sorted(wanted, key=key)
+    dealt = imatch.in_order(docs, "doc_id", "text").groupBy("__range").count().collect()
+    assert max(r["count"] for r in dealt) < 120
+
+
 def test_edits_by_force(spark, odd, empty, monkeypatch):
     monkeypatch.setattr(imatch, "RANGE_ROWS", 40)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
@@ -364,6 +565,9 @@ def test_recall_and_odd_vectors(spark):
         assert np.allclose([f[2] for f in found], [d[np.searchsorted(ids, f[1])] for f in found])
     assert hits >= 0.9 * 10 * len(got)
     assert [f[1] for f in got[0]] == list(range(7000, 7010))
+    twice = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, 4.0]), (2, [1.0, 2.5]), (200, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    use2 = hnsw.usable(twice, "embedding", "vec_id")
+    assert [(r.query_id, r.vec_id) for r in hnsw.nearest(use2, use2.where("vec_id = 200")).orderBy("rank").collect()] == [(200, 1), (200, 2)]
     none = use.where("vec_id < 0")
     assert hnsw.nearest(none, none).count() == 0
 
