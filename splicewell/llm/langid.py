@@ -34,7 +34,7 @@ CHARS_PER_LANGUAGE = 24_000
 CHARS_IN_ALL = 400_000
 #: Length of a sampled passage, and of the segments that documents are parsed in.
 PASSAGE = 300
-SEGMENT = 384
+SEGMENT = 2048
 #: Letter classes: 0 stands for a run of anything but letters, the last ones are shared by rarer letters.
 MAX_CLASSES = 128
 RARE = 8
@@ -43,6 +43,8 @@ BLOCK_CHARS = 1_500_000
 FAIL = 1
 #: Phrases that any text may have beyond its language's limit; so short texts are hardly ever foreign.
 SLACK = 12
+#: Share of the phrases of random letters that no text of a language needs; texts in several languages stay under it too.
+NOISE = 0.9
 
 
 @dataclass
@@ -268,7 +270,7 @@ def fit(train: DataFrame, text: str, lang: str, key: str) -> Model:
 
 
 def _limits(model: Model, passages: list[list[np.ndarray]]) -> list[float]:
-    """Half-way, as a ratio, from the phrases of passages that the automata don't hold to those of the same letters in random order."""
+    """NOISE of the phrases that passages which the automata don't hold need with their letters in random order."""
     rng, out = np.random.default_rng(11), []
     for lang, found in enumerate(passages):
         size = sum(map(len, found))
@@ -276,8 +278,7 @@ def _limits(model: Model, passages: list[list[np.ndarray]]) -> list[float]:
             out.append(float("inf"))
             continue
         mixed = [rng.permutation(t) for t in found]
-        own, noise = (_phrases(model, x)[:, lang].sum() / size for x in (found, mixed))
-        out.append(float(np.sqrt(own * max(own, noise))))
+        out.append(float(NOISE * _phrases(model, mixed)[:, lang].sum() / size))
     return out
 
 
@@ -289,12 +290,13 @@ def identify(df: DataFrame, model: Model, text: str = "text", into: str = "langu
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by CHARS_IN_ALL x two states x MAX_CLASSES
 
     @F.arrow_udf("struct<lang:string,score:double,known:boolean>")
-    def run(texts: pa.Array) -> pa.Array:
+    def parse(texts: pa.Array) -> pa.Array:
         found = [predict(shared.value, part.to_pylist()) for part in common.slices(texts)] or [([], [], [])]
         columns = [[x for f in found for x in f[i]] for i in range(3)]
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.bool_()), strict=True)], ["lang", "score", "known"])
 
-    return df.withColumn(common.free(df, into), run(F.col(text)))
+    # so that a filter on the result isn't pushed below it, which would parse every text twice
+    return df.withColumn(common.free(df, into), parse.asNondeterministic()(F.col(text)))
 
 
 def train_rows(docs: DataFrame) -> DataFrame:
