@@ -23,7 +23,9 @@ from .components import components
 
 SHINGLE = 5
 #: Counters for the order of shingles, and those in one row while they are added up.
-COUNTERS, BLOCK = 1 << 18, 1 << 10
+COUNTERS, BLOCK = 1 << 22, 1 << 16
+#: Bits of the map of wanted classes: classes outside it aren't wanted.
+MAP_BITS = 24
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -33,36 +35,43 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, SHINGLE), dtype=np.uint64)).view(np.int64)
 
 
-def class_of(found: np.ndarray) -> str:
-    return xxhash.xxh3_128_hexdigest(found.tobytes())
+def class_of(found: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(found.tobytes())
 
 
 def class_column(text: Column) -> Column:
-    @F.arrow_udf(T.StringType())
+    @F.arrow_udf(T.BinaryType())
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([class_of(shingle_set(t)) for t in common.values(texts)], pa.string())
+        return pa.array([class_of(shingle_set(t)) for t in common.values(texts)], pa.binary())
 
     return run(text)
 
 
 def counters(df: DataFrame, text: str) -> np.ndarray:
-    """How many shingles fall on each counter, over all texts."""
+    """How often shingles fall on each counter, over all texts, as a byte on a logarithmic scale.
+
+    Any order of shingles is right as long as it is one; so a task's counters may stop at 255.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, dtype=np.int64)
+        total = np.zeros(COUNTERS, dtype=np.uint32)
         for b in batches:
             for part in common.slices(b):
                 found = np.concatenate([shingle_set(t) for t in part.column(0).to_pylist()])
-                total += np.bincount(found & (COUNTERS - 1), minlength=COUNTERS)
-        yield pa.RecordBatch.from_pydict({"block": pa.array(range(COUNTERS // BLOCK), pa.int32()), "n": pa.array(list(total.reshape(-1, BLOCK)), pa.list_(pa.int64()))})
-
-    def add(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": g["block"].iloc[:1], "n": [np.sum(g["n"].tolist(), axis=0)]})
-
-    rows = df.select(text).mapInArrow(count, "block int, n array<long>").groupBy("block").applyInPandas(add, "block int, n array<long>").collect()
-    out = np.zeros((COUNTERS // BLOCK, BLOCK), dtype=np.int64)
+                total += np.bincount(found & (COUNTERS - 1), minlength=COUNTERS).astype(np.uint32)
+        if total.any():
+            small = np.minimum(total, 255).astype(np.uint8).reshape(-1, BLOCK)
+            yield pa.RecordBatch.from_pydict({"block": pa.array(range(len(small)), pa.int32()), "n": pa.array([x.tobytes() for x in small], pa.binary())})
+
+    def add(g: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, dtype=np.uint8).astype(np.int64) for x in g["n"].to_pylist())
+        scaled = np.minimum(255, np.round(10 * np.log2(1.0 + total))).astype(np.uint8)
+        return pa.table({"block": g["block"][:1], "n": pa.array([scaled.tobytes()], pa.binary())})
+
+    rows = df.select(text).mapInArrow(count, "block int, n binary").groupBy("block").applyInArrow(add, "block int, n binary").collect()
+    out = np.zeros((COUNTERS // BLOCK, BLOCK), dtype=np.uint8)
     for r in rows:
-        out[r.block] = r.n
+        out[r.block] = np.frombuffer(r.n, dtype=np.uint8)
     return out.reshape(-1)
 
 
@@ -70,7 +79,7 @@ def marked(df: DataFrame, text: str, key: str) -> DataFrame:
     """(key, fp, size, prefix): class of each row, number of its shingles and the first of them."""
     order = df.sparkSession.sparkContext.broadcast(counters(df, text))
 
-    @F.arrow_udf(T.StructType([T.StructField("fp", T.StringType()), T.StructField("size", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))]))
+    @F.arrow_udf(T.StructType([T.StructField("fp", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))]))
     def run(texts: pa.Array) -> pa.Array:
         out = []
         for t in common.values(texts):
@@ -78,21 +87,40 @@ def marked(df: DataFrame, text: str, key: str) -> DataFrame:
             n = len(s)
             first = s[np.lexsort((s, order.value[s & (COUNTERS - 1)]))][: n - (4 * n + 4) // 5 + 1]
             out.append({"fp": class_of(s), "size": n, "prefix": first.tolist()})
-        return pa.array(out, pa.struct([("fp", pa.string()), ("size", pa.int32()), ("prefix", pa.list_(pa.int64()))]))
+        return pa.array(out, pa.struct([("fp", pa.binary()), ("size", pa.int32()), ("prefix", pa.list_(pa.int64()))]))
 
     return df.select(key, run(F.col(text)).alias("m")).select(key, "m.*")
 
 
+def _place(fp: Column) -> Column:
+    """The place of a class in the map."""
+    return F.shiftrightunsigned(F.xxhash64(fp), 64 - MAP_BITS)
+
+
 def sets(df: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """(fp, shingles) of the wanted classes."""
+    """(fp, shingles) of the wanted classes.
 
-    @F.arrow_udf(T.StructType([T.StructField("fp", T.StringType()), T.StructField("shingles", T.ArrayType(T.LongType()))]))
+    A map of bounded size tells most classes that aren't wanted before their shingles are passed on.
+    """
+    words = wanted.select(_place(F.col("fp")).alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
+    rows = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).collect()
+    map_ = np.zeros(1 << (MAP_BITS - 6), dtype=np.int64)
+    for r in rows:
+        map_[r.word] = r.bits
+    shared = df.sparkSession.sparkContext.broadcast(map_.view(np.uint64))
+
+    @F.arrow_udf(T.StructType([T.StructField("fp", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.LongType()))]))
     def run(texts: pa.Array) -> pa.Array:
-        found = [shingle_set(t) for t in common.values(texts)]
-        return pa.array([{"fp": class_of(s), "shingles": s.tolist()} for s in found], pa.struct([("fp", pa.string()), ("shingles", pa.list_(pa.int64()))]))
+        out = []
+        for t in common.values(texts):
+            s = shingle_set(t)
+            fp = class_of(s)
+            at = xxhash.xxh64_intdigest(fp, 42) >> (64 - MAP_BITS)
+            out.append({"fp": fp, "shingles": s.tolist()} if int(shared.value[at >> 6]) >> (at & 63) & 1 else None)
+        return pa.array(out, pa.struct([("fp", pa.binary()), ("shingles", pa.list_(pa.int64()))]))
 
-    found = df.select(run(F.col(text)).alias("m")).select("m.*").join(wanted, "fp", "left_semi")
-    return found.groupBy("fp").agg(F.first("shingles").alias("shingles"))
+    some = df.select(run.asNondeterministic()(F.col(text)).alias("m")).where("m is not null").select("m.*")
+    return some.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("shingles").alias("shingles"))
 
 
 def similar(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -105,9 +133,10 @@ def similar(pairs: DataFrame, found: DataFrame) -> DataFrame:
 def links(df: DataFrame, text: str, marks: DataFrame) -> DataFrame:
     """(a, b) over the classes: enough similar pairs to connect whatever is linked."""
     classes = marks.where("size > 0").groupBy("fp").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    cells = classes.select("fp", "size", F.explode("prefix").alias("at"))
-    heads = cells.groupBy("at").agg(F.min(F.struct("fp", "size")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    cells = common.Written(cells.join(heads, "at").select("at", "fp", "size", "head")).df
+    # dealt by shingle once, for the heads and for what meets them
+    dealt = classes.select("fp", "size", F.explode("prefix").alias("at")).repartition("at")
+    heads = dealt.groupBy("at").agg(F.min(F.struct("fp", "size")).alias("head"), F.count("*").alias("n")).where("n > 1")
+    cells = common.Written(dealt.join(heads.hint("merge"), "at").select("at", "fp", "size", "head")).df
     close = lambda x, y: (5 * F.col(x) >= 4 * F.col(y)) & (5 * F.col(y) >= 4 * F.col(x))
     found = common.Written(sets(df, text, cells.select("fp").distinct())).df
     stars = cells.where("fp <> head.fp").where(close("size", "head.size")).select(F.col("head.fp").alias("a"), F.col("fp").alias("b")).distinct()
