@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +82,17 @@ def slices(batch: pa.Array | pa.RecordBatch, rows: int = ROWS, size: int = BYTES
         yield batch.slice(at, step)
 
 
+def mapped(batch: pa.Array, made, kind: pa.DataType) -> pa.Array:
+    """made(values) of each slice, as one Arrow array; so only one slice's results are Python objects at a time."""
+    return pa.concat_arrays([pa.array([], kind), *(made(part.to_pylist()) for part in slices(batch))])
+
+
+def lists(found: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    """Arrow lists of numpy arrays."""
+    ends = np.cumsum([0, *map(len, found)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else [], kind))
+
+
 def values(batch: pa.Array) -> Iterator:
     """An Arrow array's values, without making objects of all of them at once."""
     for part in slices(batch):

@@ -61,9 +61,8 @@ def lexicon(df: DataFrame, text: str) -> tuple[int, ...]:
 
     @F.arrow_udf("array<long>")
     def run(texts: pa.Array) -> pa.Array:
-        found = [np.array(terms(t or ""), dtype=np.uint64).view(np.int64) for t in common.values(texts)]
-        sizes = np.cumsum([0, *map(len, found)])
-        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
+        made = lambda part: common.lists([np.array(terms(t or ""), dtype=np.uint64).view(np.int64) for t in part], pa.int64())
+        return common.mapped(texts, made, pa.list_(pa.int64()))
 
     n = df.count()
     counted = df.select(F.explode(run(F.col(text))).alias("term")).groupBy("term").count()

@@ -338,12 +338,14 @@ def encode_nbest(df: DataFrame, model: str, text: str = "text", n: int = N, into
 
     @F.arrow_udf("struct<ids:binary,best:array<struct<score:double,edits:array<struct<at:int,drop:int,ids:array<int>>>>>>")
     def run(texts: pa.Array) -> pa.Array:
-        ids, best = [], []
-        for part in common.slices(texts):
-            for found, ways in pieces(model, n).encode_all(part.to_pylist()):
+        def made(part: list) -> pa.Array:
+            ids, best = [], []
+            for found, ways in pieces(model, n).encode_all(part):
                 ids.append(found)
                 best.append([{"score": s / UNITS, "edits": [{"at": a, "drop": d, "ids": list(x)} for a, d, x in e]} for s, e in ways])
-        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(best, BEST)], ["ids", "best"])
+            return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(best, BEST)], ["ids", "best"])
+
+        return common.mapped(texts, made, pa.struct([("ids", pa.binary()), ("best", BEST)]))
 
     return df.withColumn(common.free(df, into), run(F.col(text)))
 

@@ -79,15 +79,17 @@ def marked(df: DataFrame, text: str, key: str) -> DataFrame:
     """(key, fp, size, prefix): class of each row, number of its shingles and the first of them."""
     order = df.sparkSession.sparkContext.broadcast(counters(df, text))
 
+    kind = pa.struct([("fp", pa.binary()), ("size", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+
     @F.arrow_udf(T.StructType([T.StructField("fp", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))]))
     def run(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in common.values(texts):
-            s = shingle_set(t)
-            n = len(s)
-            first = s[np.lexsort((s, order.value[s & (COUNTERS - 1)]))][: n - (4 * n + 4) // 5 + 1]
-            out.append({"fp": class_of(s), "size": n, "prefix": first.tolist()})
-        return pa.array(out, pa.struct([("fp", pa.binary()), ("size", pa.int32()), ("prefix", pa.list_(pa.int64()))]))
+        def made(part: list) -> pa.Array:
+            found = [shingle_set(t) for t in part]
+            first = [s[np.lexsort((s, order.value[s & (COUNTERS - 1)]))][: len(s) - (4 * len(s) + 4) // 5 + 1] for s in found]
+            columns = [pa.array([class_of(s) for s in found], pa.binary()), pa.array([len(s) for s in found], pa.int32()), common.lists(first, pa.int64())]
+            return pa.StructArray.from_arrays(columns, fields=list(kind))
+
+        return common.mapped(texts, made, kind)
 
     return df.select(key, run(F.col(text)).alias("m")).select(key, "m.*")
 
@@ -109,17 +111,24 @@ def sets(df: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
         map_[r.word] = r.bits
     shared = df.sparkSession.sparkContext.broadcast(map_.view(np.uint64))
 
+    kind = pa.struct([("fp", pa.binary()), ("shingles", pa.list_(pa.int64()))])
+
     @F.arrow_udf(T.StructType([T.StructField("fp", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.LongType()))]))
     def run(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in common.values(texts):
-            s = shingle_set(t)
-            fp = class_of(s)
-            at = xxhash.xxh64_intdigest(fp, 42) >> (64 - MAP_BITS)
-            out.append({"fp": fp, "shingles": s.tolist()} if int(shared.value[at >> 6]) >> (at & 63) & 1 else None)
-        return pa.array(out, pa.struct([("fp", pa.binary()), ("shingles", pa.list_(pa.int64()))]))
-
-    some = df.select(run.asNondeterministic()(F.col(text)).alias("m")).where("m is not null").select("m.*")
+        def made(part: list) -> pa.Array:
+            fps, found = [], []
+            for t in part:
+                s = shingle_set(t)
+                fp = class_of(s)
+                at = xxhash.xxh64_intdigest(fp, 42) >> (64 - MAP_BITS)
+                may = int(shared.value[at >> 6]) >> (at & 63) & 1
+                fps.append(fp if may else None)
+                found.append(s if may else s[:0])
+            return pa.StructArray.from_arrays([pa.array(fps, pa.binary()), common.lists(found, pa.int64())], fields=list(kind))
+
+        return common.mapped(texts, made, kind)
+
+    some = df.select(run.asNondeterministic()(F.col(text)).alias("m")).where("m.fp is not null").select("m.*")
     return some.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("shingles").alias("shingles"))
 
 

@@ -176,7 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN) -> Model:
 
         @F.arrow_udf("array<string>")
         def words(texts: pa.Array) -> pa.Array:
-            return pa.array([sorted({e for w in set(folded(t).split()) for e in entries_of(w)}) for t in common.values(texts)], pa.list_(pa.string()))
+            made = lambda part: pa.array([sorted({e for w in set(folded(t).split()) for e in entries_of(w)}) for t in part], pa.list_(pa.string()))
+            return common.mapped(texts, made, pa.list_(pa.string()))
 
         smooth = 0.5
         weight = F.log((F.col("n1") + smooth) / (n1 + 2 * smooth)) - F.log((F.col("n0") + smooth) / (n0 + 2 * smooth))
