@@ -68,6 +68,43 @@ def is_poly(seq: Column, share: float = 0.8) -> Column:
     return most_frequent_base(seq) >= share * F.length(seq)
 
 
+def pair_counts(seq: Column) -> Column:
+    """How often each of the 16 pairs of neighbouring bases occurs; other symbols make no pair."""
+    same = lambda s, a: F.regexp_count(s, F.lit(f"{a}(?={a})"))
+    other = lambda s, x: ((F.length(s) - F.length(F.replace(s, F.lit(x)))) / 2).cast("int")
+    counts = lambda s: F.array(*[same(s, a) if a == b else other(s, a + b) for a in BASES for b in BASES])
+    return F.flatten(F.transform(F.array(seq), counts))  # so that the sequence is worked out once
+
+
+def low_complexity(seq: Column, share: float = 0.75) -> Column:
+    """Whether the two most frequent pairs of neighbouring bases make up so much of the length, which counts one too many."""
+    top = F.slice(F.sort_array(pair_counts(seq), False), 1, 2)
+    return F.aggregate(top, F.lit(0), lambda a, n: a + n) >= share * (F.length(seq) + 1)
+
+
+def turned(seq: Column, quals: Column, flag: Column) -> Column:
+    """A read the other way round: sequence, qualities and the flag's strand."""
+    return F.struct(reverse_complement(seq).alias("seq"), F.reverse(quals).alias("quals"), flag.bitwiseXOR(F.lit(16)).alias("flag"))
+
+
+def forward(seq: Column, quals: Column, flag: Column) -> Column:
+    """A read on the forward strand."""
+    as_it_is = F.struct(seq.alias("seq"), quals.alias("quals"), flag.alias("flag"))
+    return F.when(has_flag(flag, 16), turned(seq, quals, flag)).otherwise(as_it_is)
+
+
+def clip_quality(quals: Column, flag: Column, rc: Column, clip: Column, side: str) -> Column:
+    """Average quality of a realigned read's clip; the qualities lie as in the file, turned round where strand and orientation differ."""
+    at_end = (side == "R") != (has_flag(flag, 16) != rc)
+    part = F.when(at_end, F.slice(quals, F.size(quals) - clip + 1, clip)).otherwise(F.slice(quals, F.lit(1), clip))
+    return F.when(clip > 0, average_quality(part)).otherwise(0)
+
+
+def on_circle(pos: Column, effective: Column) -> Column:
+    """A place on a circular sequence that was written with its first half again, counted on the circle."""
+    return F.pmod(pos, original_length(effective))
+
+
 def two_bit(seq: Column, k: int) -> Column:
     """ACGT as 0..3, other symbols as 0, packed."""
     packed = F.lit(0).cast("long")

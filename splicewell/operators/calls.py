@@ -96,6 +96,32 @@ def pair_up(calls: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return last if done is None else done.unionByName(last)
 
 
+def pair_rejected(accepted: DataFrame, rejected: DataFrame, paired: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """(id, paired_with) of the rejected calls that mate accepted ones left without a mate.
+
+    Accepted calls take, in order of id, the nearest free rejected call, the first of equal ones. Candidates of one
+    host contig and bin meet, as in mate_candidates(); what is decided one by one are the candidate pairs alone.
+    """
+    fields = ["id", "host_chr", "host_rev", "host_pos", "virus_rev"]
+    lone = accepted.join(paired.select("id"), "id", "left_anti")
+    both = lone.select(*fields, F.lit(False).alias("out")).unionByName(rejected.select(*fields, F.lit(True).alias("out")))
+    width = p.mate_to - p.mate_from + 1
+    a = both.where("not out").select(F.struct(*fields).alias("a"), "host_chr", F.explode(F.array(*[F.floor(F.col("host_pos") / width) + d for d in (-1, 0, 1)])).alias("bin"))
+    b = both.where("out").select(F.struct(*fields).alias("b"), "host_chr", F.floor(F.col("host_pos") / width).alias("bin"))
+    met = a.join(b, ["host_chr", "bin"]).withColumn("distance", S.pair_distance(F.col("a"), F.col("b"), p.mate_from, p.mate_to))
+    rest = tables.written(met.where("distance is not null").select(F.col("a.id").alias("i"), F.abs("distance").cast("long").alias("far"), F.col("b.id").alias("j")))
+    done, path, spark = None, tables.place(accepted.sparkSession), accepted.sparkSession
+    while not rest.isEmpty():
+        first = rest.groupBy("i").agg(F.min(F.struct("far", "j")).alias("best")).select("i", "best.far", "best.j")
+        least = rest.groupBy("j").agg(F.min("i").alias("i"))
+        # the first of all that want it gets its nearest, whatever the others do
+        done = tables.written(first.join(least, ["i", "j"]).select(F.col("j").alias("id"), F.col("i").alias("paired_with")), path)
+        left = tables.written(rest.join(done, F.col("j") == F.col("id"), "left_anti").join(done, F.col("i") == F.col("paired_with"), "left_anti"))
+        tables.drop(rest)
+        rest = left
+    return done if done is not None else spark.createDataFrame([], "id long, paired_with long")
+
+
 def redundant(consensus: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Ids of the calls whose both consensus sequences are covered by those of an earlier call.
 

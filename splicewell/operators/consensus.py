@@ -67,9 +67,6 @@ def consensus(reference: str, reads: list[tuple[int, str]], start: int, end: int
                 r[1] += 1
         if not symbol.islower():
             at += 1
-            for r in active:
-                while r[1] < len(r[0]) and r[0][r[1]].islower() and not votes.get(r[0][r[1]]):
-                    break
     return "".join(out)
 
 
@@ -120,13 +117,20 @@ def low_complexity_masks(sequences: DataFrame, key: str, seq: str, window: int =
 
 
 def rescore(support: DataFrame, consensus: DataFrame, calls: DataFrame, max_is: int, p: Params = DEFAULT) -> DataFrame:
-    """(id, good_pairs, split_reads, pbs): support re-aligned to each call's host and virus consensus joined at the junction."""
+    """(id, good_pairs, split_reads, pbs): support re-aligned to each call's host and virus consensus joined at the junction.
+
+    Reads of low complexity (without their clips, where lclip and rclip are given) don't count. A pair's width spans all
+    its other host reads and, if one of those is aligned well, its virus reads.
+    """
     side = lambda s: consensus.where(F.col("side") == s).select(F.col("call_id").alias("id"), F.col("seq").alias(f"{s}_seq"))
     joint = calls.select("id", "host_rev", "virus_rev").join(side("host"), "id").join(side("virus"), "id")
     host = F.when(F.col("host_rev"), S.reverse_complement(F.upper("host_seq"))).otherwise(F.upper("host_seq"))
     virus = F.when(F.col("virus_rev"), F.upper("virus_seq")).otherwise(S.reverse_complement(F.upper("virus_seq")))
     joint = joint.select("id", "host_rev", "virus_rev", F.concat(host, virus).alias("target"), F.length(host).alias("junction"))
-    reads = support.join(joint, F.col("call_id") == F.col("id"))
+    own = F.col("seq")
+    if "lclip" in support.columns:
+        own = F.substring(own, (F.col("lclip") + 1).cast("int"), (F.length("seq") - F.col("lclip") - F.col("rclip")).cast("int"))
+    reads = support.where(~S.low_complexity(own)).join(joint, F.col("call_id") == F.col("id"))
     turn = F.when(F.col("side") == "host", F.col("host_rev")).otherwise(~F.col("virus_rev"))
     reads = reads.withColumn("query", F.when(turn, S.reverse_complement(F.col("seq"))).otherwise(F.col("seq")))
     reads = reads.withColumn("a", local_alignment(F.col("query"), F.col("target"), p))
@@ -136,7 +140,7 @@ def rescore(support: DataFrame, consensus: DataFrame, calls: DataFrame, max_is:
     of = lambda s, c: F.max(F.when((F.col("side") == s) & F.col("good"), c))
     pairs = reads.groupBy("id", "qname").agg(
         of("host", F.lit(1)).alias("h"), of("virus", F.lit(1)).alias("v"),
-        (F.max(F.when(F.col("good"), F.col("a.ref_end"))) - F.min(F.when(F.col("good"), F.col("a.ref_begin")))).alias("width"),
+        (F.max("a.ref_end") - F.min("a.ref_begin")).alias("width"),
         F.sum(F.when(F.col("good"), F.col("a.score"))).alias("score"), F.sum(F.when(F.col("good"), F.col("bases"))).alias("bases"), F.count_if(F.col("good") & F.col("spans")).alias("splits"),
     )
     kept = pairs.where("h = 1")

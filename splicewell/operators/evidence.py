@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..functions import sequence as S
 from ..params import DEFAULT, Params
 
 
@@ -51,8 +52,16 @@ def sliding_scores(hits: DataFrame, reach: int) -> DataFrame:
 
 
 def accept_windows(hits: DataFrame, reach: int) -> DataFrame:
-    """(region_id, rev, low, high): where reads may lie. The breakpoint is the clipped mode with two clips or more, else the best sliding score."""
-    mode = clip_mode(hits).where("clips >= 2").select("region_id", "rev", F.col("position").alias("clip_at"))
+    """(region_id, rev, low, high): where reads may lie.
+
+    The breakpoint is the most frequent clipped position if it has two clips or more, or is where the reads begin
+    (rev) or end; else the place of the best sliding score. Without any clip, reads that begin at 0 count as clipped there.
+    """
+    extent = hits.groupBy("region_id", "rev").agg(F.min("offset_start").alias("first"), F.max("offset_end").alias("last"))
+    mode = extent.join(clip_mode(hits), ["region_id", "rev"], "left")
+    place = F.coalesce("position", F.when(F.col("rev"), F.lit(0).cast("long")))
+    sure = (F.col("clips") >= 2) | (place == F.when(F.col("rev"), F.col("first")).otherwise(F.col("last")))
+    mode = mode.where(sure).select("region_id", "rev", place.alias("clip_at"))
     side = F.when(F.col("rev"), -F.col("position")).otherwise(F.col("position"))
     best = best_regions(sliding_scores(hits, reach), ["region_id", "rev"], [F.desc("total"), side]).select("region_id", "rev", F.col("position").alias("score_at"))
     bp = best.join(mode, ["region_id", "rev"], "left").withColumn("bp", F.coalesce("clip_at", "score_at"))
@@ -60,15 +69,40 @@ def accept_windows(hits: DataFrame, reach: int) -> DataFrame:
 
 
 def conforming(hits: DataFrame, windows: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Hits of the qnames of which none lies outside the window or is clipped far from its edge."""
+    """Hits of the qnames of which none lies outside the window or has a clip of good quality far from the window's edge.
+
+    hits: also lclip_quality and rclip_quality, the average qualities of the clips.
+    """
     met = hits.join(windows, ["region_id", "rev"])
     outside = (F.col("offset_start") < F.col("low")) | (F.col("offset_end") > F.col("high"))
-    long_left = (F.col("lclip") > p.max_clip_distance) & (F.col("offset_start") - F.col("low") > p.max_clip_distance)
-    long_right = (F.col("rclip") > p.max_clip_distance) & (F.col("high") - F.col("offset_end") > p.max_clip_distance)
-    bad = met.where(outside | F.when(F.col("rev"), long_left).otherwise(long_right)).select("region_id", "rev", "qname").distinct()
+    left, right = _far_clips(p)
+    good = lambda c: F.col(c) >= p.clip_quality
+    bad = met.where(outside | (left & good("lclip_quality")) | (right & good("rclip_quality"))).select("region_id", "rev", "qname").distinct()
     return hits.join(bad, ["region_id", "rev", "qname"], "left_anti")
 
 
+def _far_clips(p: Params) -> tuple[Column, Column]:
+    """Whether a long left and right clip lies far from the window's edge on its side."""
+    far = lambda clip, at, edge: (F.col(clip) > p.max_clip_distance) & (F.abs(F.col(at) - F.col(edge)) > p.max_clip_distance)
+    return far("lclip", "offset_start", "low"), far("rclip", "offset_end", "high")
+
+
+def suspicious(hits: DataFrame, windows: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Adds suspicious: the aligned part of the read (seq), or what it lies on (target, where there is one), is of low complexity, or a clip lies far from the edge."""
+    aligned = F.substring(F.col("seq"), (F.col("lclip") + 1).cast("int"), (F.length("seq") - F.col("lclip") - F.col("rclip")).cast("int"))
+    low = S.low_complexity(aligned)
+    if "target" in hits.columns:
+        low = low | F.coalesce(S.low_complexity(F.col("target")), F.lit(False))
+    left, right = _far_clips(p)
+    return hits.join(windows, ["region_id", "rev"]).withColumn("suspicious", low | left | right).drop("low", "high")
+
+
+def with_suspects(host: DataFrame, virus: DataFrame) -> DataFrame:
+    """Host hits, suspicious also where a virus hit of the name is."""
+    names = virus.where("suspicious").select("qname").distinct().withColumn("by_virus", F.lit(True))
+    return host.join(names, "qname", "left").withColumn("suspicious", F.col("suspicious") | F.coalesce("by_virus", F.lit(False))).drop("by_virus")
+
+
 def breakpoints(hits: DataFrame) -> DataFrame:
     """(region_id, rev, start, end, bp): extent of the hits; the breakpoint is the start if rev, else the end."""
     ext = hits.groupBy("region_id", "rev").agg(F.min("offset_start").alias("start"), F.max("offset_end").alias("end"))

@@ -97,3 +97,56 @@ def sampled_positions(pairs: DataFrame, contig: str, start: str, mate: str, most
 
 def both_primary(flag: str = "flag") -> Column:
     return S.primary(F.col(flag))
+
+
+def relevant(reads: DataFrame, is_virus: Column, p: Params = DEFAULT) -> DataFrame:
+    """Reads without duplicates (flag 1024) and without host reads that are aligned from end to end, as one stretch (cigar)."""
+    whole = F.col("cigar").rlike("^[0-9]+M$")
+    return reads.where(~S.has_flag(F.col("flag"), 1024) & ~(whole & ~is_virus))
+
+
+def inter_organism(reads: DataFrame, is_virus: Column, mate_is_virus: Column, seq: str = "seq") -> DataFrame:
+    """Discordant reads, not nearly of one base, of which one mate is on the host and the other on a virus."""
+    apart = S.discordant(F.col("flag"), F.col("contig"), F.col("mate_contig"), F.col("isize"))
+    return reads.where(apart & ~S.is_poly(F.col(seq)) & (is_virus != mate_is_virus))
+
+
+def good_clips(reads: DataFrame, clipped: DataFrame, key: list[str], is_virus: Column) -> DataFrame:
+    """Reads met with the mapped clip of their own key, the last in order of (pos, contig), that lies on the other organism.
+
+    clipped: key, pos, contig and clip_is_virus of the clips' alignments. Adds clip_pos and clip_contig.
+    """
+    last = clipped.groupBy(*key).agg(F.max(F.struct("pos", "contig", "clip_is_virus")).alias("at"))
+    met = reads.join(last, key).where(F.col("at.clip_is_virus") != is_virus)
+    return met.select(*reads.columns, F.col("at.pos").alias("clip_pos"), F.col("at.contig").alias("clip_contig"))
+
+
+def at_clips(gained: DataFrame, clipped: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of reconcile() that lie where the anchor's clip is mapped, with the clip's place; the others with their own."""
+    places = clipped.groupBy(*key).agg(F.max(F.struct("pos", "contig")).alias("at"))
+    met = gained.join(places, key, "left")
+    here = lambda c: F.when(F.col("at_clip"), F.col(f"at.{c}")).otherwise(F.col(c)).alias(c)
+    return met.where(~F.col("at_clip") | F.col("at").isNotNull()).select(*[here(c) if c in ("pos", "contig") else F.col(c) for c in gained.columns])
+
+
+def longest_read(reads: DataFrame, seq: str = "seq", by: list[str] = ()) -> DataFrame:
+    """(by, read_len): length of the longest read."""
+    return reads.groupBy(*by).agg(F.max(F.length(seq)).cast("long").alias("read_len"))
+
+
+def widest_insert(samples: DataFrame, sample: str, size: str, sigma: int = 5) -> DataFrame:
+    """(max_is): the largest of the samples' insert bounds."""
+    mean = samples.groupBy(sample).agg(F.floor(F.avg(size)).alias("mean"))
+    above = samples.join(F.broadcast(mean), sample).where(F.col(size) > F.col("mean"))  # one row for each sample
+    spread = above.groupBy(sample, "mean").agg(F.floor(F.sqrt(F.avg((F.col(size) - F.col("mean")) ** 2))).alias("sd"))
+    return spread.agg(F.max(F.col("mean") + sigma * F.col("sd")).cast("long").alias("max_is"))
+
+
+def in_place_order(reads: DataFrame, contig: str = "contig", pos: str = "pos", tie: list[str] = ()) -> DataFrame:
+    """Reads in order of contig and position, over all partitions."""
+    return reads.orderBy(contig, pos, *tie)
+
+
+def own_organism(reads: DataFrame, regions: DataFrame, contig: str = "contig") -> DataFrame:
+    """Reads or regions on a contig of the wanted organism's (a table of contig)."""
+    return reads.join(regions.select(contig).distinct(), contig, "left_semi")

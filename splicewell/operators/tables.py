@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def place(spark: SparkSession) -> str:
-    """A new path under spark.checkpoint.dir, or under a local folder where that is unset (tests)."""
+    """A new path under spark.checkpoint.dir, or under a temporary folder where that is unset and all runs in this process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/splicewell-{uuid.uuid4().hex}"

@@ -12,6 +12,7 @@ class Params:
     min_clip: int = 20
     max_clip_distance: int = 10
     min_clip_len: int = 5
+    clip_quality: int = 10
     seed_k: int = 18
     seed_segments: int = 6
     seed_min_hits: int = 2

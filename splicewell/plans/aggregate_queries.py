@@ -107,10 +107,25 @@ def sliding_score_window(spark, sf):
 
 
 def window_conformance(spark, sf):
-    h = X.hits(spark, sf)
+    h = X.hits(spark, sf).withColumn("lclip_quality", F.col("quality")).withColumn("rclip_quality", F.pmod(F.col("quality") + F.col("pos"), F.lit(20)))
     return E.conforming(h, E.accept_windows(h, 700)).groupBy("region_id", "rev").agg(F.count("*").alias("reads"), F.count_distinct("qname").alias("names"))
 
 
+def suspicious_hits(spark, sf):
+    """Hits of low complexity or clipped in the wrong place, on their own or by a virus hit of their name."""
+    h = X.hits(spark, sf).drop("suspicious").withColumn("seq", F.expr(X.SEQ))
+    found = E.suspicious(h, E.accept_windows(h, 700))
+    return E.with_suspects(found.where("contig < 3"), found.where("contig >= 3")).groupBy("region_id", "rev").agg(F.count_if("suspicious").alias("suspects"), F.count("*").alias("reads"))
+
+
+def longest_reads(spark, sf):
+    return P.longest_read(X.reads(spark, sf).withColumn("part", F.col("read_id") % 11), by=["part"])
+
+
+def widest_insert(spark, sf):
+    return P.widest_insert(X.hits(spark, sf).withColumn("size", F.col("offset_end") + F.col("score")), "sample", "size")
+
+
 def breakpoint_extent(spark, sf):
     return E.breakpoints(X.hits(spark, sf).where("score > 30"))
 
@@ -165,7 +180,7 @@ def alternative_loci(spark, sf):
     return K.alternative_loci(r)
 
 
-QUERIES = {f.__name__: f for f in (insert_size_stats, sampled_positions, primary_count_two, duplicates_by_position, duplicates_by_sequence, duplicates_by_whole_sequence, interval_islands, sampling_regions, coverage_union_length, adjacent_collapse, region_scores, best_region, top_regions, dense_region_ids, near_best_filter, qname_distances, distance_dedup, too_long_flag, clip_mode_window, sliding_score_window, window_conformance, breakpoint_extent, call_support, split_read_count, pileup_consensus, strand_list_routing, masked_length, call_accept_rules, call_text, alternative_loci)}
+QUERIES = {f.__name__: f for f in (insert_size_stats, sampled_positions, primary_count_two, duplicates_by_position, duplicates_by_sequence, duplicates_by_whole_sequence, interval_islands, sampling_regions, coverage_union_length, adjacent_collapse, region_scores, best_region, top_regions, dense_region_ids, near_best_filter, qname_distances, distance_dedup, too_long_flag, clip_mode_window, sliding_score_window, window_conformance, suspicious_hits, longest_reads, widest_insert, breakpoint_extent, call_support, split_read_count, pileup_consensus, strand_list_routing, masked_length, call_accept_rules, call_text, alternative_loci)}
 
 _ISLANDS = """edges AS (SELECT contig, start, "end" AS e, id, max("end") OVER (PARTITION BY contig ORDER BY start, "end", id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM anchors),
     runs AS (SELECT *, sum(CASE WHEN b IS NULL OR start > b + 10 THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY start, e, id ROWS UNBOUNDED PRECEDING) AS run FROM edges),
@@ -178,6 +193,12 @@ _SLIDE = lambda d: f"""points AS (SELECT region_id, rev, CASE WHEN rev THEN offs
     slide AS (SELECT region_id, rev, position, CAST(CASE WHEN rev THEN sum(s) OVER (PARTITION BY region_id, rev ORDER BY position RANGE BETWEEN CURRENT ROW AND {d - 1} FOLLOWING)
         ELSE sum(s) OVER (PARTITION BY region_id, rev ORDER BY position RANGE BETWEEN {d - 1} PRECEDING AND CURRENT ROW) END AS BIGINT) AS total FROM points)"""
 
+_LIMITS = """ext AS (SELECT region_id, rev, min(offset_start) AS first, max(offset_end) AS last FROM hits GROUP BY region_id, rev),
+        sure AS (SELECT e.region_id, e.rev, coalesce(m.position, CASE WHEN e.rev THEN 0 END) AS at FROM ext e LEFT JOIN modes m ON m.region_id = e.region_id AND m.rev = e.rev AND m.n = 1
+            WHERE m.clips >= 2 OR coalesce(m.position, CASE WHEN e.rev THEN 0 END) = CASE WHEN e.rev THEN first ELSE last END),
+        win AS (SELECT b.region_id, b.rev, coalesce(s.at, b.position) AS bp FROM best b LEFT JOIN sure s ON s.region_id = b.region_id AND s.rev = b.rev WHERE b.n = 1),
+        lim AS (SELECT region_id, rev, CASE WHEN rev THEN bp ELSE bp - 700 END AS low, CASE WHEN rev THEN bp + 700 ELSE bp END AS high FROM win)"""
+
 ORACLES = {
     "insert_size_stats": f"""WITH {X.HITS}, s AS (SELECT offset_end + score AS x FROM hits), m AS (SELECT count(x) AS n, CAST(floor(avg(x)) AS BIGINT) AS mean FROM s)
         SELECT n, mean, CAST(floor(sqrt((SELECT avg((x - mean) * (x - mean)) FROM s, m WHERE x > mean))) AS BIGINT) AS upper_sd, mean + 5 * CAST(floor(sqrt((SELECT avg((x - mean) * (x - mean)) FROM s, m WHERE x > mean))) AS BIGINT) AS max_is FROM m""",
@@ -212,11 +233,19 @@ ORACLES = {
     "clip_mode_window": f"WITH {X.HITS}, {_MODE} SELECT region_id, rev, position, clips FROM modes WHERE n = 1",
     "sliding_score_window": f"WITH {X.HITS}, {_SLIDE(80)} SELECT * FROM slide",
     "window_conformance": f"""WITH {X.HITS}, {_MODE}, {_SLIDE(700)}, best AS (SELECT *, row_number() OVER (PARTITION BY region_id, rev ORDER BY total DESC, CASE WHEN rev THEN -position ELSE position END) AS n FROM slide),
-        win AS (SELECT b.region_id, b.rev, coalesce(m.position, b.position) AS bp FROM best b LEFT JOIN modes m ON m.region_id = b.region_id AND m.rev = b.rev AND m.n = 1 AND m.clips >= 2 WHERE b.n = 1),
-        lim AS (SELECT region_id, rev, CASE WHEN rev THEN bp ELSE bp - 700 END AS low, CASE WHEN rev THEN bp + 700 ELSE bp END AS high FROM win),
+        {_LIMITS},
         bad AS (SELECT DISTINCT h.region_id, h.rev, qname FROM hits h JOIN lim USING (region_id, rev) WHERE offset_start < low OR offset_end > high
-            OR CASE WHEN h.rev THEN lclip > 10 AND offset_start - low > 10 ELSE rclip > 10 AND high - offset_end > 10 END)
+            OR (lclip > 10 AND quality >= 10 AND abs(offset_start - low) > 10) OR (rclip > 10 AND (quality + pos) % 20 >= 10 AND abs(offset_end - high) > 10))
         SELECT region_id, rev, count(*) AS reads, count(DISTINCT qname) AS names FROM hits h WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.region_id = h.region_id AND b.rev = h.rev AND b.qname = h.qname) GROUP BY region_id, rev""",
+    "suspicious_hits": f"""WITH {X.HITS}, {_MODE}, {_SLIDE(700)}, best AS (SELECT *, row_number() OVER (PARTITION BY region_id, rev ORDER BY total DESC, CASE WHEN rev THEN -position ELSE position END) AS n FROM slide),
+        {_LIMITS},
+        s AS (SELECT h.*, lim.low, lim.high, substr({X.SEQ}, CAST(lclip + 1 AS INTEGER), CAST(greatest(0, length({X.SEQ}) - lclip - rclip) AS INTEGER)) AS own FROM hits h JOIN lim USING (region_id, rev)),
+        c AS (SELECT *, list_reverse_sort([{", ".join(f"len(list_filter(generate_series(1, length(own) - 1), lambda i : substr(own, CAST(i AS INTEGER), 2) = '{a}{b}'))" for a in "ACGT" for b in "ACGT")}]) AS n FROM s),
+        f AS (SELECT *, n[1] + n[2] >= 0.75 * (length(own) + 1) OR (lclip > 10 AND abs(offset_start - low) > 10) OR (rclip > 10 AND abs(offset_end - high) > 10) AS bad FROM c)
+        SELECT region_id, rev, count(CASE WHEN bad OR qname IN (SELECT qname FROM f WHERE bad AND contig >= 3) THEN 1 END) AS suspects, count(*) AS reads FROM f WHERE contig < 3 GROUP BY region_id, rev""",
+    "longest_reads": f"WITH {X.READS} SELECT read_id % 11 AS part, max(length(seq)) AS read_len FROM reads GROUP BY 1",
+    "widest_insert": f"""WITH {X.HITS}, s AS (SELECT sample, offset_end + score AS x FROM hits), m AS (SELECT sample, CAST(floor(avg(x)) AS BIGINT) AS mean FROM s GROUP BY sample),
+        d AS (SELECT sample, mean, CAST(floor(sqrt(avg((x - mean) * (x - mean)))) AS BIGINT) AS sd FROM s JOIN m USING (sample) WHERE x > mean GROUP BY sample, mean) SELECT max(mean + 5 * sd) AS max_is FROM d""",
     "breakpoint_extent": f'WITH {X.HITS} SELECT region_id, rev, min(offset_start) AS start, max(offset_end) AS "end", CASE WHEN rev THEN min(offset_start) ELSE max(offset_end) END AS bp FROM hits WHERE score > 30 GROUP BY region_id, rev',
     "call_support": f"""WITH {X.HITS} SELECT region_id, rev, count(*) AS reads, count(DISTINCT CASE WHEN NOT suspicious AND NOT too_long THEN qname END) AS good_pairs, round(avg(score / (offset_end - offset_start + 1)), 6) AS score_ratio FROM hits GROUP BY region_id, rev""",
     "split_read_count": f"""WITH {X.HITS}, {_MODE} SELECT h.region_id, h.rev, count(CASE WHEN CASE WHEN h.rev THEN lclip ELSE rclip END >= 5 AND abs(CASE WHEN h.rev THEN offset_start ELSE offset_end END - position) <= 10 THEN 1 END) AS split_reads

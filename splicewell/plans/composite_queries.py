@@ -40,7 +40,10 @@ def call_pairing(spark, sf):
 
 
 def redundant_calls(spark, sf):
-    p = _passages(spark, sf).withColumn("half", F.col("seq"))
+    """Passages as calls, and every third of them once more, turned round and with some bases changed."""
+    p = _passages(spark, sf)
+    again = p.where("read_id % 3 = 0").select((F.col("read_id") + 1_000_000_000).alias("read_id"), F.regexp_replace("seq", "ACGTA", "ACCTA").alias("seq"))
+    p = p.unionByName(again)
     c = p.select(F.col("read_id").alias("id"), F.col("seq").alias("host_seq"), F.reverse("seq").alias("virus_seq"), (F.col("read_id") % 2 == 0).alias("host_rev"), F.lit(False).alias("virus_rev"))
     return K.redundant(c)
 

@@ -94,6 +94,11 @@ CALLS = "calls AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in _CALLS.items()
 
 
 def calls(spark, sf) -> DataFrame:
-    table(spark, sf, "lineitem").createOrReplaceTempView("splicewell_lineitem")
-    select = ", ".join(f"{v} AS {k}" for k, v in _CALLS.items())
-    return spark.sql(f"SELECT {select} FROM splicewell_lineitem GROUP BY l_partkey")
+    made = {k: F.expr(v).alias(k) for k, v in _CALLS.items()}
+    plain = ["id", "host_chr", "host_rev", "host_pos", "virus_rev", "virus_pos"]
+    grouped = table(spark, sf, "lineitem").groupBy("l_partkey").agg(*[made[k] for k in _CALLS if k not in plain])
+    return grouped.select(*[made[k] if k in plain else F.col(k) for k in _CALLS])
+
+
+#: Sequences for hits: a run of one base, pairs, and a fixed tail, of lengths that vary.
+SEQ = "concat(repeat(substr('ACGT', CAST(1 + pos % 4 AS INT), 1), CAST(quality AS INT)), repeat('GT', CAST(read_id % 9 AS INT)), substr('ACGTTGCATCAGGCTA', 1, CAST(4 + read_id % 12 AS INT)))"

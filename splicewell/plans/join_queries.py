@@ -11,6 +11,8 @@ from ..operators import evidence as E
 from ..operators import intervals as I
 from ..operators import pairs as P
 from ..operators import screen as SC
+from pyspark.sql import window as W
+
 from . import fixtures as X
 
 
@@ -34,14 +36,49 @@ def mate_assembly(spark, sf):
 
 def inter_organism_pairs(spark, sf):
     h = X.hits(spark, sf).withColumn("is_virus", F.col("contig") == 4).withColumn("mate_is_virus", F.col("mate_contig") == 4)
-    return h.where(S.discordant(F.col("flag"), F.col("contig"), F.col("mate_contig"), F.col("isize")) & (F.col("is_virus") != F.col("mate_is_virus"))).groupBy("is_virus", "contig").agg(F.count("*").alias("reads"), F.count_distinct("qname").alias("names"))
+    h = P.inter_organism(h.withColumn("seq", F.expr(X.SEQ)), F.col("is_virus"), F.col("mate_is_virus"))
+    return h.groupBy("is_virus", "contig").agg(F.count("*").alias("reads"), F.count_distinct("qname").alias("names"))
 
 
 def good_clip_join(spark, sf):
     h = X.hits(spark, sf)
-    clips = h.where("secondary and lclip > 10").groupBy("qname", "mate").agg(F.max(F.struct("pos", "contig")).alias("at"))
-    met = h.join(clips, ["qname", "mate"]).where((F.col("at.contig") == 4) != (F.col("contig") == 4))
-    return met.groupBy("qname", "mate").agg(F.count("*").alias("anchors"), F.max("at.pos").alias("clip_pos"))
+    clips = h.where("secondary and lclip > 10").withColumn("clip_is_virus", F.col("contig") == 4)
+    met = P.good_clips(h, clips, ["qname", "mate"], F.col("contig") == 4)
+    return met.groupBy("qname", "mate").agg(F.count("*").alias("anchors"), F.max("clip_pos").alias("clip_pos"))
+
+
+def clip_places(spark, sf):
+    h = X.hits(spark, sf)
+    gained = h.select("qname", "mate", "read_id", "pos", "contig", (F.col("lclip") > 8).alias("at_clip"))
+    return P.at_clips(gained, h.where("rclip > 6"), ["qname", "mate"])
+
+
+def relevant_reads(spark, sf):
+    """Duplicates and host reads without any clip left out."""
+    h = X.hits(spark, sf)
+    clip = lambda c: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit("S"))).otherwise("")
+    h = h.withColumn("cigar", F.concat(clip("lclip"), F.col("quality").cast("string"), F.lit("M"), clip("rclip")))
+    return P.relevant(h, F.col("contig") >= 3).groupBy("contig").agg(F.count("*").alias("reads"), F.sum("pos").alias("places"))
+
+
+def own_organism_regions(spark, sf):
+    h = X.hits(spark, sf)
+    return P.own_organism(h, h.where("contig < 3").select("contig")).groupBy("contig", "rev").agg(F.count("*").alias("reads"))
+
+
+def place_order(spark, sf):
+    """Reads in coordinate order, each with the place of the one before it in its contig."""
+    h = X.hits(spark, sf).select("contig", "pos", "read_id", "score").distinct()
+    w = W.Window.partitionBy("contig").orderBy("pos", "read_id", "score")
+    return P.in_place_order(h.withColumn("before", F.coalesce(F.lag("pos").over(w), F.lit(-1))), tie=["read_id", "score"])
+
+
+def rejected_pairing(spark, sf):
+    """Accepted calls without a mate take rejected ones."""
+    c = X.calls(spark, sf)
+    accepted = c.where(K.verdict(60))
+    paired = K.nearest_mate(accepted).select(F.explode(F.array("i", "j")).alias("id")).distinct()
+    return K.pair_rejected(accepted, c.where(~K.verdict(60)), paired)
 
 
 def mate_branch(spark, sf):
@@ -91,6 +128,12 @@ def mask_lookup(spark, sf):
     return K.with_masks(c, masks, "place").select("id", "good_pairs", "host_masked", "virus_masked")
 
 
+def realignment_dump(spark, sf):
+    """The realignments of all names."""
+    h = X.hits(spark, sf).select("region_id", "read_id", "rev", "offset_start", "score")
+    return A.lookup(h, X.hits(spark, sf).select("read_id", "qname").distinct()).select("region_id", "qname", "read_id", "rev", "offset_start", "score")
+
+
 def realignment_lookup(spark, sf):
     h = X.hits(spark, sf).select("region_id", "read_id", "rev", "offset_start", "score")
     names = X.hits(spark, sf).select("read_id", "qname").distinct()
@@ -110,7 +153,7 @@ def set_operations(spark, sf):
     return both.unionByName(only).groupBy("kind").agg(F.count("*").alias("n"), F.sum("qname").alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (spaced_seed_screen, shared_kmer_candidates, qname_semi_join, mate_assembly, inter_organism_pairs, good_clip_join, mate_branch, both_clipped, host_virus_mates, used_read_anti_join, interval_overlap_join, near_anchor_join, call_nearest_mate, mask_lookup, realignment_lookup, union_samples, set_operations)}
+QUERIES = {f.__name__: f for f in (spaced_seed_screen, shared_kmer_candidates, qname_semi_join, mate_assembly, inter_organism_pairs, good_clip_join, clip_places, relevant_reads, own_organism_regions, place_order, rejected_pairing, realignment_dump, mate_branch, both_clipped, host_virus_mates, used_read_anti_join, interval_overlap_join, near_anchor_join, call_nearest_mate, mask_lookup, realignment_lookup, union_samples, set_operations)}
 
 _RC = "reverse(translate(seq, 'ACGT', 'TGCA'))"
 _AT = lambda k: f"unnest(generate_series(1, length(seq) - {k - 1})) AS t(i)"
@@ -134,7 +177,15 @@ ORACLES = {
     "mate_assembly": f"""WITH {X.HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY qname, mate ORDER BY pos DESC, quality DESC, offset_start DESC) AS n FROM hits WHERE flag & 2304 = 0)
         SELECT a.qname, a.pos AS pos1, a.quality AS quality1, b.pos AS pos2, b.quality AS quality2 FROM r a JOIN r b ON a.qname = b.qname AND a.mate = 1 AND b.mate = 2 AND a.n = 1 AND b.n = 1""",
     "inter_organism_pairs": f"""WITH {X.HITS} SELECT contig = 4 AS is_virus, contig, count(*) AS reads, count(DISTINCT qname) AS names FROM hits
-        WHERE flag & 12 = 0 AND (contig <> mate_contig OR abs(isize) > 100000) AND (contig = 4) <> (mate_contig = 4) GROUP BY ALL""",
+        WHERE flag & 12 = 0 AND (contig <> mate_contig OR abs(isize) > 100000) AND (contig = 4) <> (mate_contig = 4)
+        AND NOT {_MOST(X.SEQ)} >= 0.8 * length({X.SEQ}) GROUP BY ALL""",
+    "clip_places": f"""WITH {X.HITS}, c AS (SELECT *, row_number() OVER (PARTITION BY qname, mate ORDER BY pos DESC, contig DESC) AS n FROM hits WHERE rclip > 6)
+        SELECT h.qname, h.mate, h.read_id, CASE WHEN h.lclip > 8 THEN c.pos ELSE h.pos END AS pos, CASE WHEN h.lclip > 8 THEN c.contig ELSE h.contig END AS contig, h.lclip > 8 AS at_clip
+        FROM hits h LEFT JOIN c ON c.n = 1 AND c.qname = h.qname AND c.mate = h.mate WHERE NOT h.lclip > 8 OR c.n = 1""",
+    "relevant_reads": f"WITH {X.HITS} SELECT contig, count(*) AS reads, CAST(sum(pos) AS BIGINT) AS places FROM hits WHERE flag & 1024 = 0 AND (contig >= 3 OR lclip > 0 OR rclip > 0) GROUP BY contig",
+    "own_organism_regions": f"WITH {X.HITS} SELECT contig, rev, count(*) AS reads FROM hits WHERE contig < 3 GROUP BY contig, rev",
+    "place_order": f"WITH {X.HITS}, d AS (SELECT DISTINCT contig, pos, read_id, score FROM hits) SELECT *, coalesce(lag(pos) OVER (PARTITION BY contig ORDER BY pos, read_id, score), -1) AS before FROM d",
+    "realignment_dump": f"WITH {X.HITS}, names AS (SELECT DISTINCT read_id, qname FROM hits) SELECT region_id, n.qname, read_id, rev, offset_start, score FROM hits h JOIN names n USING (read_id)",
     "good_clip_join": f"""WITH {X.HITS}, c AS (SELECT *, row_number() OVER (PARTITION BY qname, mate ORDER BY pos DESC, contig DESC) AS n FROM hits WHERE secondary AND lclip > 10)
         SELECT h.qname, h.mate, count(*) AS anchors, max(c.pos) AS clip_pos FROM hits h JOIN c ON c.n = 1 AND c.qname = h.qname AND c.mate = h.mate WHERE (c.contig = 4) <> (h.contig = 4) GROUP BY ALL""",
     "mate_branch": f"""WITH {X.HITS} SELECT CASE WHEN qname IN (SELECT qname FROM hits WHERE contig = 1 AND score > 40) THEN 'host' WHEN qname IN (SELECT qname FROM hits WHERE contig = 2 AND score > 50) THEN 'virus' ELSE 'none' END AS mate_in,

@@ -9,6 +9,7 @@ from pyspark.sql import window as W
 from ..operators import associate as A
 from ..operators import evidence as E
 from ..operators import intervals as I
+from ..operators import tables
 from ..operators.assign import assign
 from ..operators.sizes import small
 from ..params import DEFAULT, Params
@@ -37,7 +38,8 @@ def junctions(pairs: DataFrame, host: DataFrame, virus: DataFrame, max_is: int,
     v = v.select("read_id", F.col("region_id").alias("virus_region"), F.col("rc").alias("virus_rev"), F.col("score").cast("long").alias("v_score"), F.col("ref_begin").alias("v_begin"), F.col("ref_end").alias("v_end"))
     met = h.join(v, "read_id").join(names.select("read_id", "qname"), "read_id")
     once = F.row_number().over(W.Window.partitionBy("region_id", "rev", "virus_region", "virus_rev", "h_begin", "h_end", "v_begin", "v_end").orderBy(F.desc("h_score"), "qname"))
-    met = met.withColumn("n", once).where("n = 1").drop("n").checkpoint() if p.compat else met
+    met = met.withColumn("n", once).where("n = 1").drop("n") if p.compat else met
+    met = tables.written(met)
     chosen = assign(met.select("region_id", "rev", "virus_region", "virus_rev", "qname", "h_score", "v_score"), p)
     key = ["region_id", "rev", "virus_region", "virus_rev", "qname"]
     support = chosen.select(*key, "call_score").join(met, key)

@@ -47,10 +47,34 @@ def low_complexity_flag(spark, sf):
     two = spread(X.reads(spark, sf), "read_id").select("read_id", F.explode(S.kmers(F.col("seq"), 2)).alias("pair"))
     counts = two.groupBy("read_id", "pair").agg(F.count("*").alias("c"))
     n = F.row_number().over(W.Window.partitionBy("read_id").orderBy(F.desc("c"), "pair"))
-    top = counts.withColumn("r", n).groupBy("read_id").agg(F.sum(F.when(F.col("r") <= 2, F.col("c"))).alias("top2"), (F.sum("c") + 1).alias("n"))
+    top = counts.withColumn("r", n).groupBy("read_id").agg(F.sum(F.when(F.col("r") <= 2, F.col("c"))).alias("top2"), (F.sum("c") + 2).alias("n"))
     return top.select("read_id", "top2", (F.col("top2") >= 0.75 * F.col("n")).alias("low_complexity"))
 
 
+def low_complexity_reads(spark, sf):
+    h = X.hits(spark, sf).select("read_id", "pos", "quality").distinct().withColumn("seq", F.expr(X.SEQ))
+    counts = F.sort_array(S.pair_counts(F.col("seq")), False)
+    return h.select("read_id", "pos", "quality", (counts[0] + counts[1]).cast("long").alias("top2"), S.low_complexity(F.col("seq")).alias("low"))
+
+
+def turned_reads(spark, sf):
+    h = X.hits(spark, sf).select("read_id", "pos", "quality", "flag").distinct().withColumn("seq", F.expr(X.SEQ))
+    quals = F.transform(F.sequence(F.lit(1), F.length("seq")), lambda i: F.pmod(F.col("pos") + i * 7, F.lit(40)))
+    one = S.forward(F.col("seq"), quals, F.col("flag"))
+    return h.select("read_id", "pos", "quality", "flag", one["seq"].alias("fwd"), one["quals"][0].cast("long").alias("q0"), one["flag"].cast("long").alias("fwd_flag"))
+
+
+def clip_qualities(spark, sf):
+    h = X.hits(spark, sf).select("read_id", "pos", "flag", "lclip", "rclip", "rev").distinct()
+    quals = F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.pmod(F.col("pos") + i * 7, F.lit(40)))
+    made = {s: S.clip_quality(quals, F.col("flag"), F.col("rev"), F.col(c).cast("int"), s).cast("long") for s, c in (("L", "lclip"), ("R", "rclip"))}
+    return h.select("read_id", "pos", "flag", "lclip", "rclip", "rev", made["L"].alias("left_quality"), made["R"].alias("right_quality"))
+
+
+def circular_places(spark, sf):
+    return X.anchors(spark, sf).select("id", S.on_circle(F.col("start"), F.col("contig") * 30 + 45).cast("long").alias("place"))
+
+
 def flag_predicates(spark, sf):
     h = X.hits(spark, sf)
     flag = F.col("flag")
@@ -115,7 +139,7 @@ def xa_explode(spark, sf):
     return x.select("o_orderkey", F.col("n").cast("long").alias("n"), "a.contig", "a.strand", F.col("a.pos").cast("long").alias("pos"), "a.cigar", C.query_length(C.parse(F.col("a.cigar"))).cast("long").alias("qlen"))
 
 
-QUERIES = {f.__name__: f for f in (rc_projection, kmer_counts, valid_kmer_filter, two_bit_encode, spaced_seed_projection, poly_base_flag, low_complexity_flag, flag_predicates, cigar_lengths, average_quality, clip_extract, anchor_distance, region_snap, breakpoint_round_trip, circular_sequence, xa_explode)}
+QUERIES = {f.__name__: f for f in (rc_projection, kmer_counts, valid_kmer_filter, two_bit_encode, spaced_seed_projection, poly_base_flag, low_complexity_flag, low_complexity_reads, turned_reads, clip_qualities, circular_places, flag_predicates, cigar_lengths, average_quality, clip_extract, anchor_distance, region_snap, breakpoint_round_trip, circular_sequence, xa_explode)}
 
 _KMERS = lambda source, key, k: f"kmers AS (SELECT {key}, i AS pos, substr(seq, CAST(i AS INTEGER) + 1, {k}) AS kmer FROM {source}, unnest(generate_series(0, length(seq) - {k})) AS t(i))"
 _MOST = "greatest({0})".format(", ".join(f"length(kmer) - length(replace(kmer, '{b}', ''))" for b in "ACGT"))
@@ -131,7 +155,18 @@ ORACLES = {
     "poly_base_flag": f"WITH {X.READS} SELECT read_id, {_MOST.replace('kmer', 'seq')} AS most, {_MOST.replace('kmer', 'seq')} >= 0.4 * length(seq) AS poly FROM reads",
     "low_complexity_flag": f"""WITH {X.READS}, {_KMERS('reads', 'read_id', 2)}, counts AS (SELECT read_id, kmer, count(*) AS c FROM kmers GROUP BY 1, 2),
         top AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY c DESC, kmer) AS r FROM counts)
-        SELECT t.read_id, CAST(sum(c) AS BIGINT) AS top2, sum(c) >= 0.75 * max(length(seq)) AS low_complexity FROM top t JOIN reads USING (read_id) WHERE r <= 2 GROUP BY t.read_id""",
+        SELECT t.read_id, CAST(sum(c) AS BIGINT) AS top2, sum(c) >= 0.75 * (max(length(seq)) + 1) AS low_complexity FROM top t JOIN reads USING (read_id) WHERE r <= 2 GROUP BY t.read_id""",
+    "low_complexity_reads": f"""WITH {X.HITS}, d AS (SELECT DISTINCT read_id, pos, quality FROM hits), s AS (SELECT *, {X.SEQ} AS seq FROM d),
+        c AS (SELECT *, list_reverse_sort([{", ".join(f"len(list_filter(generate_series(1, length(seq) - 1), lambda i : substr(seq, CAST(i AS INTEGER), 2) = '{a}{b}'))" for a in "ACGT" for b in "ACGT")}]) AS n FROM s)
+        SELECT read_id, pos, quality, n[1] + n[2] AS top2, n[1] + n[2] >= 0.75 * (length(seq) + 1) AS low FROM c""",
+    "turned_reads": f"""WITH {X.HITS}, d AS (SELECT DISTINCT read_id, pos, quality, flag FROM hits), s AS (SELECT *, {X.SEQ} AS seq FROM d)
+        SELECT read_id, pos, quality, flag, CASE WHEN flag & 16 > 0 THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS fwd,
+        CASE WHEN flag & 16 > 0 THEN (pos + 7 * length(seq)) % 40 ELSE (pos + 7) % 40 END AS q0, CASE WHEN flag & 16 > 0 THEN flag - 16 ELSE flag END AS fwd_flag FROM s""",
+    "clip_qualities": f"""WITH {X.HITS}, d AS (SELECT DISTINCT read_id, pos, flag, lclip, rclip, rev FROM hits), q AS (SELECT *, list_transform(generate_series(1, 30), lambda i : (pos + i * 7) % 40) AS q, (flag & 16 > 0) <> rev AS turned FROM d)
+        SELECT read_id, pos, flag, lclip, rclip, rev,
+        coalesce(CAST(floor(list_avg(CASE WHEN turned THEN q[31 - lclip:30] ELSE q[1:lclip] END)) AS BIGINT), 0) AS left_quality,
+        coalesce(CAST(floor(list_avg(CASE WHEN turned THEN q[1:rclip] ELSE q[31 - rclip:30] END)) AS BIGINT), 0) AS right_quality FROM q""",
+    "circular_places": f"WITH {X.ANCHORS} SELECT id, start % (contig * 30 + 45 - (contig * 30 + 45) // 3) AS place FROM anchors",
     "flag_predicates": f"""WITH {X.HITS} SELECT flag, count(CASE WHEN flag & 4 > 0 THEN 1 END) AS unmapped, count(CASE WHEN flag & 8 > 0 THEN 1 END) AS mate_unmapped,
         count(CASE WHEN flag & 16 > 0 THEN 1 END) AS reverse, count(CASE WHEN flag & 256 > 0 THEN 1 END) AS secondary_flag, count(CASE WHEN flag & 1024 > 0 THEN 1 END) AS duplicate,
         count(CASE WHEN flag & 2304 = 0 THEN 1 END) AS primary_reads, count(CASE WHEN flag & 12 = 0 AND (contig <> mate_contig OR abs(isize) > 100000) THEN 1 END) AS discordant FROM hits GROUP BY flag""",

@@ -19,11 +19,11 @@ def hits(reads: DataFrame, seeds: DataFrame, key: str = "read_id", seq: str = "s
 
 
 def screen_stream(reads: DataFrame, targets: DataFrame, path: str, checkpoint: str, p: Params = DEFAULT, **options) -> StreamingQuery:
-    """Appends the reads that pass to Parquet, batch by batch."""
+    """Writes the reads that pass to Parquet, a folder for each batch, so that a batch that is replayed replaces itself."""
     seeds = seed_index(targets, "seq", p)
 
-    def one(batch: DataFrame, _: int) -> None:
+    def one(batch: DataFrame, number: int) -> None:
         found = hits(batch, seeds, p=p).distinct().groupBy("read_id").agg(F.count("*").alias("hits"))
-        batch.join(found.where(F.col("hits") >= p.seed_min_hits), "read_id").write.mode("append").parquet(path)
+        batch.join(found.where(F.col("hits") >= p.seed_min_hits), "read_id").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return reads.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(options or {"availableNow": True})).start()
