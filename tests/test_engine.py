@@ -244,3 +244,57 @@ def test_realign_keeps_near_best(spark):
 def test_oracles_cover_plain_queries():
     assert set(registry.ORACLES) <= set(registry.QUERIES)
     assert len(registry.QUERIES) - len(registry.ORACLES) <= 12
+
+
+def test_low_complexity_by_force(spark):
+    """The bound counts one symbol more than there are; pairs with other symbols don't count."""
+    from splicewell.functions import sequence
+
+    rng = random.Random(21)
+    texts = ["", "A", "AAAA", "ACACACAC", "ACGT", "NNNN", "AANAA"] + ["".join(rng.choice("AACN") for _ in range(rng.randint(2, 14))) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, seq string")
+    got = {r.id: r.low for r in df.select("id", sequence.low_complexity(F.col("seq")).alias("low")).collect()}
+    for i, t in enumerate(texts):
+        counts = sorted((sum(t[k : k + 2] == a + b for k in range(len(t) - 1)) for a in "ACGT" for b in "ACGT"), reverse=True)
+        assert got[i] == (counts[0] + counts[1] >= 0.75 * (len(t) + 1)), t
+
+
+def test_windows_at_the_extremity(spark):
+    """A single clip counts where the reads begin or end; else the sliding scores tell."""
+    rows = [(1, True, "a", 5, 50, 30, 9, 0), (1, True, "b", 20, 60, 30, 0, 0), (2, True, "a", 5, 50, 30, 0, 0), (2, True, "b", 20, 60, 30, 9, 0), (3, False, "a", 5, 50, 30, 0, 9), (3, False, "b", 0, 90, 30, 0, 0), (4, True, "a", 0, 40, 30, 0, 0), (4, True, "b", 70, 90, 80, 0, 0)]
+    df = spark.createDataFrame(rows, "region_id int, rev boolean, qname string, offset_start long, offset_end long, score long, lclip int, rclip int")
+    got = {r.region_id: (r.low, r.high) for r in evidence.accept_windows(df, 40).collect()}
+    assert got == {1: (5, 45), 2: (5, 45), 3: (10, 50), 4: (0, 40)}
+
+
+def test_conformance_by_rule(spark):
+    """Either clip, on either strand, on either side of the edge, but only with good qualities."""
+    rows = [("in", 100, 150, 0, 0, 0, 0), ("left", 140, 180, 11, 0, 10, 0), ("poor", 140, 180, 11, 0, 9, 0), ("right", 120, 150, 0, 11, 0, 10), ("out", 90, 120, 0, 0, 0, 0), ("near", 110, 195, 11, 11, 30, 30)]
+    df = spark.createDataFrame([(1, rev, *r) for r in rows for rev in (False, True)], "region_id int, rev boolean, qname string, offset_start int, offset_end int, lclip int, rclip int, lclip_quality int, rclip_quality int")
+    windows = spark.createDataFrame([(1, False, 100, 200), (1, True, 100, 200)], "region_id int, rev boolean, low int, high int")
+    assert sorted((r.qname, r.rev) for r in evidence.conforming(df, windows).collect()) == sorted((q, v) for q in ("in", "poor", "near") for v in (False, True))
+
+
+def test_rejected_mates_by_force(spark):
+    rng = random.Random(31)
+    make = lambda ids: [(i, rng.randint(0, 1), rng.random() < 0.5, rng.randint(0, 4000), rng.random() < 0.5) for i in ids]
+    good, bad, paired = make(range(60)), make(range(100, 190)), {3, 8, 20}
+    schema = "id long, host_chr int, host_rev boolean, host_pos long, virus_rev boolean"
+    got = calls.pair_rejected(spark.createDataFrame(good, schema), spark.createDataFrame(bad, schema), spark.createDataFrame([(i,) for i in paired], "id long"))
+    free, wanted = {b[0]: b for b in bad}, {}
+    for a in good:
+        best = None
+        for b in free.values():
+            gap = a[3] - b[3] if a[2] else b[3] - a[3]
+            if a[0] not in paired and a[1] == b[1] and a[2] != b[2] and a[4] != b[4] and -50 <= gap <= 1000 and (best is None or (abs(gap), b[0]) < best):
+                best = (abs(gap), b[0])
+        if best:
+            wanted[best[1]] = a[0]
+            del free[best[1]]
+    assert {r.id: r.paired_with for r in got.collect()} == wanted and len(wanted) > 15
+
+
+def test_bed_fasta_and_reads_by_call(spark, tmp_path):
+    (tmp_path / "x.bed").write_text("chr1\t5\t9\nchr2\t0\t3\textra\n")
+    rows = files.bed(spark, str(tmp_path / "x.bed")).collect()
+    assert sorted((r[0], r[1], r[2]) for r in rows) == [("chr1", 5, 9), ("chr2", 0, 3)]
