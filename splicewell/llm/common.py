@@ -71,6 +71,23 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches that tasks and Python workers hold, where the session leaves their size at Spark's default.
+
+    The setting is read when a plan is made, which for a lazy result is after the operator has returned; so it stays
+    in the session. A size that the user has set is left alone.
+    """
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "500"), ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")):
+        if spark.conf.isModifiable(key) and spark.conf.get(key) in DEFAULTS[key]:
+            spark.conf.set(key, value)
+
+
+# Spark's defaults, as they may be shown.
+DEFAULTS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": {"10000"},
+    "spark.sql.execution.arrow.maxBytesPerBatch": {"67108864b", "67108864", "64MB", "64m", "2147483647b", "2147483647", "-1"},
+}
+
 #: What a Python worker turns into objects at a time, of an Arrow batch of whatever size.
 ROWS, BYTES = 500, 8 << 20
 

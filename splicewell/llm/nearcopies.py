@@ -58,7 +58,8 @@ def counters(df: DataFrame, text: str) -> np.ndarray:
         for b in batches:
             for part in common.slices(b):
                 found = np.concatenate([shingle_set(t) for t in part.column(0).to_pylist()])
-                total += np.bincount(found & (COUNTERS - 1), minlength=COUNTERS).astype(np.uint32)
+                at, n = np.unique(found & (COUNTERS - 1), return_counts=True)
+                total[at] += n.astype(np.uint32)
         if total.any():
             small = np.minimum(total, 255).astype(np.uint8).reshape(-1, BLOCK)
             yield pa.RecordBatch.from_pydict({"block": pa.array(range(len(small)), pa.int32()), "n": pa.array([x.tobytes() for x in small], pa.binary())})
@@ -77,6 +78,7 @@ def counters(df: DataFrame, text: str) -> np.ndarray:
 
 def marked(df: DataFrame, text: str, key: str) -> DataFrame:
     """(key, fp, size, prefix): class of each row, number of its shingles and the first of them."""
+    common.small_batches(df.sparkSession)
     order = df.sparkSession.sparkContext.broadcast(counters(df, text))
 
     kind = pa.struct([("fp", pa.binary()), ("size", pa.int32()), ("prefix", pa.list_(pa.int64()))])
