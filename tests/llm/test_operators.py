@@ -395,6 +395,18 @@ def test_secrets_held_against_their_formats(spark):
     assert added > 100 and right >= 0.98 * added and right >= 0.95 * wanted
 
 
+def test_query_by_force(spark):
+    """Counts and digest of the registered query."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = pii.op1_pii(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        base = base_by_force(docs[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, _, _ in base) for x in pii.KINDS]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert r.n_added == len([x for x in r.spans.split(",") if x]) - len(base)
+
+
 def test_long_texts_take_linear_time(spark):
     text = "x " + " ".join(f"+1 (743) 555-{i:04d} x 5551234{i % 1000:03d}" for i in range(6000))
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
