@@ -1,9 +1,11 @@
 """Links between texts whose sets of five-word shingles have a Jaccard similarity of 0.8 at least.
 
 Exact: of two such sets, ordered by any one order of all shingles, the first n - ceil(0.8 n) + 1 of each meet
-(prefix filter). The order is by how often shingles occur, counted in hashed counters, so that common ones come last.
-Texts with equal sets are one class. Classes that meet in a shingle are first compared to one of them; what is then
-connected needs no more comparing, the rest is compared pair by pair.
+(prefix filter), and where they meet first, enough of both is left after it (position filter). The order is by how often
+shingles occur, counted in hashed counters, so that common ones come last. Texts with equal sets are one class. Classes
+that meet in a shingle are first compared to one of them; what is then connected needs no more comparing, the rest is
+compared pair by pair. Before shingles are fetched to verify a pair, a map of parities tells most that aren't similar:
+two sets differ in as many shingles at least as their maps do in bits.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from .components import components
 SHINGLE = 5
 #: Counters for the order of shingles, and those in one row while they are added up.
 COUNTERS, BLOCK = 1 << 22, 1 << 16
+#: Words of 64 bits in a set's map of parities.
+PARITY = 8
 #: Bits of the map of wanted classes: classes outside it aren't wanted.
 MAP_BITS = 24
 
@@ -39,6 +43,12 @@ def class_of(found: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(found.tobytes())
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """Whether an odd number of a set's shingles falls on each bit."""
+    odd = np.bincount(found.view(np.uint64) % np.uint64(64 * PARITY), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def class_column(text: Column) -> Column:
     @F.arrow_udf(T.BinaryType())
     def run(texts: pa.Array) -> pa.Array:
@@ -77,18 +87,19 @@ def counters(df: DataFrame, text: str) -> np.ndarray:
 
 
 def marked(df: DataFrame, text: str, key: str) -> DataFrame:
-    """(key, fp, size, prefix): class of each row, number of its shingles and the first of them."""
+    """(key, fp, size, prefix, bits): class of each row, number of its shingles, the first of them, and the map of parities."""
     common.small_batches(df.sparkSession)
     order = df.sparkSession.sparkContext.broadcast(counters(df, text))
 
-    kind = pa.struct([("fp", pa.binary()), ("size", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+    kind = pa.struct([("fp", pa.binary()), ("size", pa.int32()), ("prefix", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
-    @F.arrow_udf(T.StructType([T.StructField("fp", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))]))
+    @F.arrow_udf("fp binary, size int, prefix array<long>, bits array<long>")
     def run(texts: pa.Array) -> pa.Array:
         def made(part: list) -> pa.Array:
             found = [shingle_set(t) for t in part]
             first = [s[np.lexsort((s, order.value[s & (COUNTERS - 1)]))][: len(s) - (4 * len(s) + 4) // 5 + 1] for s in found]
             columns = [pa.array([class_of(s) for s in found], pa.binary()), pa.array([len(s) for s in found], pa.int32()), common.lists(first, pa.int64())]
+            columns.append(common.lists([parities(s) for s in found], pa.int64()))
             return pa.StructArray.from_arrays(columns, fields=list(kind))
 
         return common.mapped(texts, made, kind)
@@ -141,23 +152,56 @@ def similar(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return met.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
 
 
+def maybe_similar(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the maps of parities allow to be similar: 1/9 of both sizes may differ."""
+    a, b = (classes.select(F.col("fp").alias(s), F.col("size").alias(f"size_{s}"), F.col("bits").alias(f"bits_{s}")) for s in "ab")
+    differ = sum(F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(PARITY))
+    return pairs.join(a, "a").join(b, "b").where(9 * differ <= F.col("size_a") + F.col("size_b")).select("a", "b")
+
+
+def verified(pairs: DataFrame, df: DataFrame, text: str, classes: DataFrame) -> common.Written:
+    """The pairs (a, b) that are similar enough."""
+    some = common.Written(maybe_similar(pairs.distinct(), classes))
+    wanted = some.df.select("a").union(some.df.select("b")).distinct().toDF("fp")
+    found = common.Written(sets(df, text, common.Written(wanted).df))
+    out = common.Written(similar(some.df, found.df))
+    some.drop()
+    found.drop()
+    return out
+
+
 def links(df: DataFrame, text: str, marks: DataFrame) -> DataFrame:
     """(a, b) over the classes: enough similar pairs to connect whatever is linked."""
-    classes = marks.where("size > 0").groupBy("fp").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    some = marks.where("size > 0").groupBy("fp")
+    classes = common.Written(some.agg(F.first("size").alias("size"), F.first("bits").alias("bits")))
+    firsts = some.agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
     # dealt by shingle once, for the heads and for what meets them
-    dealt = classes.select("fp", "size", F.explode("prefix").alias("at")).repartition("at")
-    heads = dealt.groupBy("at").agg(F.min(F.struct("fp", "size")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    cells = common.Written(dealt.join(heads.hint("merge"), "at").select("at", "fp", "size", "head")).df
-    close = lambda x, y: (5 * F.col(x) >= 4 * F.col(y)) & (5 * F.col(y) >= 4 * F.col(x))
-    found = common.Written(sets(df, text, cells.select("fp").distinct())).df
-    stars = cells.where("fp <> head.fp").where(close("size", "head.size")).select(F.col("head.fp").alias("a"), F.col("fp").alias("b")).distinct()
-    stars = common.Written(similar(stars, found)).df
-    label = components(stars, "a", "b")
-    parts = cells.join(label, F.col("fp") == F.col("node"), "left").select("at", "fp", "size", F.coalesce("label", "fp").alias("label"))
-    # a cell whose members are all connected needs no more comparing
+    dealt = firsts.select("fp", "size", F.posexplode("prefix").alias("place", "at"))
+    # a class at a shingle: its size, and how many of its shingles come at this place or later
+    dealt = dealt.select("at", "fp", F.expr("shiftleft(cast(size as bigint), 32) + size - place").alias("has")).repartition("at")
+    heads = dealt.groupBy("at").agg(F.min(F.struct("fp", "has")).alias("head"), F.count("*").alias("n")).where("n > 1")
+    cells = common.Written(dealt.join(heads.hint("merge"), "at").select("at", "fp", "has", "head", "n"))
+    near = lambda x, y: _may_meet(F.col(x), F.col(y))
+    pairs = cells.df.where("fp <> head.fp").where(near("has", "head.has")).select(F.col("head.fp").alias("a"), F.col("fp").alias("b"))
+    stars = verified(pairs, df, text, classes.df)
+    label = components(stars.df, "a", "b")
+    # a cell of two is compared; one whose members are all connected needs no more comparing
+    parts = cells.df.where("n > 2").join(label, F.col("fp") == F.col("node"), "left").select("at", "fp", "has", F.coalesce("label", "fp").alias("label"))
     mixed = parts.groupBy("at").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("at")
-    parts = common.Written(parts.join(mixed, "at")).df
-    one, two = (parts.select("at", *[F.col(c).alias(f"{c}_{s}") for c in ("fp", "size", "label")]) for s in "ab")
-    rest = one.join(two, "at").where("fp_a < fp_b and label_a <> label_b").where(close("size_a", "size_b"))
-    rest = rest.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
-    return stars.unionByName(similar(rest, found))
+    mixed = common.Written(parts.join(mixed, "at"))
+    one, two = (mixed.df.select("at", *[F.col(c).alias(f"{c}_{s}") for c in ("fp", "has", "label")]) for s in "ab")
+    rest = one.join(two, "at").where("fp_a < fp_b and label_a <> label_b").where(near("has_a", "has_b"))
+    rest = verified(rest.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")), df, text, classes.df)
+    for table in (cells, classes, mixed):
+        table.drop()
+    return stars.df.unionByName(rest.df)
+
+
+def _may_meet(x: Column, y: Column) -> Column:
+    """Whether two classes can be similar if this shingle is the first that both have.
+
+    They are then alike in as many shingles as the one with fewer from here on has at most, and have to be in 4/9 of both sizes.
+    """
+    both = F.shiftright(x, 32) + F.shiftright(y, 32)
+    left = F.least(x.bitwiseAND(F.lit(0xFFFFFFFF)), y.bitwiseAND(F.lit(0xFFFFFFFF)))
+    return 9 * left >= 4 * both
