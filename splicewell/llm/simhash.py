@@ -172,15 +172,19 @@ def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     marked = common.Written(nearcopies.marked(df, text, key)).df
     found = common.Written(groups(marked, key, nearcopies.links(df, text, marked))).df
     own, of, group, n = (common.free(df, x) for x in ("__key", "__of", "__group", "__n"))
-    stay = found.where(F.col("component_id").isNotNull()).select(F.col("component_id").alias(own)).distinct()
+    ids = marked.groupBy(F.col(key).alias(own)).agg(F.count("*").alias(n))
+    stay = common.Written(ids.join(found.select(F.col("component_id").alias(own)).distinct(), own, "left_semi")).df
+    # only rows of repeated keys have to meet; the rest is taken where it lies
+    lone_key = df.join(stay.where(F.col(n) == 1).drop(n), df[key] == F.col(own), "left_semi")
+    again = df.join(stay.where(F.col(n) > 1).drop(n), df[key] == F.col(own))
     first = F.row_number().over(W.Window.partitionBy(own).orderBy(F.xxhash64(text)))
-    known = df.join(stay, df[key] == stay[own]).withColumn(n, first).where(F.col(n) == 1)
+    known = lone_key.unionByName(again.withColumn(n, first).where(F.col(n) == 1).select(df.columns))
     lone = found.where(F.col("component_id").isNull()).select(F.col("fp").alias(of), F.col("label").alias(group))
     print_ = common.free(df, "__fp")
     nameless = df.where(df[key].isNull()).withColumn(print_, nearcopies.class_column(F.col(text))).join(lone, F.col(print_) == F.col(of))
     first = F.row_number().over(W.Window.partitionBy(group).orderBy(print_, F.xxhash64(text)))
     nameless = nameless.withColumn(n, first).where(F.col(n) == 1)
-    return known.select(df.columns).unionByName(nameless.select(df.columns))
+    return known.unionByName(nameless.select(df.columns))
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
