@@ -4,8 +4,9 @@ Exact: of two such sets, ordered by any one order of all shingles, the first n -
 (prefix filter), and where they meet first, enough of both is left after it (position filter). The order is by how often
 shingles occur, counted in hashed counters, so that common ones come last. Texts with equal sets are one class. Classes
 that meet in a shingle are first compared to one of them; what is then connected needs no more comparing, the rest is
-compared pair by pair. Before shingles are fetched to verify a pair, a map of parities tells most that aren't similar:
-two sets differ in as many shingles at least as their maps do in bits.
+compared pair by pair. Before texts are fetched to verify a pair, a map of parities tells most that aren't similar:
+two sets differ in as many shingles at least as their maps do in bits. Of a class one text is fetched, compressed, which
+is smaller than its shingles.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +30,7 @@ SHINGLE = 5
 COUNTERS, BLOCK = 1 << 22, 1 << 16
 #: Words of 64 bits in a set's map of parities.
 PARITY = 8
-#: Bits of the map of wanted classes: classes outside it aren't wanted.
+#: Bits of the map of wanted texts: texts outside it aren't wanted.
 MAP_BITS = 24
 
 
@@ -43,6 +45,10 @@ def class_of(found: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(found.tobytes())
 
 
+def digest(text: str | None) -> bytes:
+    return xxhash.xxh3_128_digest((text or "").encode())
+
+
 def parities(found: np.ndarray) -> np.ndarray:
     """Whether an odd number of a set's shingles falls on each bit."""
     odd = np.bincount(found.view(np.uint64) % np.uint64(64 * PARITY), minlength=64 * PARITY) & 1
@@ -87,19 +93,19 @@ def counters(df: DataFrame, text: str) -> np.ndarray:
 
 
 def marked(df: DataFrame, text: str, key: str) -> DataFrame:
-    """(key, fp, size, prefix, bits): class of each row, number of its shingles, the first of them, and the map of parities."""
+    """(key, fp, size, prefix, bits, own): class of each row, number of its shingles, the first of them, map of parities, digest of the text."""
     common.small_batches(df.sparkSession)
     order = df.sparkSession.sparkContext.broadcast(counters(df, text))
 
-    kind = pa.struct([("fp", pa.binary()), ("size", pa.int32()), ("prefix", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+    kind = pa.struct([("fp", pa.binary()), ("size", pa.int32()), ("prefix", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64())), ("own", pa.binary())])
 
-    @F.arrow_udf("fp binary, size int, prefix array<long>, bits array<long>")
+    @F.arrow_udf("fp binary, size int, prefix array<long>, bits array<long>, own binary")
     def run(texts: pa.Array) -> pa.Array:
         def made(part: list) -> pa.Array:
             found = [shingle_set(t) for t in part]
             first = [s[np.lexsort((s, order.value[s & (COUNTERS - 1)]))][: len(s) - (4 * len(s) + 4) // 5 + 1] for s in found]
             columns = [pa.array([class_of(s) for s in found], pa.binary()), pa.array([len(s) for s in found], pa.int32()), common.lists(first, pa.int64())]
-            columns.append(common.lists([parities(s) for s in found], pa.int64()))
+            columns += [common.lists([parities(s) for s in found], pa.int64()), pa.array([digest(t) for t in part], pa.binary())]
             return pa.StructArray.from_arrays(columns, fields=list(kind))
 
         return common.mapped(texts, made, kind)
@@ -107,73 +113,85 @@ def marked(df: DataFrame, text: str, key: str) -> DataFrame:
     return df.select(key, run(F.col(text)).alias("m")).select(key, "m.*")
 
 
-def _place(fp: Column) -> Column:
-    """The place of a class in the map."""
-    return F.shiftrightunsigned(F.xxhash64(fp), 64 - MAP_BITS)
+def _place(own: Column) -> Column:
+    """The place of a text in the map."""
+    return F.shiftrightunsigned(F.xxhash64(own), 64 - MAP_BITS)
 
 
-def sets(df: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """(fp, shingles) of the wanted classes.
+def texts_of(df: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """(own, packed) of the texts whose digests are wanted, compressed.
 
-    A map of bounded size tells most classes that aren't wanted before their shingles are passed on.
+    A map of bounded size tells most texts that aren't wanted before they are passed on.
     """
-    words = wanted.select(_place(F.col("fp")).alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
+    words = wanted.select(_place(F.col("own")).alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
     rows = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).collect()
     map_ = np.zeros(1 << (MAP_BITS - 6), dtype=np.int64)
     for r in rows:
         map_[r.word] = r.bits
     shared = df.sparkSession.sparkContext.broadcast(map_.view(np.uint64))
 
-    kind = pa.struct([("fp", pa.binary()), ("shingles", pa.list_(pa.int64()))])
+    kind = pa.struct([("own", pa.binary()), ("packed", pa.binary())])
 
-    @F.arrow_udf(T.StructType([T.StructField("fp", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.LongType()))]))
+    @F.arrow_udf("own binary, packed binary")
     def run(texts: pa.Array) -> pa.Array:
         def made(part: list) -> pa.Array:
-            fps, found = [], []
+            owns, packed = [], []
             for t in part:
-                s = shingle_set(t)
-                fp = class_of(s)
-                at = xxhash.xxh64_intdigest(fp, 42) >> (64 - MAP_BITS)
+                own = digest(t)
+                at = xxhash.xxh64_intdigest(own, 42) >> (64 - MAP_BITS)
                 may = int(shared.value[at >> 6]) >> (at & 63) & 1
-                fps.append(fp if may else None)
-                found.append(s if may else s[:0])
-            return pa.StructArray.from_arrays([pa.array(fps, pa.binary()), common.lists(found, pa.int64())], fields=list(kind))
+                owns.append(own if may else None)
+                packed.append(zstandard.compress((t or "").encode()) if may else None)
+            return pa.StructArray.from_arrays([pa.array(owns, pa.binary()), pa.array(packed, pa.binary())], fields=list(kind))
 
         return common.mapped(texts, made, kind)
 
-    some = df.select(run.asNondeterministic()(F.col(text)).alias("m")).where("m.fp is not null").select("m.*")
-    return some.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("shingles").alias("shingles"))
+    some = df.select(run.asNondeterministic()(F.col(text)).alias("m")).where("m.own is not null").select("m.*")
+    return some.join(wanted, "own", "left_semi").groupBy("own").agg(F.first("packed").alias("packed"))
+
+
+@F.arrow_udf(T.BooleanType())
+def _alike(xs: pa.Array, ys: pa.Array) -> pa.Array:
+    """Whether 9 x common >= 4 x both sizes, which is a similarity of 0.8, for pairs of compressed texts."""
+    unpacked = lambda z: shingle_set(zstandard.decompress(z).decode())
+    out, last = [], None
+    for x, y in zip(common.values(xs), common.values(ys)):
+        if x != last:
+            last, one = x, unpacked(x)
+        two = unpacked(y)
+        both = len(np.intersect1d(one, two, assume_unique=True))
+        out.append(9 * both >= 4 * (len(one) + len(two)))
+    return pa.array(out, pa.bool_())
 
 
 def similar(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that are similar enough: 9 x common >= 4 x both sizes is 0.8."""
-    a, b = found.select(F.col("fp").alias("a"), F.col("shingles").alias("sa")), found.select(F.col("fp").alias("b"), F.col("shingles").alias("sb"))
-    met = pairs.join(a, "a").join(b, "b")
-    return met.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
+    """The pairs (a, b) of classes that are similar enough, by the texts own_a and own_b."""
+    x, y = (found.select(F.col("own").alias(f"own_{s}"), F.col("packed").alias(f"packed_{s}")) for s in "ab")
+    return pairs.join(x, "own_a").join(y, "own_b").where(_alike("packed_a", "packed_b")).select("a", "b")
 
 
 def maybe_similar(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that the maps of parities allow to be similar: 1/9 of both sizes may differ."""
-    a, b = (classes.select(F.col("fp").alias(s), F.col("size").alias(f"size_{s}"), F.col("bits").alias(f"bits_{s}")) for s in "ab")
+    """(a, b, own_a, own_b) of the pairs that the maps of parities allow to be similar: 1/9 of both sizes may differ."""
+    a, b = (classes.select(F.col("fp").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("size", "bits", "own")]) for s in "ab")
     differ = sum(F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(PARITY))
-    return pairs.join(a, "a").join(b, "b").where(9 * differ <= F.col("size_a") + F.col("size_b")).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").where(9 * differ <= F.col("size_a") + F.col("size_b")).select("a", "b", "own_a", "own_b")
 
 
 def verified(pairs: DataFrame, df: DataFrame, text: str, classes: DataFrame) -> common.Written:
     """The pairs (a, b) that are similar enough."""
     some = common.Written(maybe_similar(pairs.distinct(), classes))
-    wanted = some.df.select("a").union(some.df.select("b")).distinct().toDF("fp")
-    found = common.Written(sets(df, text, common.Written(wanted).df))
+    wanted = common.Written(some.df.select("own_a").union(some.df.select("own_b")).distinct().toDF("own"))
+    found = common.Written(texts_of(df, text, wanted.df))
     out = common.Written(similar(some.df, found.df))
-    some.drop()
-    found.drop()
+    for table in (some, wanted, found):
+        table.drop()
     return out
 
 
 def links(df: DataFrame, text: str, marks: DataFrame) -> DataFrame:
     """(a, b) over the classes: enough similar pairs to connect whatever is linked."""
     some = marks.where("size > 0").groupBy("fp")
-    classes = common.Written(some.agg(F.first("size").alias("size"), F.first("bits").alias("bits")))
+    classes = common.Written(some.agg(*[F.first(c).alias(c) for c in ("size", "bits", "own")]))
     firsts = some.agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
     # dealt by shingle once, for the heads and for what meets them
     dealt = firsts.select("fp", "size", F.posexplode("prefix").alias("place", "at"))
