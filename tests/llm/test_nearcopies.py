@@ -35,3 +35,14 @@ def test_stage_by_force(spark):
     assert kept == set(root)
     assert 20 < len(kept) < len(texts) - 20
     assert nearcopies.shingle_set("a b c d e f").size == 2
+
+
+def test_repeated_keys_and_verification(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:59], "other"])
+    far = " ".join([*words[:30], *(f"v{i}" for i in range(30))])
+    rows = [(1, " ".join(words)), (1, " ".join(words)), (2, near), (3, far), (3, far), (3, far.upper()), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates(spark, df, "").collect()
+    assert sorted(r.doc_id for r in kept) == [1, 3, 4]
+    assert {r.doc_id: r.text and r.text.lower() for r in kept} == {1: rows[0][1], 3: far, 4: None}
