@@ -12,6 +12,7 @@ from .simhash import op4_simhash
 from .tokens import op10_tokens
 from .toxicity import op2_toxicity
 from .urls import OP8_SQL, op8_urls
+from .whitening import op11_whitening
 
 QUERIES = {
     "op1_pii": op1_pii,
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_urls": op8_urls,
     "op9_nbest": op9_nbest,
     "op10_tokens": op10_tokens,
+    "op11_whitening": op11_whitening,
 }
 ORACLES: dict[str, str] = {"op8_urls": OP8_SQL}
