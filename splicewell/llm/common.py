@@ -41,11 +41,7 @@ class Written:
 
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
-        top = f"{shared_dir(self.spark).rstrip('/')}/splicewell-{self.spark.sparkContext.applicationId}"
-        if top not in _FOLDERS:
-            _FOLDERS.add(top)
-            atexit.register(_remove, self.spark, top)
-        self.path = f"{top}/{uuid.uuid4().hex}"
+        self.path = place(self.spark)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
@@ -54,6 +50,35 @@ class Written:
         _remove(self.spark, self.path)
 
 
+def place(spark: SparkSession) -> str:
+    """A new path in this application's part of the shared folder; what lies there goes when Python ends."""
+    top = f"{shared_dir(spark).rstrip('/')}/splicewell-{spark.sparkContext.applicationId}"
+    if top not in _FOLDERS:
+        _FOLDERS.add(top)
+        atexit.register(_remove, spark, top)
+    return f"{top}/{uuid.uuid4().hex}"
+
+
+#: Least number of rows of one key that count as hot, and the most keys that can be hot.
+HOT_ROWS, HOT_KEYS = 1000, 10_000
+
+
+def meet(df: DataFrame, groups: DataFrame, keys: list[str], rows: str, total: int, how: str = "inner") -> DataFrame:
+    """Rows of df with those of groups, which hold each key once and the number of df's rows with it.
+
+    Keys with many rows are broadcast, so their rows stay where they are; as each of them holds over a
+    10,000th of all rows, there are fewer than that many. The others are joined by shuffle. Neither table may change
+    from one read to the next: give written ones. A left join also keeps rows whose key isn't among the groups.
+    """
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    hot, rest = groups.where(F.col(rows) > most).drop(rows), groups.where(F.col(rows) <= most).drop(rows)
+    if hot.isEmpty():
+        return df.join(rest, keys, how)
+    bound = F.broadcast(hot)
+    cold = df.join(bound.select(*keys), keys, "left_anti")
+    return df.join(bound, keys).unionByName(cold.join(rest, keys, how))
+
+
 _FOLDERS: set[str] = set()
 
 

@@ -12,6 +12,7 @@ from .simhash import op4_simhash
 from .tokens import op10_tokens
 from .toxicity import op2_toxicity
 from .urls import OP8_SQL, op8_urls
+from .warc import OP12_SQL, op12_warc
 from .whitening import op11_whitening
 
 QUERIES = {
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_nbest": op9_nbest,
     "op10_tokens": op10_tokens,
     "op11_whitening": op11_whitening,
+    "op12_warc": op12_warc,
 }
-ORACLES: dict[str, str] = {"op8_urls": OP8_SQL}
+ORACLES: dict[str, str] = {"op8_urls": OP8_SQL, "op12_warc": OP12_SQL}
