@@ -11,6 +11,7 @@ from .pii import op1_pii
 from .simhash import op4_simhash
 from .tokens import op10_tokens
 from .toxicity import op2_toxicity
+from .trie import OP13_SQL, op13_trie
 from .urls import OP8_SQL, op8_urls
 from .warc import OP12_SQL, op12_warc
 from .whitening import op11_whitening
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_tokens": op10_tokens,
     "op11_whitening": op11_whitening,
     "op12_warc": op12_warc,
+    "op13_trie": op13_trie,
 }
-ORACLES: dict[str, str] = {"op8_urls": OP8_SQL, "op12_warc": OP12_SQL}
+ORACLES: dict[str, str] = {"op8_urls": OP8_SQL, "op12_warc": OP12_SQL, "op13_trie": OP13_SQL}
