@@ -1,4 +1,4 @@
-"""Local alignment with affine gaps, vectorised by anti-diagonals; an Arrow UDF over distinct pairs.
+"""Local alignment with affine gaps, many pairs at once by anti-diagonals; an Arrow UDF over distinct pairs.
 
 A gap of n costs open + (n - 1) * extend. Of equal best cells the first in the
 reference wins, then the smallest query end; the traceback prefers the diagonal.
@@ -33,52 +33,71 @@ class Alignment(NamedTuple):
 NONE = Alignment(0, -1, -1, -1, -1, 0, "")
 
 
-def _matrices(query: str, ref: str, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best scores ending in each cell: any, with a gap in the query, with a gap in the reference. Filled by anti-diagonals."""
-    q, r = (np.frombuffer(x.encode("ascii", "replace"), dtype=np.uint8) for x in (query, ref))
-    n, m = len(q), len(r)
-    h = np.zeros((n + 1, m + 1), dtype=np.int32)
-    e, f = np.full((n + 1, m + 1), LOW, dtype=np.int32), np.full((n + 1, m + 1), LOW, dtype=np.int32)
-    for d in range(2, n + m + 1):
-        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
-        j = d - i
-        e[i, j] = np.maximum(h[i, j - 1] - p.gap_open, e[i, j - 1] - p.gap_extend)
-        f[i, j] = np.maximum(h[i - 1, j] - p.gap_open, f[i - 1, j] - p.gap_extend)
-        same = (q[i - 1] == r[j - 1]) & (q[i - 1] != ord("N"))
-        s = h[i - 1, j - 1] + np.where(same, p.match, -p.mismatch)
-        h[i, j] = np.maximum(np.maximum(s, 0), np.maximum(e[i, j], f[i, j]))
-    return h, e, f
+#: Cells of all pairs of a sweep on one anti-diagonal, and those of the matrices kept for the way back.
+SWEEP, KEPT = 1 << 15, 1 << 22
 
 
-def align(query: str | None, ref: str | None, p: Params = DEFAULT) -> Alignment:
-    """Best local alignment; positions are inclusive, score 0 if nothing matches."""
-    if not query or not ref:
-        return NONE
-    h, e, f = _matrices(query, ref, p)
-    score = int(h.max())
-    if score == 0:
-        return NONE
-    j = int(np.argmax(h.max(axis=0)))
-    i = int(np.argmax(h[:, j] == score))
-    end_i, end_j, ops, wrong, state = i, j, [], 0, "H"
-    while not (state == "H" and h[i, j] == 0):
+def _sweep(queries: list[str], refs: list[str], p: Params, keep: bool) -> tuple:
+    """Scores of the pairs, with the end of each best alignment; with keep also the three matrices, by anti-diagonal.
+
+    On diagonal d, index i stands for the cell (i, d - i). Shorter sequences are filled up with symbols that match
+    nothing, so no best cell lies there.
+    """
+    count, n, m = len(queries), max(map(len, queries)), max(map(len, refs))
+    q, r = np.zeros((count, n + 1), dtype=np.uint8), np.ones((count, m + 1), dtype=np.uint8)
+    for k, (a, b) in enumerate(zip(queries, refs, strict=True)):
+        q[k, 1 : len(a) + 1] = np.frombuffer(a.encode("ascii", "replace"), dtype=np.uint8)
+        r[k, 1 : len(b) + 1] = np.frombuffer(b.encode("ascii", "replace"), dtype=np.uint8)
+    q[q == ord("N")] = 0
+    turned = np.ascontiguousarray(r[:, ::-1])
+    best, end_i, end_j = np.zeros(count, dtype=np.int32), np.zeros(count, dtype=np.int64), np.full(count, m + 1)
+    blank = lambda fill: np.full((count, n + 2), fill, dtype=np.int32)
+    h1, h2, e1, f1 = blank(0), blank(0), blank(LOW), blank(LOW)
+    held: list[tuple] = [(h2, e1, f1), (h1, e1, f1)]
+    for d in range(2, n + m + 1):
+        lo, hi = max(1, d - m), min(n, d - 1)
+        here, above = slice(lo, hi + 1), slice(lo - 1, hi)
+        h, e, f = blank(0), blank(LOW), blank(LOW)
+        np.maximum(h1[:, here] - p.gap_open, e1[:, here] - p.gap_extend, out=e[:, here])
+        np.maximum(h1[:, above] - p.gap_open, f1[:, above] - p.gap_extend, out=f[:, here])
+        same = q[:, here] == turned[:, m - d + lo : m - d + hi + 1]
+        step = h2[:, above] + np.where(same, p.match, -p.mismatch)
+        np.maximum(np.maximum(step, 0), np.maximum(e[:, here], f[:, here]), out=h[:, here])
+        top = h[:, here].max(axis=1)
+        if (live := np.flatnonzero((top >= best) & (top > 0))).size:
+            i = hi - np.argmax(h[live, here][:, ::-1] == top[live, None], axis=1)
+            j = d - i
+            better = (top[live] > best[live]) | (j < end_j[live]) | ((j == end_j[live]) & (i < end_i[live]))
+            at = live[better]
+            best[at], end_i[at], end_j[at] = top[at], i[better], j[better]
+        if keep:
+            held.append((h, e, f))
+        h2, h1, e1, f1 = h1, h, e, f
+    return best, end_i, end_j, held
+
+
+def _way_back(query: str, ref: str, end_i: int, end_j: int, score: int, k: int, held: list[tuple], shift: int, p: Params) -> Alignment:
+    """The alignment that ends in a cell, by the pair's matrices, which begin shift symbols into the reference."""
+    i, j, ops, wrong, state = end_i, end_j, [], 0, "H"
+    cell = lambda which, a, b: held[a + b][which][k, a]
+    while not (state == "H" and cell(0, i, j) == 0):
         if state == "H":
             same = query[i - 1] == ref[j - 1] != "N"
-            if h[i, j] == h[i - 1, j - 1] + (p.match if same else -p.mismatch):
+            if cell(0, i, j) == cell(0, i - 1, j - 1) + (p.match if same else -p.mismatch):
                 ops.append("=" if same else "X")
                 wrong += not same
                 i, j = i - 1, j - 1
             else:
-                state = "E" if h[i, j] == e[i, j] else "F"
+                state = "E" if cell(0, i, j) == cell(1, i, j) else "F"
         elif state == "E":
             ops.append("D")
             wrong += 1
-            state = "H" if e[i, j] == h[i, j - 1] - p.gap_open else "E"
+            state = "H" if cell(1, i, j) == cell(0, i, j - 1) - p.gap_open else "E"
             j -= 1
         else:
             ops.append("I")
             wrong += 1
-            state = "H" if f[i, j] == h[i - 1, j] - p.gap_open else "F"
+            state = "H" if cell(2, i, j) == cell(0, i - 1, j) - p.gap_open else "F"
             i -= 1
     runs: list[list] = []
     for op in reversed(ops):
@@ -87,20 +106,63 @@ def align(query: str | None, ref: str | None, p: Params = DEFAULT) -> Alignment:
         else:
             runs.append([1, op])
     cigar = "".join(f"{n}{op}" for n, op in ([[i, "S"]] if i else []) + runs + ([[len(query) - end_i, "S"]] if len(query) > end_i else []))
-    return Alignment(score, j, end_j - 1, i, end_i - 1, wrong, cigar)
+    return Alignment(score, shift + j, shift + end_j - 1, i, end_i - 1, wrong, cigar)
+
+
+def align_many(pairs: list[tuple[str | None, str | None]], p: Params = DEFAULT, least: int = 1) -> list[Alignment]:
+    """Best local alignments of (query, reference) pairs; positions are inclusive. Below the least score only the score is told.
+
+    Pairs of like lengths are swept together: once for scores and ends, and again, over the stretch of the reference
+    that the best alignment can reach, for the way back. An alignment of positive score deletes fewer symbols of the
+    reference than it matches, so that stretch is twice as long as the query at most.
+    """
+    found = [NONE] * len(pairs)
+    order = sorted((i for i, (q, r) in enumerate(pairs) if q and r), key=lambda i: (len(pairs[i][0]), len(pairs[i][1])))
+
+    def blocks(items: list, width, most: int):
+        at = 0
+        while at < len(items):
+            size, stop = width(items[at]), at + 1
+            while stop < len(items) and (stop - at + 1) * max(size, width(items[stop])) <= most:
+                size, stop = max(size, width(items[stop])), stop + 1
+            yield items[at:stop]
+            at = stop
+
+    ends = []
+    for block in blocks(order, lambda i: len(pairs[i][0]), SWEEP):
+        best, end_i, end_j, _ = _sweep([pairs[i][0] for i in block], [pairs[i][1] for i in block], p, False)
+        for i, score, a, b in zip(block, best.tolist(), end_i.tolist(), end_j.tolist(), strict=True):
+            if score >= max(1, least):
+                ends.append((i, score, a, b))
+            else:
+                found[i] = NONE._replace(score=score)
+    ends.sort(key=lambda x: x[2])
+    for block in blocks(ends, lambda x: 3 * x[2] * (x[2] + 2), KEPT):
+        queries = [pairs[i][0][:a] for i, _, a, _ in block]
+        shifts = [max(0, b - 2 * a) for _, _, a, b in block]
+        refs = [pairs[i][1][s:b] for (i, _, _, b), s in zip(block, shifts, strict=True)]
+        held = _sweep(queries, refs, p, True)[3]
+        for k, ((i, score, a, b), s) in enumerate(zip(block, shifts, strict=True)):
+            found[i] = _way_back(pairs[i][0], refs[k], a, b - s, score, k, held, s, p)
+    return found
+
+
+def align(query: str | None, ref: str | None, p: Params = DEFAULT) -> Alignment:
+    """Best local alignment of one pair; score 0 if nothing matches."""
+    return align_many([(query, ref)], p)[0]
 
 
 SCHEMA = "struct<score:int,ref_begin:int,ref_end:int,query_begin:int,query_end:int,mismatches:int,cigar:string>"
 
 
-def local_alignment(query: Column, ref: Column, p: Params = DEFAULT) -> Column:
-    """The alignment struct of two sequence columns."""
+def local_alignment(query: Column, ref: Column, p: Params = DEFAULT, least: int = 1) -> Column:
+    """The alignment struct of two sequence columns; below the least score only the score is told."""
 
     @F.arrow_udf(SCHEMA)
     def run(queries: pa.Array, refs: pa.Array) -> pa.Array:
-        rows = [align(q, r, p)._asdict() for q, r in zip(queries.to_pylist(), refs.to_pylist(), strict=True)]
+        rows = align_many(list(zip(queries.to_pylist(), refs.to_pylist(), strict=True)), p, least)
         kinds = {k: pa.string() if k == "cigar" else pa.int32() for k in Alignment._fields}
-        return pa.StructArray.from_arrays([pa.array([x[k] for x in rows], t) for k, t in kinds.items()], list(kinds))
+        return pa.StructArray.from_arrays([pa.array([getattr(x, k) for x in rows], t) for k, t in kinds.items()], list(kinds))
 
     return run(query, ref)
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from . import tables
 from .sizes import small
 
 #: Rounds of the largest gap that anchors are merged over, before the last one (the insert size).
@@ -17,14 +20,44 @@ ROUNDS = [*range(10), *range(10, 100, 10)]
 #: Islands that one call of the clustering takes.
 ISLANDS = 256
 
+#: Positions in a range of a scan on two levels.
+BIN = 1 << 16
 
-def islands(df: DataFrame, by: list[str], start: str, end: str, reach: int = 0, tie: list[str] = ()) -> DataFrame:
-    """(by, island start, end, n): runs of intervals of which each starts before the furthest end so far plus reach."""
-    w = W.Window.partitionBy(*by).orderBy(start, end, *tie)
-    before = F.max(end).over(w.rowsBetween(W.Window.unboundedPreceding, -1))
-    new = F.when(F.col(start) > before + reach, 1).otherwise(0)
-    numbered = df.withColumn("new", F.when(before.isNull(), 1).otherwise(new)).withColumn("island", F.sum("new").over(w.rowsBetween(W.Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*by, "island").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("n")).drop("island")
+#: Starts and ends of anchors that count as near neighbours differ by this at most.
+NEAR = 10
+
+
+def _told(df: DataFrame, keys: list[str], other: DataFrame) -> DataFrame:
+    """An inner join on keys, nulls being equal."""
+    renamed = other.withColumnsRenamed({c: f"__{c}" for c in keys})
+    return df.join(renamed, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]).drop(*[f"__{c}" for c in keys])
+
+
+def _marked(df: DataFrame, by: list[str], start: str, end: str, reach: int) -> DataFrame:
+    """(by, start, end, n, island): intervals gathered by their start, with the number of the island they belong to.
+
+    A scan on two levels. Gathered by start, a range of BIN positions holds BIN rows at most; what the ranges before
+    reach up to, and how many islands began there, comes from one row for each range. So no task takes a whole contig.
+    """
+    points = tables.written(df.groupBy(*by, F.col(start).alias("start")).agg(F.max(end).alias("end"), F.count("*").alias("n")).withColumn("bin", F.floor(F.col("start") / BIN)))
+    far = points.groupBy(*by, "bin").agg(F.max("end").alias("last"))
+    earlier = W.Window.partitionBy(*by).orderBy("bin").rowsBetween(W.Window.unboundedPreceding, -1)
+    far = far.select(*by, "bin", F.max("last").over(earlier).alias("carried"))
+    here = W.Window.partitionBy(*by, "bin").orderBy("start")
+    points = _told(points, [*by, "bin"], far)
+    before = F.greatest("carried", F.max("end").over(here.rowsBetween(W.Window.unboundedPreceding, -1)))
+    points = points.withColumn("new", F.when(before.isNull() | (F.col("start") > before + reach), 1).otherwise(0))
+    nth = F.sum("new").over(here.rowsBetween(W.Window.unboundedPreceding, 0))
+    points = tables.written(points.withColumn("nth", nth))
+    begun = points.groupBy(*by, "bin").agg(F.sum("new").alias("begun"))
+    begun = begun.select(*by, "bin", F.coalesce(F.sum("begun").over(earlier), F.lit(0)).alias("first"))
+    return _told(points, [*by, "bin"], begun).select(*by, "start", "end", "n", (F.col("first") + F.col("nth")).alias("island"))
+
+
+def islands(df: DataFrame, by: list[str], start: str, end: str, reach: int = 0) -> DataFrame:
+    """(by, island start, end, n): runs of intervals of which each starts before the furthest end so far plus reach. Intervals end where they start or later."""
+    found = _marked(df, by, start, end, reach).groupBy(*by, "island")
+    return found.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("island")
 
 
 def sampling_regions(pairs: DataFrame, contig: str, start: str, end: str, least: int = 10) -> DataFrame:
@@ -60,18 +93,64 @@ def covered(df: DataFrame, by: list[str], start: str, end: str, compat: bool = T
     return found.groupBy(*by).agg(total.cast("long").alias("covered"))
 
 
-def collapse_neighbours(df: DataFrame, by: list[str], reach: int = 10) -> DataFrame:
-    """Runs of anchors, in order of start, of which each differs from the one before by at most reach in start and end."""
-    w = W.Window.partitionBy(*by).orderBy("start", "end", "id")
-    far = (F.col("start") - F.lag("start").over(w) > reach) | (F.abs(F.col("end") - F.lag("end").over(w)) > reach)
-    run = F.sum(F.when(far, 1).otherwise(0)).over(w.rowsBetween(W.Window.unboundedPreceding, 0))
-    return df.withColumn("run", run).groupBy(*by, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("run")
+def collapse(starts: np.ndarray, ends: np.ndarray, reach: int = NEAR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, n) of anchors, sorted by start and end, after passes that merge neighbours until none is left to.
+
+    A pass goes from left to right; an anchor merges with the next one if both ends differ by at most reach, and the pass
+    goes on behind the two. So of a row of close neighbours every first one merges with its second.
+    """
+    count = np.ones(len(starts), dtype=np.int64)
+    while len(starts) > 1:
+        close = (np.diff(starts) <= reach) & (np.abs(np.diff(ends)) <= reach)
+        if not close.any():
+            break
+        at = np.arange(len(close))
+        broken = np.maximum.accumulate(np.where(close, -1, at))  # the last gap up to here
+        one = np.flatnonzero(close & ((at - broken) % 2 == 1))
+        ends[one], count[one] = np.maximum(ends[one], ends[one + 1]), count[one] + count[one + 1]
+        kept = np.ones(len(starts), dtype=bool)
+        kept[one + 1] = False
+        starts, ends, count = starts[kept], ends[kept], count[kept]
+    return starts, ends, count
+
+
+def collapse_neighbours(df: DataFrame, by: list[str], reach: int = NEAR) -> DataFrame:
+    """(by, start, end, n): anchors merged with near neighbours, see collapse().
+
+    Where starts lie further apart than reach nothing ever merges, so anchors are dealt by runs between such gaps; equal
+    anchors travel as one row with their number.
+    """
+    rows = tables.written(df.groupBy(*by, "start", "end").agg(F.count("*").alias("n")))
+    runs = _dealt(rows.withColumn("still", F.col("start")), by, "still", reach)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, part in pdf.groupby("island"):
+            part = part.sort_values(["start", "end"])
+            starts, ends, n = collapse(*(np.repeat(part[c].to_numpy(), part["n"]) for c in ("start", "end")), reach)
+            out.append(pd.DataFrame({"start": starts, "end": ends, "n": n}))
+        found = pd.concat(out)
+        return found.assign(**{c: pdf[c].iloc[0] for c in by})[[*by, "start", "end", "n"]]
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    return runs.groupBy(*by, "some").applyInPandas(one, ", ".join([*(f"{c} {kinds[c]}" for c in by), "start long, end long, n long"]))
+
+
+def _dealt(df: DataFrame, by: list[str], end: str, reach: int) -> DataFrame:
+    """Adds island, and some: the hash of a few islands that one call takes together."""
+    marks = _marked(df, by, "start", end, reach).select(*by, "start", "island")
+    return _told(df, [*by, "start"], marks).withColumn("some", F.floor(F.col("island") / ISLANDS))
 
 
 def agglomerate(anchors: list[tuple[int, int]], longest: int) -> list[tuple[int, int]]:
-    """Merges the nearest two anchors, round by round of reach, while a union is not longer than longest."""
+    """Merges the nearest two anchors, round by round of reach, while a union is not longer than longest.
+
+    Living anchors are kept in order of their start. None is longer than the longest one given or allowed, so those
+    that a union can meet lie in one stretch of that order.
+    """
     alive = dict(enumerate(sorted(anchors)))
     number = len(alive)
+    widest = max([longest, *(b - a for a, b in anchors)])
 
     def distance(a, b):
         shared = min(a[1], b[1]) - max(a[0], b[0])
@@ -80,55 +159,59 @@ def agglomerate(anchors: list[tuple[int, int]], longest: int) -> list[tuple[int,
         return max(a[0], b[0]) - min(a[1], b[1])
 
     for reach in [*ROUNDS, longest]:
-        order = sorted(alive, key=alive.get)
+        order = sorted((v[0], i) for i, v in alive.items())
         queue: list = []
 
         def offer(i, j, reach=reach, queue=queue):
             a, b = sorted((alive[i], alive[j]))
-            if b[0] <= a[1] + reach and max(a[1], b[1]) - a[0] + 1 <= longest:
+            if b[0] <= a[1] + reach and max(a[1], b[1]) - a[0] <= longest:
                 heapq.heappush(queue, (distance(a, b), a, b, i, j))
 
-        for x, i in enumerate(order):
-            for j in order[x + 1 :]:
-                if alive[j][0] > alive[i][1] + reach:
+        for x, (_, i) in enumerate(order):
+            for y in range(x + 1, len(order)):
+                if order[y][0] > alive[i][1] + reach:
                     break
-                offer(i, j)
+                offer(i, order[y][1])
         while queue:
             _, a, b, i, j = heapq.heappop(queue)
             if i not in alive or j not in alive:
                 continue
-            del alive[i], alive[j]
-            alive[number] = (a[0], max(a[1], b[1]))
-            for k in [k for k, v in alive.items() if k != number and v[0] <= alive[number][1] + reach and v[1] + reach >= alive[number][0]]:
-                offer(number, k)
+            for k in (i, j):
+                del order[bisect.bisect_left(order, (alive[k][0], k))]
+                del alive[k]
+            new = alive[number] = (a[0], max(a[1], b[1]))
+            at = bisect.bisect_left(order, (new[0] - reach - widest, -1))
+            while at < len(order) and order[at][0] <= new[1] + reach:
+                if alive[order[at][1]][1] + reach >= new[0]:
+                    offer(number, order[at][1])
+                at += 1
+            bisect.insort(order, (new[0], number))
             number += 1
     return sorted(alive.values())
 
 
-def clusters(anchors: DataFrame, longest: int, lengths: DataFrame | None = None) -> DataFrame:
-    """(contig, start, end) of regions around anchor clusters.
+def clusters(anchors: DataFrame, longest: int, lengths: DataFrame | None = None, by: list[str] = ()) -> DataFrame:
+    """(by, contig, start, end) of regions around anchor clusters, apart for each value of by.
 
-    Anchors that can't be merged, as more than the last reach lies between them, never meet: islands of
-    anchors are clustered apart, so no whole contig is in one task. Regions are extended to longest on
-    both sides and clamped to the contig.
+    Near neighbours are collapsed first. Anchors that can't be merged, as more than the last reach lies between them,
+    never meet: islands of anchors are clustered apart, so no whole contig is in one task. Regions are extended to
+    longest on both sides and clamped to the contig.
     """
-    w = W.Window.partitionBy("contig", "strand").orderBy("start", "end", "id")
-    before = F.max("end").over(w.rowsBetween(W.Window.unboundedPreceding, -1))
-    island = F.sum(F.when(F.col("start") > before + longest, 1).otherwise(0)).over(w.rowsBetween(W.Window.unboundedPreceding, 0))
+    by = [*by, "contig"]
+    near = tables.written(collapse_neighbours(anchors.select(*by, "strand", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")), [*by, "strand"]))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, part in pdf.groupby("island"):
             out += agglomerate(list(zip(part["start"].tolist(), part["end"].tolist(), strict=True)), longest)
-        return pd.DataFrame(out, columns=["start", "end"]).assign(contig=pdf["contig"].iloc[0])[["contig", "start", "end"]]
+        return pd.DataFrame(out, columns=["start", "end"]).assign(**{c: pdf[c].iloc[0] for c in by})[[*by, "start", "end"]]
 
-    kind = anchors.schema["contig"].dataType.simpleString()
-    dealt = anchors.withColumn("island", island).withColumn("some", F.floor(F.col("island") / ISLANDS))
-    found = dealt.groupBy("contig", "strand", "some").applyInPandas(one, f"contig {kind}, start long, end long")
-    flat = islands(found, ["contig"], "start", "end", 9)
+    kinds = {f.name: f.dataType.simpleString() for f in anchors.schema}
+    found = _dealt(near, [*by, "strand"], "end", longest).groupBy(*by, "strand", "some").applyInPandas(one, ", ".join([*(f"{c} {kinds[c]}" for c in by), "start long, end long"]))
+    flat = islands(found, by, "start", "end", 9)
     room = F.lit(longest) - (F.col("end") - F.col("start") + 1)
     flat = flat.withColumn("room", F.greatest(room, F.lit(0)))
-    regions = flat.select("contig", F.greatest(F.col("start") - F.col("room"), F.lit(0)).alias("start"), (F.col("end") + F.col("room")).alias("end"))
+    regions = flat.select(*by, F.greatest(F.col("start") - F.col("room"), F.lit(0)).alias("start"), (F.col("end") + F.col("room")).alias("end"))
     if lengths is not None:
-        regions = regions.join(small(lengths), "contig").select("contig", "start", F.least("end", "length").alias("end"))
+        regions = regions.join(small(lengths), "contig").select(*by, "start", F.least("end", "length").alias("end"))
     return regions

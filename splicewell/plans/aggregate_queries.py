@@ -44,7 +44,7 @@ def duplicates_by_whole_sequence(spark, sf):
 
 
 def interval_islands(spark, sf):
-    return I.islands(X.anchors(spark, sf), ["contig"], "start", "end", 10, ["id"])
+    return I.islands(X.anchors(spark, sf), ["contig"], "start", "end", 10)
 
 
 def sampling_regions(spark, sf):
@@ -73,7 +73,7 @@ def top_regions(spark, sf):
 
 
 def dense_region_ids(spark, sf):
-    r = I.islands(X.anchors(spark, sf), ["contig"], "start", "end", 10, ["id"])
+    r = I.islands(X.anchors(spark, sf), ["contig"], "start", "end", 10)
     return E.dense_ids(r, "contig", ["start", "end"]).select("region_id", "contig", "start", "end")
 
 
@@ -218,9 +218,16 @@ ORACLES = {
         runs AS (SELECT *, sum(CASE WHEN b IS NULL OR s > b THEN 1 ELSE 0 END) OVER (PARTITION BY region_id, rev ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run FROM edges),
         isl AS (SELECT region_id, rev, min(s) AS s, max(e) AS e FROM runs GROUP BY region_id, rev, run)
         SELECT region_id, rev, CAST(sum(e - s + 1) + CASE WHEN min(s) = 0 THEN 0 ELSE 1 END AS BIGINT) AS covered FROM isl GROUP BY region_id, rev""",
-    "adjacent_collapse": f"""WITH {X.ANCHORS}, l AS (SELECT contig, strand, id, start, "end" AS e, lag(start) OVER w AS ps, lag("end") OVER w AS pe FROM anchors WINDOW w AS (PARTITION BY contig, strand ORDER BY start, "end", id)),
-        r AS (SELECT *, sum(CASE WHEN start - ps > 10 OR abs(e - pe) > 10 THEN 1 ELSE 0 END) OVER (PARTITION BY contig, strand ORDER BY start, e, id ROWS UNBOUNDED PRECEDING) AS run FROM l)
-        SELECT contig, strand, min(start) AS start, max(e) AS "end", count(*) AS n FROM r GROUP BY contig, strand, run""",
+    "adjacent_collapse": f"""WITH RECURSIVE {X.ANCHORS}, p AS (
+            SELECT contig, strand, start, "end" AS e, CAST(1 AS BIGINT) AS n, row_number() OVER (PARTITION BY contig, strand ORDER BY start, "end", id) AS i, 0 AS pass FROM anchors
+            UNION ALL
+            SELECT contig, strand, start, CASE WHEN one THEN greatest(e, ne) ELSE e END, CASE WHEN one THEN n + nn ELSE n END, row_number() OVER (PARTITION BY contig, strand ORDER BY i), pass + 1
+            FROM (SELECT *, coalesce(lag(one) OVER (PARTITION BY contig, strand ORDER BY i), false) AS gone, bool_or(one) OVER () AS live
+                FROM (SELECT *, close AND (i - coalesce(max(CASE WHEN NOT close THEN i END) OVER (PARTITION BY contig, strand ORDER BY i), 0)) % 2 = 1 AS one
+                    FROM (SELECT *, coalesce(ns - start <= 10 AND abs(ne - e) <= 10, false) AS close
+                        FROM (SELECT *, lead(start) OVER w AS ns, lead(e) OVER w AS ne, lead(n) OVER w AS nn FROM p WINDOW w AS (PARTITION BY contig, strand ORDER BY i)))))
+            WHERE live AND NOT gone)
+        SELECT contig, strand, start, e AS "end", n FROM p WHERE pass = (SELECT max(pass) FROM p)""",
     "region_scores": f"WITH {X.HITS}, {_SCORES} SELECT * FROM scores",
     "best_region": f"""WITH {X.HITS}, {_SCORES}, r AS (SELECT *, region_id % 7 AS "group", row_number() OVER (PARTITION BY region_id % 7 ORDER BY score DESC, reads DESC, region_id, rev) AS n FROM scores)
         SELECT region_id, rev, score, reads, "group" FROM r WHERE n = 1""",
