@@ -68,8 +68,8 @@ def accept_windows(hits: DataFrame, reach: int) -> DataFrame:
     return bp.select("region_id", "rev", F.when(F.col("rev"), F.col("bp")).otherwise(F.col("bp") - reach).alias("low"), F.when(F.col("rev"), F.col("bp") + reach).otherwise(F.col("bp")).alias("high"))
 
 
-def conforming(hits: DataFrame, windows: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Hits of the qnames of which none lies outside the window or has a clip of good quality far from the window's edge.
+def misfits(hits: DataFrame, windows: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """(region_id, rev, qname) of the names with a hit outside the window, or with a clip of good quality far from the window's edge.
 
     hits: also lclip_quality and rclip_quality, the average qualities of the clips.
     """
@@ -77,8 +77,12 @@ def conforming(hits: DataFrame, windows: DataFrame, p: Params = DEFAULT) -> Data
     outside = (F.col("offset_start") < F.col("low")) | (F.col("offset_end") > F.col("high"))
     left, right = _far_clips(p)
     good = lambda c: F.col(c) >= p.clip_quality
-    bad = met.where(outside | (left & good("lclip_quality")) | (right & good("rclip_quality"))).select("region_id", "rev", "qname").distinct()
-    return hits.join(bad, ["region_id", "rev", "qname"], "left_anti")
+    return met.where(outside | (left & good("lclip_quality")) | (right & good("rclip_quality"))).select("region_id", "rev", "qname").distinct()
+
+
+def conforming(hits: DataFrame, windows: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Hits of the qnames that are no misfits. Where there are two sides, take the misfits of both."""
+    return hits.join(misfits(hits, windows, p), ["region_id", "rev", "qname"], "left_anti")
 
 
 def _far_clips(p: Params) -> tuple[Column, Column]:
