@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
+from ..functions import sequence as S
 from ..operators import associate as A
 from ..operators import evidence as E
 from ..operators import intervals as I
+from ..operators import rounds as R
 from ..operators import tables
-from ..operators.assign import assign
 from ..operators.sizes import small
 from ..params import DEFAULT, Params
 
@@ -27,28 +27,26 @@ def host_regions(pairs: DataFrame, host: DataFrame, max_is: int) -> DataFrame:
 def junctions(pairs: DataFrame, host: DataFrame, virus: DataFrame, max_is: int, p: Params = DEFAULT) -> DataFrame:
     """Calls from pairs (qname, host_contig, host_strand, host_pos, host_seq, virus_seq) against contigs (name, seq).
 
-    (call_id, host_chr, host_rev, host_pos, virus_chr, virus_rev, virus_pos, pairs, score)
+    Host reads are aligned to regions around them, virus reads to the virus contigs to learn where they lie; then junctions
+    are assigned best first, with their virus side looked at again each time (operators/rounds.py).
+    (call_id, host_chr, host_rev, host_pos, virus_chr, virus_rev, virus_pos, reads, pairs, split_reads, score, pbs, coverage)
     """
-    regions = host_regions(pairs, host, max_is)
-    viruses = virus.withColumn("region_id", F.xxhash64("name"))
-    names = pairs.select(F.xxhash64("qname").alias("read_id"), "qname", "host_seq", "virus_seq")
+    regions = tables.written(host_regions(pairs, host, max_is))
+    names = tables.written(pairs.select(F.xxhash64("qname").alias("read_id"), "qname", "host_seq", "virus_seq"))
     h = A.realign(names.select("read_id", F.col("host_seq").alias("seq")), regions.select("region_id", "seq"), p)
-    v = A.realign(names.select("read_id", F.col("virus_seq").alias("seq")), viruses.select("region_id", "seq"), p)
-    h = h.select("read_id", "region_id", F.col("rc").alias("rev"), F.col("score").cast("long").alias("h_score"), F.col("ref_begin").alias("h_begin"), F.col("ref_end").alias("h_end"))
-    v = v.select("read_id", F.col("region_id").alias("virus_region"), F.col("rc").alias("virus_rev"), F.col("score").cast("long").alias("v_score"), F.col("ref_begin").alias("v_begin"), F.col("ref_end").alias("v_end"))
-    met = h.join(v, "read_id").join(names.select("read_id", "qname"), "read_id")
-    once = F.row_number().over(W.Window.partitionBy("region_id", "rev", "virus_region", "virus_rev", "h_begin", "h_end", "v_begin", "v_end").orderBy(F.desc("h_score"), "qname"))
-    met = met.withColumn("n", once).where("n = 1").drop("n") if p.compat else met
-    met = tables.written(met)
-    chosen = assign(met.select("region_id", "rev", "virus_region", "virus_rev", "qname", "h_score", "v_score"), p)
-    key = ["region_id", "rev", "virus_region", "virus_rev", "qname"]
-    support = chosen.select(*key, "call_score").join(met, key)
-    calls = support.groupBy("region_id", "rev", "virus_region", "virus_rev", "call_score").agg(
-        F.min("h_begin").alias("hb"), F.max("h_end").alias("he"), F.min("v_begin").alias("vb"), F.max("v_end").alias("ve"), F.count_distinct("qname").alias("pairs")
-    )
-    at = calls.join(small(regions.select("region_id", "contig", "start")), "region_id").join(small(viruses.select(F.col("region_id").alias("virus_region"), F.col("name").alias("virus_chr"))), "virus_region")
-    placed = at.select(
-        F.col("contig").alias("host_chr"), F.col("rev").alias("host_rev"), (F.col("start") + F.when(F.col("rev"), F.col("hb")).otherwise(F.col("he"))).alias("host_pos"),
-        "virus_chr", "virus_rev", F.when(F.col("virus_rev"), F.col("vb")).otherwise(F.col("ve")).cast("long").alias("virus_pos"), "pairs", F.col("call_score").alias("score"),
+    seq = F.when(F.col("rc"), S.reverse_complement(F.col("host_seq"))).otherwise(F.col("host_seq"))
+    good = F.lit(p.clip_quality)  # there are no qualities
+    hits = h.join(names, "read_id").select(
+        "region_id", F.col("rc").alias("rev"), "read_id", "qname", F.lit(False).alias("secondary"), F.col("ref_begin").alias("offset_start"), (F.col("ref_end") + 1).alias("offset_end"),
+        F.col("query_begin").alias("lclip"), (F.col("read_len") - 1 - F.col("query_end")).alias("rclip"), good.alias("lclip_quality"), good.alias("rclip_quality"), "score", seq.alias("seq"), "cigar",
     )
-    return E.dense_ids(placed, "host_chr", ["host_pos", "host_rev", "virus_chr", "virus_pos", "virus_rev"], "call_id")
+    contigs = tables.written(virus.select(F.xxhash64("name").alias("region_id"), "name", "seq"))
+    v = A.realign(names.select("read_id", F.col("virus_seq").alias("seq")), contigs.select("region_id", "seq"), p)
+    v = v.join(names.select("read_id", "qname"), "read_id").join(small(contigs.select("region_id", "name")), "region_id")
+    places = v.select("qname", F.col("name").alias("contig"), F.when(F.col("rc"), "R").otherwise("F").alias("strand"), F.col("ref_begin").cast("long").alias("start"), (F.col("ref_end") + 1).cast("long").alias("end"))
+    mates = names.select("qname", F.col("virus_seq").alias("seq"), F.lit(None).cast("array<int>").alias("quals"))
+    sized = regions.select("region_id", "contig", "start", F.length("seq").cast("long").alias("length"))
+    contigs = contigs.select("name", "seq")
+    support = R.assign(hits, mates, places, sized, contigs, max_is, p)
+    calls = R.junction_calls(support, sized, contigs, max_is, p)
+    return calls.select(F.col("id").alias("call_id"), "host_chr", "host_rev", "host_pos", "virus_chr", "virus_rev", "virus_pos", "reads", F.col("good_pairs").alias("pairs"), "split_reads", "score", "pbs", "coverage")
