@@ -82,15 +82,15 @@ def low_complexity(seq: Column, share: float = 0.75) -> Column:
     return F.aggregate(top, F.lit(0), lambda a, n: a + n) >= share * (F.length(seq) + 1)
 
 
-def turned(seq: Column, quals: Column, flag: Column) -> Column:
-    """A read the other way round: sequence, qualities and the flag's strand."""
-    return F.struct(reverse_complement(seq).alias("seq"), F.reverse(quals).alias("quals"), flag.bitwiseXOR(F.lit(16)).alias("flag"))
+def turned(seq: Column, quals: Column, flag: Column, compat: bool = True) -> Column:
+    """A read the other way round: sequence and the flag's strand; in compat mode qualities stay as in the file, as clip_quality() takes them, else they turn as well."""
+    return F.struct(reverse_complement(seq).alias("seq"), (quals if compat else F.reverse(quals)).alias("quals"), flag.bitwiseXOR(F.lit(16)).alias("flag"))
 
 
-def forward(seq: Column, quals: Column, flag: Column) -> Column:
+def forward(seq: Column, quals: Column, flag: Column, compat: bool = True) -> Column:
     """A read on the forward strand."""
     as_it_is = F.struct(seq.alias("seq"), quals.alias("quals"), flag.alias("flag"))
-    return F.when(has_flag(flag, 16), turned(seq, quals, flag)).otherwise(as_it_is)
+    return F.when(has_flag(flag, 16), turned(seq, quals, flag, compat)).otherwise(as_it_is)
 
 
 def clip_quality(quals: Column, flag: Column, rc: Column, clip: Column, side: str) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -10,9 +13,7 @@ from ..functions import sequence as S
 from ..functions.alignment import local_alignment
 from ..params import DEFAULT, Params
 from . import tables
-
-#: Candidate pairs that one task may decide; while more are left, they are decided in rounds.
-LAST = 50_000
+from .intervals import marked
 
 
 def verdict(read_len: int, p: Params = DEFAULT, accept_all_clipped: bool = False) -> Column:
@@ -61,65 +62,61 @@ def nearest_mate(calls: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return mate_candidates(calls, p).withColumn("n", n).where("n = 1").drop("n")
 
 
+def _by_chain(candidates: DataFrame, calls: DataFrame, p: Params, once: bool) -> DataFrame:
+    """(i, j) that candidates (i, far, j) give in order of i: each i takes its nearest free j; once: an i that was taken as j takes none.
+
+    Calls further apart than mates may be never meet, so chains of calls between such gaps are dealt to tasks. A task
+    streams a chain's candidates in order and remembers only the ids that are taken.
+    """
+    reach = max(abs(p.mate_from), abs(p.mate_to))
+    marks = marked(calls, ["host_chr"], "host_pos", "host_pos", reach).select("host_chr", F.col("start").alias("host_pos"), "island")
+    at = calls.select(F.col("id").alias("i"), "host_chr", "host_pos").join(marks, ["host_chr", "host_pos"]).select("i", "host_chr", "island")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, chosen, taken = None, set(), set()
+        for batch in batches:
+            out = []
+            for here, island, i, j in zip(*(batch.column(c).to_pylist() for c in ("host_chr", "island", "i", "j")), strict=True):
+                if (here, island) != chain:
+                    chain, chosen, taken = (here, island), set(), set()
+                if i not in chosen and j not in taken and not (once and (i in taken or j in chosen)):
+                    chosen.add(i)
+                    taken.add(j)
+                    out.append((i, j))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["i", "j"])
+
+    order = ["host_chr", "island", "i", "far", "j"]
+    dealt = candidates.join(at, "i").select(*[F.col(c).cast("long").alias(c) if c in ("i", "j") else F.col(c) for c in order])
+    return dealt.repartition("host_chr", "island").sortWithinPartitions(*order).mapInArrow(run, "i long, j long")
+
+
 def pair_up(calls: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """(id, paired_with): calls in order of id take the nearest free later one, each call once.
+    """(id, paired_with): calls in order of id take the nearest later one that is free, the first of equal ones.
 
-    That takes candidate pairs in order of (i, distance, j) while both ends are free. A pair that comes first at both
-    of its ends is taken whatever happens to the others, so each round takes all such pairs and drops the candidates
-    they touch. What is left goes to one task once it is at most LAST candidates.
+    In compat mode a call that was taken by an earlier one still takes a later one, and then names that as its mate; so
+    pairs need not be mutual. Else each call is in one pair.
     """
-    rest = tables.written(mate_candidates(calls, p).select("i", F.abs("distance").alias("far"), "j"))
-    n, done, path = rest.count(), None, tables.place(calls.sparkSession)
-    while n > LAST:
-        order = F.struct("i", "far", "j")
-        lead = tables.written(rest.select(F.explode(F.array("i", "j")).alias("id"), order.alias("lead")).groupBy("id").agg(F.min("lead").alias("lead")))
-        both = lead.groupBy("lead").agg(F.count("*").alias("n")).where("n = 2").select("lead.i", "lead.j")
-        taken = both.select(F.inline(F.array(F.struct(F.col("i").alias("id"), F.col("j").alias("paired_with")), F.struct(F.col("j").alias("id"), F.col("i").alias("paired_with")))))
-        done = tables.written(taken, path)
-        used = taken.select("id")
-        left = tables.written(rest.join(used, F.col("i") == F.col("id"), "left_anti").join(used, F.col("j") == F.col("id"), "left_anti"))
-        tables.drop(lead)
-        tables.drop(rest)
-        rest, n = left, left.count()
-
-    def greedy(pdf):
-        import pandas as pd
-
-        taken, out = set(), []
-        for i, _, j in sorted(zip(pdf["i"], pdf["far"], pdf["j"], strict=True)):
-            if i not in taken and j not in taken:
-                taken |= {i, j}
-                out += [(i, j), (j, i)]
-        return pd.DataFrame(out, columns=["id", "paired_with"])
-
-    last = rest.groupBy().applyInPandas(greedy, "id long, paired_with long")
-    return last if done is None else done.unionByName(last)
+    calls = tables.written(calls.select("id", "host_chr", "host_rev", "host_pos", "virus_rev"))
+    found = tables.written(_by_chain(mate_candidates(calls, p).select("i", F.abs("distance").alias("far"), "j"), calls, p, not p.compat))
+    ends = F.inline(F.array(F.struct(F.col("i").alias("id"), F.col("j").alias("paired_with"), F.lit(1).alias("own")), F.struct(F.col("j").alias("id"), F.col("i").alias("paired_with"), F.lit(0).alias("own"))))
+    return found.select(ends).groupBy("id").agg(F.max_by("paired_with", "own").alias("paired_with"))
 
 
 def pair_rejected(accepted: DataFrame, rejected: DataFrame, paired: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """(id, paired_with) of the rejected calls that mate accepted ones left without a mate.
 
     Accepted calls take, in order of id, the nearest free rejected call, the first of equal ones. Candidates of one
-    host contig and bin meet, as in mate_candidates(); what is decided one by one are the candidate pairs alone.
+    host contig and bin meet, as in mate_candidates().
     """
     fields = ["id", "host_chr", "host_rev", "host_pos", "virus_rev"]
     lone = accepted.join(paired.select("id"), "id", "left_anti")
-    both = lone.select(*fields, F.lit(False).alias("out")).unionByName(rejected.select(*fields, F.lit(True).alias("out")))
+    both = tables.written(lone.select(*fields, F.lit(False).alias("out")).unionByName(rejected.select(*fields, F.lit(True).alias("out"))))
     width = p.mate_to - p.mate_from + 1
     a = both.where("not out").select(F.struct(*fields).alias("a"), "host_chr", F.explode(F.array(*[F.floor(F.col("host_pos") / width) + d for d in (-1, 0, 1)])).alias("bin"))
     b = both.where("out").select(F.struct(*fields).alias("b"), "host_chr", F.floor(F.col("host_pos") / width).alias("bin"))
     met = a.join(b, ["host_chr", "bin"]).withColumn("distance", S.pair_distance(F.col("a"), F.col("b"), p.mate_from, p.mate_to))
-    rest = tables.written(met.where("distance is not null").select(F.col("a.id").alias("i"), F.abs("distance").cast("long").alias("far"), F.col("b.id").alias("j")))
-    done, path, spark = None, tables.place(accepted.sparkSession), accepted.sparkSession
-    while not rest.isEmpty():
-        first = rest.groupBy("i").agg(F.min(F.struct("far", "j")).alias("best")).select("i", "best.far", "best.j")
-        least = rest.groupBy("j").agg(F.min("i").alias("i"))
-        # the first of all that want it gets its nearest, whatever the others do
-        done = tables.written(first.join(least, ["i", "j"]).select(F.col("j").alias("id"), F.col("i").alias("paired_with")), path)
-        left = tables.written(rest.join(done, F.col("j") == F.col("id"), "left_anti").join(done, F.col("i") == F.col("paired_with"), "left_anti"))
-        tables.drop(rest)
-        rest = left
-    return done if done is not None else spark.createDataFrame([], "id long, paired_with long")
+    candidates = met.where("distance is not null").select(F.col("a.id").alias("i"), F.abs("distance").cast("long").alias("far"), F.col("b.id").alias("j"))
+    return _by_chain(candidates, both, p, False).select(F.col("j").alias("id"), F.col("i").alias("paired_with"))
 
 
 def redundant(consensus: DataFrame, p: Params = DEFAULT) -> DataFrame:

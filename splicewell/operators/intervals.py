@@ -33,7 +33,7 @@ def _told(df: DataFrame, keys: list[str], other: DataFrame) -> DataFrame:
     return df.join(renamed, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]).drop(*[f"__{c}" for c in keys])
 
 
-def _marked(df: DataFrame, by: list[str], start: str, end: str, reach: int) -> DataFrame:
+def marked(df: DataFrame, by: list[str], start: str, end: str, reach: int) -> DataFrame:
     """(by, start, end, n, island): intervals gathered by their start, with the number of the island they belong to.
 
     A scan on two levels. Gathered by start, a range of BIN positions holds BIN rows at most; what the ranges before
@@ -56,7 +56,7 @@ def _marked(df: DataFrame, by: list[str], start: str, end: str, reach: int) -> D
 
 def islands(df: DataFrame, by: list[str], start: str, end: str, reach: int = 0) -> DataFrame:
     """(by, island start, end, n): runs of intervals of which each starts before the furthest end so far plus reach. Intervals end where they start or later."""
-    found = _marked(df, by, start, end, reach).groupBy(*by, "island")
+    found = marked(df, by, start, end, reach).groupBy(*by, "island")
     return found.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("island")
 
 
@@ -138,7 +138,7 @@ def collapse_neighbours(df: DataFrame, by: list[str], reach: int = NEAR) -> Data
 
 def _dealt(df: DataFrame, by: list[str], end: str, reach: int) -> DataFrame:
     """Adds island, and some: the hash of a few islands that one call takes together."""
-    marks = _marked(df, by, "start", end, reach).select(*by, "start", "island")
+    marks = marked(df, by, "start", end, reach).select(*by, "start", "island")
     return _told(df, [*by, "start"], marks).withColumn("some", F.floor(F.col("island") / ISLANDS))
 
 

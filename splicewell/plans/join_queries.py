@@ -77,8 +77,7 @@ def rejected_pairing(spark, sf):
     """Accepted calls without a mate take rejected ones."""
     c = X.calls(spark, sf)
     accepted = c.where(K.verdict(60))
-    paired = K.nearest_mate(accepted).select(F.explode(F.array("i", "j")).alias("id")).distinct()
-    return K.pair_rejected(accepted, c.where(~K.verdict(60)), paired)
+    return K.pair_rejected(accepted, c.where(~K.verdict(60)), K.pair_up(accepted))
 
 
 def mate_branch(spark, sf):

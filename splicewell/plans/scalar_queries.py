@@ -161,7 +161,7 @@ ORACLES = {
         SELECT read_id, pos, quality, n[1] + n[2] AS top2, n[1] + n[2] >= 0.75 * (length(seq) + 1) AS low FROM c""",
     "turned_reads": f"""WITH {X.HITS}, d AS (SELECT DISTINCT read_id, pos, quality, flag FROM hits), s AS (SELECT *, {X.SEQ} AS seq FROM d)
         SELECT read_id, pos, quality, flag, CASE WHEN flag & 16 > 0 THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS fwd,
-        CASE WHEN flag & 16 > 0 THEN (pos + 7 * length(seq)) % 40 ELSE (pos + 7) % 40 END AS q0, CASE WHEN flag & 16 > 0 THEN flag - 16 ELSE flag END AS fwd_flag FROM s""",
+        (pos + 7) % 40 AS q0, CASE WHEN flag & 16 > 0 THEN flag - 16 ELSE flag END AS fwd_flag FROM s""",
     "clip_qualities": f"""WITH {X.HITS}, d AS (SELECT DISTINCT read_id, pos, flag, lclip, rclip, rev FROM hits), q AS (SELECT *, list_transform(generate_series(1, 30), lambda i : (pos + i * 7) % 40) AS q, (flag & 16 > 0) <> rev AS turned FROM d)
         SELECT read_id, pos, flag, lclip, rclip, rev,
         coalesce(CAST(floor(list_avg(CASE WHEN turned THEN q[31 - lclip:30] ELSE q[1:lclip] END)) AS BIGINT), 0) AS left_quality,

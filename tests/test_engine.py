@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 from splicewell.operators import assign, associate, calls, consensus, evidence, intervals, mismatch, pairs, screen
+from splicewell.params import Params
 from splicewell.plans import pipeline, registry
 from splicewell.sources import files
 from splicewell.streaming import screen as stream
@@ -92,8 +93,6 @@ def test_reconciliation(spark):
 def test_right_clip_quirk(spark):
     df = spark.createDataFrame([("A" * 50 + "C" * 25, 0, 25)], "seq string, l int, r int")
     assert pairs.clips(df, "seq", "l", "r").first().clip_seq == "A" + "C" * 24
-    from splicewell.params import Params
-
     assert pairs.clips(df, "seq", "l", "r", Params(compat=False)).first().clip_seq == "C" * 25
 
 
@@ -206,7 +205,7 @@ def test_redundant_calls(spark):
 def test_pairing_uses_each_call_once(spark):
     rows = [(1, 1, False, 100, False), (2, 1, True, 300, True), (3, 1, True, 150, True), (4, 1, False, 120, False), (5, 2, True, 110, True)]
     df = spark.createDataFrame(rows, "id long, host_chr int, host_rev boolean, host_pos int, virus_rev boolean")
-    got = {r.id: r.paired_with for r in calls.pair_up(df).collect()}
+    got = {r.id: r.paired_with for r in calls.pair_up(df, Params(compat=False)).collect()}
     assert all(got[got[i]] == i for i in got) and 5 not in got and len(got) == 4
 
 

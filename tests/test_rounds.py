@@ -5,6 +5,7 @@ import random
 import pandas as pd
 import pytest
 from splicewell.operators import assign, calls
+from splicewell.params import Params
 
 
 @pytest.mark.parametrize("last", [0, 150])
@@ -28,18 +29,38 @@ def test_one_large_component_is_assigned_in_rounds(spark, monkeypatch, last):
     assert sizes.value <= last < len(rows)
 
 
-def test_linked_calls_are_paired_in_rounds(spark, monkeypatch):
+def force_pairs(edges, once):
+    """In order of i, the nearest free later call; what each call names as its mate in the end."""
+    near, named, taken = {}, {}, set()
+    for i, j, d in edges:
+        near.setdefault(i, []).append((abs(d), j))
+    for i in sorted(near):
+        free = [x for x in near[i] if x[1] not in taken]
+        if free and not (once and i in taken):
+            j = min(free)[1]
+            named[i], named[j] = j, i
+            taken |= {j, i} if once else {j}
+    return named
+
+
+@pytest.mark.parametrize("compat", [True, False])
+def test_linked_calls_are_paired_in_order(spark, compat):
     rng = random.Random(13)
     rows = [(i, rng.randint(0, 1), bool(rng.randint(0, 1)), rng.randint(0, 9000), bool(rng.randint(0, 1))) for i in range(300)]
     df = spark.createDataFrame(rows, "id long, host_chr int, host_rev boolean, host_pos int, virus_rev boolean")
     edges = [tuple(r) for r in calls.mate_candidates(df).collect()]
-    expected, near = {}, {}
-    for i, j, d in edges:
-        near.setdefault(i, []).append((abs(d), j))
-    for i in sorted(near):
-        free = [x for x in near[i] if x[1] not in expected]
-        if i not in expected and free:
-            expected[i], expected[min(free)[1]] = min(free)[1], i
-    for last in (0, 50, len(edges)):
-        monkeypatch.setattr(calls, "LAST", last)
-        assert {r.id: r.paired_with for r in calls.pair_up(df).collect()} == expected and expected
+    expected = force_pairs(edges, not compat)
+    assert {r.id: r.paired_with for r in calls.pair_up(df, Params(compat=compat)).collect()} == expected and len(expected) > 100
+
+
+def test_a_taken_call_takes_another(spark):
+    """1 takes 2, 2 takes 3, which name each other; 1 still names 2."""
+    df = spark.createDataFrame([(1, 0, False, 0, False), (2, 0, True, 100, True), (3, 0, False, 90, False)], "id long, host_chr int, host_rev boolean, host_pos int, virus_rev boolean")
+    assert {r.id: r.paired_with for r in calls.pair_up(df).collect()} == {1: 2, 2: 3, 3: 2}
+
+
+def test_one_long_chain(spark):
+    """A call each 10 bases of one contig."""
+    df = spark.range(20_000).selectExpr("id", "0 AS host_chr", "id % 2 = 1 AS host_rev", "id * 10 AS host_pos", "id % 2 = 1 AS virus_rev")
+    found = {r.id: r.paired_with for r in calls.pair_up(df, Params(compat=False)).collect()}
+    assert len(found) == 20_000 and all(found[found[i]] == i and abs(found[i] - i) == 1 for i in found)
