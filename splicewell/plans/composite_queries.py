@@ -88,4 +88,29 @@ def mismatch_filter(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (mismatch_filter, interval_clusters, read_region_association, local_alignment_scores, call_pairing, redundant_calls, greedy_assignment, call_consensus, low_complexity_masks, joint_rescore)}
-ORACLES: dict = {}
+
+
+def _candidates(one: str, two: str, more: str = "true") -> str:
+    """(i, far, j) of calls that may be two ends of one insertion."""
+    gap = "CASE WHEN a.host_rev THEN a.host_pos - b.host_pos ELSE b.host_pos - a.host_pos END"
+    return f"SELECT a.id AS i, abs({gap}) AS far, b.id AS j FROM {one} a JOIN {two} b ON a.host_chr = b.host_chr AND a.host_rev <> b.host_rev AND a.virus_rev <> b.virus_rev AND {more} WHERE {gap} BETWEEN -50 AND 1000"
+
+
+def _in_order(name: str, candidates: str) -> str:
+    """CTEs that give name(i, j): each i, in order, takes its nearest j that none has taken."""
+    return f"""{name}_m AS ({candidates}), {name}_n AS (SELECT i, row_number() OVER (ORDER BY i) AS n FROM (SELECT DISTINCT i FROM {name}_m)),
+        {name}_c AS (SELECT n, far, j FROM {name}_m JOIN {name}_n USING (i)),
+        {name}_w AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS j
+            UNION ALL SELECT n, CASE WHEN j IS NULL THEN taken ELSE list_append(taken, j) END, j
+            FROM (SELECT w.n + 1 AS n, w.taken, arg_min(c.j, c.far * 1000000000 + c.j) AS j FROM {name}_w w LEFT JOIN {name}_c c ON c.n = w.n + 1 AND NOT list_contains(w.taken, c.j)
+                WHERE w.n < (SELECT max(n) FROM {name}_n) GROUP BY w.n, w.taken)),
+        {name} AS (SELECT i, j FROM {name}_w JOIN {name}_n USING (n) WHERE j IS NOT NULL)"""
+
+
+_MATES = "SELECT id, CAST(arg_max(mate, own) AS BIGINT) AS paired_with FROM (SELECT i AS id, j AS mate, 1 AS own FROM t UNION ALL SELECT j, i, 0 FROM t) GROUP BY id"
+_OK = "((pbs >= 0.8 AND NOT (good_pairs < 3 OR (good_pairs = 3 AND split_reads = 0)) AND host_len >= 30 AND virus_len >= 30) OR (coverage >= 0.5 AND good_pairs > 2)) AND NOT (host_masked > 0.8 * host_len OR virus_masked > 0.8 * virus_len)"
+ORACLES: dict = {
+    "call_pairing": f"WITH RECURSIVE {X.CALLS}, {_in_order('t', _candidates('calls', 'calls', 'a.id < b.id'))} {_MATES}",
+    "rejected_pairing": f"""WITH RECURSIVE {X.CALLS}, good AS (SELECT * FROM calls WHERE {_OK}), bad AS (SELECT * FROM calls WHERE NOT ({_OK})), {_in_order('t', _candidates('good', 'good', 'a.id < b.id'))},
+        lone AS (SELECT * FROM good WHERE id NOT IN (SELECT i FROM t UNION SELECT j FROM t)), {_in_order('r', _candidates('lone', 'bad'))} SELECT j AS id, i AS paired_with FROM r""",
+}

@@ -242,7 +242,7 @@ def test_realign_keeps_near_best(spark):
 
 def test_oracles_cover_plain_queries():
     assert set(registry.ORACLES) <= set(registry.QUERIES)
-    assert len(registry.QUERIES) - len(registry.ORACLES) <= 12
+    assert len(registry.QUERIES) - len(registry.ORACLES) <= 9
 
 
 def test_low_complexity_by_force(spark):
