@@ -340,7 +340,7 @@ def _schema(hits: DataFrame) -> str:
 def junction_calls(support: DataFrame, regions: DataFrame, virus: DataFrame, reach: int, p: Params = DEFAULT) -> DataFrame:
     """One call for each junction of assign(), numbered by falling worth.
 
-    regions: region_id, contig, start, length. (id, host_chr, host_rev, host_pos, virus_chr, virus_rev, virus_pos, reads,
+    regions: region_id, contig, start, length. (id, host_chr, host_rev, host_pos, virus_chr, virus_rev, virus_pos, reads, pairs,
     good_pairs, split_reads, score, pbs, coverage, region_id, rev, worth). Ends count from the starts of contigs; places on
     a virus are those of its first turn round where virus has original_length.
     """
@@ -366,7 +366,7 @@ def junction_calls(support: DataFrame, regions: DataFrame, virus: DataFrame, rea
     near = F.abs(F.when(F.col("rev"), F.col("offset_start")).otherwise(F.col("offset_end")) - bp) < p.max_clip_distance
     pos = lambda s: F.max(F.when(F.col("side") == s, F.col("begin") + bp))
     sums = at.groupBy(*junction, "host_chr").agg(
-        pos("host").alias("host_pos"), pos("virus").alias("virus_pos"), F.count_if(host).alias("reads"), F.count_distinct(F.when(host & F.col("good"), F.col("qname"))).alias("good_pairs"),
+        pos("host").alias("host_pos"), pos("virus").alias("virus_pos"), F.count_if(host).alias("reads"), F.count_distinct(F.when(host, F.col("qname"))).alias("pairs"), F.count_distinct(F.when(host & F.col("good"), F.col("qname"))).alias("good_pairs"),
         F.count_if(host & (clip >= p.min_clip) & near).alias("split_reads"), F.coalesce(F.sum(F.when(host & F.col("good"), F.col("score"))), F.lit(0)).alias("score"),
         F.avg(F.when(host, F.col("score") / (F.col("offset_end") - F.col("offset_start") + 1))).alias("pbs"),
     )
@@ -380,5 +380,5 @@ def junction_calls(support: DataFrame, regions: DataFrame, virus: DataFrame, rea
     numbered = E.dense_ids(met.withColumn("place", -F.col("worth")), "place", order, "id")
     return numbered.select(
         "id", "host_chr", F.col("rev").alias("host_rev"), "host_pos", F.col("v_contig").alias("virus_chr"), F.col("v_rev").alias("virus_rev"), "virus_pos",
-        "reads", "good_pairs", "split_reads", "score", "pbs", "coverage", "region_id", "worth",
+        "reads", "pairs", "good_pairs", "split_reads", "score", "pbs", "coverage", "region_id", "worth",
     )

@@ -39,7 +39,7 @@ def planted(spark, sf):
 
 def junctions(spark, sf):
     found = find_junctions(*planted(spark, sf), REACH)
-    return found.select("host_chr", "host_rev", "host_pos", "virus_chr", "virus_rev", "virus_pos", "reads", "pairs", "split_reads", "score", F.round("pbs", 6).alias("pbs"))
+    return found.select("host_chr", "host_rev", "host_pos", "virus_chr", "virus_rev", "virus_pos", "reads", "pairs", "good_pairs", "split_reads", "score", F.round("pbs", 6).alias("pbs"))
 
 
 QUERIES = {"junctions": junctions}
@@ -47,6 +47,6 @@ ORACLES = {
     "junctions": f"""WITH c AS (SELECT CAST(c_custkey AS BIGINT) AS c, CAST(c_custkey AS BIGINT) % (SELECT count(*) FROM supplier) + 1 AS s FROM customer),
         p AS (SELECT DISTINCT s, s_nationkey AS n, 600 + s * 13 % 100 - c * 37 % 120 AS h, 200 + s * 7 % 100 + c * 53 % 130 AS v FROM c JOIN supplier ON s_suppkey = s)
         SELECT 'host-' || s AS host_chr, false AS host_rev, max(h) + {READ} AS host_pos, 'virus-' || n AS virus_chr, true AS virus_rev, min(v) AS virus_pos,
-            count(*) AS reads, count(*) AS pairs, CAST(0 AS BIGINT) AS split_reads, CAST({READ} * count(*) AS BIGINT) AS score, round({READ} / {READ + 1}.0, 6) AS pbs
+            count(*) AS reads, count(*) AS pairs, count(*) AS good_pairs, CAST(0 AS BIGINT) AS split_reads, CAST({READ} * count(*) AS BIGINT) AS score, round({READ} / {READ + 1}.0, 6) AS pbs
         FROM p GROUP BY s, n HAVING count(*) > 1""",
 }

@@ -29,7 +29,7 @@ def junctions(pairs: DataFrame, host: DataFrame, virus: DataFrame, max_is: int,
 
     Host reads are aligned to regions around them, virus reads to the virus contigs to learn where they lie; then junctions
     are assigned best first, with their virus side looked at again each time (operators/rounds.py).
-    (call_id, host_chr, host_rev, host_pos, virus_chr, virus_rev, virus_pos, reads, pairs, split_reads, score, pbs, coverage)
+    (call_id, host_chr, host_rev, host_pos, virus_chr, virus_rev, virus_pos, reads, pairs, good_pairs, split_reads, score, pbs, coverage)
     """
     regions = tables.written(host_regions(pairs, host, max_is))
     names = tables.written(pairs.select(F.xxhash64("qname").alias("read_id"), "qname", "host_seq", "virus_seq"))
@@ -49,4 +49,4 @@ def junctions(pairs: DataFrame, host: DataFrame, virus: DataFrame, max_is: int,
     contigs = contigs.select("name", "seq")
     support = R.assign(hits, mates, places, sized, contigs, max_is, p)
     calls = R.junction_calls(support, sized, contigs, max_is, p)
-    return calls.select(F.col("id").alias("call_id"), "host_chr", "host_rev", "host_pos", "virus_chr", "virus_rev", "virus_pos", "reads", F.col("good_pairs").alias("pairs"), "split_reads", "score", "pbs", "coverage")
+    return calls.select(F.col("id").alias("call_id"), "host_chr", "host_rev", "host_pos", "virus_chr", "virus_rev", "virus_pos", "reads", "pairs", "good_pairs", "split_reads", "score", "pbs", "coverage")
