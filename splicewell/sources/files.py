@@ -74,7 +74,8 @@ def settings(spark: SparkSession, path: str) -> dict[str, str]:
 def packed_alignments(spark: SparkSession, path: str) -> DataFrame:
     """Records of 16 bytes: region and read number, orientation with CIGAR number, offset and score; little-endian."""
     rows = spark.read.format("binaryFile").load(path).select(F.explode(F.sequence(F.lit(0), F.floor(F.length("content") / 16) - 1)).alias("n"), "content")
-    word = lambda at, size: F.conv(F.hex(F.reverse(F.substring("content", (F.col("n") * 16 + at + 1).cast("int"), F.lit(size)))), 16, 10).cast("long")
+    byte = lambda at: F.conv(F.hex(F.substring("content", (F.col("n") * 16 + at + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    word = lambda at, size: sum((byte(at + k) * 256**k for k in range(1, size)), byte(at))
     packed = rows.where("length(content) >= 16").select(word(0, 4).alias("region_id"), word(4, 4).alias("read_id"), word(8, 4).alias("c"), word(12, 2).alias("offset_start"), word(14, 2).alias("score"))
     return packed.select("region_id", "read_id", (F.col("c") >= 1 << 31).alias("rc"), (F.col("c") % (1 << 31)).alias("cigar_id"), "offset_start", "score")
 
