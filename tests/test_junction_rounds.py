@@ -22,6 +22,15 @@ def rand(rng, n):
     return "".join(rng.choice("ACGT") for _ in range(n))
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_partitions(spark):
+    """Tables here have few rows and many stages."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 class Hit:
     def __init__(self, name, secondary, start, end, lclip, rclip, lq, rq, score, seq, cigar=""):
         self.name, self.secondary, self.start, self.end, self.lclip, self.rclip, self.lq, self.rq, self.score, self.seq, self.cigar = name, secondary, start, end, lclip, rclip, lq, rq, score, seq, cigar
@@ -265,15 +274,38 @@ def test_rounds_equal_the_queue_on_planted_cases(fifty):
     assert got == wanted and len(wanted) > 40
 
 
-def test_decisions_in_rounds_of_joins(spark, monkeypatch):
-    """None is left to one task; empty tables give no junctions."""
-    monkeypatch.setattr(rounds, "LAST", 0)
-    rng, rows = random.Random(11), []
-    cases = [planted(rng, 100 + c, rows) for c in range(4)]
-    hits, mates, places, regions, virus = tables_of(spark, cases, rows)
-    support = rounds.assign(hits, mates, places, regions, virus, REACH)
-    got = {(r.region_id, r.rev, r.v_contig, r.worth, r.qname) for r in support.where("side = 'host'").collect()}
-    wanted = {(x[0], x[1], x[2], x[6], n) for q in cases for x in q.run() for n in x[7]}
-    assert got == wanted and wanted
-    none = rounds.assign(hits.limit(0), mates, places, regions, virus, REACH)
-    assert none.collect() == [] and none.columns == support.columns
+def test_steps_of_joins_equal_the_queue(spark):
+    """Keys are kept and put back alike in one task and by steps of joins, until all that is left waits for a trial."""
+    import pandas as pd
+
+    rng, columns = random.Random(11), [*rounds.KEY, "worth", "first", "second", "valid", "qname", "takes"]
+    rows = []
+    for region in range(30):
+        worth = rng.choice([150, 200, 250, 300])
+        first = worth - rng.choice([0, 0, 30])
+        state = (worth, first, first - rng.choice([0, 0, 40, 120]), rng.random() < 0.9)
+        names = rng.sample(range(region // 6 * 10, region // 6 * 10 + 10), rng.randint(1, 3))
+        rows += [(region, region % 3 == 0, *state, f"q{n}", k == 0 or rng.random() < 0.7) for k, n in enumerate(names)]
+    wanted = rounds.decide(pd.DataFrame(rows, columns=columns), 100)
+    kept, left = set(), rows
+    while True:
+        df = spark.createDataFrame(left, "region_id long, rev boolean, worth long, first long, second long, valid boolean, qname string, takes boolean")
+        found = {(r.region_id, r.rev): r for r in rounds._one_step(df, 100).collect()}
+        if not any(r.kept or r.worth != row[2] for row in left for r in [found[row[:2]]]):
+            break
+        new = {k for k, r in found.items() if r.kept}
+        kept |= new
+        used = {row[6] for row in left if row[:2] in new and row[7]}
+        lost = {row[:2] for row in left if row[6] in used}
+        left = [(*row[:2], found[row[:2]].worth, *row[3:5], row[5] and row[:2] not in lost, *row[6:]) for row in left if row[6] not in used]
+    assert kept == {(r.region_id, r.rev) for r in wanted.itertuples() if r.kept} and len(kept) > 5
+    stands = {(r.region_id, r.rev): r.worth for r in wanted.itertuples()}
+    assert all(stands[row[:2]] == row[2] for row in left)
+
+
+def test_no_hits_give_no_junctions(spark, fifty):
+    _, support, regions, virus = fifty
+    none = [spark.createDataFrame([], x) for x in (HIT, "qname string, seq string, quals array<int>", "qname string, contig string, strand string, start long, end long")]
+    found = rounds.assign(*none, regions, virus, REACH)
+    assert found.collect() == [] and found.columns == support.columns
+    assert rounds.junction_calls(found, regions, virus, REACH).collect() == []
