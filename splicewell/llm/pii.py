@@ -59,11 +59,20 @@ GENERATORS = {
     "ip": r"(?<![0-9.])[0-9]{1,4}(?:\x20?[.,:]\x20?[0-9]{1,4}){3}(?![0-9.])",
     "card": r"(?<![0-9])[0-9](?:[\x20./_-]{0,2}+[0-9]){12,18}(?![0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+|00)?\(?[0-9](?:[\x20()./-]{0,2}+[0-9]){6,14}(?![0-9A-Za-z])",
-    # a long run of letters and digits, or what stands behind a colon or an equals sign
-    SECRET: r"(?<![A-Za-z0-9_-])(?:[A-Za-z0-9_-]{12,128}+(?![A-Za-z0-9_-])|(?<=[=:][\x20\x22']{0,2})[^\s\x22'=:]{4,128}+)",
+    # a long run of letters and digits with a digit or a capital behind its first character (long plain words are none),
+    # or what stands behind a colon or an equals sign
+    SECRET: r"(?<![A-Za-z0-9_-])(?:(?=[A-Za-z0-9_-]{12})(?=[A-Za-z0-9_-][a-z_-]{0,126}+[A-Z0-9])[A-Za-z0-9_-]{12,128}+(?![A-Za-z0-9_-])|(?<=[=:][\x20\x22']{0,2})[^\s\x22'=:]{4,128}+)",
 }
-#: A cheap test that a text has to pass before the patterns of a kind are tried.
-GUARDS = {"email": r"@|\(at\)|\[at\]", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]", SECRET: "[=:]|[A-Za-z0-9_-]{12}"}
+
+
+def _may(kind: str, text: Column, base: bool = False) -> Column:
+    """A cheap test that a text has to pass before the patterns of a kind are tried."""
+    if kind == "email":
+        return text.contains("@") if base else text.contains("@") | text.contains("(at)") | text.contains("[at]")
+    if kind == SECRET:
+        return F.lit(True)  # nearly all texts would pass
+    return text.contains("+") if base and kind == "phone" else text.rlike("[0-9]")
+
 
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Words that speak for a kind when they stand shortly before a candidate.
@@ -150,13 +159,11 @@ def _running(values: Column, zero: Column, step) -> Column:
     return _let(values, lambda v: _let(blocks(v), joined))
 
 
-def _matches(df: DataFrame, text: str, pattern: str, guard: str, into: str, sides: bool = False) -> DataFrame:
+def _matches(df: DataFrame, text: str, pattern: str, may: Column, into: str, sides: bool = False) -> DataFrame:
     """Adds an array of structs (token, start, end) of the pattern's matches; code points, end exclusive.
 
     sides: also before and after, the text beside, back to the match before and on to the next one.
     """
-    none = F.array().cast("array<string>")
-    may = F.col(text).rlike(guard)
     kind = f"array<struct<token:string,start:int,end:int{',before:string,after:string' if sides else ''}>>"
     found, pieces = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
 
@@ -169,7 +176,7 @@ def _matches(df: DataFrame, text: str, pattern: str, guard: str, into: str, side
         return F.transform(rows, lambda r: F.struct(r["m"].alias("token"), (r["e"] - F.length(r["m"])).alias("start"), r["e"].alias("end"), *beside(r)))
 
     some = _let(found, lambda m: F.when(F.size(m) > 0, _let(F.struct(m.alias("m"), pieces.alias("g")), spans)))
-    return df.withColumn(into, F.coalesce(F.when(F.col(text).rlike(guard), some), F.array().cast(kind)))
+    return df.withColumn(into, F.coalesce(F.when(may, some), F.array().cast(kind)))
 
 
 def _checked(spans: str, kind: str) -> Column:
@@ -179,7 +186,7 @@ def _checked(spans: str, kind: str) -> Column:
 def base_spans(df: DataFrame, text: str) -> DataFrame:
     """Adds __base_<kind> for each kind: base matches that pass their check."""
     for kind in KINDS:
-        df = _matches(df, text, BASE[kind], GUARDS[kind], f"__base_{kind}")
+        df = _matches(df, text, BASE[kind], _may(kind, F.col(text), base=True), f"__base_{kind}")
         df = df.withColumn(f"__base_{kind}", _checked(f"__base_{kind}", kind))
     return df
 
@@ -223,7 +230,7 @@ def _coded(spans: str, kind: str) -> Column:
 def candidate_spans(df: DataFrame, text: str, kinds: list[str] = ALL_KINDS) -> DataFrame:
     """Adds __cand_<kind>: structs of token, start, end, strict, label and the features."""
     for kind in kinds:
-        df = _matches(df, text, GENERATORS[kind], GUARDS[kind], f"__cand_{kind}", sides=True)
+        df = _matches(df, text, GENERATORS[kind], _may(kind, F.col(text)), f"__cand_{kind}", sides=True)
         df = df.withColumn(f"__cand_{kind}", _coded(f"__cand_{kind}", kind))
     return df
 
