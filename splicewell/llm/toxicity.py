@@ -33,9 +33,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bound of the labelled sample, in documents, and of the lexicon, in entries.
+#: Bound of the labelled sample, in documents. It bounds the lexicon and the exceptions too, which hold all that qualifies.
 MAX_TRAIN = 20_000
-MAX_ENTRIES = 4_000
 #: An entry is in so many toxic documents of the sample at least, and has such log-odds at least.
 MIN_TOXIC = 3
 MIN_WEIGHT = 1.5
@@ -43,7 +42,6 @@ MIN_WEIGHT = 1.5
 STEMS = range(4, 10)
 #: Words that a length is increased by before the square root is taken of it.
 LENGTH_OFFSET = 30
-MAX_PHRASES = 2_000
 
 # Letters of other scripts that look like Latin ones, and digits and signs used for letters.
 HOMOGLYPHS = {
@@ -166,7 +164,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN) -> Model:
-    """Lexicon, exceptions and curve. Counts are made on the executors; what comes to the driver is bounded by the lexicon and the sample."""
+    """Lexicon, exceptions and curve. Counts are made on the executors; what comes to the driver is bounded by the sample."""
     common.small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, bound).persist()
     try:
@@ -190,8 +188,6 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN) -> Model:
             .where(F.col("n1") >= MIN_TOXIC)
             .withColumn("w", weight)
             .where(F.col("w") >= MIN_WEIGHT)
-            .orderBy(F.desc(F.col("w") * F.sqrt("n1")), "entry")
-            .limit(MAX_ENTRIES)
         )
         weights = {r["entry"]: r["w"] for r in counts.collect()}
         if not weights:
@@ -233,15 +229,13 @@ def _exceptions(sample: DataFrame, model: Model, n0: int, n1: int) -> list[str]:
         .groupBy("phrase")
         .agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0"))
         .where((F.col("n0") >= MIN_TOXIC) & (F.col("n1") * n0 <= F.col("n0") * n1))
-        .orderBy(F.desc("n0"), "phrase")
-        .limit(MAX_PHRASES)
     )
     return [r["phrase"] for r in rows.collect()]
 
 
 def _intensity_udf(df: DataFrame, model: Model):
     common.small_batches(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(model)  # at most MAX_ENTRIES entries
+    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     @F.arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
