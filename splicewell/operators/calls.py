@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import bisect
 
-import pyarrow as pa
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from ..functions import sequence as S
 from ..functions.alignment import local_alignment
@@ -56,38 +56,118 @@ def mate_candidates(calls: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return met.select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), d.cast("long").alias("distance")).where("distance is not null")
 
 
+def _in_turn(rows: pd.DataFrame, p: Params, later: bool, take: bool, once: bool) -> list[tuple[int, int, int]]:
+    """(i, j, distance): in order of id, each seeking row (not offered) gets the nearest row on offer, the smallest id of equal ones.
+
+    later: only ids behind its own; take: what one got is gone for the others; once: who was taken gets none.
+    What is on offer lies in queues by position, each in order of id; what is at the head and no longer to be had is
+    dropped, and empty positions are skipped by links to the next ones that aren't. So no pairs are listed.
+    """
+    names, number = np.unique(rows["id"].to_numpy(dtype=np.int64), return_inverse=True)
+    pos, way = rows["host_pos"].to_numpy(dtype=np.int64), (2 * rows["host_rev"] + rows["virus_rev"]).to_numpy(dtype=np.int64)
+    offered, gone = rows["offered"].to_numpy(dtype=bool), bytearray(len(names))
+    pools = {}
+    for w in range(4):
+        mine = np.flatnonzero(offered & (way == w))
+        mine = mine[np.lexsort((number[mine], pos[mine]))]
+        places, first = np.unique(pos[mine], return_index=True)
+        ends = np.append(first[1:], len(mine)).tolist()
+        pools[w] = (places.tolist(), number[mine].tolist(), first.tolist(), ends, list(range(len(places) + 1)), list(range(len(places) + 1)))
+
+    def near(at: int, i: int, pool: tuple, links: list[int], step: int) -> int:
+        """The first place from at on that has something for i; links are shortened on the way. Places count from 1 in links to the left."""
+        _, queue, head, ends, _, _ = pool
+        passed = []
+        while 0 <= at - (step < 0) < len(head):
+            if links[at] != at:
+                passed.append(at)
+                at = links[at]
+                continue
+            k = at - (step < 0)
+            while head[k] < ends[k] and (gone[queue[head[k]]] or (later and queue[head[k]] <= i)):
+                head[k] += 1
+            if head[k] < ends[k]:
+                break
+            links[at] = at + step
+        for x in passed:
+            links[x] = at
+        return at - (step < 0)
+
+    out: list[tuple[int, int, int]] = []
+    seek = np.flatnonzero(~offered)
+    seek = seek[np.argsort(number[seek], kind="stable")]
+    last, best = None, None
+
+    def settle() -> None:
+        if best:
+            out.append((last, best[1], best[2]))
+            if take:
+                gone[best[1]] = 1
+
+    for i, x, w in zip(number[seek].tolist(), pos[seek].tolist(), way[seek].tolist(), strict=True):
+        if i != last:
+            settle()
+            last, best = i, None
+        if once and gone[i]:
+            continue
+        sign = -1 if w >= 2 else 1
+        low, high = sorted((x + sign * p.mate_from, x + sign * p.mate_to))
+        pool = pools[3 - w]
+        places, queue, head = pool[:3]
+        k = near(bisect.bisect_left(places, max(x, low)), i, pool, pool[4], 1)
+        if k < len(places) and places[k] <= high:
+            found = (abs(places[k] - x), queue[head[k]], sign * (places[k] - x))
+            best = min(best, found) if best else found
+        k = near(bisect.bisect_right(places, min(x - 1, high)), i, pool, pool[5], -1)
+        if k >= 0 and places[k] >= low:
+            found = (abs(places[k] - x), queue[head[k]], sign * (places[k] - x))
+            best = min(best, found) if best else found
+    settle()
+    return [(int(names[i]), int(names[j]), d) for i, j, d in out]
+
+
+FIELDS = ["id", "host_chr", "host_rev", "host_pos", "virus_rev"]
+
+
+def _met(seeking: DataFrame, offered: DataFrame, by: list[str], p: Params, later: bool, take: bool, once: bool = False) -> DataFrame:
+    """(i, j, distance) of _in_turn(), apart for each host contig, value of by and direction. Rows with a null field never meet."""
+
+    def side(df: DataFrame, offer: bool) -> DataFrame:
+        r, v = (F.col(c).cast("int") for c in ("host_rev", "virus_rev"))
+        # who takes and who is taken are told apart, unless one can be both
+        way = F.when(F.col("host_rev") == F.col("virus_rev"), 0).otherwise(1) if once else (3 - 2 * r - v if offer else 2 * r + v)
+        whole = df.dropna(subset=FIELDS)
+        return whole.select("host_chr", *by, way.alias("way"), F.col("id").cast("long").alias("id"), F.col("host_pos").cast("long").alias("host_pos"), "host_rev", "virus_rev", F.lit(offer).alias("offered"))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_in_turn(pdf, p, later, take, once), columns=["i", "j", "distance"])
+
+    return side(seeking, False).unionByName(side(offered, True)).groupBy("host_chr", *by, "way").applyInPandas(one, "i long, j long, distance long")
+
+
 def nearest_mate(calls: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """(i, j, distance): of each call the nearest later one, the first of equal ones."""
-    n = F.row_number().over(W.Window.partitionBy("i").orderBy(F.abs("distance"), "j"))
-    return mate_candidates(calls, p).withColumn("n", n).where("n = 1").drop("n")
+    """(i, j, distance): of each call the nearest later one, the first of equal ones.
+
+    Calls on offer go to their bin and its neighbours; nothing is paired but what is nearest.
+    """
+    width = p.mate_to - p.mate_from + 1
+    here = F.floor(F.col("host_pos") / width)
+    offered = calls.select(*FIELDS, F.explode(F.array(*[here + d for d in (-1, 0, 1)])).alias("bin"))
+    found = _met(calls.select(*FIELDS, here.alias("bin")), offered, ["bin"], p, later=True, take=False)
+    best = found.groupBy("i").agg(F.min(F.struct(F.abs("distance").alias("far"), "j", "distance")).alias("best"))
+    return best.select("i", "best.j", "best.distance")
 
 
-def _by_chain(candidates: DataFrame, calls: DataFrame, p: Params, once: bool) -> DataFrame:
-    """(i, j) that candidates (i, far, j) give in order of i: each i takes its nearest free j; once: an i that was taken as j takes none.
+def _by_chain(seeking: DataFrame, offered: DataFrame, p: Params, later: bool, once: bool) -> DataFrame:
+    """(i, j): in order of id, each seeking call takes its nearest free one on offer.
 
-    Calls further apart than mates may be never meet, so chains of calls between such gaps are dealt to tasks. A task
-    streams a chain's candidates in order and remembers only the ids that are taken.
+    Calls further apart than mates may be never meet, so chains of calls between such gaps are dealt to tasks, by direction.
     """
     reach = max(abs(p.mate_from), abs(p.mate_to))
-    marks = marked(calls, ["host_chr"], "host_pos", "host_pos", reach).select("host_chr", F.col("start").alias("host_pos"), "island")
-    at = calls.select(F.col("id").alias("i"), "host_chr", "host_pos").join(marks, ["host_chr", "host_pos"]).select("i", "host_chr", "island")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chain, chosen, taken = None, set(), set()
-        for batch in batches:
-            out = []
-            for here, island, i, j in zip(*(batch.column(c).to_pylist() for c in ("host_chr", "island", "i", "j")), strict=True):
-                if (here, island) != chain:
-                    chain, chosen, taken = (here, island), set(), set()
-                if i not in chosen and j not in taken and not (once and (i in taken or j in chosen)):
-                    chosen.add(i)
-                    taken.add(j)
-                    out.append((i, j))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["i", "j"])
-
-    order = ["host_chr", "island", "i", "far", "j"]
-    dealt = candidates.join(at, "i").select(*[F.col(c).cast("long").alias(c) if c in ("i", "j") else F.col(c) for c in order])
-    return dealt.repartition("host_chr", "island").sortWithinPartitions(*order).mapInArrow(run, "i long, j long")
+    ends = seeking.select("host_chr", "host_pos").unionByName(offered.select("host_chr", "host_pos")).dropna()
+    marks = tables.written(marked(ends, ["host_chr"], "host_pos", "host_pos", reach).select("host_chr", F.col("start").alias("host_pos"), "island"))
+    at = [df.select(*FIELDS).join(marks, ["host_chr", "host_pos"]) for df in (seeking, offered)]
+    return _met(*at, ["island"], p, later, True, once).select("i", "j")
 
 
 def pair_up(calls: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -96,8 +176,8 @@ def pair_up(calls: DataFrame, p: Params = DEFAULT) -> DataFrame:
     In compat mode a call that was taken by an earlier one still takes a later one, and then names that as its mate; so
     pairs need not be mutual. Else each call is in one pair.
     """
-    calls = tables.written(calls.select("id", "host_chr", "host_rev", "host_pos", "virus_rev"))
-    found = tables.written(_by_chain(mate_candidates(calls, p).select("i", F.abs("distance").alias("far"), "j"), calls, p, not p.compat))
+    calls = tables.written(calls.select(*FIELDS))
+    found = tables.written(_by_chain(calls, calls, p, later=True, once=not p.compat))
     ends = F.inline(F.array(F.struct(F.col("i").alias("id"), F.col("j").alias("paired_with"), F.lit(1).alias("own")), F.struct(F.col("j").alias("id"), F.col("i").alias("paired_with"), F.lit(0).alias("own"))))
     return found.select(ends).groupBy("id").agg(F.max_by("paired_with", "own").alias("paired_with"))
 
@@ -105,18 +185,11 @@ def pair_up(calls: DataFrame, p: Params = DEFAULT) -> DataFrame:
 def pair_rejected(accepted: DataFrame, rejected: DataFrame, paired: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """(id, paired_with) of the rejected calls that mate accepted ones left without a mate.
 
-    Accepted calls take, in order of id, the nearest free rejected call, the first of equal ones. Candidates of one
-    host contig and bin meet, as in mate_candidates().
+    Accepted calls take, in order of id, the nearest free rejected call, the first of equal ones.
     """
-    fields = ["id", "host_chr", "host_rev", "host_pos", "virus_rev"]
-    lone = accepted.join(paired.select("id"), "id", "left_anti")
-    both = tables.written(lone.select(*fields, F.lit(False).alias("out")).unionByName(rejected.select(*fields, F.lit(True).alias("out"))))
-    width = p.mate_to - p.mate_from + 1
-    a = both.where("not out").select(F.struct(*fields).alias("a"), "host_chr", F.explode(F.array(*[F.floor(F.col("host_pos") / width) + d for d in (-1, 0, 1)])).alias("bin"))
-    b = both.where("out").select(F.struct(*fields).alias("b"), "host_chr", F.floor(F.col("host_pos") / width).alias("bin"))
-    met = a.join(b, ["host_chr", "bin"]).withColumn("distance", S.pair_distance(F.col("a"), F.col("b"), p.mate_from, p.mate_to))
-    candidates = met.where("distance is not null").select(F.col("a.id").alias("i"), F.abs("distance").cast("long").alias("far"), F.col("b.id").alias("j"))
-    return _by_chain(candidates, both, p, False).select(F.col("j").alias("id"), F.col("i").alias("paired_with"))
+    lone = tables.written(accepted.join(paired.select("id"), "id", "left_anti").select(*FIELDS))
+    found = _by_chain(lone, tables.written(rejected.select(*FIELDS)), p, later=False, once=False)
+    return found.select(F.col("j").alias("id"), F.col("i").alias("paired_with"))
 
 
 def redundant(consensus: DataFrame, p: Params = DEFAULT) -> DataFrame:
