@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import packed
 from ..functions import sequence as S
 from ..params import DEFAULT, Params
+from . import tables
 from .sizes import is_small, spread
 
+#: Bits of the map of seeds: 32 MB.
+MAP_BITS = 28
+
 
 def seed_index(targets: DataFrame, seq: str, p: Params = DEFAULT) -> DataFrame:
     """Distinct (j, seed) of both orientations, without k-mers of nearly one base."""
@@ -21,10 +26,14 @@ def seed_index(targets: DataFrame, seq: str, p: Params = DEFAULT) -> DataFrame:
 def matched_positions(reads: DataFrame, seeds: DataFrame, key: str, seq: str, p: Params = DEFAULT) -> DataFrame:
     """(key, pos) of the k-mers with at least one masked seed in the index.
 
+    A map of the seeds rules most k-mers out where they stand; only the others become rows and meet the index.
     Few seeds are broadcast, and k-mers pass by them without a shuffle. Otherwise each k-mer is looked up once,
     however often it occurs: distinct k-mers meet the seeds, and what matches goes back to the positions.
     """
-    at = spread(reads, key).select(key, F.posexplode(S.kmers(F.col(seq), p.seed_k)).alias("pos", "kmer"))
+    seeds = tables.written(seeds)
+    map_ = packed.index_map(seeds.select("j", "seed"), p.seed_k - 3, MAP_BITS)
+    dealt = spread(reads.select(key, seq), key)
+    at = dealt.select(key, F.inline(packed.candidates(dealt, seq, p.seed_k, map_, MAP_BITS, p.seed_segments))).drop("rc")
     if is_small(seeds):
         each = at.select(key, "pos", F.inline(S.spaced_seeds(F.col("kmer"), p.seed_segments)))
         return each.join(F.broadcast(seeds), ["j", "seed"], "left_semi").select(key, "pos").distinct()
