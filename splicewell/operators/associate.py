@@ -6,20 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..functions import packed
 from ..functions import sequence as S
 from ..functions.alignment import accepted, local_alignment
 from ..params import DEFAULT, Params
+from . import tables
 from .sizes import small, spread
 
 
 def shared_kmers(reads: DataFrame, regions: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """(read_id, region_id, rc) with two shared k-mers that don't overlap in the read.
 
-    Both orientations of the reads are looked up; region k-mers of nearly one base don't count.
+    Both orientations of the reads are looked up; region k-mers of nearly one base don't count. A map of the regions' k-mers
+    rules most of the reads' out where they stand; only the others become rows and are joined.
     """
-    both = spread(reads, "read_id").select("read_id", F.explode(F.array(F.struct(F.lit(False).alias("rc"), F.col("seq").alias("s")), F.struct(F.lit(True).alias("rc"), S.reverse_complement(F.col("seq")).alias("s")))).alias("o"))
-    at = both.select("read_id", "o.rc", F.posexplode(S.kmers(F.col("o.s"), p.assoc_k)).alias("pos", "kmer"))
     index = regions.select("region_id", F.explode(S.kmers(F.col("seq"), p.assoc_k)).alias("kmer")).distinct().where(S.valid_kmer(F.col("kmer")))
+    index = tables.written(index)
+    map_ = packed.index_map(index.select("kmer"), p.assoc_k)
+    dealt = spread(reads.select("read_id", "seq"), "read_id")
+    at = dealt.select("read_id", F.inline(packed.candidates(dealt, "seq", p.assoc_k, map_, ways=packed.BOTH_WAYS)))
     met = at.join(small(index), "kmer").groupBy("read_id", "region_id", "rc").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
     return met.where(F.col("last") - F.col("first") >= p.assoc_gap).select("read_id", "region_id", "rc")
 
