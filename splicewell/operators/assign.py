@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,11 +15,23 @@ from . import tables
 RESULT = "region_id long, rev boolean, virus_region long, virus_rev boolean, qname string, h_score long, v_score long, call_score long"
 PAIR = ["region_id", "rev", "virus_region", "virus_rev"]
 #: Rows that one task may assign; while more are left, they are assigned in rounds.
-LAST = 50_000
+LAST = 400_000
+#: Rows of the leading junctions that one task looks at in a round, and the most of those junctions.
+BATCH, TOP = 400_000, 10_000
+
+
+def _place(host: tuple, virus: tuple, h: int, v: int) -> tuple:
+    """A junction's place in order: the best is the largest."""
+    return (h, *host, v, -virus[0], not virus[1])
 
 
 def greedy(rows: pd.DataFrame, least: int) -> pd.DataFrame:
-    """Junctions of these rows, best first.
+    """Junctions of these rows, best first."""
+    return _greedy(rows, least, None)
+
+
+def _greedy(rows: pd.DataFrame, least: int, bound: tuple | None) -> pd.DataFrame:
+    """As greedy(), down to the first junction that comes behind the bound: the place in order of the best one that isn't here.
 
     Each host region and strand is worth the host scores of its best virus region over its unused names. Sums are kept
     current as names are used; they only fall, so a value on the heap is looked up anew when it comes up, and stands if
@@ -52,6 +65,8 @@ def greedy(rows: pd.DataFrame, least: int) -> pd.DataFrame:
         if heap and entry > heap[0]:
             heapq.heappush(heap, entry)
             continue
+        if bound and _place(top[3], other, *sums[top[3]][other]) < bound:
+            break
         fresh = [n for n in members[top[3], other] if table[n][4] not in used]
         out += fresh
         scores += [score] * len(fresh)
@@ -66,13 +81,19 @@ def greedy(rows: pd.DataFrame, least: int) -> pd.DataFrame:
     return rows.iloc[out].assign(call_score=scores)
 
 
+def _leading(least: int, bound: tuple | None):
+    names = [x.split()[0] for x in RESULT.split(", ")]
+    return lambda g: _greedy(g, least, bound)[names]
+
+
 def assign(pairs: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Rows of the pairs (region_id, rev, virus_region, virus_rev, qname, h_score, v_score) that support a junction, with its score.
 
-    Best first means by host sum, host region, host strand, virus sum, virus region, virus strand. Sums only fall, so a
-    junction that leads all others on each of its unused names is reached with these names still unused. Each round
-    commits all such junctions, and their names go; junctions in one round share no names. What is left goes to one
-    task once it is at most LAST rows.
+    Best first means by host sum, host region, host strand, virus sum, virus region, virus strand. Sums only fall, so what
+    leads is told by the leading junctions alone until one of them comes behind the best of the others, as that one stands
+    now. Each round, one task decides about the rows of the leading junctions, BATCH at most, as far as that goes; a junction
+    of more rows is taken as it is. Names that are taken go, and junctions that are worth too little. What is left goes to
+    one task once it is at most LAST rows.
     """
     least, spark = p.min_call_score, pairs.sparkSession
     names = [x.split()[0] for x in RESULT.split(", ")]
@@ -80,17 +101,25 @@ def assign(pairs: DataFrame, p: Params = DEFAULT) -> DataFrame:
     rest = tables.written(pairs.groupBy(*PAIR, "qname").agg(F.sum("h_score").alias("h_score"), F.sum("v_score").alias("v_score")))
     n, done, path = rest.count(), None, tables.place(spark)
     while n > LAST:
-        sums = rest.groupBy(*PAIR).agg(F.sum("h_score").alias("h"), F.sum("v_score").alias("v"), F.count("*").alias("n")).where(F.col("h") > least)
-        order = F.struct("h", "region_id", "rev", "v", (-F.col("virus_region")).alias("far"), (~F.col("virus_rev")).alias("plus"), "virus_region", "virus_rev", "n")
-        ranked = rest.join(sums.select(*PAIR, order.alias("order")), PAIR)
-        lead = tables.written(ranked.groupBy("qname").agg(F.max("order").alias("lead")))
-        first = lead.groupBy("lead").agg(F.count("*").alias("led")).where(F.col("led") == F.col("lead.n")).select("lead")
-        taken = lead.join(first, "lead").select(*[F.col(f"lead.{c}").alias(c) for c in PAIR], "qname", F.col("lead.h").alias("call_score"))
+        sums = tables.written(rest.groupBy(*PAIR).agg(F.sum("h_score").alias("h"), F.sum("v_score").alias("v"), F.count("*").alias("n")).where(F.col("h") > least))
+        order = ["h", "region_id", "rev", "v", -F.col("virus_region"), ~F.col("virus_rev")]
+        top = sums.dropna(subset=PAIR).orderBy(*[F.desc(c) if isinstance(c, str) else c.desc() for c in order]).limit(TOP + 1).collect()
+        if not top:  # nothing is left to take
+            rest = rest.limit(0)
+            break
+        some = max(1, sum(x <= BATCH for x in itertools.accumulate(r.n for r in top[:TOP])))
+        bound = _place((top[some].region_id, top[some].rev), (top[some].virus_region, top[some].virus_rev), top[some].h, top[some].v) if some < len(top) else None
+        lead = spark.createDataFrame([tuple(r[c] for c in [*PAIR, "h"]) for r in top[:some]], "region_id long, rev boolean, virus_region long, virus_rev boolean, call_score long")
+        rows = rest.join(F.broadcast(lead), PAIR)
+        if top[0].n <= BATCH:
+            rows = rows.drop("call_score").groupBy().applyInPandas(_leading(least, bound), RESULT)
+        taken = tables.written(rows.select(*PAIR, "qname", "call_score"))
         done = tables.written(taken, path)
-        used = taken.select(F.col("qname").alias("used"))
-        left = tables.written(ranked.join(used, F.col("qname").eqNullSafe(F.col("used")), "left_anti").select(rest.columns))
-        tables.drop(lead)
-        tables.drop(rest)
+        used = taken.select(F.col("qname").alias("used")).distinct()
+        left = rest.join(used, F.col("qname").eqNullSafe(F.col("used")), "left_anti").join(sums.select(*PAIR), PAIR, "left_semi")
+        left = tables.written(left.select(rest.columns))
+        for table in (rest, sums, taken):
+            tables.drop(table)
         rest, n = left, left.count()
     last = rest.groupBy().applyInPandas(lambda g: greedy(g, least)[names], RESULT).select(*PAIR, "qname", "call_score")
     chosen = last if done is None else done.unionByName(last)
