@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -84,33 +85,35 @@ def call_consensus(support: DataFrame, windows: DataFrame) -> DataFrame:
     return support.groupBy(*by).cogroup(windows.groupBy(*by)).applyInPandas(one, "call_id long, side string, seq string")
 
 
+def repeats(text: str, window: int, threshold: float) -> list[tuple[int, int]]:
+    """(start, end) of the stretches of low_complexity_masks()."""
+    at = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    n = len(at) - 2
+    size = min(window - 2, n)
+    if size < 2:
+        return []
+    code = np.unique(at[:-2] << 42 | at[1:-1] << 21 | at[2:], return_inverse=True)[1]
+    # sorted by triplet and place, equal ones within a window of a place stand next to it
+    key = code * (n + size) + np.arange(n)
+    order = np.sort(key)
+    here = np.searchsorted(order, key)
+    behind = np.searchsorted(order, key + size - 1, side="right") - 1 - here
+    before = here - np.searchsorted(order, key - size + 1)
+    pairs = before[:size].sum() + np.concatenate(([0], np.cumsum(before[size:] - behind[: n - size])))
+    hits = np.flatnonzero(pairs / (size - 1) > threshold)
+    if not len(hits):
+        return []
+    new = np.flatnonzero(np.diff(hits) > size + 2) + 1
+    return list(zip(hits[np.append(0, new)].tolist(), (hits[np.append(new, len(hits)) - 1] + size + 2).tolist(), strict=True))
+
+
 def low_complexity_masks(sequences: DataFrame, key: str, seq: str, window: int = 64, threshold: float = 2.0) -> DataFrame:
     """(key, start, end) of the stretches whose triplets repeat: in a window the score is the number of equal pairs of
     triplets over the number of triplets less one; windows above the threshold are joined."""
 
     @F.arrow_udf("array<struct<start:int,end:int>>")
     def run(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in texts.to_pylist():
-            spans: list[list[int]] = []
-            t = t or ""
-            triplets = [t[i : i + 3] for i in range(len(t) - 2)]
-            size = min(window - 2, len(triplets))
-            counts = Counter(triplets[:size])
-            pairs = sum(n * (n - 1) // 2 for n in counts.values())
-            for i in range(len(triplets) - size + 1):
-                if i:
-                    old, new = triplets[i - 1], triplets[i + size - 1]
-                    counts[old] -= 1
-                    pairs -= counts[old]
-                    pairs += counts[new]
-                    counts[new] += 1
-                if size > 1 and pairs / (size - 1) > threshold:
-                    if spans and spans[-1][1] >= i:
-                        spans[-1][1] = i + size + 2
-                    else:
-                        spans.append([i, i + size + 2])
-            out.append([{"start": a, "end": b} for a, b in spans])
+        out = [[{"start": a, "end": b} for a, b in repeats(t, window, threshold)] if t else [] for t in texts.to_pylist()]
         return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
 
     return sequences.select(key, F.inline(run(F.col(seq))))
