@@ -40,8 +40,8 @@ OPEN = 64
 LEAST_CUT = 16
 #: Tokens that one task merges finally, at most about.
 GROUP_TOKENS = 2_000_000
-#: Chunks and words whose ids a worker remembers, twice (about 250 MB in all).
-REMEMBERED = 400_000
+#: Chunks and words whose ids a worker remembers, twice (about 40 MB in all, by proportion).
+REMEMBERED = 60_000
 END = 2
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, closed boolean"
