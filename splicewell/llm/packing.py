@@ -18,8 +18,8 @@ from __future__ import annotations
 
 import os
 import re
-import struct
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -40,8 +40,8 @@ OPEN = 64
 LEAST_CUT = 16
 #: Tokens that one task merges finally, at most about.
 GROUP_TOKENS = 2_000_000
-#: Chunks and words whose ids a worker remembers, twice (about 40 MB in all, by proportion).
-REMEMBERED = 60_000
+#: Chunks and pre-tokens whose ids a worker remembers, twice.
+REMEMBERED = 120_000
 END = 2
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, closed boolean"
@@ -53,33 +53,41 @@ class Encoder:
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of its
     chunks between ASCII white space, which are remembered. Chunks of Latin letters and ASCII
-    signs are split into pre-tokens here, which are remembered too (a chunk of ASCII letters is one);
-    all others, and those that may hold a special token, go to the library as they are.
+    signs are split into pre-tokens here, which are remembered beside them (a pre-token is a chunk
+    that splits into itself); all others, and those that may hold a special token, go to the
+    library as they are.
     """
 
     #: Capital I with a dot grows when lowered, and is left to the library.
     latin = re.compile("[!-~\u00c0-\u012f\u0131-\u024f]+").fullmatch
     split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+").findall
+    #: The same over lowered ASCII; finds less than the whole where there are control characters or others.
+    split_ascii = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[!-/:-@\[-`{-~]+").findall
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = Memory(self._word, REMEMBERED)
+        self.tokenize = self.tokenizer.model.tokenize
         self.chunks = Memory(self._chunk, REMEMBERED)
 
     def _word(self, word: str) -> bytes:
-        found = self.tokenizer.model.tokenize(word if word.isascii() else spelled(word))
-        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+        return array("I", [t.id for t in self.tokenize(word)]).tobytes()
 
     def _chunk(self, chunk: bytes) -> bytes:
-        text = chunk.decode()
-        if text.isascii() and text.isalpha():
-            return self.words[text.lower()]
-        if "<|" in text or not self.latin(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return b"".join(map(self.words.__getitem__, self.split(text.lower())))
+        low = chunk.lower()
+        if low.isalpha():
+            return self._word(low.decode()) if low == chunk else self.chunks[low]
+        if b"<|" not in chunk:
+            parts = self.split_ascii(low)
+            if sum(map(len, parts)) == len(low):
+                return b"".join(map(self.chunks.__getitem__, parts)) if len(parts) > 1 else self._word(low.decode())
+            text = chunk.decode()
+            if self.latin(text):
+                words = self.split(text.lower())
+                return b"".join([self.chunks[w.encode()] for w in words]) if len(words) > 1 else self._word(spelled(words[0]))
+        return array("I", self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: bytes) -> bytes:
         return b"".join(map(self.chunks.__getitem__, text.split()))

@@ -213,6 +213,19 @@ def test_chunks_encode_like_whole_texts():
         assert np.frombuffer(e.ids(t.encode()), "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_chunks_are_encoded_once(monkeypatch):
+    """Many different words, met again, alone or beside signs, are not encoded again, as they are remembered once."""
+    e, calls = packing.Encoder(public_tokenizers.path("word_bpe_49k.json")), []
+    monkeypatch.setattr(packing.Encoder, "_word", lambda self, word, f=packing.Encoder._word: calls.append(word) or f(self, word))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(x) for x in itertools.islice(itertools.product(letters, repeat=4), 110_000)]
+    text = " ".join(words).encode()
+    first = e.ids(text)
+    assert e.ids(text) == first and len(calls) == 110_000
+    e.ids(" ".join(f"({w.title()})" for w in words[-1000:]).encode())
+    assert len(calls) <= 110_000 + 2
+
+
 # near-duplicates
 
 
