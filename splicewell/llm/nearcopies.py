@@ -4,9 +4,11 @@ Exact: of two such sets, ordered by any one order of all shingles, the first n -
 (prefix filter), and where they meet first, enough of both is left after it (position filter). The order is by how often
 shingles occur, counted in hashed counters, so that common ones come last. Texts with equal sets are one class. Classes
 that meet in a shingle are first compared to one of them; what is then connected needs no more comparing, the rest is
-compared pair by pair. Before texts are fetched to verify a pair, a map of parities tells most that aren't similar:
-two sets differ in as many shingles at least as their maps do in bits. Of a class one text is fetched, compressed, which
-is smaller than its shingles.
+compared pair by pair, or in cells of many block by block in tasks, which give only what connects. SimHash fingerprints within
+reach through the pivots' distance tables (simhash.links) are compared as well. Before texts are fetched to verify a pair, a
+map of parities tells most that aren't similar: two sets differ in as many shingles at least as their maps do in bits. Of a
+class one text is fetched, compressed, which is smaller than its shingles. In cells a class goes by 64 bits of its digest;
+classes that share these are compared as well.
 """
 
 from __future__ import annotations
@@ -31,6 +33,10 @@ COUNTERS, BLOCK = 1 << 22, 1 << 16
 PARITY = 8
 #: Bits of the map of wanted texts: texts outside it aren't wanted.
 MAP_BITS = 24
+#: Classes in a cell beyond which it is compared in blocks of so many.
+HOT_CELL, HOT_BLOCK = 48, 250
+#: Shingles that the table of members and shingles of two blocks holds at a time.
+COLUMNS = 8192
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -92,19 +98,21 @@ def counters(df: DataFrame, text: str) -> np.ndarray:
 
 
 def marked(df: DataFrame, text: str, key: str) -> DataFrame:
-    """(key, fp, size, prefix, bits, own): class of each row, number of its shingles, the first of them, map of parities, digest of the text."""
+    """(key, fp, size, prefix, bits, own, sim): class of each row, number of its shingles, the first of them, map of parities, digest of the text, SimHash."""
+    from .simhash import of_hashes
+
     common.small_batches(df.sparkSession)
     order = df.sparkSession.sparkContext.broadcast(counters(df, text))
 
-    kind = pa.struct([("fp", pa.binary()), ("size", pa.int32()), ("prefix", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64())), ("own", pa.binary())])
+    kind = pa.struct([("fp", pa.binary()), ("size", pa.int32()), ("prefix", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64())), ("own", pa.binary()), ("sim", pa.int64())])
 
-    @F.arrow_udf("fp binary, size int, prefix array<long>, bits array<long>, own binary")
+    @F.arrow_udf("fp binary, size int, prefix array<long>, bits array<long>, own binary, sim long")
     def run(texts: pa.Array) -> pa.Array:
         def made(part: list) -> pa.Array:
             found = [shingle_set(t) for t in part]
             first = [s[np.lexsort((s, order.value[s & (COUNTERS - 1)]))][: len(s) - (4 * len(s) + 4) // 5 + 1] for s in found]
             columns = [pa.array([class_of(s) for s in found], pa.binary()), pa.array([len(s) for s in found], pa.int32()), common.lists(first, pa.int64())]
-            columns += [common.lists([parities(s) for s in found], pa.int64()), pa.array([digest(t) for t in part], pa.binary())]
+            columns += [common.lists([parities(s) for s in found], pa.int64()), pa.array([digest(t) for t in part], pa.binary()), pa.array([of_hashes(s) for s in found], pa.int64())]
             return pa.StructArray.from_arrays(columns, fields=list(kind))
 
         return common.mapped(texts, made, kind)
@@ -112,9 +120,31 @@ def marked(df: DataFrame, text: str, key: str) -> DataFrame:
     return df.select(key, run(F.col(text)).alias("m")).select(key, "m.*")
 
 
-def _place(own: Column) -> Column:
-    """The place of a text in the map."""
-    return F.shiftrightunsigned(F.xxhash64(own), 64 - MAP_BITS)
+def _place(value: Column) -> Column:
+    """The place of a value in a map."""
+    return F.shiftrightunsigned(F.xxhash64(value), 64 - MAP_BITS)
+
+
+def _map(values: DataFrame) -> np.ndarray:
+    """A map of bounded size of the values of a table's only column; nulls have none."""
+    value = F.col(values.columns[0])
+    words = values.where(value.isNotNull()).select(_place(value).alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
+    out = np.zeros(1 << (MAP_BITS - 6), dtype=np.int64)
+    for r in words.agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).collect():
+        out[r.word] = r.bits
+    return out.view(np.uint64)
+
+
+def may_be_among(value: Column, values: DataFrame) -> Column:
+    """Whether a value (not null) may be among those of a table's only column; what is there always may."""
+    shared = values.sparkSession.sparkContext.broadcast(_map(values))
+
+    @F.arrow_udf(T.BooleanType())
+    def run(places: pa.Array) -> pa.Array:
+        at = places.to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+
+    return run(_place(value))
 
 
 def texts_of(df: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
@@ -122,12 +152,7 @@ def texts_of(df: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
 
     A map of bounded size tells most texts that aren't wanted before they are passed on.
     """
-    words = wanted.select(_place(F.col("own")).alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
-    rows = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).collect()
-    map_ = np.zeros(1 << (MAP_BITS - 6), dtype=np.int64)
-    for r in rows:
-        map_[r.word] = r.bits
-    shared = df.sparkSession.sparkContext.broadcast(map_.view(np.uint64))
+    shared = df.sparkSession.sparkContext.broadcast(_map(wanted))
 
     kind = pa.struct([("own", pa.binary()), ("packed", pa.binary())])
 
@@ -170,45 +195,112 @@ def similar(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def maybe_similar(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, own_a, own_b) of the pairs that the maps of parities allow to be similar: 1/9 of both sizes may differ."""
-    a, b = (classes.select(F.col("fp").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("size", "bits", "own")]) for s in "ab")
+    """(a, b, own_a, own_b) of the pairs of ids (a, b) that the maps of parities allow to be similar: 1/9 of both sizes may differ."""
+    a, b = (classes.select(F.col("id").alias(s), F.col("fp").alias(f"fp_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("size", "bits", "own")]) for s in "ab")
     differ = sum(F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(PARITY))
-    return pairs.join(a, "a").join(b, "b").where(9 * differ <= F.col("size_a") + F.col("size_b")).select("a", "b", "own_a", "own_b")
-
-
-def verified(pairs: DataFrame, df: DataFrame, text: str, classes: DataFrame) -> common.Written:
-    """The pairs (a, b) that are similar enough."""
+    near = pairs.join(a, "a").join(b, "b").where("fp_a <> fp_b").where(9 * differ <= F.col("size_a") + F.col("size_b"))
+    return near.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"), "own_a", "own_b")
+
+
+def connected(texts: list[bytes]) -> np.ndarray:
+    """For each of some compressed texts the number of the first text that similar ones connect it to."""
+    sets = [shingle_set(zstandard.decompress(t).decode()) for t in texts]
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    owner, column = owner[shared], (np.cumsum(times > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(sets), len(sets)), dtype=np.int32)
+    for first in range(0, int((times > 1).sum()), COLUMNS):
+        a, b = np.searchsorted(column, [first, first + COLUMNS])
+        table = np.zeros((len(sets), COLUMNS), dtype=bool)
+        table[owner[a:b], column[a:b] - first] = True
+        bits = np.packbits(table, axis=1)
+        for i, row in enumerate(bits):
+            both[i] += np.bitwise_count(bits & row).sum(axis=1, dtype=np.int32)
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    alike = 9 * both.astype(np.int64) >= 4 * (sizes[:, None] + sizes[None])
+    np.fill_diagonal(alike, True)
+    label = np.arange(len(sets))
+    while True:
+        new = np.where(alike, label, len(sets)).min(axis=1)
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _in_blocks(cells: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b) that connect what is similar in cells of many classes (at, id, label, n); each pair of a cell's blocks is one group."""
+
+    def links_of(g: pa.Table) -> pa.Table:
+        fps = g["fp"].to_pylist()
+        label = connected(g["packed"].to_pylist()) if len(set(g["label"].to_pylist())) > 1 else np.arange(len(fps))
+        moved = np.flatnonzero(label != np.arange(len(fps)))
+        return pa.table({"a": pa.array([fps[label[i]] for i in moved], pa.binary()), "b": pa.array([fps[i] for i in moved], pa.binary())})
+
+    rows = cells.join(classes.select("id", "fp", "own"), "id").join(found, "own")
+    blocks = F.ceil(F.col("n") / HOT_BLOCK)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("fp"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    rows = rows.select("at", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "fp", "label", "packed")
+    return rows.groupBy("at", "low", "high").applyInArrow(links_of, "a binary, b binary")
+
+
+def verified(pairs: DataFrame, df: DataFrame, text: str, classes: DataFrame, hot: DataFrame | None = None) -> common.Written:
+    """Links (a, b): the pairs (a, b) of ids that are similar enough, and what connects the similar ones in hot cells."""
     some = common.Written(maybe_similar(pairs.distinct(), classes))
-    wanted = common.Written(some.df.select("own_a").union(some.df.select("own_b")).distinct().toDF("own"))
+    owns = some.df.select("own_a").union(some.df.select("own_b"))
+    if hot is not None:
+        owns = owns.union(classes.join(hot.select("id").distinct(), "id", "left_semi").select("own"))
+    wanted = common.Written(owns.distinct().toDF("own"))
     found = common.Written(texts_of(df, text, wanted.df))
-    out = common.Written(similar(some.df, found.df))
+    made = similar(some.df, found.df)
+    out = common.Written(made if hot is None else made.unionByName(_in_blocks(hot, classes, found.df).distinct()))
     for table in (some, wanted, found):
         table.drop()
     return out
 
 
+def near_by_bits(classes: DataFrame) -> DataFrame:
+    """(a, b): ids of classes with one SimHash, or with SimHashes within reach, the one of smallest id for each SimHash."""
+    from .simhash import links as within_reach
+
+    prints = common.Written(classes.groupBy("sim").agg(F.min("id").alias("first"), F.count("*").alias("n")))
+    reached = within_reach(prints.df.select(F.col("sim").alias("fp")))
+    a, b = (prints.df.select(F.col("sim").alias(f"sim_{s}"), F.col("first").alias(s)) for s in "ab")
+    across = reached.toDF("sim_a", "sim_b").join(a, "sim_a").join(b, "sim_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    within = classes.select("sim", "id").join(prints.df.where("n > 1").select("sim", "first"), "sim").where("id <> first")
+    return across.unionByName(within.select(F.col("first").alias("a"), F.col("id").alias("b")))
+
+
 def links(df: DataFrame, text: str, marks: DataFrame) -> DataFrame:
     """(a, b) over the classes: enough similar pairs to connect whatever is linked."""
-    some = marks.where("size > 0").groupBy("fp")
-    classes = common.Written(some.agg(*[F.first(c).alias(c) for c in ("size", "bits", "own")]))
-    firsts = some.agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    some = marks.where("size > 0")
+    found = some.groupBy("fp").agg(*[F.first(c).alias(c) for c in ("size", "bits", "own", "sim")], F.count("*").alias("n"))
+    classes = common.Written(found.withColumn("id", F.xxhash64("fp")))
+    # a row that is alone in its class stays where it is
+    thin = some.select("fp", "size", "prefix")
+    again = may_be_among(F.col("fp"), classes.df.where("n > 1").select("fp"))
+    firsts = thin.where(~again).unionByName(thin.where(again).groupBy("fp").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix")))
     # dealt by shingle once, for the heads and for what meets them
-    dealt = firsts.select("fp", "size", F.posexplode("prefix").alias("place", "at"))
+    dealt = firsts.select(F.xxhash64("fp").alias("id"), "size", F.posexplode("prefix").alias("place", "at"))
     # a class at a shingle: its size, and how many of its shingles come at this place or later
-    dealt = dealt.select("at", "fp", F.expr("shiftleft(cast(size as bigint), 32) + size - place").alias("has")).repartition("at")
-    heads = dealt.groupBy("at").agg(F.min(F.struct("fp", "has")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    cells = common.Written(dealt.join(heads.hint("merge"), "at").select("at", "fp", "has", "head", "n"))
+    dealt = dealt.select("at", "id", F.expr("shiftleft(cast(size as bigint), 32) + size - place").alias("has")).repartition("at")
+    heads = dealt.groupBy("at").agg(F.min(F.struct("id", "has")).alias("head"), F.count("*").alias("n")).where("n > 1")
+    cells = common.Written(dealt.join(heads.hint("merge"), "at").select("at", "id", "has", "head", "n"))
     near = lambda x, y: _may_meet(F.col(x), F.col(y))
-    pairs = cells.df.where("fp <> head.fp").where(near("has", "head.has")).select(F.col("head.fp").alias("a"), F.col("fp").alias("b"))
-    stars = verified(pairs, df, text, classes.df)
-    label = components(stars.df, "a", "b")
+    pairs = cells.df.where("id <> head.id").where(near("has", "head.has")).select(F.col("head.id").alias("a"), F.col("id").alias("b"))
+    same = classes.df.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("a"), F.col("id").alias("b"))
+    stars = verified(pairs.unionByName(near_by_bits(classes.df)).unionByName(same), df, text, classes.df)
+    label = components(stars.df, "a", "b").select(F.xxhash64("node").alias("id"), "label")
     # a cell of two is compared; one whose members are all connected needs no more comparing
-    parts = cells.df.where("n > 2").join(label, F.col("fp") == F.col("node"), "left").select("at", "fp", "has", F.coalesce("label", "fp").alias("label"))
-    mixed = parts.groupBy("at").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("at")
+    parts = cells.df.where("n > 2").join(label, "id", "left").select("at", "id", "has", F.coalesce("label", F.unhex(F.hex("id"))).alias("label"))
+    mixed = parts.groupBy("at").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high").select("at", "n")
     mixed = common.Written(parts.join(mixed, "at"))
-    one, two = (mixed.df.select("at", *[F.col(c).alias(f"{c}_{s}") for c in ("fp", "has", "label")]) for s in "ab")
-    rest = one.join(two, "at").where("fp_a < fp_b and label_a <> label_b").where(near("has_a", "has_b"))
-    rest = verified(rest.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")), df, text, classes.df)
+    few, hot = mixed.df.where(F.col("n") <= HOT_CELL), mixed.df.where(F.col("n") > HOT_CELL)
+    one, two = (few.select("at", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "has", "label")]) for s in "ab")
+    rest = one.join(two, "at").where("id_a < id_b and label_a <> label_b").where(near("has_a", "has_b"))
+    rest = verified(rest.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), df, text, classes.df, None if hot.isEmpty() else hot)
     for table in (cells, classes, mixed):
         table.drop()
     return stars.df.unionByName(rest.df)

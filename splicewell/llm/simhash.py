@@ -68,16 +68,19 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> list[int]:
 
 
 def simhash(text: str | None) -> int:
-    hashes = shingle_hashes(text)
-    if not hashes:
+    return of_hashes(np.array(shingle_hashes(text), dtype="<u8")) & ((1 << 64) - 1)
+
+
+def of_hashes(whole: np.ndarray) -> int:
+    """The (signed) fingerprint of 64-bit hashes, zero if there are none."""
+    if not len(whole):
         return 0
     total = np.zeros(64, dtype=np.int64)
-    whole = np.array(hashes, dtype="<u8")
     for a in range(0, len(whole), 8192):
         bits = np.unpackbits(whole[a : a + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         total += bits.sum(axis=0, dtype=np.int64)
     set_bits = np.packbits(2 * total > len(whole), bitorder="little")
-    return int(set_bits.view("<u8")[0])
+    return int(set_bits.view("<i8")[0])
 
 
 def fingerprints(df: DataFrame, text: str = "text", into: str = "fp") -> DataFrame:
@@ -172,13 +175,15 @@ def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     marked = common.Written(nearcopies.marked(df, text, key)).df
     found = common.Written(groups(marked, key, nearcopies.links(df, text, marked))).df
     own, of, group, n = (common.free(df, x) for x in ("__key", "__of", "__group", "__n"))
-    ids = marked.groupBy(F.col(key).alias(own)).agg(F.count("*").alias(n))
+    ids = marked.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(own)).agg(F.count("*").alias(n))
     stay = common.Written(ids.join(found.select(F.col("component_id").alias(own)).distinct(), own, "left_semi")).df
-    # only rows of repeated keys have to meet; the rest is taken where it lies
-    lone_key = df.join(stay.where(F.col(n) == 1).drop(n), df[key] == F.col(own), "left_semi")
-    again = df.join(stay.where(F.col(n) > 1).drop(n), df[key] == F.col(own))
+    # only rows whose key is repeated or goes have to meet; the rest is taken where it lies
+    other = common.Written(ids.join(stay.where(F.col(n) == 1), own, "left_anti").select(own)).df
+    named = df.where(df[key].isNotNull())
+    meets = nearcopies.may_be_among(df[key], other)
     first = F.row_number().over(W.Window.partitionBy(own).orderBy(F.xxhash64(text)))
-    known = lone_key.unionByName(again.withColumn(n, first).where(F.col(n) == 1).select(df.columns))
+    met = named.where(meets).join(stay.drop(n), df[key] == F.col(own)).withColumn(n, first).where(F.col(n) == 1)
+    known = named.where(~meets).unionByName(met.select(df.columns))
     lone = found.where(F.col("component_id").isNull()).select(F.col("fp").alias(of), F.col("label").alias(group))
     print_ = common.free(df, "__fp")
     nameless = df.where(df[key].isNull()).withColumn(print_, nearcopies.class_column(F.col(text))).join(lone, F.col(print_) == F.col(of))
