@@ -231,15 +231,20 @@ def connected(texts: list[bytes]) -> np.ndarray:
 
 
 def _in_blocks(cells: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """(a, b) that connect what is similar in cells of many classes (at, id, label, n); each pair of a cell's blocks is one group."""
+    """(a, b) that connect what is similar in cells of many classes (at, id, label, n); each pair of a cell's blocks is one group.
+
+    A class stands for all that it is already connected to, so a group gives fewer links than it has labels.
+    """
 
     def links_of(g: pa.Table) -> pa.Table:
-        fps = g["fp"].to_pylist()
-        label = connected(g["packed"].to_pylist()) if len(set(g["label"].to_pylist())) > 1 else np.arange(len(fps))
-        moved = np.flatnonzero(label != np.arange(len(fps)))
-        return pa.table({"a": pa.array([fps[label[i]] for i in moved], pa.binary()), "b": pa.array([fps[i] for i in moved], pa.binary())})
+        names = g["label"].to_pylist()
+        label = connected(g["packed"].to_pylist()) if len(set(names)) > 1 else np.arange(len(names))
+        moved = np.flatnonzero(label != np.arange(len(names)))
+        made = sorted({(names[label[i]], names[i]) for i in moved if names[label[i]] != names[i]})
+        return pa.table({"a": pa.array([a for a, _ in made], pa.binary()), "b": pa.array([b for _, b in made], pa.binary())})
 
     rows = cells.join(classes.select("id", "fp", "own"), "id").join(found, "own")
+    rows = rows.withColumn("label", F.when(F.octet_length("label") > 8, F.col("label")).otherwise(F.col("fp")))  # not connected yet: its id
     blocks = F.ceil(F.col("n") / HOT_BLOCK)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("fp"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     rows = rows.select("at", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "fp", "label", "packed")
@@ -292,7 +297,8 @@ def links(df: DataFrame, text: str, marks: DataFrame) -> DataFrame:
     pairs = cells.df.where("id <> head.id").where(near("has", "head.has")).select(F.col("head.id").alias("a"), F.col("id").alias("b"))
     same = classes.df.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("a"), F.col("id").alias("b"))
     stars = verified(pairs.unionByName(near_by_bits(classes.df)).unionByName(same), df, text, classes.df)
-    label = components(stars.df, "a", "b").select(F.xxhash64("node").alias("id"), "label")
+    joined = components(stars.df, "a", "b")
+    label = joined.select(F.xxhash64("node").alias("id"), "label")
     # a cell of two is compared; one whose members are all connected needs no more comparing
     parts = cells.df.where("n > 2").join(label, "id", "left").select("at", "id", "has", F.coalesce("label", F.unhex(F.hex("id"))).alias("label"))
     mixed = parts.groupBy("at").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high").select("at", "n")
@@ -301,9 +307,14 @@ def links(df: DataFrame, text: str, marks: DataFrame) -> DataFrame:
     one, two = (few.select("at", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "has", "label")]) for s in "ab")
     rest = one.join(two, "at").where("id_a < id_b and label_a <> label_b").where(near("has_a", "has_b"))
     rest = verified(rest.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), df, text, classes.df, None if hot.isEmpty() else hot)
-    for table in (cells, classes, mixed):
+    # what the first step has connected is one node for the second, so there are about as many links as classes
+    between = rest.df
+    for end in ("a", "b"):
+        between = between.join(joined.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end, "left").withColumn(end, F.coalesce(f"label_{end}", end))
+    out = common.Written(between.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    for table in (cells, classes, mixed, stars, rest):
         table.drop()
-    return stars.df.unionByName(rest.df)
+    return joined.where("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(out.df)
 
 
 def _may_meet(x: Column, y: Column) -> Column:

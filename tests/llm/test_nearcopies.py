@@ -90,6 +90,24 @@ def test_large_group_in_blocks(spark, monkeypatch):
     assert ran and kept == set(_labels(texts)) and 1 < len(kept) < 160
 
 
+def test_links_of_a_large_group_grow_with_its_classes(spark, monkeypatch):
+    """Blocks and later cells give what connects, not every link between what is connected already."""
+    monkeypatch.setattr(nearcopies, "HOT_CELL", 8)
+    monkeypatch.setattr(nearcopies, "HOT_BLOCK", 30)
+    texts = _copies(random.Random(5), 160, 100, 9)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = common.Written(nearcopies.marked(df, "text", "doc_id")).df
+    found = nearcopies.links(df, "text", marks).collect()
+    assert 0 < len(found) <= 160
+    of = {r.doc_id: bytes(r.fp) for r in marks.collect()}
+    root = {fp: fp for fp in of.values()}
+    for r in found:
+        a, b = sorted((root[bytes(r.a)], root[bytes(r.b)]))
+        root = {k: a if v == b else v for k, v in root.items()}
+    wanted = _labels(texts)
+    assert all((root[of[i]] == root[of[j]]) == (wanted[i] == wanted[j]) for i in of for j in range(i))
+
+
 @pytest.mark.parametrize("columns", [7, 4096])
 def test_connected_by_force(monkeypatch, columns):
     monkeypatch.setattr(nearcopies, "COLUMNS", columns)
