@@ -39,7 +39,8 @@ def realign(reads: DataFrame, regions: DataFrame, p: Params = DEFAULT) -> DataFr
     """Accepted near-best alignments of reads to regions; distinct pairs of sequences are aligned once."""
     pairs = shared_kmers(reads, regions, p).join(reads.select("read_id", "seq"), "read_id").join(small(regions.select("region_id", F.col("seq").alias("target"))), "region_id")
     pairs = pairs.withColumn("query", F.when(F.col("rc"), S.reverse_complement(F.col("seq"))).otherwise(F.col("seq")))
-    once = pairs.select("query", "target").distinct().withColumn("found", local_alignment(F.col("query"), F.col("target"), p))
+    # dealt before distinct(), which then takes the number of partitions as it is: few bytes to read are much work
+    once = spread(pairs.select("query", "target"), "query", "target").distinct().withColumn("found", local_alignment(F.col("query"), F.col("target"), p, p.min_score))
     ok = once.where(accepted(F.col("found"), F.col("query"), p))
     met = pairs.join(ok, ["query", "target"]).select("read_id", "region_id", "rc", F.length("query").alias("read_len"), "found.*")
     return near_best(met, ["read_id"], "score", p.near_best)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from ..params import DEFAULT, Params
 from .consensus import STEP
+from .sizes import spread
 
 
 def stretched(seq: str, cigar: str) -> str:
@@ -79,4 +80,4 @@ def mismatching(hits: DataFrame, p: Params = DEFAULT) -> DataFrame:
         return bad[["region_id", "rev", "qname"]].drop_duplicates()
 
     kinds = {f.name: f.dataType.simpleString() for f in hits.schema}
-    return hits.groupBy("region_id", "rev").applyInPandas(one, ", ".join(f"{c} {kinds[c]}" for c in ("region_id", "rev", "qname")))
+    return spread(hits, "region_id", "rev").groupBy("region_id", "rev").applyInPandas(one, ", ".join(f"{c} {kinds[c]}" for c in ("region_id", "rev", "qname")))

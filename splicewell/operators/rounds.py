@@ -313,6 +313,9 @@ def assign(hits: DataFrame, mates: DataFrame, places: DataFrame, regions: DataFr
                 used = tables.written(mine.where("side = 'host'").select("qname").distinct(), paths["used"])
                 touched = names.join(used, "qname", "left_semi").select(*KEY).distinct().withColumn("lost", F.lit(True))
                 left = left.join(touched, KEY, "left").withColumn("valid", F.col("valid") & F.col("lost").isNull()).drop("lost")
+                # a key is worth no more than the scores that are left to it, so a trial of one below the least would only drop it
+                able = E.region_scores(trials.hits, used).where(F.col("score") > least)
+                left = left.join(able.select(*KEY), KEY, "left_semi")
                 left = tables.written(left)
                 old, names = names, tables.written(names.join(used, "qname", "left_anti"))
                 tables.drop(old)

@@ -13,11 +13,11 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, *key: str) -> DataFrame:
     """Deals rows out evenly before something makes many of each; the number is explicit, so they stay apart."""
     spark = df.sparkSession
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n, key)
+    return df.repartition(n, *key)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
