@@ -108,6 +108,17 @@ def test_links_of_a_large_group_grow_with_its_classes(spark, monkeypatch):
     assert all((root[of[i]] == root[of[j]]) == (wanted[i] == wanted[j]) for i in of for j in range(i))
 
 
+def test_a_block_links_what_is_connected_already_once(spark):
+    """Twenty similar classes of which ten each are connected need one link."""
+    packed = [zstandard.compress(t.encode()) for t in _copies(random.Random(6), 20, 400, 1)]
+    fps = [bytes([i]) * 16 for i in range(20)]
+    cells = spark.createDataFrame([(1, i, fps[i // 10 * 10], 20) for i in range(20)], "at long, id long, label binary, n long")
+    classes = spark.createDataFrame([(i, fps[i], fps[i]) for i in range(20)], "id long, fp binary, own binary")
+    found = spark.createDataFrame(list(zip(fps, packed)), "own binary, packed binary")
+    made = nearcopies._in_blocks(cells, classes, found).collect()
+    assert [{bytes(r.a), bytes(r.b)} for r in made] == [{fps[0], fps[10]}]
+
+
 @pytest.mark.parametrize("columns", [7, 4096])
 def test_connected_by_force(monkeypatch, columns):
     monkeypatch.setattr(nearcopies, "COLUMNS", columns)
